@@ -1,9 +1,10 @@
 """Exact ranks, quantiles and cumulative counts without putting a group on one task.
 
 Rows are first collapsed to one row per (group, value), so a value held by a third of all rows costs
-one row. Groups that still have many distinct values are cut into value ranges whose bounds come from
-a mergeable sketch of those distinct values; running sums are taken inside a range and shifted by the
-totals of the ranges before it. The bounds only balance the work: results are exact for any bounds.
+one row. Groups that still have many distinct values are cut into value ranges; running sums are taken
+inside a range and shifted by the totals of the ranges before it. The range bounds come from a mergeable
+sketch over a hash-chosen part of the distinct values; they only balance the work, and every row goes
+through, so results are exact for any bounds.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_COARSE, _FINE = 32, 32
-_CUTS = [i / (_COARSE * _FINE) for i in range(1, _COARSE * _FINE)]
+_COARSE, _FINE = 16, 16
+_CUTS = ", ".join(f"{i / (_COARSE * _FINE)!r}D" for i in range(1, _COARSE * _FINE))
 SPLIT_ABOVE = 500_000  # distinct values of a group before it is cut into ranges
+BOUND_EVERY = 64  # one in this many distinct values feeds the bounds
 
 
 def _range_of(value: str) -> Column:
-    """Number of cut points below the value, found through every 32nd cut and then the 31 between."""
+    """Number of cut points below the value, found through every 16th cut and then the 15 between."""
     v = F.col(value)
     coarse = F.size(F.filter(F.col("_coarse"), lambda c: c < v))
     fine = F.size(F.filter(F.slice(F.col("_cuts"), coarse * _FINE + 1, _FINE - 1), lambda c: c < v))
@@ -48,10 +50,16 @@ def value_ranks(
     # Null-safe group identity as one column, so that equi-joins keep null groups.
     ident = F.to_json(F.struct(*keys)) if keys else F.lit("")
     counted = counted.withColumn("_id", ident)
+    # `_all` keeps every counted column in this branch, so that it reads the same shuffle as the others.
     cuts = (
-        counted.groupBy("_id")
-        .agg(F.count(F.lit(1)).alias("_d"), F.percentile_approx("_v", _CUTS, 20000).alias("_cuts"))
-        .where(F.col("_d") > split_above)
+        counted.withColumn("_b", F.when(F.pmod(F.xxhash64("_v"), F.lit(BOUND_EVERY)) == 0, F.col("_v")))
+        .groupBy("_id")
+        .agg(
+            F.count(F.lit(1)).alias("_d"),
+            F.expr(f"percentile_approx(_b, array({_CUTS}), 10000)").alias("_cuts"),
+            F.max(F.struct(*names)).alias("_all"),
+        )
+        .where((F.col("_d") > split_above) & F.col("_cuts").isNotNull() & F.col("_all").isNotNull())
         .select(
             "_id",
             "_cuts",
@@ -126,13 +134,18 @@ def quantile_edges(df: DataFrame, by: Sequence[str], value: str, q: int, duplica
     return edges.select(*by, arr.alias("edges"), "n")
 
 
-def bucket_of(value: str | Column, edges: str | Column) -> Column:
-    """1-based right-closed interval of the value; the lowest edge belongs to the first interval."""
+def bucket_of(value: str | Column, edges: str | Column, q: int) -> Column:
+    """1-based right-closed interval of the value; the lowest edge belongs to the first interval.
+
+    `edges` is an array of at most q+1 increasing bounds (fewer once equal bounds are dropped).
+    """
     v = F.col(value) if isinstance(value, str) else value
     e = F.col(edges) if isinstance(edges, str) else edges
-    inner = F.slice(e, 2, F.greatest(F.size(e) - 2, F.lit(0)))
-    b = F.size(F.filter(inner, lambda c: c < v)) + 1
-    return F.when(v.isNotNull() & (v >= F.element_at(e, 1)) & (v <= F.element_at(e, -1)), b)
+    last = F.size(e) - 1
+    above = sum(
+        (F.when((F.lit(i) < last) & (v > F.get(e, F.lit(i))), 1).otherwise(0) for i in range(1, q)), F.lit(0)
+    )
+    return F.when((v >= F.get(e, F.lit(0))) & (v <= F.get(e, last)), above + 1)
 
 
 def attach_by_value(

@@ -193,7 +193,7 @@ def bucket_report(df: DataFrame, features: Sequence[str], metrics: Sequence[str]
     long = _melt(df.where(present), metrics, features, "feature", "x").where(F.col("x").isNotNull())
     edges = R.quantile_edges(long, ["feature"], "x", q).drop("n")
     # One row per feature name: as small as the argument list.
-    bucketed = long.join(F.broadcast(edges), "feature").select("feature", R.bucket_of("x", "edges").alias("bucket"), *metrics)
+    bucketed = long.join(F.broadcast(edges), "feature").select("feature", R.bucket_of("x", "edges", q).alias("bucket"), *metrics)
     return grouped_stats(bucketed, ["feature", "bucket"], metrics)
 
 
@@ -214,7 +214,7 @@ def stratified_medians(facts: DataFrame, by: str, strata: str, metrics: Sequence
     """(medians per group and stratum bucket, bucket bounds); edges come from the long rows as they are."""
     edges = R.quantile_edges(facts, [], strata, q)
     arr = edges.select("edges").scalar()
-    bucketed = facts.withColumn("bucket", R.bucket_of(F.col(strata), arr)).where(F.col("bucket").isNotNull())
+    bucketed = facts.withColumn("bucket", R.bucket_of(F.col(strata), arr, q)).where(F.col("bucket").isNotNull())
     med = grouped_quantiles(bucketed, [by, "bucket"], metrics, {"median": 0.5})
     bounds = edges.select(F.posexplode(F.slice("edges", 1, q)).alias("i", "lower_bound"), "edges").select(
         (F.col("i") + 1).alias("bucket"), "lower_bound", F.get("edges", F.col("i") + 1).alias("upper_bound")

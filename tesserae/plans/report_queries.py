@@ -408,7 +408,7 @@ def keep_last(spark, sf):
 def quantile_bucket(spark, sf):
     facts = V.eval_ok(spark, sf).select("patch_id", "model_name", "pixel_precision")
     edges = R.quantile_edges(facts, ["model_name"], "pixel_precision", 4).drop("n")
-    return facts.join(edges, "model_name").select("patch_id", "model_name", R.bucket_of("pixel_precision", "edges").alias("bucket"))
+    return facts.join(edges, "model_name").select("patch_id", "model_name", R.bucket_of("pixel_precision", "edges", 4).alias("bucket"))
 
 
 @query(
@@ -422,10 +422,10 @@ def conflicting_keys(spark, sf):
 @query(
     "w05_keep_largest",
     "with " + V.V_RAW + """ select patch_id, model_name, n, l_orderkey, l_linenumber from (select *, row_number() over (partition by patch_id, model_name order by n desc nulls last, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as rn
- from (select *, case when status = 'ok' then cast(instance_sq * 50 as bigint) end as n from v_raw)) where rn = 1""",
+ from (select *, case when status = 'ok' then cast(round(instance_sq * 50) as bigint) end as n from v_raw)) where rn = 1""",
 )
 def keep_largest(spark, sf):
-    df = V.eval_raw(spark, sf).withColumn("n", F.when(F.col("status") == "ok", (F.col("instance_sq") * 50).cast("bigint")))
+    df = V.eval_raw(spark, sf).withColumn("n", F.when(F.col("status") == "ok", F.round(F.col("instance_sq") * 50).cast("bigint")))
     return D.keep_largest(df, ["patch_id", "model_name"], "n", V.ORDER).select("patch_id", "model_name", "n", "l_orderkey", "l_linenumber")
 
 
