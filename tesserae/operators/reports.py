@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as X
+from ..session import cut_lineage
 from . import ranks as R
 
 
@@ -158,7 +159,8 @@ def spearman(df: DataFrame, features: Sequence[str], metrics: Sequence[str], tog
         df.select(F.explode(F.array(*items)).alias("p")).where(F.col("p").isNotNull()).select("p.*")
         .groupBy("feature", "metric", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     )
-    return weighted_spearman(pairs, ["feature", "metric"])
+    # Read four times below: written once to the shared folder rather than recomputed.
+    return weighted_spearman(cut_lineage(pairs), ["feature", "metric"])
 
 
 def weighted_spearman(pairs: DataFrame, by: Sequence[str]) -> DataFrame:

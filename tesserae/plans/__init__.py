@@ -2,5 +2,8 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import (  # noqa: F401
+    mask_queries,
+    metric_queries,
     report_queries,
+    spatial_queries,
 )

@@ -193,3 +193,90 @@ V_TARGET = """v_target as (
  select doc_id, source, lang, n_chars, quality as target, toxic, (n_chars % 1000) / 1000.0::double as score,
   case when (n_chars % 1000) / 1000.0::double >= 0.5 then 1 else 0 end as predicted
  from documents left join labels using (doc_id))"""
+
+
+def mask_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Embeddings as 8x8 value images."""
+    px = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.posexplode("embedding").alias("i", "v"))
+    return px.select("image_id", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).cast("int").alias("col"), "v")
+
+
+V_PX = """v_px as (select vec_id as image_id, cast((i - 1) // 8 as int) as row, cast((i - 1) % 8 as int) as col, v
+ from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings))"""
+
+
+def truth_mask(spark: SparkSession, sf: str) -> DataFrame:
+    px = mask_pixels(spark, sf)
+    quadrant = 1 + 2 * F.floor(F.col("row") / 4) + F.floor(F.col("col") / 4)
+    return px.select("image_id", "row", "col", F.when(F.col("v") > 0, quadrant).otherwise(0).cast("int").alias("label"))
+
+
+V_TRUTH = V_PX + """, v_truth as (select image_id, row, col, cast(case when v > 0 then 1 + 2 * (row // 4) + col // 4 else 0 end as int) as label from v_px)"""
+
+
+def pred_mask(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models: `near` lowers the bar and moves quadrants by a row, `far` reads the previous image."""
+    px = mask_pixels(spark, sf)
+    near = F.when(F.col("v") > -0.03125, 1 + 2 * F.floor((F.col("row") + 1) / 4) + F.floor(F.col("col") / 4)).otherwise(0)
+    far = F.when(F.col("v") > 0, 1 + 2 * F.floor((F.col("row") + 1) / 4) + F.floor(F.col("col") / 4)).otherwise(0)
+    return px.select("image_id", F.lit("near").alias("model_name"), "row", "col", near.cast("int").alias("label")).unionByName(
+        px.select((F.col("image_id") - 1).alias("image_id"), F.lit("far").alias("model_name"), "row", "col", far.cast("int").alias("label"))
+    )
+
+
+V_PRED = V_TRUTH + """, v_pred as (select image_id, 'near' as model_name, row, col, cast(case when v > -0.03125::float then 1 + 2 * ((row + 1) // 4) + col // 4 else 0 end as int) as label from v_px
+ union all select image_id - 1, 'far', row, col, cast(case when v > 0 then 1 + 2 * ((row + 1) // 4) + col // 4 else 0 end as int) from v_px),
+ v_images as (select vec_id as image_id, m as model_name, 8 as height, 8 as width from embeddings, (values ('near'), ('far')) t(m))"""
+
+
+def images(spark: SparkSession, sf: str) -> DataFrame:
+    ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"))
+    return ids.withColumns({"model_name": F.explode(F.array(F.lit("near"), F.lit("far"))), "height": F.lit(8), "width": F.lit(8)})
+
+
+def sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+
+
+def colour_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """8-bit channels derived from the value image."""
+    v = F.col("v").cast("double")
+    byte = lambda e: F.pmod(F.floor(e).cast("int"), F.lit(256))
+    return mask_pixels(spark, sf).select(
+        "image_id", "row", "col", byte(v * 512 + 128).alias("r"), byte(v * 256 + 128).alias("g"), byte(v * 1024 + 64).alias("b"),
+        F.lit(255).alias("a"), F.when(F.col("v") > 0, 1).otherwise(0).alias("label"),
+    )
+
+
+V_RGB = V_PX + """, v_rgb as (select image_id, row, col, cast((cast(floor(v::double * 512 + 128) as int) % 256 + 256) % 256 as int) as r,
+ cast((cast(floor(v::double * 256 + 128) as int) % 256 + 256) % 256 as int) as g, cast((cast(floor(v::double * 1024 + 64) as int) % 256 + 256) % 256 as int) as b,
+ 255 as a, case when v > 0 then 1 else 0 end as label from v_px)"""
+
+
+def boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as boxes on a 105000 x 100000 plane."""
+    x, y = F.col("l_extendedprice"), F.col("l_quantity") * 2000.0
+    hw, hh = 200.0 + F.col("l_tax") * 2000.0, 150.0 + F.col("l_discount") * 3000.0
+    return table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")).alias("cell_id"),
+        (x - hw).alias("xmin"), (y - hh).alias("ymin"), (x + hw).alias("xmax"), (y + hh).alias("ymax"),
+    )
+
+
+V_BOX = """v_box as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(l_extendedprice as decimal(18,2))) as cell_id,
+ l_extendedprice - (200.0::double + l_tax * 2000.0::double) as xmin, l_quantity * 2000.0::double - (150.0::double + l_discount * 3000.0::double) as ymin,
+ l_extendedprice + (200.0::double + l_tax * 2000.0::double) as xmax, l_quantity * 2000.0::double + (150.0::double + l_discount * 3000.0::double) as ymax from lineitem)"""
+
+
+def plane_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles placed at parts: every part is one tile on a 4000 grid."""
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("tile_id"),
+        ((F.col("p_partkey") % 27) * 4000.0).alias("tile_x"),
+        ((F.floor(F.col("p_partkey") / 27) % 25) * 4000.0).alias("tile_y"),
+        F.lit(3000.0).alias("w_img"), F.lit(3500.0).alias("h_img"),
+    ).where(F.col("tile_id") < 675)
+
+
+V_TILE = """v_tile as (select p_partkey as tile_id, (p_partkey % 27) * 4000.0::double as tile_x, ((p_partkey // 27) % 25) * 4000.0::double as tile_y,
+ 3000.0::double as w_img, 3500.0::double as h_img from part where p_partkey < 675)"""
