@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import safe_divide
+from ..session import cut_lineage
 from .components import connected_components
 
 # A pair above this IoU is in every assignment of largest total IoU between non-overlapping labels.
@@ -114,26 +115,23 @@ def pixel_ratios() -> dict[str, Column]:
     }
 
 
-def _assigner(keys: Sequence[str]):
-    """applyInPandas body: assignment of largest total IoU inside one small group of entangled objects."""
-    names = list(keys)
+def _assigner(columns: Sequence[str]):
+    """mapInPandas body over rows sorted by component: largest total IoU inside each component.
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, gi = np.unique(pdf["gt_label"].to_numpy(), return_inverse=True)
-        p, pi = np.unique(pdf["pred_label"].to_numpy(), return_inverse=True)
-        gain = np.zeros((len(g), len(p)))
-        gain[gi, pi] = pdf["iou"].to_numpy()
-        flip = len(g) > len(p)
+    Batches are cut at component borders; only the last, possibly unfinished component is carried over.
+    """
+    columns = list(columns)
+
+    def solve(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flip = gain.shape[0] > gain.shape[1]
         cost = -(gain.T if flip else gain)
         n, m = cost.shape
         # Shortest augmenting paths with dual prices; column 0 is the virtual start.
         u, v = np.zeros(n + 1), np.zeros(m + 1)
         owner = np.zeros(m + 1, dtype=int)
         for i in range(1, n + 1):
-            owner[0] = i
-            j0 = 0
-            dist = np.full(m + 1, np.inf)
-            back = np.zeros(m + 1, dtype=int)
+            owner[0], j0 = i, 0
+            dist, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
             done = np.zeros(m + 1, dtype=bool)
             while True:
                 done[j0] = True
@@ -142,9 +140,9 @@ def _assigner(keys: Sequence[str]):
                 better = (~done[1:]) & (slack < dist[1:])
                 dist[1:][better] = slack[better]
                 back[1:][better] = j0
-                open_dist = np.where(done[1:], np.inf, dist[1:])
-                j1 = int(np.argmin(open_dist)) + 1
-                delta = open_dist[j1 - 1]
+                reach = np.where(done[1:], np.inf, dist[1:])
+                j1 = int(np.argmin(reach)) + 1
+                delta = reach[j1 - 1]
                 u[owner[done]] += delta
                 v[done] -= delta
                 dist[1:][~done[1:]] -= delta
@@ -156,26 +154,49 @@ def _assigner(keys: Sequence[str]):
                 j0 = back[j0]
         cols = np.nonzero(owner[1:])[0]
         rows = owner[1:][cols] - 1
-        a, b = (cols, rows) if flip else (rows, cols)
-        out = pd.DataFrame({"gt_label": g[a], "pred_label": p[b], "iou": gain[a, b]})
-        for k in names:
-            out[k] = pdf[k].iloc[0]
-        return out[out["iou"] > 0][[*names, "gt_label", "pred_label", "iou"]]
-
-    return assign
+        return (cols, rows) if flip else (rows, cols)
+
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pdf["_c"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+        gt, pr, iou = (pdf[c].to_numpy() for c in ("gt_label", "pred_label", "iou"))
+        keep = []
+        for lo, hi in zip(starts, np.r_[starts[1:], len(pdf)]):
+            g, gi = np.unique(gt[lo:hi], return_inverse=True)
+            p, pi = np.unique(pr[lo:hi], return_inverse=True)
+            gain, line = np.zeros((len(g), len(p))), np.full((len(g), len(p)), -1)
+            gain[gi, pi], line[gi, pi] = iou[lo:hi], np.arange(lo, hi)
+            chosen = line[solve(gain)]
+            keep.append(chosen[chosen >= 0])
+        return pdf.iloc[np.concatenate(keep)][columns]
+
+    def run(batches):
+        rest = None
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            names = pdf["_c"].to_numpy()
+            cut = int(np.searchsorted(names == names[-1], True)) if len(pdf) else 0
+            rest = pdf.iloc[cut:].reset_index(drop=True)
+            if cut:
+                yield picked(pdf.iloc[:cut])
+        if rest is not None and len(rest):
+            yield picked(rest)
+
+    return run
 
 
 def match_instances(iou: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """One-to-one pairs maximising total IoU over all pairs, then only those at or above the threshold.
 
     Pairs above SURE_IOU are settled by a filter. What is left splits into connected components of the
-    overlap graph; single pairs need no solver, and each remaining component is one small group.
+    overlap graph; components with one object on a side need no solver, the others are solved one by one.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     keys = list(keys)
     cols = [*keys, "gt_label", "pred_label", "iou"]
-    iou = iou.select(*cols)
+    # Read five times below: written once to the shared folder rather than recomputed.
+    iou = cut_lineage(iou.select(*cols))
     sure = iou.where(F.col("iou") > SURE_IOU)
     rest = (
         iou.where(F.col("iou") <= SURE_IOU)
@@ -184,16 +205,22 @@ def match_instances(iou: DataFrame, keys: Sequence[str], threshold: float = 0.5)
     )
     gt_node = F.struct(*keys, F.lit(0).alias("side"), F.col("gt_label").cast("bigint").alias("label"))
     pred_node = F.struct(*keys, F.lit(1).alias("side"), F.col("pred_label").cast("bigint").alias("label"))
-    linked = rest.select(*cols, gt_node.alias("u"), pred_node.alias("v"))
+    linked = cut_lineage(rest.select(*cols, gt_node.alias("u"), pred_node.alias("v")))
     comps = connected_components(linked.select("u"), linked.select("u", "v"))
     grouped = linked.join(comps, "u").select(*cols, "component")
-    size = grouped.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    size = grouped.groupBy("component").agg(
+        F.count_distinct("gt_label").alias("_g"), F.count_distinct("pred_label").alias("_p")
+    )
     sized = grouped.join(size, "component")
-    single = sized.where(F.col("_n") == 1).select(*cols)
+    # With one object on a side the best single pair is the answer.
+    star = (F.col("_g") == 1) | (F.col("_p") == 1)
+    best = F.struct(-F.col("iou"), F.col("gt_label"), F.col("pred_label"))
+    single = sized.where(star).groupBy("component").agg(F.min_by(F.struct(*cols), best).alias("_s")).select("_s.*")
     types = dict(iou.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in cols)
-    solved = sized.where(F.col("_n") > 1).select(*cols, "component").groupBy("component").applyInPandas(_assigner(keys), schema)
-    pairs = sure.select(*cols).unionByName(single).unionByName(solved.select(*cols))
+    tangled = sized.where(~star).select(*cols, F.to_json("component").alias("_c"))
+    solved = tangled.repartition("_c").sortWithinPartitions("_c").mapInPandas(_assigner(cols), schema)
+    pairs = sure.select(*cols).unionByName(single.select(*cols)).unionByName(solved)
     return pairs.where(F.col("iou") >= threshold)
 
 

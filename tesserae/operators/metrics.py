@@ -172,10 +172,10 @@ def baselines(df: DataFrame, truth: str) -> DataFrame:
 def calibration_curve(df: DataFrame, truth: str, score: str, bins: int = 10) -> DataFrame:
     """Quantile bins of the score: observed rate, mean score, rows. A score on an inner edge goes to the upper bin."""
     ok = df.where(F.col(truth).isNotNull()).select(F.col(truth).cast("double").alias("y"), F.col(score).alias("p"))
-    edges = R.quantile_edges(ok, [], "p", bins, duplicates="drop").select("edges").scalar()
-    # Empty bins vanish in the grouping; the last edge belongs to the last bin.
-    above = sum((F.coalesce((F.lit(i) < F.size(edges) - 1) & (F.col("p") >= F.get(edges, F.lit(i))), F.lit(False)).cast("int") for i in range(1, bins)), F.lit(0))
-    return ok.withColumn("bin", above).groupBy("bin").agg(F.avg("y").alias("observed"), F.avg("p").alias("mean_score"), F.count(F.lit(1)).alias("n"))
+    bounds = R.global_edges(ok, "p", bins, duplicates="drop")
+    # Empty bins vanish in the grouping; the last bound belongs to the last bin.
+    above = sum(((F.col("p") >= b).cast("int") for b in bounds[1:-1]), F.lit(0))
+    return ok.groupBy(above.alias("bin")).agg(F.avg("y").alias("observed"), F.avg("p").alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
 def brier(df: DataFrame, truth: str, score: str) -> DataFrame:
@@ -194,8 +194,7 @@ def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) ->
 def quality_trend(df: DataFrame, quality: str, score: str, bins: int = 20) -> DataFrame:
     """Median quality and mean score per equal-frequency quality bin, equal edges dropped."""
     ok = df.where(F.col(quality).isNotNull()).select(F.col(quality).cast("double").alias("x"), F.col(score).alias("p"))
-    edges = R.quantile_edges(ok, [], "x", bins, duplicates="drop").select("edges").scalar()
-    binned = ok.withColumn("bin", R.bucket_of(F.col("x"), edges, bins))
+    binned = ok.withColumn("bin", R.bucket_by("x", R.global_edges(ok, "x", bins, duplicates="drop")))
     centre = R.exact_quantiles(binned, ["bin"], "x", {"centre": 0.5})
     return centre.join(binned.groupBy("bin").agg(F.avg("p").alias("mean_score")), "bin")
 

@@ -135,6 +135,27 @@ def quantile_edges(df: DataFrame, by: Sequence[str], value: str, q: int, duplica
     return edges.select(*by, arr.alias("edges"), "n")
 
 
+def global_edges(df: DataFrame, value: str, q: int, duplicates: str = "raise") -> list[float]:
+    """The q+1 bounds of the whole column as plain numbers; equal bounds raise or are dropped."""
+    row = exact_quantiles(df, [], value, {f"e{i}": i / q for i in range(q + 1)}).first()
+    bounds = [row[f"e{i}"] for i in range(q + 1)]
+    if bounds[0] is None:
+        return []
+    distinct = sorted(set(bounds))
+    if duplicates == "raise" and len(distinct) != q + 1:
+        raise ValueError("bucket edges are not unique")
+    return distinct
+
+
+def bucket_by(value: str | Column, bounds: Sequence[float]) -> Column:
+    """Like `bucket_of` for bounds known as numbers."""
+    v = F.col(value) if isinstance(value, str) else value
+    if len(bounds) < 2:
+        return F.lit(None).cast("int")
+    above = sum((F.when(v > b, 1).otherwise(0) for b in bounds[1:-1]), F.lit(0))
+    return F.when((v >= bounds[0]) & (v <= bounds[-1]), above + 1)
+
+
 def bucket_of(value: str | Column, edges: str | Column, q: int) -> Column:
     """1-based right-closed interval of the value; the lowest edge belongs to the first interval.
 

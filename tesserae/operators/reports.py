@@ -214,14 +214,11 @@ def grouped_stats(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> D
 
 def stratified_medians(facts: DataFrame, by: str, strata: str, metrics: Sequence[str], q: int = 4) -> tuple[DataFrame, DataFrame]:
     """(medians per group and stratum bucket, bucket bounds); edges come from the long rows as they are."""
-    edges = R.quantile_edges(facts, [], strata, q)
-    arr = edges.select("edges").scalar()
-    bucketed = facts.withColumn("bucket", R.bucket_of(F.col(strata), arr, q)).where(F.col("bucket").isNotNull())
+    bounds = R.global_edges(facts, strata, q)
+    bucketed = facts.withColumn("bucket", R.bucket_by(strata, bounds)).where(F.col("bucket").isNotNull())
     med = grouped_quantiles(bucketed, [by, "bucket"], metrics, {"median": 0.5})
-    bounds = edges.select(F.posexplode(F.slice("edges", 1, q)).alias("i", "lower_bound"), "edges").select(
-        (F.col("i") + 1).alias("bucket"), "lower_bound", F.get("edges", F.col("i") + 1).alias("upper_bound")
-    )
-    return med, bounds
+    rows = [(i + 1, lo, hi) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))]
+    return med, facts.sparkSession.createDataFrame(rows, "bucket int, lower_bound double, upper_bound double")
 
 
 def composition_report(df: DataFrame, label: str, labels: Sequence[str], metrics: Sequence[str]) -> DataFrame:
