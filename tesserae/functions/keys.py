@@ -91,7 +91,7 @@ def sample_id_from_relative_path(c: str | Column, suffix: str = "") -> Column:
     leaf = stem(c)
     if suffix:
         leaf = F.coalesce(F.nullif(F.regexp_replace(leaf, re.escape(suffix) + "$", ""), F.lit("")), leaf)
-    return F.array_join(F.transform(F.concat(folders, F.array(leaf)), safe_token), "__")
+    return F.array_join(F.transform(F.concat(folders, F.array(leaf)), lambda p: safe_token(p)), "__")
 
 
 def model_column_name(c: str | Column) -> Column:
@@ -139,10 +139,10 @@ def first_present(cols: Sequence[str | Column], row_number: str | Column) -> Col
 
 def embedding_id(id_col: str | Column | None, path: str | Column, row_index: str | Column) -> Column:
     """The cleaned id when present, else `<stem>__row0000000`."""
-    made = F.concat(safe_token(stem(path)), F.format_string("__row%07d", col(row_index)))
+    made = F.concat(safe_token(stem(path), "row"), F.format_string("__row%07d", col(row_index)))
     if id_col is None:
         return made
-    return F.coalesce(F.when(~is_blank(id_col), safe_token(id_col)), made)
+    return F.coalesce(F.when(~is_blank(id_col), safe_token(text(id_col), "row")), made)
 
 
 def source_prefix(c: str | Column, labels: Mapping[str, str] | None = None) -> Column:

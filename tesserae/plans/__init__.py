@@ -2,6 +2,8 @@
 
 from .registry import ORACLES, QUERIES  # noqa: F401
 from . import (  # noqa: F401
+    join_queries,
+    key_queries,
     mask_queries,
     metric_queries,
     report_queries,
