@@ -301,12 +301,11 @@ def model_or_file(spark, sf):
     return df.select("patch_id", K.model_name_or_file("m", F.lit("fallback_evaluation.csv")).alias("model_name"))
 
 
-@query("s06_load_evaluations", "with " + V.V_OK + " select case when model_name = 'm3' then 'part' else model_name end as model, count(*) as n_rows from v_ok group by 1")
+@query("s06_load_evaluations", "with " + V.V_OK + " select model_name as model, count(*) as n_rows from v_ok group by 1")
 def load_evaluations(spark, sf):
     root = _model_files(spark, sf)
     df, _ = T.load_evaluations(spark, [f"{root}/{m}_evaluation.csv" for m in V.MODELS], schema=_EVAL)
-    # Spark writes part files inside the named folder, so the fallback here is the part file's own name.
-    return df.groupBy(F.regexp_replace("model_name", "^part-.*", "part").alias("model")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return df.groupBy(F.col("model_name").alias("model")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("s07_load_model_facts", rounded_sql("with " + V.V_OK + "\n--body\nselect cast(patch_id as varchar) as patch_id, model_name, instance_pq, pixel_dice from v_ok", "instance_pq pixel_dice"))
@@ -441,7 +440,7 @@ def align_by_position(spark, sf):
 @query(
     "s23_merge_splits",
     """with u as (select p_partkey, p_type, p_name, case when p_partkey % 4 > 0 then 'train' else 'test' end as split from part), n as (select *, row_number() over (order by split = 'test', p_partkey) - 1 as merged_index from u)
- select p_partkey, split, merged_index, concat(lpad(cast(merged_index as varchar), greatest(4, len(cast(merged_index as varchar))), '0'), '_', split, '_', lpad(cast(p_partkey as varchar), greatest(4, len(cast(p_partkey as varchar))), '0'), '_', p_type, '_', replace(p_name, ' ', '_')) as unique_id from n""",
+ select p_partkey, split, merged_index, concat(lpad(cast(merged_index as varchar), cast(greatest(4, len(cast(merged_index as varchar))) as int), '0'), '_', split, '_', lpad(cast(p_partkey as varchar), cast(greatest(4, len(cast(p_partkey as varchar))) as int), '0'), '_', p_type, '_', replace(p_name, ' ', '_')) as unique_id from n""",
 )
 def merge_splits(spark, sf):
     p = V.table(spark, sf, "part").select("p_partkey", "p_type", "p_name")

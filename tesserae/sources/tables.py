@@ -73,11 +73,12 @@ def first_seen_paths(found: DataFrame, explicit: Sequence[str]) -> DataFrame:
 
 
 def with_file_model(df: DataFrame, model: str = "model_name") -> DataFrame:
-    """Model column where it is filled, else the name of the file the row came from."""
-    from_file = K.model_name_from_file(F.col("_metadata.file_name"))
+    """Model column where it is filled, else the name of the file (or table folder) the row came from."""
+    table_path = F.regexp_replace(F.col("_metadata.file_path"), "/part-[^/]*$", "")
+    from_file = K.model_name_from_file(table_path)
     recorded = K.blank_to_null(model) if model in df.columns else F.lit(None).cast("string")
     others = [c for c in df.columns if c != model]
-    return df.select(*others, F.coalesce(recorded, from_file).alias(model), F.col("_metadata.file_name").alias("source_file"))
+    return df.select(*others, F.coalesce(recorded, from_file).alias(model), K.basename(table_path).alias("source_file"))
 
 
 def load_evaluations(spark: SparkSession, paths: Sequence[str], combined: str | None = None, schema: StructType | str | None = None) -> tuple[DataFrame, DataFrame]:
