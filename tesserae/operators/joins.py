@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import keys as K
 from .dedupe import duplicate_keys, first_per_key
@@ -155,8 +155,17 @@ def model_count(df: DataFrame, model: str) -> Column:
     return df.select(model).distinct().agg(F.count(F.lit(1))).scalar()
 
 
-def matched_rows(df: DataFrame, key: str, model: str, n_models: int | Column) -> DataFrame:
-    return df.join(matched_keys(df, key, model, n_models), key, "left_semi")
+def matched_rows(df: DataFrame, key: str, model: str, n_models: int | Column, unique: bool = True) -> DataFrame:
+    """Rows of the keys seen with every model.
+
+    With one row per (key, model), the contract of a fact table, a key has at most one row per model: they
+    are counted in place, in one shuffle. Otherwise the keys are counted first and semi-joined.
+    """
+    if not unique:
+        return df.join(matched_keys(df, key, model, n_models), key, "left_semi")
+    n = n_models if isinstance(n_models, Column) else F.lit(n_models)
+    counted = df.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    return counted.where(F.col("_m") == n).drop("_m")
 
 
 def fill_missing(

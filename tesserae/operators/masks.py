@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import safe_divide
-from ..session import cut_lineage
+from ..session import materialise
 from .components import connected_components
 
 # A pair above this IoU is in every assignment of largest total IoU between non-overlapping labels.
@@ -196,7 +196,7 @@ def match_instances(iou: DataFrame, keys: Sequence[str], threshold: float = 0.5)
     keys = list(keys)
     cols = [*keys, "gt_label", "pred_label", "iou"]
     # Read five times below: written once to the shared folder rather than recomputed.
-    iou = cut_lineage(iou.select(*cols))
+    iou = materialise(iou.select(*cols))
     sure = iou.where(F.col("iou") > SURE_IOU)
     rest = (
         iou.where(F.col("iou") <= SURE_IOU)
@@ -205,7 +205,7 @@ def match_instances(iou: DataFrame, keys: Sequence[str], threshold: float = 0.5)
     )
     gt_node = F.struct(*keys, F.lit(0).alias("side"), F.col("gt_label").cast("bigint").alias("label"))
     pred_node = F.struct(*keys, F.lit(1).alias("side"), F.col("pred_label").cast("bigint").alias("label"))
-    linked = cut_lineage(rest.select(*cols, gt_node.alias("u"), pred_node.alias("v")))
+    linked = materialise(rest.select(*cols, gt_node.alias("u"), pred_node.alias("v")))
     comps = connected_components(linked.select("u"), linked.select("u", "v"))
     grouped = linked.join(comps, "u").select(*cols, "component")
     size = grouped.groupBy("component").agg(

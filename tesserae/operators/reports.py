@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as X
-from ..session import cut_lineage
+from ..session import materialise
 from . import ranks as R
 
 
@@ -160,7 +160,7 @@ def spearman(df: DataFrame, features: Sequence[str], metrics: Sequence[str], tog
         .groupBy("feature", "metric", "x", "y").agg(F.count(F.lit(1)).alias("w"))
     )
     # Read four times below: written once to the shared folder rather than recomputed.
-    return weighted_spearman(cut_lineage(pairs), ["feature", "metric"])
+    return weighted_spearman(materialise(pairs), ["feature", "metric"])
 
 
 def weighted_spearman(pairs: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -200,16 +200,13 @@ def bucket_report(df: DataFrame, features: Sequence[str], metrics: Sequence[str]
 
 
 def grouped_stats(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    """Long (group, metric) rows with median, mean and count."""
-    melted = _melt(df, by, metrics)
-    med = R.exact_quantiles(melted, [*by, "metric"], "value", {"median": 0.5}).drop("n")
-    mean = melted.groupBy(*by, "metric").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
-    cond = F.lit(True)
-    for k in (*by, "metric"):
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return mean.alias("a").join(med.alias("b"), cond, "left").select(
-        *[F.col(f"a.{k}").alias(k) for k in (*by, "metric")], F.col("b.median").alias("median"), "a.mean", "a.n"
+    """Long (group, metric) rows with median, mean and count, all from the same counted values."""
+    keys = [*by, "metric"]
+    r = R.value_ranks(_melt(df, by, metrics), keys, "value", {"s": F.sum("value")})
+    stats = r.groupBy(*keys).agg(
+        *R.quantile_columns({"median": 0.5}, "value"), (F.max("total_s") / F.max("total")).alias("mean"), F.max("total").alias("n")
     )
+    return stats
 
 
 def stratified_medians(facts: DataFrame, by: str, strata: str, metrics: Sequence[str], q: int = 4) -> tuple[DataFrame, DataFrame]:

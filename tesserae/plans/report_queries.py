@@ -22,9 +22,10 @@ V_SUMMARY = V.V_MATCHED + f""", v_summary as (
 , v_place as (select *, cast(row_number() over (order by instance_pq_median desc, instance_pq_mean desc, model_name) as int) as place from v_summary)"""
 
 
-def _summary(spark, sf):
+def _summary(spark, sf, metrics=V.METRICS, facts=None):
+    facts = facts if facts is not None else V.matched_table(spark, sf)
     raw = V.eval_raw(spark, sf).where("status = 'ok'").groupBy("model_name").agg(F.count(F.lit(1)).alias("n_evaluated_raw"))
-    return P.leaderboard(P.metric_summary(V.eval_matched(spark, sf), "model_name", V.METRICS, raw), "model_name", "instance_pq")
+    return P.leaderboard(P.metric_summary(facts, "model_name", metrics, raw), "model_name", "instance_pq")
 
 
 @query(
@@ -54,7 +55,8 @@ from v_place p left join best b on b.model_name = p.model_name group by p.model_
     ),
 )
 def win_counts(spark, sf):
-    return rounded(P.win_counts(V.eval_matched(spark, sf), "patch_id", "model_name", "instance_pq", _summary(spark, sf)))
+    facts = V.matched_table(spark, sf)
+    return rounded(P.win_counts(facts, "patch_id", "model_name", "instance_pq", _summary(spark, sf, ["instance_pq"], facts)))
 
 
 _PAIR = "with " + V.V_MATCHED + """, pairs as (select a.model_name as model_a, b.model_name as model_b,
@@ -210,7 +212,7 @@ def _buckets_sql():
 
 @query("a11_bucket_report", rounded_sql(_buckets_sql(), "median mean"))
 def bucket_report(spark, sf):
-    return rounded(P.bucket_report(V.wide_patches(spark, sf), ("foreground_fraction", "mean_area"), _MEAS))
+    return rounded(P.bucket_report(V.wide_table(spark, sf), ("foreground_fraction", "mean_area"), _MEAS))
 
 
 _A12M = ("instance_pq", "instance_rq", "instance_sq", "pixel_precision", "pixel_recall")
@@ -255,7 +257,7 @@ def _composition_sql():
 
 @query("a13_composition_report", rounded_sql(_composition_sql(), "median mean"))
 def composition_report(spark, sf):
-    return rounded(P.composition_report(V.wide_patches(spark, sf), "richness_label", V.RICH_ORDER, _MEAS))
+    return rounded(P.composition_report(V.wide_table(spark, sf), "richness_label", V.RICH_ORDER, _MEAS))
 
 
 @query(
@@ -267,7 +269,7 @@ def composition_report(spark, sf):
     ),
 )
 def composition_matrix(spark, sf):
-    rep = P.composition_report(V.wide_patches(spark, sf), "richness_label", V.RICH_ORDER, _MEAS)
+    rep = P.composition_report(V.wide_table(spark, sf), "richness_label", V.RICH_ORDER, _MEAS)
     return rounded(P.matrix(rep, "richness_label", "metric", _MEAS, "median"))
 
 

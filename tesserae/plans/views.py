@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.dedupe import first_per_key
 from ..operators.joins import matched_rows
+from ..session import materialise
 
 MODELS = ("m0", "m1", "m2", "m3")
 METRICS = ("instance_pq", "pixel_dice", "instance_rq", "instance_sq", "pixel_precision", "pixel_recall")
@@ -70,6 +71,11 @@ def eval_matched(spark: SparkSession, sf: str) -> DataFrame:
     return matched_rows(eval_ok(spark, sf), "patch_id", "model_name", len(MODELS))
 
 
+def matched_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The matched facts as a stored table, for reports that read them several times."""
+    return materialise(eval_matched(spark, sf).select("patch_id", "model_name", *METRICS))
+
+
 V_MATCHED = V_OK + """, v_matched as (
  select * from v_ok where patch_id in (select patch_id from v_ok group by patch_id having count(distinct model_name) = 4))"""
 
@@ -163,6 +169,10 @@ def wide_patches(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def wide_table(spark: SparkSession, sf: str) -> DataFrame:
+    return materialise(wide_patches(spark, sf))
+
+
 V_WIDE = (
     V_MATCHED
     + ", "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read as Parquet in the shared folder and read it back.
+
+    Later scans prune columns and rows, and a lost executor costs a re-read, not a recomputation.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tesserae-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
