@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as X
+from .spread import spread_join
 
 
 def _starts(length: Column, size: Column, stride: Column, at_least_one: bool) -> Column:
@@ -102,7 +103,7 @@ def downscale_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], facto
     """
     keys = list(keys)
     shape = sizes.select(*keys, "height", "width", X.target_size("height", F.lit(factor)).alias("_th"), X.target_size("width", F.lit(factor)).alias("_tw"))
-    fg = mask.where(F.col("label") > 0).join(shape, keys).select(
+    fg = spread_join(mask.where(F.col("label") > 0), shape, keys).select(
         *keys, "label", "row", "height", "width", "_th", "_tw", _down_bin(F.col("col"), F.col("width"), F.col("_tw")).alias("tcol")
     )
     dims = ["height", "width", "_th", "_tw"]
@@ -129,7 +130,7 @@ def upscale_mask(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], factor:
         lo, hi = F.ceil(F.col(pos) * ratio - 0.5), F.ceil((F.col(pos) + 1) * ratio - 0.5) - 1
         return F.when(hi >= lo, F.sequence(lo, F.greatest(hi, lo))).otherwise(F.array().cast("array<bigint>"))
 
-    fg = mask.where(F.col("label") > 0).join(shape, keys)
+    fg = spread_join(mask.where(F.col("label") > 0), shape, keys)
     return (
         fg.withColumn("_r", F.explode(outs("row", "height", "_th"))).withColumn("_c", F.explode(outs("col", "width", "_tw")))
         .select(*keys, F.col("_r").cast("int").alias("row"), F.col("_c").cast("int").alias("col"), "label")
@@ -140,7 +141,7 @@ def downscale_channels(pixels: DataFrame, sizes: DataFrame, keys: Sequence[str],
     """Box downscale of colour values, columns then rows, rounded to whole values after each."""
     keys = list(keys)
     shape = sizes.select(*keys, "height", "width", X.target_size("height", F.lit(factor)).alias("_th"), X.target_size("width", F.lit(factor)).alias("_tw"))
-    p = pixels.join(shape, keys).withColumn("tcol", _down_bin(F.col("col"), F.col("width"), F.col("_tw")))
+    p = spread_join(pixels, shape, keys).withColumn("tcol", _down_bin(F.col("col"), F.col("width"), F.col("_tw")))
     across = p.groupBy(*keys, "height", "_th", "row", "tcol").agg(*[F.floor(F.avg(c) + 0.5).alias(c) for c in channels])
     down = across.withColumn("trow", _down_bin(F.col("row"), F.col("height"), F.col("_th")))
     return down.groupBy(*keys, F.col("trow").alias("row"), F.col("tcol").alias("col")).agg(*[F.floor(F.avg(c) + 0.5).alias(c) for c in channels])
@@ -177,12 +178,12 @@ def pad_offsets(images: DataFrame, target: int) -> DataFrame:
 
 def to_padded(pixels: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
     o = offsets.where(F.col("failure_stage").isNull()).select(*keys, "pad_y0", "pad_x0")
-    return pixels.join(o, list(keys)).withColumns({"row": F.col("row") + F.col("pad_y0"), "col": F.col("col") + F.col("pad_x0")}).drop("pad_y0", "pad_x0")
+    return spread_join(pixels, o, keys).withColumns({"row": F.col("row") + F.col("pad_y0"), "col": F.col("col") + F.col("pad_x0")}).drop("pad_y0", "pad_x0")
 
 
 def crop_to_extent(pixels: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
     o = offsets.where(F.col("failure_stage").isNull()).select(*keys, "pad_y0", "pad_x0", "height", "width")
-    back = pixels.join(o, list(keys)).withColumns({"row": F.col("row") - F.col("pad_y0"), "col": F.col("col") - F.col("pad_x0")})
+    back = spread_join(pixels, o, keys).withColumns({"row": F.col("row") - F.col("pad_y0"), "col": F.col("col") - F.col("pad_x0")})
     return back.where(
         (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") < F.col("width"))
     ).drop("pad_y0", "pad_x0", "height", "width")
@@ -210,7 +211,7 @@ def open_close(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], ksize: in
     dims = sizes.select(*keys, "height", "width")
     for step in (_erode, _dilate, _dilate, _erode):
         for axis, length in (("row", "height"), ("col", "width")):
-            fg = step(fg.join(dims, keys), keys, axis, length, reach)
+            fg = step(spread_join(fg, dims, keys), keys, axis, length, reach)
     return fg.withColumn("label", F.lit(1))
 
 
@@ -218,7 +219,7 @@ def percentile_normalise(pixels: DataFrame, keys: Sequence[str], value: str, low
     """Linear rescale by two percentiles of the image channel; an 8-bit channel has at most 256 distinct values."""
     cuts = pixels.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q"))
     lo, hi = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
-    return pixels.join(cuts, list(keys)).withColumn("normalised", (F.col(value) - lo) / (hi - lo + 1e-20)).drop("_q")
+    return spread_join(pixels, cuts, keys).withColumn("normalised", (F.col(value) - lo) / (hi - lo + 1e-20)).drop("_q")
 
 
 def gradient_magnitude(pixels: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -289,7 +290,7 @@ def otsu_thresholds(pixels: DataFrame, slide: str, value: str, bins: int = 256)
     """Otsu threshold per slide over an equal-width histogram; a constant slide gets its median (that constant)."""
     ends = pixels.groupBy(slide).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
-    binned = pixels.join(ends, slide).where(F.col("_hi") > F.col("_lo")).withColumn(
+    binned = spread_join(pixels, ends, [slide]).where(F.col("_hi") > F.col("_lo")).withColumn(
         "bin", F.least(F.floor((F.col(value) - F.col("_lo")) / width), F.lit(bins - 1))
     )
     hist = binned.groupBy(slide, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")).withColumn("centre", F.col("_lo") + (F.col("bin") + 0.5) * width)
@@ -309,7 +310,7 @@ def otsu_thresholds(pixels: DataFrame, slide: str, value: str, bins: int = 256)
 
 def apply_threshold(pixels: DataFrame, thresholds: DataFrame, slide: str, value: str) -> DataFrame:
     """Foreground is darker than the threshold."""
-    return pixels.join(thresholds, slide).withColumn("label", (F.col(value) < F.col("threshold")).cast("int")).drop("threshold")
+    return spread_join(pixels, thresholds, [slide]).withColumn("label", (F.col(value) < F.col("threshold")).cast("int")).drop("threshold")
 
 
 def luminance(channels: Sequence[str] = ("r", "g", "b")) -> Column:

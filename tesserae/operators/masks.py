@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.scalars import safe_divide
 from ..session import materialise
 from .components import connected_components
+from .spread import spread_join
 
 # A pair above this IoU is in every assignment of largest total IoU between non-overlapping labels.
 SURE_IOU = (math.sqrt(17.0) - 3.0) / 2.0
@@ -308,7 +309,7 @@ def label_components(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     fg = foreground(mask)
     plural = fg.groupBy(*keys).agg((F.min("label") != F.max("label")).alias("_many"))
-    flagged = fg.join(plural, keys)
+    flagged = spread_join(fg, plural, keys)
     kept = flagged.where("_many").select(*keys, "row", "col", F.col("label").cast("bigint").alias("label"))
     single = flagged.where(~F.col("_many")).withColumn("label", F.lit(1))
     runs = to_runs(single.select(*keys, "row", "col", "label"), keys)

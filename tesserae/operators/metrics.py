@@ -69,17 +69,24 @@ def classification_summary(square: DataFrame, truth: str, pred: str, labels: Seq
     )
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation over rows with both values; null when either side is constant."""
+    both = X.col(x).isNotNull() & X.col(y).isNotNull()
+    a, b = F.when(both, X.col(x)), F.when(both, X.col(y))
+    spread = (F.min(a) != F.max(a)) & (F.min(b) != F.max(b))
+    return F.when(spread, F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
+
+
 def regression_summary(df: DataFrame, truth: str, pred: str) -> DataFrame:
     """MAE, RMSE, R2, Pearson, Spearman; correlations are null when a side is constant."""
     t, p = F.col(truth).cast("double"), F.col(pred).cast("double")
     ok = df.where(t.isNotNull() & p.isNotNull()).select(t.alias("x"), p.alias("y"))
-    spread = (F.min("x") != F.max("x")) & (F.min("y") != F.max("y"))
     base = ok.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"),
         F.avg((F.col("x") - F.col("y")) * (F.col("x") - F.col("y"))).alias("_mse"),
         F.var_pop("x").alias("_var"),
-        F.when(spread, F.corr("x", "y")).alias("pearson"),
+        correlation("x", "y").alias("pearson"),
     )
     pairs = ok.groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")).withColumn("_g", F.lit(0))
     rho = weighted_spearman(pairs, ["_g"]).select("spearman_rho")
@@ -203,7 +210,7 @@ def prediction_summary(df: DataFrame, target: str, prediction: str, score: str,
     """Key/value rows: rows, rows per split, correlation, score mean and population std, label counts."""
     one = df.agg(
         F.count(F.lit(1)).cast("double").alias("n_rows"),
-        F.corr(F.col(target).cast("double"), F.col(prediction).cast("double")).alias("target_prediction_corr"),
+        correlation(F.col(target).cast("double"), F.col(prediction).cast("double")).alias("target_prediction_corr"),
         F.avg(score).alias("score_mean"),
         F.stddev_pop(score).alias("score_std"),
     )

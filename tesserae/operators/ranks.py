@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .spread import spread_join
+
 _COARSE, _FINE = 32, 32
 # One text literal instead of a thousand number literals keeps the plan small; it is folded to a constant.
 _CUTS = "cast(split('" + ",".join(repr(i / (_COARSE * _FINE)) for i in range(1, _COARSE * _FINE)) + "', ',') as array<double>)"
@@ -67,7 +69,7 @@ def value_ranks(
             F.transform(F.sequence(F.lit(_FINE), F.lit(_COARSE * _FINE - 1), F.lit(_FINE)), lambda i: F.get(F.col("_cuts"), i - 1)).alias("_coarse"),
         )
     )
-    ranged = counted.join(cuts, "_id", "left").withColumn("_r", _range_of("_v")).drop("_cuts", "_coarse")
+    ranged = spread_join(counted, cuts, ["_id"], "left").withColumn("_r", _range_of("_v")).drop("_cuts", "_coarse")
     over_ranges = Window.partitionBy("_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_id")
     offsets = (

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ranks as R
 from .dedupe import first_per_key
+from .spread import spread_join
 
 
 def positive_step(df: DataFrame, value: str) -> DataFrame:
@@ -199,7 +200,7 @@ def edge_scores(patches: DataFrame, points: DataFrame, gradient: DataFrame, patc
     if "span" in points.columns:
         ready = ready.withColumnRenamed("span", "_span")
     # Candidates are unfolded after the join: the points shuffle once, not once per candidate.
-    tried = ready.join(dims, patch).withColumn("k", F.explode(cand)).select("*", "k.*").drop("k")
+    tried = spread_join(ready, dims, [patch]).withColumn("k", F.explode(cand)).select("*", "k.*").drop("k")
     if "span" in points.columns:
         tried = tried.where(F.col("_span") == F.col("span"))
     moved = tried.withColumns(
@@ -281,7 +282,7 @@ def contour_modes(points: DataFrame, patches: DataFrame, patch: Sequence[str], s
         return F.count_if((a >= 0) & (a < F.col("width")) & (b >= 0) & (b < F.col("height")))
 
     voting = points.where((F.col("cell_ordinal") < VOTE_CELLS) & (F.col("point_ordinal") < VOTE_POINTS))
-    votes = voting.join(patches, list(patch)).groupBy(*patch).agg(
+    votes = spread_join(voting, patches, patch).groupBy(*patch).agg(
         inside(x, y).alias("local"),
         inside(x - ox, y - oy).alias("shift"),
         inside(x * scale_to_patch - ox, y * scale_to_patch - oy).alias("scaled_shift"),

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import scalars as X
 from ..operators import dedupe as D, joins as J, ranks as R, reports as P
+from ..operators.spread import spread_join
 from . import views as V
 from .registry import query, rounded, rounded_sql
 
@@ -410,7 +411,7 @@ def keep_last(spark, sf):
 def quantile_bucket(spark, sf):
     facts = V.eval_ok(spark, sf).select("patch_id", "model_name", "pixel_precision")
     edges = R.quantile_edges(facts, ["model_name"], "pixel_precision", 4).drop("n")
-    return facts.join(edges, "model_name").select("patch_id", "model_name", R.bucket_of("pixel_precision", "edges", 4).alias("bucket"))
+    return spread_join(facts, edges, ["model_name"]).select("patch_id", "model_name", R.bucket_of("pixel_precision", "edges", 4).alias("bucket"))
 
 
 @query(
