@@ -264,7 +264,7 @@ def align_across_models(rows: DataFrame, key: Sequence[str], model: str, count:
     """One row per key: which models cover it and the count to filter on (first present in preferred order)."""
     aligned = rows.groupBy(*key).agg(
         F.array_sort(F.collect_set(model)).alias("models"),
-        F.count_distinct(model).alias("n_models"),
+        F.size(F.collect_set(model)).cast("bigint").alias("n_models"),
         *[F.max(F.when(F.col(model) == m, F.col(count))).alias(f"_c{i}") for i, m in enumerate(preferred)],
     )
     picks = [f"_c{i}" for i in range(len(preferred))]

@@ -119,7 +119,7 @@ def patch_targets(facts: DataFrame, key: str, model: str, target: str, how: str
     return facts.groupBy(key).agg(
         agg.alias("target"),
         F.count(F.lit(1)).alias("model_row_count"),
-        F.count_distinct(model).alias("model_count"),
+        F.size(F.collect_set(model)).cast("bigint").alias("model_count"),
         F.count(target).alias("models_with_target"),
         F.to_json(F.array_sort(F.collect_set(model))).alias("model_names"),
     )

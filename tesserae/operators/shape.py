@@ -98,48 +98,53 @@ def perimeters(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     return codes.groupBy(*keys, "label").agg(F.sum(length).alias("perimeter_pixels"))
 
 
-def hull_areas(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pixels inside the convex hull of each instance.
-
-    Spark reduces an instance to one (row, first col, last col) line per row; the hull of those few
-    lines is found per instance.
-    """
-    names = [*keys, "label"]
-    lines = foreground(mask).groupBy(*names, "row").agg(F.min("col").alias("a"), F.max("col").alias("b"))
-
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, a, b = (pdf[c].to_numpy(dtype=float) for c in ("row", "a", "b"))
-        pts = np.unique(
-            np.concatenate(
-                [np.column_stack([np.repeat(r, 2), np.column_stack([a - 0.5, b + 0.5]).ravel()])]
-                + [np.column_stack([np.repeat(r + d, 2), np.column_stack([a, b]).ravel()]) for d in (-0.5, 0.5)]
-            ),
-            axis=0,
+def _hull_counter():
+    """Pandas UDF body: pixel centres inside the hull of each instance, many instances per Arrow batch."""
+
+    def one(r: np.ndarray, a: np.ndarray, b: np.ndarray) -> int:
+        # Midpoints of the outer pixel edges: left and right of each row, above and below both of its ends.
+        pts = np.concatenate(
+            [
+                np.column_stack([np.r_[r, r], np.r_[a - 0.5, b + 0.5]]),
+                np.column_stack([np.r_[r - 0.5, r - 0.5], np.r_[a, b]]),
+                np.column_stack([np.r_[r + 0.5, r + 0.5], np.r_[a, b]]),
+            ]
         )
+        pts = pts[np.lexsort((pts[:, 1], pts[:, 0]))].tolist()
 
-        def side(points, sign):
+        def side(sign: int) -> np.ndarray:
             out = []
-            for p in points:
+            for p in pts:
                 while len(out) > 1:
                     (r1, c1), (r2, c2) = out[-2], out[-1]
-                    if sign * ((r2 - r1) * (p[1] - c1) - (c2 - c1) * (p[0] - r1)) <= 0:
-                        out.pop()
-                    else:
+                    if sign * ((r2 - r1) * (p[1] - c1) - (c2 - c1) * (p[0] - r1)) > 0:
                         break
+                    out.pop()
                 out.append(p)
             return np.array(out)
 
-        low, high = side(pts, 1.0), side(pts, -1.0)
         rows = np.arange(r.min(), r.max() + 1)
-
-        ends = np.stack([np.interp(rows, chain[:, 0], chain[:, 1]) for chain in (low, high)])
+        ends = np.stack([np.interp(rows, chain[:, 0], chain[:, 1]) for chain in (side(1), side(-1))])
         left, right = ends.min(axis=0), ends.max(axis=0)
-        area = int(np.sum(np.maximum(np.floor(right + 1e-10) - np.ceil(left - 1e-10) + 1, 0)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in names}, "hull_area": [area]})
+        return int(np.maximum(np.floor(right + 1e-10) - np.ceil(left - 1e-10) + 1, 0).sum())
+
+    def count(rows: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        return pd.Series([one(*(np.asarray(x, dtype=float) for x in t)) for t in zip(rows, first, last)], dtype="int64")
 
-    types = dict(lines.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in names) + ", hull_area bigint"
-    return lines.groupBy(*names).applyInPandas(hull, schema)
+    return count
+
+
+def hull_areas(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pixels inside the convex hull of each instance.
+
+    Spark reduces an instance to one (row, first col, last col) entry per row; only those short lists,
+    as long as the instance is high, reach Python.
+    """
+    names = [*keys, "label"]
+    lines = foreground(mask).groupBy(*names, "row").agg(F.min("col").alias("a"), F.max("col").alias("b"))
+    lists = lines.groupBy(*names).agg(F.collect_list(F.struct("row", "a", "b")).alias("_l"))
+    hull = F.pandas_udf(_hull_counter(), "bigint")
+    return lists.select(*names, hull(F.col("_l.row"), F.col("_l.a"), F.col("_l.b")).alias("hull_area"))
 
 
 def full_features(mask: DataFrame, keys: Sequence[str]) -> DataFrame:

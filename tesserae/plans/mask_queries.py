@@ -180,7 +180,7 @@ def full_features(spark, sf):
     return rounded(S.full_features(V.truth_mask(spark, sf), [IMG]))
 
 
-_A19 = "with " + V.V_TRUTH + ", o as (select image_id, label, count(*) as area from v_truth where label > 0 and image_id % 7 > 0 group by 1, 2)"
+_A19 = "with " + V.V_TRUTH + ", o as (select image_id, label, count(*) as area from v_truth where label > 0 group by 1, 2 having count(*) > 10)"
 
 
 @query(
@@ -194,7 +194,7 @@ select vec_id as image_id, 8 as height, 8 as width, count(area) as num_objects,
     ),
 )
 def patch_summary(spark, sf):
-    objects = M.instance_sizes(V.truth_mask(spark, sf).where(F.col("image_id") % 7 > 0), [IMG]).withColumnRenamed("area", "area_pixels")
+    objects = M.instance_sizes(V.truth_mask(spark, sf), [IMG]).where("area > 10").withColumnRenamed("area", "area_pixels")
     return rounded(S.patch_summary(V.sizes(spark, sf), objects, [IMG], []))
 
 

@@ -107,10 +107,10 @@ _DIMS = (("meta", 20, 15), ("meta_swapped", 15, 20), ("cells", 20, 15))
 
 def _files(spark, sf):
     named = F.concat((F.col("c_custkey") % 25).cast("string"), F.lit("_"), (F.floor(F.col("c_custkey") / 25) % 10).cast("string"), F.lit(".png"))
-    return V.table(spark, sf, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("i"), named.alias("file"), K.tile_key(named).alias("key"))
+    return V.table(spark, sf, "customer").select(F.col("c_custkey").alias("i"), named.alias("file"), K.tile_key(named).alias("key"))
 
 
-_J14 = _CELLS + """, f as (select c_custkey as i, c_custkey % 25 as a, (c_custkey // 25) % 10 as b from customer where c_custkey < 400),
+_J14 = _CELLS + """, f as (select c_custkey as i, c_custkey % 25 as a, (c_custkey // 25) % 10 as b from customer),
  m as (select i, 'grid_meta_rowcol' as mode, i // 15 as row, i % 15 as col from f where i // 15 < 20 union all select i, 'grid_meta_colrow', i % 15, i // 15 from f where i // 15 < 20
   union all select i, 'grid_meta_swapped_rowcol', i // 20, i % 20 from f where i // 20 < 15 union all select i, 'grid_meta_swapped_colrow', i % 20, i // 20 from f where i // 20 < 15
   union all select i, 'filename_row_col', a, b from f union all select i, 'filename_col_row', b, a from f),
@@ -141,7 +141,7 @@ def candidate_rows(spark, sf):
 
 _SPANS = "[8.0::double, 10.0::double]"
 _A28 = "with " + V.V_PX + """, g as (select image_id, row, col, sqrt(gx * gx + gy * gy) as gradient from (select image_id, row, col, coalesce(lead(v::double) over a - lag(v::double) over a, 0) as gx, coalesce(lead(v::double) over d - lag(v::double) over d, 0) as gy from v_px window a as (partition by image_id, row order by col), d as (partition by image_id, col order by row))),
- pts as (select image_id, row as contour, col as ordinal, col + v::double as x, row + v::double as y from v_px where image_id % 5 > 0),
+ pts as (select image_id, row as contour, col as ordinal, col + v::double as x, row + v::double as y from v_px where v > 0),
  c as (select cast(i as int) as candidate, """ + _SPANS + """[i // 9 + 1] as span, -1.0::double + ((i // 3) % 3) as shift_x, -1.0::double + (i % 3) as shift_y from range(0, 18) r(i)),
  mv as (select image_id, candidate, span, shift_x, shift_y, contour, ordinal, x * (8 / span) + shift_x as px, y * (8 / span) + shift_y as py from pts, c),
  nr as (select *, px >= -1 and px <= 8 and py >= -1 and py <= 8 as near, cast(round_even(px, 0) as int) as col, cast(round_even(py, 0) as int) as row from mv),
@@ -152,7 +152,7 @@ _A28 = "with " + V.V_PX + """, g as (select image_id, row, col, sqrt(gx * gx + g
 def _scores(spark, sf):
     px = V.mask_pixels(spark, sf).withColumn("v", F.col("v").cast("double"))
     grad = G.gradient_magnitude(px, ["image_id"], "v")
-    points = px.where("image_id % 5 > 0").select(
+    points = px.where("v > 0").select(
         "image_id", F.col("row").alias("contour"), F.col("col").alias("ordinal"), F.lit(8).alias("n_points"), (F.col("col") + F.col("v")).alias("x"), (F.col("row") + F.col("v")).alias("y")
     )
     patches = V.sizes(spark, sf).withColumns({"x0": F.lit(0.0), "y0": F.lit(0.0)})
@@ -186,7 +186,7 @@ def calibration_summary(spark, sf):
     return rounded(P.calibration_summary(s, "image_id"))
 
 
-_X15 = "with " + V.V_PX + """, pts as (select image_id, row as cell_ordinal, col as point_ordinal, col * 1.5::double + v::double * 4 as x, row * 1.5::double + v::double * 4 as y from v_px where image_id % 9 > 0),
+_X15 = "with " + V.V_PX + """, pts as (select image_id, row as cell_ordinal, col as point_ordinal, col * 1.5::double + v::double * 4 as x, row * 1.5::double + v::double * 4 as y from v_px where v > 0.25),
  pt as (select vec_id as image_id, (vec_id % 4)::double as ox, (vec_id % 3)::double as oy from embeddings),
  vt as (select image_id, count(*) filter (where x >= 0 and x < 8 and y >= 0 and y < 8) as local, count(*) filter (where x - ox >= 0 and x - ox < 8 and y - oy >= 0 and y - oy < 8) as shift,
   count(*) filter (where x * 0.5 - ox >= 0 and x * 0.5 - ox < 8 and y * 0.5 - oy >= 0 and y * 0.5 - oy < 8) as scaled_shift from pts join pt using (image_id) group by 1)
@@ -197,7 +197,7 @@ _X15 = "with " + V.V_PX + """, pts as (select image_id, row as cell_ordinal, col
 @query("x15_contour_modes", _X15)
 def contour_modes(spark, sf):
     v = F.col("v").cast("double") * 4
-    points = V.mask_pixels(spark, sf).where("image_id % 9 > 0").select(
+    points = V.mask_pixels(spark, sf).where("v > 0.25").select(
         "image_id", F.col("row").alias("cell_ordinal"), F.col("col").alias("point_ordinal"), (F.col("col") * 1.5 + v).alias("x"), (F.col("row") * 1.5 + v).alias("y")
     )
     patches = V.sizes(spark, sf).withColumns({"offset_x": (F.col("image_id") % 4).cast("double"), "offset_y": (F.col("image_id") % 3).cast("double")})

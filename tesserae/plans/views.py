@@ -283,10 +283,10 @@ def plane_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(
         F.col("p_partkey").alias("tile_id"),
         ((F.col("p_partkey") % 27) * 4000.0).alias("tile_x"),
-        ((F.floor(F.col("p_partkey") / 27) % 25) * 4000.0).alias("tile_y"),
+        (F.floor(F.col("p_partkey") / 27) * 4000.0).alias("tile_y"),
         F.lit(3000.0).alias("w_img"), F.lit(3500.0).alias("h_img"),
-    ).where(F.col("tile_id") < 675)
+    )
 
 
-V_TILE = """v_tile as (select p_partkey as tile_id, (p_partkey % 27) * 4000.0::double as tile_x, ((p_partkey // 27) % 25) * 4000.0::double as tile_y,
- 3000.0::double as w_img, 3500.0::double as h_img from part where p_partkey < 675)"""
+V_TILE = """v_tile as (select p_partkey as tile_id, (p_partkey % 27) * 4000.0::double as tile_x, (p_partkey // 27) * 4000.0::double as tile_y,
+ 3000.0::double as w_img, 3500.0::double as h_img from part)"""
