@@ -162,10 +162,21 @@ def preprocessing(
     return stages
 
 
-def regressor(family: str, n_rows: int, seed: int, **p) -> Estimator:
-    """ridge, random_forest or boosted. Spark averages the loss, so ridge alpha becomes alpha / n."""
+def target_scale(train: DataFrame, target: str = "target") -> tuple[int, float]:
+    """Rows and population standard deviation of the target, which the ridge penalty needs."""
+    r = train.agg(F.count(target).alias("n"), F.stddev_pop(target).alias("s")).first()
+    return int(r["n"]), float(r["s"] or 1.0)
+
+
+def regressor(family: str, scale: tuple[int, float], seed: int, **p) -> Estimator:
+    """ridge, random_forest or boosted; `scale` comes from `target_scale`.
+
+    Spark averages the loss and scales the target to unit deviation before the penalty, so a ridge
+    penalty of alpha * |w|^2 on the summed squares is regParam = alpha * deviation / n.
+    """
     if family == "ridge":
-        return LinearRegression(labelCol="target", elasticNetParam=0.0, regParam=p.get("alpha", 1.0) / n_rows, standardization=False)
+        n, deviation = scale
+        return LinearRegression(labelCol="target", elasticNetParam=0.0, regParam=p.get("alpha", 1.0) * deviation / n, standardization=False)
     if family == "random_forest":
         return RandomForestRegressor(labelCol="target", numTrees=p.get("trees", 50), maxDepth=p.get("depth", 8), seed=seed)
     if family == "boosted":

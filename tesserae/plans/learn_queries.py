@@ -85,13 +85,13 @@ def pca_step(spark, sf):
     "m06_least_squares",
     rounded_sql(
         "with x as (select p_partkey, p_size::double as size, p_retailprice as target from part), r as (select regr_slope(target, size) as b, regr_intercept(target, size) as a, avg(size) as mu, count(*) as n, var_samp(size) * (count(*) - 1) as ss, covar_samp(target, size) * (count(*) - 1) as sxy, avg(target) as ty, stddev_samp(size) as sd from x)\n--body\nselect p_partkey, ty + (sxy / sd) / (ss / (sd * sd) + 10.0) * (size - mu) / sd as prediction from x, r",
-        "prediction", 2,
+        "prediction", 4,
     ),
 )
 def least_squares(spark, sf):
     df = V.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("target"))
-    model = L.fit(df, L.preprocessing(df, ["size"]), L.regressor("ridge", df.count(), 42, alpha=10.0))
-    return rounded(model.transform(df).select("p_partkey", "prediction"), 2)
+    model = L.fit(df, L.preprocessing(df, ["size"]), L.regressor("ridge", L.target_scale(df), 42, alpha=10.0))
+    return rounded(model.transform(df).select("p_partkey", "prediction"), 4)
 
 
 @query("m06_tree_regressors")
@@ -100,7 +100,7 @@ def tree_regressors(spark, sf):
     stages = L.preprocessing(df, ["size"], embedding=True, pca=4)
     out = None
     for family in ("random_forest", "boosted"):
-        p = L.predict_regression(L.fit(df, stages, L.regressor(family, 500, 42, trees=5, depth=4)), df, ["vec_id"]).withColumn("family", F.lit(family))
+        p = L.predict_regression(L.fit(df, stages, L.regressor(family, L.target_scale(df), 42, trees=5, depth=4)), df, ["vec_id"]).withColumn("family", F.lit(family))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -127,9 +127,10 @@ def classifiers(spark, sf):
 def family_search(spark, sf):
     df = L.grouped_folds(_vectors(spark, sf), "slide_id", 3, 42)
     data = L.feature_frame(df, "vec_id", "target", "embedding", ["size"])
+    scale = L.target_scale(data)
     families = {
-        "ridge": [L.regressor("ridge", 500, 42, **p) for p in L.sample_params({"alpha": [0.1, 1.0, 10.0]}, 2, 1)],
-        "random_forest": [L.regressor("random_forest", 500, 42, **p) for p in L.sample_params({"trees": [4], "depth": [2, 4]}, 1, 1)],
+        "ridge": [L.regressor("ridge", scale, 42, **p) for p in L.sample_params({"alpha": [0.1, 1.0, 10.0]}, 2, 1)],
+        "random_forest": [L.regressor("random_forest", scale, 42, **p) for p in L.sample_params({"trees": [4], "depth": [2, 4]}, 1, 1)],
     }
     return L.search(data, L.preprocessing(data, ["size"], embedding=True), families, "mae")[2]
 
@@ -138,7 +139,7 @@ def family_search(spark, sf):
 def fit_and_predict(spark, sf):
     df = L.feature_frame(L.grouped_split(_vectors(spark, sf), "slide_id", 0.2, 42), "vec_id", "target", "embedding", ["size"])
     train = df.where("split = 'train'")
-    stages, est = L.preprocessing(train, ["size"], embedding=True), L.regressor("ridge", 400, 42)
+    stages, est = L.preprocessing(train, ["size"], embedding=True), L.regressor("ridge", L.target_scale(train), 42)
     scored = L.predict_regression(L.fit(train, stages, est), df, ["vec_id", "split"])
     refit = L.fit(df, L.preprocessing(df, ["size"], embedding=True), est)
     return scored.join(refit.transform(df).select("vec_id", F.col("prediction").alias("refit_prediction")), "vec_id")
@@ -212,7 +213,7 @@ def nearest_to_centre(spark, sf):
 def learning_curve(spark, sf):
     df = L.grouped_folds(_vectors(spark, sf), "slide_id", 2, 42)
     data = L.feature_frame(df, "vec_id", "target", "embedding", ["size", "slide_id"])
-    return L.learning_curve(data, "slide_id", L.preprocessing(data, ["size"], embedding=True), L.regressor("ridge", 500, 42), RegressionEvaluator(labelCol="target", metricName="mae"), [0.5, 1.0], 42)
+    return L.learning_curve(data, "slide_id", L.preprocessing(data, ["size"], embedding=True), L.regressor("ridge", L.target_scale(data), 42), RegressionEvaluator(labelCol="target", metricName="mae"), [0.5, 1.0], 42)
 
 
 @query(
