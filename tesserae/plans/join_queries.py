@@ -430,11 +430,11 @@ def csv_to_parquet(spark, sf):
     return T.csv_to_parquet(spark, f"{root}/part.csv", f"{root}/part.parquet", _PART)
 
 
-@query("s22_align_by_position", "with " + V.V_COMP + " select sample_id as conic_index, concat('s', sample_id) as sample_key, source, epithelial, lymphocyte, connective, neutrophil, plasma, count_total from v_comp")
+@query("s22_align_by_position", "with " + V.V_COMP + " select sample_id as release_index, concat('s', sample_id) as sample_key, source, epithelial, lymphocyte, connective, neutrophil, plasma, count_total from v_comp")
 def align_by_position(spark, sf):
-    c = V.composition(spark, sf).withColumnRenamed("sample_id", "conic_index")
-    info = c.select("conic_index", F.concat(F.lit("s"), F.col("conic_index").cast("string")).alias("sample_key"), "source")
-    return T.align_by_position(info, c.select("conic_index", *V.CLASSES), "conic_index", "sample_key", V.CLASSES)
+    c = V.composition(spark, sf).withColumnRenamed("sample_id", "release_index")
+    info = c.select("release_index", F.concat(F.lit("s"), F.col("release_index").cast("string")).alias("sample_key"), "source")
+    return T.align_by_position(info, c.select("release_index", *V.CLASSES), "release_index", "sample_key", V.CLASSES)
 
 
 @query(

@@ -304,7 +304,13 @@ def downscale_mask(spark, sf):
     return G.downscale_mask(V.truth_mask(spark, sf), V.sizes(spark, sf), [IMG], 0.5, 0.5)
 
 
-@query("g04_downscale_uneven")
+@query(
+    "g04_downscale_uneven",
+    "with " + V.V_TRUTH + """, bin as (select c, cast(ceil((c + 0.5) * 5 / 8) - 1 as int) as o from range(0, 8) r(c)), wide as (select o, count(*) as n from bin group by 1),
+ across as (select image_id, label, row, b.o as tcol, floor(count(*) * 255.0::double / any_value(n) + 0.5) as q from v_truth join bin b on b.c = col join wide w on w.o = b.o where label > 0 group by all),
+ down as (select image_id, label, b.o as trow, tcol, floor(sum(q) / any_value(n) + 0.5) / 255.0::double as score from across join bin b on b.c = row join wide w on w.o = b.o group by all)
+ select image_id, trow as row, tcol as col, arg_min(label, (-score, label)) as label from down where score >= 0.4 group by all""",
+)
 def downscale_uneven(spark, sf):
     return G.downscale_mask(V.truth_mask(spark, sf), V.sizes(spark, sf), [IMG], 0.625, 0.4)
 
@@ -344,7 +350,14 @@ def merge_instances(spark, sf):
     return G.merge_instances(M.foreground(V.pred_mask(spark, sf)), [IMG], "label")
 
 
-@query("g07_label_components")
+@query(
+    "g07_label_components",
+    "with recursive " + V.V_TRUTH + """, fg as (select image_id, row, col, row * 8 + col as p from v_truth where label > 0),
+ adj as (select a.image_id, a.p as a, b.p as b from fg a join fg b on a.image_id = b.image_id and abs(a.row - b.row) <= 1 and abs(a.col - b.col) <= 1),
+ reach(image_id, a, b) as (select image_id, a, b from adj union select r.image_id, r.a, adj.b from reach r join adj on adj.image_id = r.image_id and adj.a = r.b),
+ comp as (select image_id, a as p, min(b) as m from reach group by 1, 2)
+ select image_id, cast(p // 8 as int) as row, cast(p % 8 as int) as col, dense_rank() over (partition by image_id order by m) as label from comp""",
+)
 def label_components(spark, sf):
     binary = V.truth_mask(spark, sf).withColumn("label", (F.col("label") > 0).cast("int"))
     return M.label_components(binary, [IMG])
