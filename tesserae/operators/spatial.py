@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
 from . import ranks as R
 from .dedupe import first_per_key
 from .spread import spread_join
@@ -242,6 +243,8 @@ def calibration_summary(scores: DataFrame, patch: str) -> DataFrame:
 
     Patches without any finite score are left out; a minus infinity pulls a candidate's mean down to itself.
     """
+    # Read by four branches: written once to the shared folder rather than scored again.
+    scores = materialise(scores)
     winners = best_candidates(scores, patch).select(patch, F.col("best_candidate"))
     usable = scores.join(winners, patch)
     n_patches = winners.agg(F.count(F.lit(1))).scalar()
