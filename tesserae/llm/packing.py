@@ -12,6 +12,8 @@ than doc_id and text are not read.
 
 from __future__ import annotations
 
+import functools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,37 +25,77 @@ from .util import written
 
 LENGTH = 4096
 GROUP = 20_000
-#: Encoded words that a task remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Encoded words that a worker remembers before it starts afresh.
+REMEMBERED = 200_000
+#: ASCII punctuation but the apostrophe, which belongs to contractions.
+_TRAILING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+#: Byte-level models show bytes that are not printable in Latin-1 as the characters from 256 on.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
+class Remembered(dict):
+    """Values of a function, kept while they are in use: when full, what was not asked for lately is let go."""
+
+    def __init__(self, make, most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class WordEncoder:
     """Token ids of texts by way of their words.
 
-    For tokenizers whose pre-tokeniser never joins what white space parts, as is the case when white space is
-    dropped, the ids of a text are those of its words one after the other. Each word is encoded once per task.
+    For tokenizers whose pre-tokeniser drops white space and parts letters from punctuation, the ids of a text are
+    those of its words one after the other, and those of a word of letters with punctuation after it are those of
+    the two. ASCII letters in lower case are what the model itself sees.
     """
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        for i in range(0, len(texts), 256):
-            lists = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts[i : i + 256]]
-            if len(self.known) > REMEMBERED:
-                self.known = {"": b""}
-            known = self.known
-            new = list(set().union(*lists).difference(known)) if lists else []
-            for j in range(0, len(new), 4096):
-                part = new[j : j + 4096]
-                for word, code in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[word] = np.array(code.ids, "<u4").tobytes()
-            for words in lists:
-                yield b"".join([known[w] for w in words])
+        self.model = self.tokenizer.model
+        self.parts = Remembered(self._part)
+        self.words = Remembered(self._word)
+
+    def _part(self, part: str) -> bytes:
+        if part.isalpha() and max(part) < "\u0130":  # letters whose lower case and composed form are plain
+            return _code([t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_SHOWN))])
+        return _code(self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(_TRAILING)
+        if not core.isalpha():
+            return self.parts[word]
+        return self.parts[core.lower() if core.isascii() else core] + (self.parts[word[len(core) :]] if len(core) < len(word) else b"")
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        words = self.words
+        return b"".join([words[w] for w in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")])
+
+
+def _code(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
@@ -63,9 +105,8 @@ def pieces(docs: DataFrame, tokenizer: str, closing: int, length: int = LENGTH)
     """docs(doc_id, text) -> doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = None, np.array([closing], "<u4").tobytes()
-        for batch in batches:
-            encode = encode or WordEncoder(tokenizer)
+        encode, end = encoder(tokenizer), np.array([closing], "<u4").tobytes()
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows: list[list] = [[], [], [], [], []]
             held = 0
@@ -73,8 +114,8 @@ def pieces(docs: DataFrame, tokenizer: str, closing: int, length: int = LENGTH)
             def out(rows=rows):
                 return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _PIECES, strict=True)], schema=_PIECES)
 
-            for doc_id, code in zip(ids, encode(texts), strict=True):
-                code += end
+            for doc_id, text in zip(ids, texts, strict=True):
+                code = encode(text) + end
                 total = len(code) // 4
                 for start in range(0, total, length):
                     piece = code[4 * start : 4 * (start + length)]
