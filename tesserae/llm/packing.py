@@ -26,7 +26,7 @@ from .util import written
 LENGTH = 4096
 GROUP = 20_000
 #: Encoded words that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 450_000
 #: ASCII punctuation but the apostrophe, which belongs to contractions.
 _TRAILING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
