@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, packing, quality_classifier, token_counts, url_filter
+from . import decontaminate, exact_dedup, lm_scoring, packing, quality_classifier, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op9(spark, sf_dir):
 @query("op1_decontaminate")
 def op1(spark, sf_dir):
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_lm_scoring")
+def op8(spark, sf_dir):
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
