@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, lm_scoring, packing, quality_classifier, token_counts, url_filter
+from . import decontaminate, exact_dedup, lm_scoring, packing, quality_classifier, repeats, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,11 @@ def op1(spark, sf_dir):
 @query("op8_lm_scoring")
 def op8(spark, sf_dir):
     return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup")
+def op4(spark, sf_dir):
+    members, results = substring_dedup.by_text(table(spark, sf_dir, "documents"))
+    digests = results.select("key", "first", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.sha2("full_text", 256).alias("full_sha256"))
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return repeats.answers(members, digests, substring_dedup.WINDOW, "n_words", {"n_removed": F.col("n_words"), "kept_sha256": nothing}, {"n_removed": F.lit(0).cast("long"), "kept_sha256": F.col("full_sha256")})
