@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, lm_scoring, packing, quality_classifier, repeats, substring_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, lm_scoring, packing, quality_classifier, repeats, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,12 @@ def op4(spark, sf_dir):
     digests = results.select("key", "first", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.sha2("full_text", 256).alias("full_sha256"))
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     return repeats.answers(members, digests, substring_dedup.WINDOW, "n_words", {"n_removed": F.col("n_words"), "kept_sha256": nothing}, {"n_removed": F.lit(0).cast("long"), "kept_sha256": F.col("full_sha256")})
+
+
+@query("op7_suffix_dedup")
+def op7(spark, sf_dir):
+    members, results = suffix_dedup.by_text(table(spark, sf_dir, "documents"))
+    digests = results.select("key", "first", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.sha2("full", 256).alias("full_sha256"))
+    zero, nothing = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
+    whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": nothing}
+    return repeats.answers(members, digests, suffix_dedup.WINDOW, "n_bytes", whole, {"n_removed": zero, "n_spans": zero, "kept_sha256": F.col("full_sha256")})
