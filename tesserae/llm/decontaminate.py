@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.spread import spread_join
-from .util import lowered, mix, order_id, signed, slices, word_hashes, words_of, written
+from .util import free_name, lowered, mix, order_id, signed, slices, word_hashes, words_of, written
 
 #: Selected positions are 1. All masks are as long.
 MASKS = ("11101001011", "11010010111")
@@ -169,5 +169,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = overlaps(docs, benchmark, **options).select(F.col("id").alias("_id")).distinct()
-    return docs.withColumn("_id", order_id(F.col("doc_id"))).join(bad, "_id", "left_anti").drop("_id")
+    key = free_name(docs)
+    bad = overlaps(docs, benchmark, **options).select(F.col("id").alias(key)).distinct()
+    return docs.withColumn(key, order_id(F.col("doc_id"))).join(bad, key, "left_anti").drop(key)

@@ -165,46 +165,80 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([part["doc_id"], part["label"], part["held"], held, [d.astype("<f4").tobytes() for d in dense], [m.astype("<i4").tobytes() for m in meta]], _SAMPLE, strict=True)], schema=_SAMPLE)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, threshold: float = THRESHOLD, confident: float = CONFIDENT) -> DataFrame:
-    """docs(doc_id, text, lang, source, n_chars), labels(doc_id, quality, toxic) -> doc_id, text_score, meta_score, score, keep."""
-    spark = docs.sparkSession
+def _needed(docs: DataFrame) -> list:
+    text = [F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))]
+    return [c.alias(n) for c, n in zip([*text, F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")], _READ, strict=True)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, confident: float = CONFIDENT):
+    """The views, their calibrations and their combination; a number, the share of good documents, if nothing can be learnt."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("double").alias("label"))
-    needed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    needed = docs.select(*_needed(docs))
     ids = needed.select("doc_id").where("doc_id is not null").distinct()
     pool = _drawn(ids.join(known, "doc_id", "left_anti"), pool_rows).withColumn("label", F.lit(None).cast("double"))
     chosen = written(_drawn(ids.join(known, "doc_id"), fit_rows).unionByName(pool))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    sample = needed.join(F.broadcast(chosen), "doc_id").withColumn("held", held)
+    # One row of each document: of rows that share a doc_id the one with the smallest text.
+    sample = needed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    sample = sample.select("doc_id", "r.*", "label", held.alias("held"))
     # At most fit_rows + pool_rows documents come to the driver, as bucket numbers.
-    sample = sample.mapInArrow(_featured, "doc_id long, label double, held boolean, buckets binary, dense binary, meta binary").toArrow().to_pydict()
-    order = sorted({d: i for i, d in enumerate(sample["doc_id"])}.values(), key=lambda i: sample["doc_id"][i])
-    column = [np.frombuffer(sample["buckets"][i], "<i4") for i in order]
-    row = np.repeat(np.arange(len(order)), [len(c) for c in column])
+    sample = sample.mapInArrow(_featured, "doc_id long, label double, held boolean, buckets binary, dense binary, meta binary").orderBy("doc_id").toArrow().to_pydict()
+    column = [np.frombuffer(c, "<i4") for c in sample["buckets"]]
     features = Features(
-        row, np.concatenate([np.zeros(0, np.int32), *column]).astype(np.int64),
-        np.array([np.frombuffer(sample["dense"][i], "<f4") for i in order], np.float32).reshape(-1, 2), np.array([np.frombuffer(sample["meta"][i], "<i4") for i in order], np.int64).reshape(-1, 3),
-    )
-    label = np.array([np.nan if sample["label"][i] is None else sample["label"][i] for i in order], float)
-    fold = np.array([sample["held"][i] for i in order], bool)
-    rest = [set(label[~np.isnan(label) & x]) for x in (fold, ~fold)]
-    if any(len(x) < 2 for x in rest):
-        share = F.lit(float(np.nanmean(label)) if (~np.isnan(label)).any() else 1.0)
+        np.repeat(np.arange(len(column)), [len(c) for c in column]), np.concatenate([np.zeros(0, np.int32), *column]).astype(np.int64),
+        np.array([np.frombuffer(c, "<f4") for c in sample["dense"]], np.float32).reshape(-1, 2), np.array([np.frombuffer(c, "<i4") for c in sample["meta"]], np.int64).reshape(-1, 3),
+    )
+    label = np.array([np.nan if x is None else x for x in sample["label"]], float)
+    fold = np.array(sample["held"], bool)
+    known = ~np.isnan(label)
+    if any(len(set(label[known & x])) < 2 for x in (fold, ~fold)):
+        return float(label[known].mean()) if known.any() else 1.0
+    return co_train(features, label, fold, rounds, confident)
+
+
+def _probabilities(batch: pa.RecordBatch, model) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """(first row, last row, probabilities of the text view, the metadata view and both) of parts of a batch."""
+    views, alone, combined = model
+    for a, b, data, offsets in slices(batch):
+        lang, source, size = (batch.column(n).slice(a, b - a).to_pylist() for n in ("lang", "source", "n_chars"))
+        features = Features(*_tokens(data, offsets), _meta_buckets(lang, source, size))
+        margins = np.column_stack([views[v].margin(*features.view(v)) for v in ("text", "meta")])
+        single = [_sigmoid(margins[:, i] * alone[v][0] + alone[v][1]) for i, v in enumerate(("text", "meta"))]
+        yield a, b, [*single, _sigmoid(margins @ combined[:-1] + combined[-1])]
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """docs(doc_id, text, lang, source, n_chars), labels(doc_id, quality, toxic) -> doc_id, text_score, meta_score, score, keep."""
+    fitted = fit(docs, labels, **options)
+    needed = docs.select(*_needed(docs))
+    if isinstance(fitted, float):
+        share = F.lit(fitted)
         return needed.select("doc_id", share.alias("text_score"), share.alias("meta_score"), share.alias("score"), F.lit(True).alias("keep"))
-
-    model = spark.sparkContext.broadcast(co_train(features, label, fold, rounds, confident))
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        views, alone, combined = model.value
         for batch in batches:
-            for a, b, data, offsets in slices(batch):
-                part = batch.slice(a, b - a)
-                lang, source, size = (part.column(i).to_pylist() for i in (2, 3, 4))
-                features = Features(*_tokens(data, offsets), _meta_buckets(lang, source, size))
-                margins = np.column_stack([views[v].margin(*features.view(v)) for v in ("text", "meta")])
-                single = [_sigmoid(margins[:, i] * alone[v][0] + alone[v][1]) for i, v in enumerate(("text", "meta"))]
-                both = _sigmoid(margins @ combined[:-1] + combined[-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(single[0]), pa.array(single[1]), pa.array(both)], schema=_SCORES)
-
-    scored = needed.select(*_READ).mapInArrow(score, "doc_id long, text_score double, meta_score double, score double")
+            for a, b, chances in _probabilities(batch, model.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *map(pa.array, chances)], schema=_SCORES)
+
+    scored = needed.mapInArrow(score, "doc_id long, text_score double, meta_score double, score double")
     return scored.withColumn("keep", F.col("score") >= threshold)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
+    """The rows of docs that the classifier does not reject, with all their columns; nothing is shuffled."""
+    fitted = fit(docs, labels, **options)
+    if isinstance(fitted, float):
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(fitted)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_needed(docs))
+    shape = rows.schema["row"].dataType
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, chances in _probabilities(batch, model.value):
+                part = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a)], names=["row"])
+                yield part.filter(pa.array(chances[2] >= threshold))
+
+    return rows.mapInArrow(keep, f"row {shape.simpleString()}").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, lm_scoring, packing, quality_classifier, repeats, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import decontaminate, exact_dedup, jaccard_join, lm_scoring, packing, quality_classifier, repeats, substring_dedup, suffix_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,8 @@ def op7(spark, sf_dir):
     zero, nothing = F.lit(0).cast("long"), F.sha2(F.lit("").cast("binary"), 256)
     whole = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": nothing}
     return repeats.answers(members, digests, suffix_dedup.WINDOW, "n_bytes", whole, {"n_removed": zero, "n_spans": zero, "kept_sha256": F.col("full_sha256")})
+
+
+@query("op5_jaccard_join")
+def op5(spark, sf_dir):
+    return jaccard_join.jaccard_classes(table(spark, sf_dir, "documents"), words=3, percent=90)

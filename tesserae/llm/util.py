@@ -36,6 +36,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(df: DataFrame, base: str = "_key") -> str:
+    """A column name that the frame does not have."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base += "_"
+    return base
+
+
 def order_id(doc_id: Column) -> Column:
     """doc_id for comparisons: a null one is larger than any other."""
     return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
