@@ -45,21 +45,24 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Ite
     on_cover = np.zeros(period, bool)
     on_cover[difference_cover(period)] = True
     length = window - period + 1
-    for batch in batches:
-        uid = batch.column(0).to_numpy()
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, _, data, offsets in slices(batch):
-            starts, ends, first = words_of(data, offsets)
-            count = np.diff(first)
-            # Texts shorter than a window have none, and need no anchor.
-            places = np.maximum(np.where(count >= window, count - length + 1, 0), 0)
-            pos = stretches(np.zeros(len(count), np.int64), places)
-            text = np.repeat(np.arange(len(count)), places)
-            keep = on_cover[pos % period]
-            pos, text = pos[keep], text[keep]
-            at = first[text] + pos
-            found.append((Rolling(word_hashes(data, starts, ends))(at, at + length), uid[a + text], pos))
-        yield repeats.seen_rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
+
+    def found():
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for a, _, data, offsets in slices(batch):
+                starts, ends, first = words_of(data, offsets)
+                count = np.diff(first)
+                # Texts shorter than a window have none, and need no anchor.
+                places = np.where(count >= window, count - length + 1, 0)
+                pos = stretches(np.zeros(len(count), np.int64), places)
+                text = np.repeat(np.arange(len(count)), places)
+                keep = on_cover[pos % period]
+                pos, text = pos[keep], text[keep]
+                at = first[text] + pos
+                yield Rolling(word_hashes(data, starts, ends))(at, at + length), uid[a + text], pos
+
+    for arrays in repeats.batched(found()):
+        yield repeats.seen_rows(*arrays)
 
 
 _PLACE = pa.struct([("uid", pa.int64()), ("first", pa.int64()), ("start", pa.int32())])
@@ -69,38 +72,38 @@ _WINDOW_SQL = "hash long, other long, first long, uid long, start int, more arra
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
     """Windows around recurring anchors; one row for each distinct one of a batch, led by its smallest document."""
-    reach = period
-    for batch in batches:
-        uid, smallest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lists = batch.column(3)
-        cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        parts = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, b, data, offsets in slices(batch):
-            starts, ends, first = words_of(data, offsets)
-            text = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
-            pos = values[cuts[a] : cuts[b]].astype(np.int64)
-            # A window contains the anchor at offset 0 .. period - 1; it must lie inside its text.
-            low = np.maximum(pos - reach + 1, 0)
-            high = np.minimum(pos, np.diff(first)[text] - window)
-            ok = high >= low
-            base = first[text][ok]
-            hit = np.flatnonzero(repeats.covered(len(starts), base + low[ok], base + high[ok] + 1))
-            words = word_hashes(data, starts, ends)
-            one = Rolling(words)(hit, hit + window)
-            two = Rolling(mix(words + np.uint64(1)), _SECOND)(hit, hit + window)
-            owner = np.searchsorted(first, hit, "right") - 1
-            parts.append((one, two, a + owner, hit - first[owner]))
-        one, two, owner, start = (np.concatenate(c) for c in zip(*parts, strict=True))
-        head = smallest[owner]
-        order = np.lexsort((head, two, one))
-        one, two, owner, start, head = one[order], two[order], owner[order], start[order].astype(np.int32), head[order]
-        begins = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])) if len(one) else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(begins, len(one)))
-        rest = np.ones(len(one), bool)
-        rest[begins] = False
-        places = pa.StructArray.from_arrays([pa.array(uid[owner[rest]]), pa.array(head[rest]), pa.array(start[rest])], fields=list(_PLACE))
-        more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes - 1)).astype(np.int32)), places, mask=pa.array(sizes == 1)) if len(begins) else pa.array([], _WINDOW.field("more").type)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(one[begins])), pa.array(signed(two[begins])), pa.array(head[begins]), pa.array(uid[owner[begins]]), pa.array(start[begins]), more], schema=_WINDOW)
+
+    def found():
+        for batch in batches:
+            uid, smallest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lists = batch.column(3)
+            cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for a, b, data, offsets in slices(batch):
+                starts, ends, first = words_of(data, offsets)
+                text = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
+                pos = values[cuts[a] : cuts[b]].astype(np.int64)
+                # A window contains the anchor at offset 0 .. period - 1; it must lie inside its text.
+                low = np.maximum(pos - period + 1, 0)
+                high = np.minimum(pos, np.diff(first)[text] - window)
+                ok = high >= low
+                base = first[text][ok]
+                hit = np.flatnonzero(repeats.covered(len(starts), base + low[ok], base + high[ok] + 1))
+                words = word_hashes(data, starts, ends)
+                owner = np.searchsorted(first, hit, "right") - 1
+                two = Rolling(mix(words + np.uint64(1)), _SECOND)(hit, hit + window)
+                yield Rolling(words)(hit, hit + window), two, uid[a + owner], smallest[a + owner], (hit - first[owner]).astype(np.int32)
+
+    for one, *rest in repeats.batched(found()):
+        order = np.argsort(one)
+        one, two, uid, head, start = one[order], *(c[order] for c in rest)
+        change = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        # Where a window occurs more than once, its smallest document comes first.
+        group = np.cumsum(np.append(True, change))
+        shared = np.flatnonzero(np.append(~change, False) | np.append(False, ~change))
+        inner = shared[np.lexsort((head[shared], group[shared]))]
+        uid[shared], start[shared], head[shared] = uid[inner], start[inner], head[inner]
+        _, begins, more = repeats.grouped(change, _PLACE, [uid, head, start])
+        yield pa.RecordBatch.from_arrays([pa.array(signed(one[begins])), pa.array(signed(two[begins])), pa.array(head[begins]), pa.array(uid[begins]), pa.array(start[begins]), more], schema=_WINDOW)
 
 
 _RESULT = pa.schema([("key", pa.string()), ("first", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("full_text", pa.string())])

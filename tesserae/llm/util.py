@@ -15,7 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Text of one batch is worked on in slices of about this many bytes, so that memory does not follow the batch.
-SLICE = 4_000_000
+SLICE = 1_200_000
 
 
 def ascii_lower(text: Column) -> Column:
@@ -25,8 +25,9 @@ def ascii_lower(text: Column) -> Column:
 
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder, read it back, and let go of the shuffle files behind it."""
-    out = materialise(df)
-    release(df.sparkSession)
+    spark, out = df.sparkSession, materialise(df)
+    del df  # the caller passes the only reference, so its shuffles are unused now
+    release(spark)
     return out
 
 
