@@ -164,15 +164,18 @@ def _smallest(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        uid = batch.column(0).to_numpy()
-        found = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for a, _, data, offsets in slices(batch):
-            _, at, hashes = _smallest(data, offsets, window, gram)
-            at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
-            text = np.searchsorted(offsets, at, "right") - 1
-            found.append((hashes[at] if len(at) else found[0][0], uid[a + text], at - offsets[text]))
-        yield repeats.seen_rows(*(np.concatenate(c) for c in zip(*found, strict=True)))
+    def found():
+        for batch in batches:
+            uid = batch.column(0).to_numpy()
+            for a, _, data, offsets in slices(batch):
+                _, at, hashes = _smallest(data, offsets, window, gram)
+                if len(at):
+                    at = at[np.append(True, at[1:] != at[:-1])]
+                    text = np.searchsorted(offsets, at, "right") - 1
+                    yield hashes[at], uid[a + text], at - offsets[text]
+
+    for arrays in repeats.batched(found()):
+        yield repeats.seen_rows(*arrays)
 
 
 _PLACE = pa.struct([("uid", pa.int64()), ("first", pa.int64()), ("start", pa.int32())])
@@ -182,31 +185,43 @@ _STRETCH_SQL = "hash long, bytes binary, first long, places array<struct<uid: lo
 
 def _stretches(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Stretches of text whose strings belong to a recurring piece; equal ones of a batch share a row."""
+    held: dict[bytes, int] = {}
+    parts: list[tuple[np.ndarray, ...]] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        kind, hashes, uid, first, start = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(kind, kind="stable")
+        cuts = np.searchsorted(kind[order], np.arange(len(held) + 1)).astype(np.int32)
+        uid, first, start = uid[order], first[order], start[order]
+        places = pa.StructArray.from_arrays([pa.array(uid), pa.array(first), pa.array(start)], fields=list(_PLACE))
+        least = np.minimum.reduceat(first, cuts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[order][cuts[:-1]]), pa.array(list(held), pa.binary()), pa.array(least), pa.ListArray.from_arrays(pa.array(cuts), places)], schema=_STRETCH)
+        held.clear()
+        parts.clear()
+
     for batch in batches:
         uid, smallest = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         lists = batch.column(3)
         cuts, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        held: dict[bytes, list] = {}
         for a, b, data, offsets in slices(batch):
             starts, at, hashes = _smallest(data, offsets, window, gram)
             text = np.repeat(np.arange(b - a), np.diff(cuts[a : b + 1]))
             wanted = np.zeros(len(data) + 1, bool)
             wanted[offsets[text] + values[cuts[a] : cuts[b]]] = True
             hit = np.flatnonzero(wanted[at])
+            if not len(hit):
+                continue
             starts, at = starts[hit], at[hit]
-            begins = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else hit
+            begins = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
             ends = np.append(begins[1:], len(at)) - 1
             owner = np.searchsorted(offsets, at[begins], "right") - 1
-            raw = data.tobytes()
-            for i, j, k, o in zip(starts[begins].tolist(), (starts[ends] + window).tolist() if len(at) else [], signed(hashes[at[begins]]).tolist() if len(at) else [], owner.tolist(), strict=True):
-                place = {"uid": int(uid[a + o]), "first": int(smallest[a + o]), "start": i - int(offsets[o])}
-                held.setdefault(raw[i:j], [k, []])[1].append(place)
-        rows = list(held.items())
-        for i in range(0, len(rows), 50_000):
-            part = rows[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for _, (k, _) in part], pa.int64()), pa.array([t for t, _ in part], pa.binary()), pa.array([min(p["first"] for p in ps) for _, (_, ps) in part], pa.int64()), pa.array([ps for _, (_, ps) in part], pa.list_(_PLACE))], schema=_STRETCH
-            )
+            raw, low, high = data.tobytes(), starts[begins], starts[ends] + window
+            kind = np.array([held.setdefault(raw[i:j], len(held)) for i, j in zip(low.tolist(), high.tolist(), strict=True)], np.int64)
+            parts.append((kind, signed(hashes[at[begins]]), uid[a + owner], smallest[a + owner], (low - offsets[owner]).astype(np.int32)))
+            if len(held) > 100_000:
+                yield from out()
+    if held:
+        yield from out()
 
 
 _GONE = pa.schema([("uid", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
