@@ -44,8 +44,12 @@ _LN2, _LOG10_2 = np.log(2.0), np.log10(2.0)
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, count = np.concatenate(keys), np.concatenate(counts)
-    key, at = np.unique(key, return_inverse=True)
-    return key, np.bincount(at, count, len(key)).astype(np.int64)
+    if not len(key):
+        return key, count
+    order = np.argsort(key, kind="stable")  # merges what is sorted already
+    key, count = key[order], count[order]
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[begins], np.add.reduceat(count, begins)
 
 
 _COUNT = pa.schema([("key", pa.int64()), ("n", pa.int64())])
