@@ -86,15 +86,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return hashes[keep], np.searchsorted(text[keep], np.arange(len(count) + 1))
 
 
-_LISTED = pa.schema([("list", pa.int64()), ("uid", pa.int64())])
+_LISTED = pa.schema([("list", pa.int64()), ("uid", pa.int64()), ("n", pa.int64())])
 
 
 def _lists(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(list, uid) for each list that a text is on, and (null, uid, n) for the size of its set."""
     for batch in batches:
         uid = batch.column(0).to_numpy()
         for a, _, data, offsets in slices(batch):
             hashes, first = shingle_sets(data, offsets, words)
             size = np.diff(first)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(size), pa.int64()), pa.array(uid[a : a + len(size)]), pa.array(size)], schema=_LISTED)
             bounds = size_class(percent, int(size.max(initial=1)) + 1)
             bounds = np.append(bounds, max(int(bounds[-1]) + 1, -(-100 * int(bounds[-1]) // percent)))
             counts, spare = blocks_of(bounds, percent)
@@ -118,18 +120,18 @@ def _lists(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
                 keep = (held > 0) | (empty > spare[kind])[owner]
                 place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
                 tag = mix((place << np.uint64(32)) | kind[owner].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(content + tag)[keep])), pa.array(uid[a + some[owner[keep]]])], schema=_LISTED)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(content + tag)[keep])), pa.array(uid[a + some[owner[keep]]]), pa.nulls(int(keep.sum()), pa.int64())], schema=_LISTED)
 
 
-_SET = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
+_SET = pa.schema([("uid", pa.int64()), ("shingles", pa.binary())])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int, content: bool) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in slices(batch):
             hashes, first = shingle_sets(data, offsets, words)
-            held = pa.array([hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()) if content else pa.nulls(b - a, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first)), held], schema=_SET)
+            held = pa.array([hashes[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), held], schema=_SET)
 
 
 def _linked(n: int, m: int, differ: int, percent: int) -> bool:
@@ -217,12 +219,12 @@ def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included)."""
     members, texts = distinct_texts(docs, ascii_lower(F.col("text")))
-    sizes = texts.select("uid", "text").mapInArrow(lambda b: _sets(b, words, False), "uid long, n long, shingles binary").select("uid", "n")
-    listed = texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long")
+    listed = written(texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long, n long"))
+    sizes, listed = listed.where("n is not null").select("uid", "n"), listed.where("n is null").select("list", "uid")
     heads = listed.groupBy("list").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("held")).where("held > 1")
     lists = written(listed.join(heads, "list"))
     wanted = lists.select("uid").distinct()
-    sets = written(texts.join(wanted, "uid").select("uid", "text").mapInArrow(lambda b: _sets(b, words, True), "uid long, n long, shingles binary").select("uid", "shingles"))
+    sets = written(texts.join(wanted, "uid").select("uid", "text").mapInArrow(lambda b: _sets(b, words), "uid long, shingles binary"))
 
     # Answers of the first set of each list.
     near = lists.where("uid != head").select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct()
