@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +33,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Spark deletes shuffle files once the driver's garbage collector finds them unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Spark deletes shuffle files once the driver's garbage collector finds them unused.
+
+    Listeners hold a query for a moment after its end, hence a second look.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def free_name(df: DataFrame, base: str = "_key") -> str:
