@@ -53,7 +53,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     # A suffix is smaller than its successor if the next byte that differs from its first is larger.
     change = np.flatnonzero(text[1:] != text[:-1])
     rises = text[np.minimum(change + 1, n - 1)] > text[change]
-    run = np.searchsorted(change, np.arange(n), "left")
+    run = np.repeat(np.arange(len(change) + 1), np.diff(np.concatenate([[-1], change, [n - 1]])))
     smaller = np.append(rises, False)[run]
     direct = _sort_directly(line, np.flatnonzero(smaller), n, depth)
 
@@ -237,7 +237,7 @@ def _compare(rows: pa.Table, window: int) -> pa.Table:
     leader = np.full(len(kinds), np.iinfo(np.int64).max)
     np.minimum.at(leader, kind, rows.column("first").to_numpy())
     order = suffix_array(text, window)
-    owner = np.searchsorted(begins, order, "right") - 1
+    owner = np.repeat(np.arange(len(sizes)), sizes + 1)[order]
     inside = order - begins[owner] <= sizes[owner] - window
     order, owner = order[inside], owner[inside]
     # Between two suffixes that stay, those left out share what both share, so neighbours may be compared directly.
