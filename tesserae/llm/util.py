@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import materialise
+from ..session import shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = np.zeros(256, bool)
@@ -26,12 +27,23 @@ def ascii_lower(text: Column) -> Column:
 
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder, read it back, and let go of the shuffle files behind it."""
-    spark, out = df.sparkSession, materialise(df)
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_folder(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}.parquet"
+    df.write.option("compression", "zstd").parquet(path)
     del df  # the caller passes the only reference, so its shuffles are unused now
     release(spark)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_path = path
     return out
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written frame that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Spark deletes shuffle files once the driver's garbage collector finds them unused.
 
