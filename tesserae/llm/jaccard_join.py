@@ -21,6 +21,7 @@ class id null. Repeated rows repeat; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
-from .util import Rolling, ascii_lower, distinct_texts, free_name, mix, order_id, signed, slices, stretches, word_hashes, words_of, written
+from .util import Rolling, ascii_lower, discard, distinct_texts, free_name, mix, order_id, signed, slices, stretches, word_hashes, words_of, written
 
 WORDS, PERCENT = 5, 80
 #: Lists up to this length are compared pair by pair; longer ones by differences.
@@ -154,11 +155,20 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs(u, v) -> those that link."""
+    """pairs(u, v), written -> those that link, written.
+
+    A pair takes both sets along. Pairs are worked on in parts, each about as large as all sets together, so that the
+    files of a shuffle stay in proportion to the sets however many pairs there are.
+    """
     left = sets.select(F.col("uid").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("uid").alias("v"), F.col("shingles").alias("y"))
-    both = pairs.join(left, "u").join(right, "v").select("u", "v", "x", "y")
-    return both.mapInArrow(lambda b: _verify(b, percent), "u long, v long")
+    parts = max(1, -(-pairs.count() // max(1, sets.count())))
+    done = []
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == part)
+        both = some.join(left, "u").join(right, "v").select("u", "v", "x", "y")
+        done.append(written(both.mapInArrow(lambda b: _verify(b, percent), "u long, v long")))
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def difference_links(sets: list[frozenset], label: list[int], percent: int) -> list[tuple[int, int]]:
@@ -219,16 +229,19 @@ def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included)."""
     members, texts = distinct_texts(docs, ascii_lower(F.col("text")))
-    listed = written(texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long, n long"))
-    sizes, listed = listed.where("n is not null").select("uid", "n"), listed.where("n is null").select("list", "uid")
+    both = written(texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long, n long"))
+    names = written(texts.select("uid", "key", "first").join(both.where("n is not null").select("uid", "n"), "uid"))
+    listed = both.where("n is null").select("list", "uid")
     heads = listed.groupBy("list").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("held")).where("held > 1")
     lists = written(listed.join(heads, "list"))
+    discard(both)
     wanted = lists.select("uid").distinct()
     sets = written(texts.join(wanted, "uid").select("uid", "text").mapInArrow(lambda b: _sets(b, words), "uid long, shingles binary"))
+    discard(texts)
 
     # Answers of the first set of each list.
-    near = lists.where("uid != head").select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct()
-    links = written(_links(near, sets, percent))
+    near = written(lists.where("uid != head").select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct())
+    links = _links(near, sets, percent)
     classes = written(connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component"))
 
     # Lists in which several classes meet. In lists of two the only pair has been compared.
@@ -238,7 +251,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     brief = left.where(F.col("held") <= short).groupBy("list").agg(F.array_sort(F.collect_list(F.struct("uid", "component", "head"))).alias("all"))
     each = brief.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
     pairs = each.where("a.component != b.component and a.uid != a.head").select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
-    more = _links(pairs, sets, percent)
+    more = _links(written(pairs), sets, percent)
 
     part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("held") / block)).cast("int")
     last = F.ceil(F.col("held") / block).cast("int") - 1
@@ -248,9 +261,9 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = written(links.unionByName(more).unionByName(found))
 
     classes = connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component")
-    named = texts.select("uid", "key", "first").join(classes, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    named = names.join(classes, "uid", "left").withColumn("component", F.coalesce("component", "uid"))
     smallest = named.groupBy("component").agg(F.min("first").alias("least"))
-    answers = named.join(smallest, "component").join(sizes, "uid").select("key", "n", "least")
+    answers = named.join(smallest, "component").select("key", "n", "least")
     none = F.lit(2**63 - 1)
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("least") != none, F.col("least")))
     return members.join(answers, "key").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
