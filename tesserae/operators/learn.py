@@ -77,7 +77,7 @@ def grouped_folds(df: DataFrame, group: str, folds: int, seed: int, label: str |
     The many light groups fill what the folds have left, in hash order: their fold follows from a few cut
     points of the hash.
     """
-    classes = [None] if label is None else [r[0] for r in df.select(label).distinct().orderBy(label).limit(1000).collect()]
+    classes = [None] if label is None else [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     counts = df.groupBy(group).agg(
         F.count(F.lit(1)).alias("_n"), *[(F.count(F.lit(1)) if c is None else F.count_if(F.col(label) == c)).alias(f"_c{i}") for i, c in enumerate(classes)]
     )
@@ -202,13 +202,13 @@ def classifier(family: str, n_rows: int, n_classes: int, seed: int, **p) -> Esti
 
 
 def balanced_weights(df: DataFrame, train: DataFrame, label: str = "target") -> DataFrame:
-    """`weight` = n / (classes * class count) from the train side; one weight per class, applied by an expression."""
-    counts = {r[0]: r[1] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(1000).collect()}
-    n = sum(counts.values())
-    w = F.lit(1.0)
-    for value, c in counts.items():
-        w = F.when(F.col(label) == F.lit(value), F.lit(n / (len(counts) * c))).otherwise(w)
-    return df.withColumn("weight", w)
+    """`weight` = n / (classes * class count) from the train side; 1 for classes that it does not have."""
+    counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))
+    n, k = total.first()
+    weights = counts.select(F.col(label).alias("_label"), (F.lit(float(n or 0)) / (F.lit(k) * F.col("_n"))).alias("_weight"))
+    joined = df.join(weights, df[label].eqNullSafe(F.col("_label")), "left")
+    return joined.withColumn("weight", F.coalesce("_weight", F.lit(1.0))).drop("_label", "_weight")
 
 
 def sample_params(space: Mapping[str, Sequence], n: int, seed: int) -> list[dict]:
@@ -359,7 +359,9 @@ def validation_report(df: DataFrame, key: Sequence[str], required: Sequence[str]
 def compare_runs(runs: DataFrame, by: Sequence[str], score: str, higher_is_better: bool = True) -> DataFrame:
     """Best trial per run group with its spread over trials."""
     sign = -1 if higher_is_better else 1
+    # A null key is passed over, so a trial without a score never wins.
+    rank = F.when(F.col(score).isNotNull(), F.struct(F.col(score) * sign, F.col("trial")))
     return runs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_trials"), F.min_by("trial", F.struct(F.col(score) * sign, F.col("trial"))).alias("best_trial"),
+        F.count(F.lit(1)).alias("n_trials"), F.min_by("trial", rank).alias("best_trial"),
         (F.max(score) if higher_is_better else F.min(score)).alias("best_score"), F.avg(score).alias("mean_score"),
     )

@@ -60,8 +60,11 @@ def wide_by_model(facts: DataFrame, key: str, model: str, models: Sequence[str],
 
 
 def win_counts(facts: DataFrame, key: str, model: str, metric: str, order: DataFrame, place: str = "place") -> DataFrame:
-    """Keys won per model (highest metric; ties to the better placed model), zero rows kept."""
-    ranked = facts.select(key, model, metric).join(order.select(model, place), model)
+    """Keys won per model (highest metric; ties to the better placed model), zero rows kept.
+
+    A missing metric (null or NaN) does not take part.
+    """
+    ranked = facts.select(key, model, metric).where(F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double"))).join(order.select(model, place), model)
     best = ranked.groupBy(key).agg(F.min_by(model, F.struct(-F.col(metric), F.col(place))).alias(model))
     won = best.groupBy(model).agg(F.count(F.lit(1)).alias("win_count"))
     n_keys = best.agg(F.count(F.lit(1))).scalar()

@@ -202,3 +202,18 @@ def test_failed_rows_keep_their_inputs(spark):
     with pytest.raises(RuntimeError):
         T.require_all_passed(routed)
     assert T.run_summary(routed).first().rows_failed == 1
+
+
+def test_balanced_weights_of_many_classes(spark):
+    rows = [(c, i) for c in range(1500) for i in range(1 + c % 3)]
+    df = spark.createDataFrame(rows, "target int, i int")
+    got = {r.target: r.weight for r in L.balanced_weights(df, df).select("target", "weight").distinct().collect()}
+    assert len(got) == 1500 and all(abs(got[c] - len(rows) / (1500 * (1 + c % 3))) < 1e-9 for c in got)
+
+
+def test_missing_metric_never_wins(spark):
+    facts = spark.createDataFrame([("k", "a", None), ("k", "b", 0.9), ("l", "a", float("nan")), ("l", "b", 0.1)], "key string, model string, m double")
+    order = spark.createDataFrame([("a", 1), ("b", 2)], "model string, place int")
+    assert {r.model: r.win_count for r in P.win_counts(facts, "key", "model", "m", order).collect()} == {"a": 0, "b": 2}
+    runs = spark.createDataFrame([("g", 1, None), ("g", 2, 0.9)], "g string, trial int, s double")
+    assert L.compare_runs(runs, ["g"], "s").first()["best_trial"] == 2
