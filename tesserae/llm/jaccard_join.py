@@ -8,12 +8,14 @@ classes of documents that links connect.
 How it runs. The shingles of a set, in the order of their hashes, are cut into blocks at fixed positions of the hash
 line, so many that two linked sets must agree on at least one whole block that is not empty. Index lists are kept by
 (size class, block, content of the block): a probe skips every block but those on which both sets agree entirely.
-For each list the answers of its first set are computed: who of the list links with it. Sets that link with the same
-set are in one class, whatever their own similarity, so for lists whose sets have thereby all met in one class
-nothing is left to do. In the others sets of different classes are compared. In a long list the answers of a set
-follow from those of the list's first set: each set is reduced to its difference from it, two sets link if their
-differences cancel out but for a few shingles, and only sets that share one of the rarest shingles of these (small)
-differences are looked at. Lists longer than BLOCK are worked on in pairs of blocks.
+Lists with the same first set are taken together, so that a set is compared, and sent, once for each first set and
+not once for each block it shares with it. For each first set its answers are computed: who of its lists links with
+it. Sets that link with the same set are in one class, whatever their own similarity, so for lists whose sets have
+thereby all met in one class nothing is left to do. In the others sets of different classes are compared. In long
+lists the answers of a set follow from those of the first set: each set is reduced to its difference from it, two
+sets link if their differences cancel out but for a few shingles, and only sets that share one of the rarest shingles
+of these (small) differences are looked at. Lists longer than BLOCK, or with more than WEIGHT shingles, are worked on
+in pairs of blocks.
 
 Equal texts are one text. Null texts have no words. A null doc_id is larger than any other; a class of nulls has the
 class id null. Repeated rows repeat; an empty table gives an empty result; further columns are not read.
@@ -37,8 +39,8 @@ from .util import Rolling, ascii_lower, discard, distinct_texts, free_name, mix,
 WORDS, PERCENT = 5, 80
 #: Lists up to this length are compared pair by pair; longer ones by differences.
 SHORT = 12
-#: Sets of a list that one task compares at once, twice this many for a pair of blocks.
-BLOCK = 4000
+#: Sets of a list, and their shingles, that one task compares at once; twice as many for a pair of blocks.
+BLOCK, WEIGHT = 4000, 1_000_000
 
 
 def size_class(percent: int, largest: int) -> np.ndarray:
@@ -124,6 +126,23 @@ def _lists(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(signed(mix(content + tag)[keep])), pa.array(uid[a + some[owner[keep]]]), pa.nulls(int(keep.sum()), pa.int64())], schema=_LISTED)
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(list, uid) in this order -> (uid, first uid of a list it is on), for all uids but the first."""
+    current = head = None
+    for batch in batches:
+        lists, uid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(lists):
+            continue
+        begins = np.ones(len(lists), bool)
+        begins[1:] = lists[1:] != lists[:-1]
+        begins[0] = lists[0] != current
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(lists)), -1))
+        heads = np.where(at >= 0, uid[at], 0 if head is None else head)
+        current, head = lists[-1], heads[-1]
+        keep = uid != heads
+        yield pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(heads[keep])], names=["u", "v"])
+
+
 _SET = pa.schema([("uid", pa.int64()), ("shingles", pa.binary())])
 
 
@@ -231,33 +250,35 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     members, texts = distinct_texts(docs, ascii_lower(F.col("text")))
     both = written(texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long, n long"))
     names = written(texts.select("uid", "key", "first").join(both.where("n is not null").select("uid", "n"), "uid"))
-    listed = both.where("n is null").select("list", "uid")
-    heads = listed.groupBy("list").agg(F.min("uid").alias("head"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    lists = written(listed.join(heads, "list"))
+    # One shuffle of the lists: a list arrives in order, so its first set is known without a second look.
+    listed = both.where("n is null").select("list", "uid").repartition("list").sortWithinPartitions("list", "uid")
+    near = written(listed.mapInArrow(_firsts, "u long, v long").distinct())
+    del listed
     discard(both)
-    wanted = lists.select("uid").distinct()
+    wanted = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
     sets = written(texts.join(wanted, "uid").select("uid", "text").mapInArrow(lambda b: _sets(b, words), "uid long, shingles binary"))
     discard(texts)
 
-    # Answers of the first set of each list.
-    near = written(lists.where("uid != head").select(F.col("uid").alias("u"), F.col("head").alias("v")).distinct())
+    # Answers of the first sets.
     links = _links(near, sets, percent)
-    classes = written(connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component"))
+    classes = connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component")
+    classes = written(classes.join(names.select("uid", "n"), "uid"))
 
     # Lists in which several classes meet. In lists of two the only pair has been compared.
-    several = lists.where("held > 2").join(classes, "uid")
-    open_ = several.groupBy("list").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("list")
-    left = written(several.join(open_, "list"))
-    brief = left.where(F.col("held") <= short).groupBy("list").agg(F.array_sort(F.collect_list(F.struct("uid", "component", "head"))).alias("all"))
-    each = brief.select(F.posexplode("all").alias("i", "a"), "all").select("a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-    pairs = each.where("a.component != b.component and a.uid != a.head").select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
+    lists = near.select(F.col("v").alias("head"), F.col("u").alias("uid"))
+    lists = lists.unionByName(lists.select("head", F.col("head").alias("uid")).distinct()).join(classes, "uid")
+    open_ = lists.groupBy("head").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("weight"), F.min("component").alias("a"), F.max("component").alias("b"))
+    left = written(lists.join(open_.where("held > 2 and a < b").drop("a", "b"), "head"))
+    brief = left.where(F.col("held") <= short).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("uid", "component"))).alias("all"))
+    each = brief.select("head", F.posexplode("all").alias("i", "a"), "all").select("head", "a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
+    pairs = each.where("a.component != b.component and a.uid != head").select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
     more = _links(written(pairs), sets, percent)
 
-    part = F.pmod(F.xxhash64("uid"), F.ceil(F.col("held") / block)).cast("int")
-    last = F.ceil(F.col("held") / block).cast("int") - 1
-    long_ = left.where(F.col("held") > short).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
-    long_ = long_.select("list", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "uid", "component").join(sets, "uid")
-    found = long_.groupBy("list", "p", "q").applyInPandas(lambda rows: _compare(rows, percent), "u long, v long")
+    parts = F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    part = F.pmod(F.xxhash64("uid"), parts).cast("int")
+    long_ = left.where(F.col("held") > short).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    long_ = long_.select("head", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "uid", "component").join(sets, "uid")
+    found = long_.groupBy("head", "p", "q").applyInPandas(lambda rows: _compare(rows, percent), "u long, v long")
     links = written(links.unionByName(more).unionByName(found))
 
     classes = connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component")
