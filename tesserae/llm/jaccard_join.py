@@ -23,7 +23,6 @@ class id null. Repeated rows repeat; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
-import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -34,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
-from .util import Rolling, ascii_lower, discard, distinct_texts, free_name, mix, order_id, signed, slices, stretches, word_hashes, words_of, written
+from .util import Rolling, ascii_lower, discard, distinct_texts, free_name, mix, order_id, signed, slices, stretches, together, word_hashes, words_of, written
 
 WORDS, PERCENT = 5, 80
 #: Lists up to this length are compared pair by pair; longer ones by differences.
 SHORT = 12
 #: Sets of a list, and their shingles, that one task compares at once; twice as many for a pair of blocks.
 BLOCK, WEIGHT = 4000, 1_000_000
+#: Texts and index lists are shuffled in so many parts, one after the other, so that shuffle files take less room.
+PARTS = 2
 
 
 def size_class(percent: int, largest: int) -> np.ndarray:
@@ -187,7 +188,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == part)
         both = some.join(left, "u").join(right, "v").select("u", "v", "x", "y")
         done.append(written(both.mapInArrow(lambda b: _verify(b, percent), "u long, v long")))
-    return functools.reduce(DataFrame.unionByName, done)
+    return together(done)
 
 
 def difference_links(sets: list[frozenset], label: list[int], percent: int) -> list[tuple[int, int]]:
@@ -247,13 +248,17 @@ def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included)."""
-    members, texts = distinct_texts(docs, ascii_lower(F.col("text")))
+    members, texts = distinct_texts(docs, ascii_lower(F.col("text")), PARTS)
     both = written(texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long, n long"))
     names = written(texts.select("uid", "key", "first").join(both.where("n is not null").select("uid", "n"), "uid"))
     # One shuffle of the lists: a list arrives in order, so its first set is known without a second look.
-    listed = both.where("n is null").select("list", "uid").repartition("list").sortWithinPartitions("list", "uid")
-    near = written(listed.mapInArrow(_firsts, "u long, v long").distinct())
-    del listed
+    firsts = []
+    for part in range(PARTS):
+        listed = both.where("n is null").where(F.pmod("list", F.lit(PARTS)) == part).select("list", "uid")
+        listed = listed.repartition("list").sortWithinPartitions("list", "uid")
+        firsts.append(written(listed.mapInArrow(_firsts, "u long, v long").distinct()))
+        del listed
+    near = written(together(firsts).distinct())
     discard(both)
     wanted = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
     sets = written(texts.join(wanted, "uid").select("uid", "text").mapInArrow(lambda b: _sets(b, words), "uid long, shingles binary"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import time
 import uuid
@@ -33,15 +34,23 @@ def written(df: DataFrame) -> DataFrame:
     del df  # the caller passes the only reference, so its shuffles are unused now
     release(spark)
     out = spark.read.schema(schema).parquet(path)
-    out.written_path = path
+    out.written_paths = [path]
+    return out
+
+
+def together(frames: list[DataFrame]) -> DataFrame:
+    """Union of written frames, itself written."""
+    out = functools.reduce(DataFrame.unionByName, frames)
+    out.written_paths = [path for frame in frames for path in frame.written_paths]
     return out
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a written frame that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    for name in df.written_paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -68,17 +77,25 @@ def order_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(2**63 - 1))
 
 
-def distinct_texts(docs: DataFrame, text: Column) -> tuple[DataFrame, DataFrame]:
+def distinct_texts(docs: DataFrame, text: Column, parts: int = 1) -> tuple[DataFrame, DataFrame]:
     """(members, texts): docs as (doc_id, key), and one written row per distinct text.
 
     texts: uid long (unique), key, first long (smallest doc_id), text. A text held by a third of the rows is
-    combined within each task before it is shuffled, so it arrives as one row per task.
+    combined within each task before it is shuffled, so it arrives as one row per task. With more parts, one after
+    the other is shuffled, by the length in bytes of docs.text, which `text` must then keep.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    keyed = keyed.select("doc_id", "text", F.md5("text").alias("key"))
-    texts = keyed.groupBy("key").agg(F.min(order_id(F.col("doc_id"))).alias("first"), F.first("text").alias("text"))
-    texts = written(texts.select(F.monotonically_increasing_id().alias("uid"), "key", "first", "text"))
-    return keyed.select("doc_id", "key"), texts
+    own = F.octet_length(F.coalesce("text", F.lit("")))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
+        return rows.select("doc_id", "text", F.md5("text").alias("key"))
+
+    done = []
+    for part in range(parts):
+        some = docs.where(F.pmod(F.xxhash64(own), F.lit(parts)) == part) if parts > 1 else docs
+        texts = keyed(some).groupBy("key").agg(F.min(order_id(F.col("doc_id"))).alias("first"), F.first("text").alias("text"))
+        done.append(written(texts.select((F.monotonically_increasing_id() * parts + part).alias("uid"), "key", "first", "text")))
+    return keyed(docs).select("doc_id", "key"), together(done)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
