@@ -261,7 +261,12 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     near = written(together(firsts).distinct())
     discard(both)
     wanted = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
-    sets = written(texts.join(wanted, "uid").select("uid", "text").mapInArrow(lambda b: _sets(b, words), "uid long, shingles binary"))
+    held = []
+    for part in range(PARTS):
+        some = texts.where(F.pmod("uid", F.lit(PARTS)) == part).join(wanted, "uid").select("uid", "text")
+        held.append(written(some.mapInArrow(lambda b: _sets(b, words), "uid long, shingles binary")))
+        del some
+    sets = together(held)
     discard(texts)
 
     # Answers of the first sets.
