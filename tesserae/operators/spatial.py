@@ -264,14 +264,10 @@ def calibration_summary(scores: DataFrame, patch: str) -> DataFrame:
     )
 
 
-# How many cells per patch and points per cell take part in the coordinate-mode vote.
-VOTE_CELLS, VOTE_POINTS = 64, 128
-
-
 def contour_modes(points: DataFrame, patches: DataFrame, patch: Sequence[str], scale_to_patch: float, metadata_patch_size: int | None = None) -> DataFrame:
-    """Vote per patch between local, shift and scaled_shift by points that land inside the image.
+    """Vote per patch between local, shift and scaled_shift by all points that land inside the image.
 
-    `points(patch.., cell_ordinal, point_ordinal, x, y)`; `patches(patch.., offset_x, offset_y, height, width)`.
+    `points(patch.., x, y)`; `patches(patch.., offset_x, offset_y, height, width)`.
     Later modes win equal votes; a patch without points is local.
     """
     per = F.lit(1.0) / metadata_patch_size if metadata_patch_size else None
@@ -284,8 +280,7 @@ def contour_modes(points: DataFrame, patches: DataFrame, patch: Sequence[str], s
         a, b = px * sx, py * sy
         return F.count_if((a >= 0) & (a < F.col("width")) & (b >= 0) & (b < F.col("height")))
 
-    voting = points.where((F.col("cell_ordinal") < VOTE_CELLS) & (F.col("point_ordinal") < VOTE_POINTS))
-    votes = spread_join(voting, patches, patch).groupBy(*patch).agg(
+    votes = spread_join(points, patches, patch).groupBy(*patch).agg(
         inside(x, y).alias("local"),
         inside(x - ox, y - oy).alias("shift"),
         inside(x * scale_to_patch - ox, y * scale_to_patch - oy).alias("scaled_shift"),
