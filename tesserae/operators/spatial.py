@@ -188,12 +188,12 @@ def candidates(spans: Sequence[float], shift_min: int, shift_max: int, shift_ste
     )
 
 
-def edge_scores(patches: DataFrame, points: DataFrame, gradient: DataFrame, patch: str, cand: Column) -> DataFrame:
+def edge_scores(patches: DataFrame, points: DataFrame, gradient: DataFrame, patch: str, cand: Column, stride: int = 1) -> DataFrame:
     """Edge score and kept contours per (patch, candidate).
 
     `patches(patch, x0, y0, width, height)`; `points(patch, [span,] contour, ordinal, n_points, x, y)` are the
     contour points of the cells that meet the patch (at that span); `gradient(patch, row, col, gradient)`. Points are moved per candidate,
-    every other point is looked up, contours with no point near the image are not kept. A candidate
+    every `stride`-th point is looked up, contours with no point near the image are not kept. A candidate
     without any looked-up point scores minus infinity.
     """
     dims = patches.select(patch, "x0", "y0", "width", "height")
@@ -212,7 +212,7 @@ def edge_scores(patches: DataFrame, points: DataFrame, gradient: DataFrame, patc
     )
     near = (F.col("px") >= -1) & (F.col("px") <= F.col("width")) & (F.col("py") >= -1) & (F.col("py") <= F.col("height"))
     # A looked-up point lies inside the image, so it is near; only `kept` needs the wider band.
-    looked = F.when(F.col("ordinal") % 2 == 0, F.struct(F.rint("py").cast("int").alias("row"), F.rint("px").cast("int").alias("col")))
+    looked = F.when(F.col("ordinal") % stride == 0, F.struct(F.rint("py").cast("int").alias("row"), F.rint("px").cast("int").alias("col")))
     at = moved.withColumns({"near": near, "_p": looked})
     hit = at.select(patch, "candidate", "contour", "near", F.col("_p.row").alias("row"), F.col("_p.col").alias("col")).join(
         gradient.select(patch, "row", "col", "gradient"), [patch, "row", "col"], "left"

@@ -145,7 +145,7 @@ _A28 = "with " + V.V_PX + """, g as (select image_id, row, col, sqrt(gx * gx + g
  c as (select cast(i as int) as candidate, """ + _SPANS + """[i // 9 + 1] as span, -1.0::double + ((i // 3) % 3) as shift_x, -1.0::double + (i % 3) as shift_y from range(0, 18) r(i)),
  mv as (select image_id, candidate, span, shift_x, shift_y, contour, ordinal, x * (8 / span) + shift_x as px, y * (8 / span) + shift_y as py from pts, c),
  nr as (select *, px >= -1 and px <= 8 and py >= -1 and py <= 8 as near, cast(round_even(px, 0) as int) as col, cast(round_even(py, 0) as int) as row from mv),
- sc as (select image_id, candidate, span, shift_x, shift_y, coalesce(avg(gradient) filter (where ordinal % 2 = 0), '-inf'::double) as score, count(distinct case when near then contour end) as kept
+ sc as (select image_id, candidate, span, shift_x, shift_y, coalesce(avg(gradient), '-inf'::double) as score, count(distinct case when near then contour end) as kept
   from nr left join g using (image_id, row, col) group by all)"""
 
 
