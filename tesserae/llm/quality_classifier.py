@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import lowered, mix, slices, word_hashes, words_of, written
+from .util import bounded_batches, lowered, mix, slices, word_hashes, words_of, written
 
 FIT_ROWS, POOL_ROWS = 12_000, 6_000
 ROUNDS = 2
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows:
     """The views, their calibrations and their combination; a number, the share of good documents, if nothing can be learnt."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("double").alias("label"))
-    needed = docs.select(*_needed(docs))
+    needed = bounded_batches(docs).select(*_needed(docs))
     ids = needed.select("doc_id").where("doc_id is not null").distinct()
     pool = _drawn(ids.join(known, "doc_id", "left_anti"), pool_rows).withColumn("label", F.lit(None).cast("double"))
     chosen = written(_drawn(ids.join(known, "doc_id"), fit_rows).unionByName(pool))

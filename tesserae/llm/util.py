@@ -21,6 +21,20 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 SLICE = 1_200_000
 
 
+#: Bytes of one Arrow batch that a Python worker is sent, for whole texts of any length.
+BATCH = 4_000_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that cuts Arrow batches by their bytes as well as by rows; a smaller setting stays."""
+    conf = df.sparkSession.conf
+    held = conf.get(_BATCH_SETTING).rstrip("bB")
+    if not held.isdigit() or not 0 < int(held) <= BATCH:
+        conf.set(_BATCH_SETTING, str(BATCH))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null becomes the empty string."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -84,6 +98,7 @@ def distinct_texts(docs: DataFrame, text: Column, parts: int = 1) -> tuple[DataF
     combined within each task before it is shuffled, so it arrives as one row per task. With more parts, one after
     the other is shuffled, by the length in bytes of docs.text, which `text` must then keep.
     """
+    docs = bounded_batches(docs)
     own = F.octet_length(F.coalesce("text", F.lit("")))
 
     def keyed(rows: DataFrame) -> DataFrame:
@@ -116,6 +131,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, i
         end = max(row + 1, int(np.searchsorted(at, at[row] + SLICE, "right")) - 1)
         yield row, end, data[at[row] : at[end]], at[row : end + 1] - at[row]
         row = end
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
