@@ -23,9 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import repeats
-from .util import Rolling, distinct_texts, mix, signed, slices, stretches, word_hashes, words_of, written
+from .util import Rolling, discard, distinct_texts, mix, signed, slices, stretches, together, word_hashes, words_of, written
 
 WINDOW, PERIOD = 50, 31
+#: Windows are shuffled in so many parts by their hash, one after the other, so that shuffle files take less room.
+PARTS = 2
 _SECOND = 0xD1342543DE82EF95
 
 
@@ -70,8 +72,9 @@ _WINDOW = pa.schema([("hash", pa.int64()), ("other", pa.int64()), ("first", pa.i
 _WINDOW_SQL = "hash long, other long, first long, uid long, start int, more array<struct<uid: long, first: long, start: int>>"
 
 
-def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iterator[pa.RecordBatch]:
-    """Windows around recurring anchors; one row for each distinct one of a batch, led by its smallest document."""
+def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int, part: int) -> Iterator[pa.RecordBatch]:
+    """Windows around recurring anchors whose hash falls into the part; one row for each distinct one of a batch, led
+    by its smallest document."""
 
     def found():
         for batch in batches:
@@ -89,9 +92,12 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Ite
                 base = first[text][ok]
                 hit = np.flatnonzero(repeats.covered(len(starts), base + low[ok], base + high[ok] + 1))
                 words = word_hashes(data, starts, ends)
+                one = Rolling(words)(hit, hit + window)
+                mine = np.flatnonzero(one % np.uint64(PARTS) == part)
+                hit, one = hit[mine], one[mine]
                 owner = np.searchsorted(first, hit, "right") - 1
                 two = Rolling(mix(words + np.uint64(1)), _SECOND)(hit, hit + window)
-                yield Rolling(words)(hit, hit + window), two, uid[a + owner], smallest[a + owner], (hit - first[owner]).astype(np.int32)
+                yield one, two, uid[a + owner], smallest[a + owner], (hit - first[owner]).astype(np.int32)
 
     for one, *rest in repeats.batched(found()):
         order = np.argsort(one)
@@ -148,14 +154,21 @@ def by_text(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> tupl
     members, texts = distinct_texts(docs, F.col("text"))
     seen = texts.select("uid", "text").mapInArrow(lambda b: _anchors(b, window, period), repeats.SEEN_SQL)
     places = written(repeats.recurring(seen))
-    near = texts.select("uid", "first", "text").join(places, "uid").select("uid", "first", "text", "places")
-    windows = near.mapInArrow(lambda b: _windows(b, window, period), _WINDOW_SQL)
-    held = windows.withColumn("smallest", F.min("first").over(Window.partitionBy("hash", "other")))
-    # Rows whose only place is the smallest document remove nothing.
-    held = held.where("more is not null or first > smallest")
-    lead = F.array(F.struct("uid", "first", "start"))
-    each = held.select("smallest", F.explode(F.when(F.col("more").isNull(), lead).otherwise(F.concat(lead, "more"))).alias("p")).where("p.first > smallest")
-    starts = written(each.groupBy("p.uid").agg(F.collect_list("p.start").alias("starts")))
+    near = written(texts.select("uid", "first", "text").join(places, "uid").select("uid", "first", "text", "places"))
+    discard(places)
+
+    def removals(part: int) -> DataFrame:
+        windows = near.mapInArrow(lambda b: _windows(b, window, period, part), _WINDOW_SQL)
+        held = windows.withColumn("smallest", F.min("first").over(Window.partitionBy("hash", "other")))
+        # Rows whose only place is the smallest document remove nothing.
+        held = held.where("more is not null or first > smallest")
+        lead = F.array(F.struct("uid", "first", "start"))
+        each = held.select("smallest", F.explode(F.when(F.col("more").isNull(), lead).otherwise(F.concat(lead, "more"))).alias("p")).where("p.first > smallest")
+        return each.groupBy("p.uid").agg(F.collect_list("p.start").alias("starts"))
+
+    starts = together([written(removals(part)) for part in range(PARTS)])
+    discard(near)
+    starts = starts.groupBy("uid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     rows = texts.join(starts, "uid", "left").select("uid", "key", "first", "text", F.coalesce("starts", F.array().cast("array<int>")).alias("starts"))
     return members, rows.mapInArrow(lambda b: _remove(b, window), "key string, first long, n_words long, n_removed long, kept_text string, full_text string")
 
