@@ -162,6 +162,7 @@ TILE_KEY_PATTERNS = (
     r"^(?:r|row)(-?\d+)[_-](?:c|col)(-?\d+)$",
     r"^(?:c|col)(-?\d+)[_-](?:r|row)(-?\d+)$",
 )
+# Fixed value: coordinates in a tile name.
 XY_PATTERN = r"(?i)(-?\d+)x[_-](-?\d+)y"
 
 

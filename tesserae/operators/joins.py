@@ -158,13 +158,14 @@ def model_count(df: DataFrame, model: str) -> Column:
 def matched_rows(df: DataFrame, key: str, model: str, n_models: int | Column, unique: bool = True) -> DataFrame:
     """Rows of the keys seen with every model.
 
-    With one row per (key, model), the contract of a fact table, a key has at most one row per model: they
-    are counted in place, in one shuffle. Otherwise the keys are counted first and semi-joined.
+    Distinct models are counted, so repeats do not stand for missing models; a null model is none. With one row per
+    (key, model), the contract of a fact table, a key's rows are few and are counted in place, in one shuffle.
+    Otherwise the keys are counted first and semi-joined, which a key with very many rows needs.
     """
     if not unique:
         return df.join(matched_keys(df, key, model, n_models), key, "left_semi")
     n = n_models if isinstance(n_models, Column) else F.lit(n_models)
-    counted = df.withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(key)))
+    counted = df.withColumn("_m", F.size(F.collect_set(model).over(Window.partitionBy(key))))
     return counted.where(F.col("_m") == n).drop("_m")
 
 

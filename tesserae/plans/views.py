@@ -14,6 +14,7 @@ from ..session import materialise
 MODELS = ("m0", "m1", "m2", "m3")
 METRICS = ("instance_pq", "pixel_dice", "instance_rq", "instance_sq", "pixel_precision", "pixel_recall")
 ORDER = ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+# Names of the cell classes.
 CLASSES = ("epithelial", "lymphocyte", "connective", "neutrophil", "plasma")
 # Order priorities standing for cell classes in the test tables.
 PRIORITY_OF = {
@@ -124,6 +125,7 @@ V_COMP = (
     + " from orders group by o_custkey) on o_custkey = c_custkey))"
 )
 
+# Dominant class to category, and the order of categories.
 RICH = {"epithelial": "epithelial-rich", "lymphocyte": "lymphocyte-rich", "connective": "connective-tissue-rich"}
 RICH_ORDER = ("connective-tissue-rich", "epithelial-rich", "mixed", "lymphocyte-rich", "no-nuclei")
 

@@ -126,7 +126,7 @@ def test_join_contracts(spark):
 
 
 def test_matched_rows_both_ways(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "a")], "k int, m string")
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "a"), (4, "a"), (4, "a"), (5, None), (5, "b")], "k int, m string")
     for unique in (True, False):
         assert {r.k for r in J.matched_rows(df, "k", "m", 2, unique).collect()} == {1, 3}
 
