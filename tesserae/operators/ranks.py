@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from .spread import spread_join
 
@@ -30,6 +31,12 @@ def _range_of(value: str) -> Column:
     return F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(coarse * _FINE + fine)
 
 
+def present(df: DataFrame, value: str) -> Column:
+    """Whether a column holds a value; NaN is none."""
+    held = F.col(value).isNotNull()
+    return held & ~F.isnan(value) if isinstance(df.schema[value].dataType, (DoubleType, FloatType)) else held
+
+
 def value_ranks(
     df: DataFrame,
     by: Sequence[str],
@@ -40,13 +47,13 @@ def value_ranks(
     """One row per (group, value): `n`, `before` (rows with a smaller value), `total`.
 
     Every entry of `sums` adds `<name>`, `before_<name>` and `total_<name>` in the same way.
-    Null values are left out. Group keys may be null.
+    Null and NaN values are left out. Group keys may be null.
     """
     keys = [f"_g{i}" for i in range(len(by))]
     sums = {"n": F.count(F.lit(1)), **(sums or {})}
     names = list(sums)
     counted = (
-        df.where(F.col(value).isNotNull())
+        df.where(present(df, value))
         .groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col(value).alias("_v"))
         .agg(*[e.alias(n) for n, e in sums.items()])
     )

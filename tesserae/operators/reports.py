@@ -25,11 +25,12 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], metrics: Sequence[str],
 
 
 def metric_summary(facts: DataFrame, model: str, metrics: Sequence[str], raw_counts: DataFrame | None = None) -> DataFrame:
-    """Per model: counts, then mean, median, sample std, q1, q3 and IQR of each metric."""
+    """Per model: counts, then mean, median, sample std, q1, q3 and IQR of each metric, without nulls and NaN."""
+    held = {m: F.when(R.present(facts, m), F.col(m)) for m in metrics}
     moments = facts.groupBy(model).agg(
         F.count(F.lit(1)).alias("n_compared_matched"),
-        *[F.avg(m).alias(f"{m}_mean") for m in metrics],
-        *[F.stddev_samp(m).alias(f"{m}_std") for m in metrics],
+        *[F.avg(held[m]).alias(f"{m}_mean") for m in metrics],
+        *[F.stddev_samp(held[m]).alias(f"{m}_std") for m in metrics],
     )
     quants = grouped_quantiles(facts, [model], metrics, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     out = moments.join(quants, model)

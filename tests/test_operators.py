@@ -217,3 +217,9 @@ def test_missing_metric_never_wins(spark):
     assert {r.model: r.win_count for r in P.win_counts(facts, "key", "model", "m", order).collect()} == {"a": 0, "b": 2}
     runs = spark.createDataFrame([("g", 1, None), ("g", 2, 0.9)], "g string, trial int, s double")
     assert L.compare_runs(runs, ["g"], "s").first()["best_trial"] == 2
+
+
+def test_nan_is_no_value(spark):
+    facts = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, float("nan"), None)], "m string, v double")
+    row = P.metric_summary(facts, "m", ["v"]).first()
+    assert (row.v_mean, row.v_std, row.v_median) == (2.0, 1.0, 2.0)
