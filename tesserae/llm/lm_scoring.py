@@ -4,10 +4,15 @@ A byte is eight binary decisions, each at a node of the binary tree of bytes. Fo
 bytes before it, a node keeps how often it went either way in the training texts and the Krichevsky-Trofimov
 estimate of that. The probability of a decision mixes the estimates of all depths: going from depth d to depth
 d+1 weighs the node's own estimate against the product of its children with 1/2 a priori, and with their
-likelihoods on the training texts a posteriori. A context becomes an inner node of the tree only if it holds at
-least a share 2**-SUPPORT of the training bytes, which bounds the tree, and so what is broadcast, whatever the
-corpus size; all other contexts below the same parent share one leaf. The tree is learned from all training
-texts and then stays as it is, so a document's score does not depend on others that are scored.
+likelihoods on the training texts a posteriori. A context becomes an inner node of the tree if it occurs SUPPORT
+times or more in the training texts, however large they are, so the tree grows with them; the contexts below the
+same parent that occur less often share one leaf. Contexts with the same last SPLIT bytes make a subtree; subtrees
+are weighed in parallel, in partitions of these bytes. Only the nodes of shorter contexts, whose number the alphabet
+bounds (256 for each context of up to one byte), come to the driver and are broadcast. The tree is learned from all
+training texts and then stays as it is, so a document's score does not depend on others that are scored.
+
+Texts are dealt into batches of some megabytes. Each batch names its distinct (context, byte) codes, these are
+joined with their probabilities, and what was found meets the texts of the batch again.
 
 A text is modelled as its bytes, A-Z lower-cased, and one end symbol; before its first byte stand end symbols.
 The base model is the smoothed unigram of words. Counts of frequent words (2**-COMMON of all tokens or more, so
@@ -27,10 +32,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .util import lowered, mix, signed, slices, stretches, word_hashes, words_of, written
+from .util import bounded_batches, discard, lowered, signed, slices, stretches, together, word_hashes, words_of, written
 
 DEPTH = 5
-SUPPORT = 17
+#: Occurrences from which a context is kept.
+SUPPORT = 2
+#: Bytes of context that make a subtree, codes that are weighed together (or one larger subtree), bytes of text in a batch.
+SPLIT, WEIGHED, BATCH_TEXT = 2, 150_000, 12_000_000
+#: Batches are scored in so many parts, one after the other, so that less is shuffled at a time.
+PARTS = 4
 COMMON = 19
 #: The symbol after the last byte; UTF-8 has no such byte.
 END = 255
@@ -82,14 +92,40 @@ def _codes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarra
     return code[keep], sizes + 1
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+_BATCHED = pa.schema([("batch", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("held_out", pa.bool_())])
+_BATCHED_SQL = "batch long, row long, doc_id long, text string, held_out boolean"
+_GRAM = pa.schema([("batch", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers for rows and for the batches they come in."""
+    row = number = TaskContext.get().partitionId() << 33
+    size = 0
     for batch in batches:
-        keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for _, _, data, offsets in slices(batch):
-            key, count = np.unique(signed(_codes(data, offsets, depth)[0]), return_counts=True)
-            keys.append(key)
-            counts.append(count)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _summed(keys, counts)], schema=_COUNT)
+        n, more = batch.num_rows, batch.column(1).nbytes
+        if size and size + more > BATCH_TEXT:
+            number, size = number + 1, 0
+        size += more
+        columns = [pa.array(np.full(n, number)), pa.array(np.arange(row, row + n)), *(batch.column(c).cast(_BATCHED.field(f).type) for c, f in enumerate(("doc_id", "text", "held_out")))]
+        yield pa.RecordBatch.from_arrays(columns, schema=_BATCHED)
+        row += n
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """Distinct codes of each batch and how often its training texts have them."""
+    for arrived in batches:
+        number = arrived.column(0).to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]])) if len(number) else np.zeros(1, int)
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            batch, keys, counts = arrived.slice(i, j - i), [], []
+            training = ~batch.column(4).fill_null(True).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in slices(batch):
+                code, sizes = _codes(data, offsets, depth)
+                code, count = np.unique(code << np.uint64(1) | np.repeat(training[a:b], sizes), return_counts=True)
+                keys.append(signed(code >> np.uint64(1)))
+                counts.append(count * (code & np.uint64(1)).astype(np.int64))
+            key, n = _summed(keys, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), number[i])), pa.array(key), pa.array(n)], schema=_GRAM)
 
 
 # --- the tree ---------------------------------------------------------------------------------------------------
@@ -140,122 +176,175 @@ class Table:
         return out
 
 
+def _mask(depth: int) -> int:
+    """What a code, or the key of a node, has with `depth` bytes of context."""
+    return (1 << 8 * (depth + 1)) - 1
+
+
 def _nodes(byte: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(node, bit) of the eight decisions of bytes; node 1 is the root of the binary tree."""
     for k in range(8):
-        yield (np.uint64(1 << k) | (byte >> np.uint64(8 - k))), (byte >> np.uint64(7 - k)) & np.uint64(1)
+        yield (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
 
 
-class ContextTree:
-    """The frozen mixture.
+class Level:
+    """Nodes of the kept contexts of one depth, keys (context, then the node) ascending.
 
-    counts[d]: codes (context of d bytes, then the byte) of the kept contexts of depth d, ascending, and how often
-    each occurred; every kept context's suffix is kept too.
+    below: (keys of this depth, zeros, ones, log likelihoods) summed over kept children; None at full depth.
     """
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(counts) - 1
-        keys, zeros, ones = [], [], []
-        for code, n in counts:
-            context, byte = code >> np.uint64(8), code & np.uint64(255)
-            parts = list(_nodes(byte))
-            key, at = np.unique(np.concatenate([context << np.uint64(8) | node for node, _ in parts]), return_inverse=True)
-            bit = np.concatenate([b for _, b in parts]) == 1
-            weight = np.tile(n.astype(float), 8)
-            keys.append(key)
-            zeros.append(np.bincount(at, weight * ~bit, len(key)))
-            ones.append(np.bincount(at, weight * bit, len(key)))
-        # Bottom up: likelihood of each node with everything below it; what no kept child holds is one leaf.
-        weighted, own, rest = [None] * len(keys), [None] * len(keys), [None] * len(keys)
-        for d in range(self.depth, -1, -1):
-            likelihood = _kt(zeros[d], ones[d])
-            if d == self.depth:
-                weighted[d], own[d] = likelihood, np.ones(len(likelihood))
-                continue
-            child = keys[d + 1]
-            mask = np.uint64((1 << 8 * d) - 1)
-            up = np.searchsorted(keys[d], (child >> np.uint64(8) & mask) << np.uint64(8) | child & np.uint64(255))
-            n = len(likelihood)
-            left0, left1 = zeros[d] - np.bincount(up, zeros[d + 1], n), ones[d] - np.bincount(up, ones[d + 1], n)
-            below = np.bincount(up, weighted[d + 1], n) + _kt(left0, left1)
-            weighted[d] = np.logaddexp(likelihood, below) - _LN2
-            own[d] = np.exp(likelihood - _LN2 - weighted[d])
-            rest[d] = (left1 + 0.5) / (left0 + left1 + 1)
-        # Top down: what the depths above and this one contribute, and the weight that is left for below.
-        self.nodes, self.given, self.left, self.final = [], [], [], []
-        for d in range(len(keys)):
-            if d:
-                mask = np.uint64((1 << 8 * (d - 1)) - 1)
-                up = np.searchsorted(keys[d - 1], (keys[d] >> np.uint64(8) & mask) << np.uint64(8) | keys[d] & np.uint64(255))
-                given, left = self.given[d - 1][up], self.left[d - 1][up]
-            else:
-                given, left = np.zeros(len(keys[0])), np.ones(len(keys[0]))
-            estimate = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-            given, left = given + left * own[d] * estimate, left * (1 - own[d])
-            final = given if d == self.depth else given + left * rest[d]
-            self.nodes.append(Table(keys[d]))
-            for held, values in ((self.given, given), (self.left, left), (self.final, final)):
-                held.append(values)
-        # Codes that were seen get their log2 probability once.
-        self.contexts = [Table(np.unique(code >> np.uint64(8))) for code, _ in counts]
-        self.seen = [Table(code) for code, _ in counts]
-        self.bits = [self._slow(code, d).astype(np.float32) for d, (code, _) in enumerate(counts)]
-
-    def _slow(self, code: np.ndarray, deepest: int) -> np.ndarray:
-        """log2 probabilities of bytes whose deepest kept context has `deepest` bytes, node by node."""
-        context, byte = code >> np.uint64(8), code & np.uint64(255)
-        out = np.zeros(len(code))
-        for node, bit in _nodes(byte):
-            chance = np.full(len(code), 0.5)
-            rows = np.arange(len(code))
-            for d in range(deepest, -1, -1):
-                key = (context[rows] & np.uint64((1 << 8 * d) - 1)) << np.uint64(8) | node[rows]
-                at = self.nodes[d].find(key)
-                hit = at >= 0
-                # A context without data at this node says 1/2 with all the weight that is left.
-                chance[rows[hit]] = self.final[d][at[hit]] if d == deepest else self.given[d][at[hit]] + self.left[d][at[hit]] * 0.5
-                rows = rows[~hit]
-            out += np.log2(np.where(bit == 1, chance, 1 - chance))
-        return out
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int, support: int, below):
+        code, n = _summed([code & _mask(depth)], [n])
+        if depth and len(code):
+            begins = np.flatnonzero(np.append(True, code[1:] >> 8 != code[:-1] >> 8))
+            keep = np.repeat(np.add.reduceat(n, begins) >= support, np.diff(np.append(begins, len(code))))
+            code, n = code[keep], n[keep]
+        parts = list(_nodes(code & 255))
+        self.keys, at = np.unique(np.concatenate([code & ~255 | node for node, _ in parts]), return_inverse=True)
+        bit, weight, size = np.concatenate([b for _, b in parts]) == 1, np.tile(n.astype(float), 8), len(self.keys)
+        self.zeros, self.ones = np.bincount(at, weight * ~bit, size), np.bincount(at, weight * bit, size)
+        self.weighted = _kt(self.zeros, self.ones)
+        self.own, self.rest = np.ones(size), np.full(size, 0.5)
+        if below is not None:
+            up = np.searchsorted(self.keys, below[0])
+            left0, left1 = self.zeros - np.bincount(up, below[1], size), self.ones - np.bincount(up, below[2], size)
+            likelihood = self.weighted
+            # What no kept child holds is one leaf.
+            self.weighted = np.logaddexp(likelihood, np.bincount(up, below[3], size) + _kt(left0, left1)) - _LN2
+            self.own = np.exp(likelihood - _LN2 - self.weighted)
+            self.rest = (left1 + 0.5) / (left0 + left1 + 1)
+
+    def upwards(self, depth: int) -> tuple[np.ndarray, ...]:
+        """What the next smaller depth, `depth`, needs."""
+        key, at = np.unique(self.keys & _mask(depth), return_inverse=True)
+        return key, *(np.bincount(at, x, len(key)) for x in (self.zeros, self.ones, self.weighted))
+
+
+def _levels(code: np.ndarray, n: np.ndarray, deepest: int, least: int, support: int, below=None) -> list[Level]:
+    """Levels from depth `least` to `deepest`, made bottom up."""
+    out = []
+    for d in range(deepest, least - 1, -1):
+        out.insert(0, Level(code, n, d, support, below))
+        if d > least:
+            below = out[0].upwards(d - 1)
+    return out
+
+
+def _log2(code: np.ndarray, levels: list[Level]) -> np.ndarray:
+    """log2 probability of each byte after its context, top down through levels of all depths from 0 on."""
+    out, kept = np.zeros(len(code)), []
+    for node, bit in _nodes(code & 255):
+        given, left, chance = np.zeros(len(code)), np.ones(len(code)), np.full(len(code), 0.5)
+        for d, level in enumerate(levels):
+            key = code & _mask(d) & ~255 | node
+            at = np.minimum(np.searchsorted(level.keys, key), max(len(level.keys) - 1, 0))
+            hit = level.keys[at] == key if len(level.keys) else np.zeros(len(code), bool)
+            if len(kept) == d:
+                kept.append(hit)  # the first node is node 1, at which every kept context has data
+            at, bare = at[hit], kept[d] & ~hit
+            # A context without data at this node says 1/2 with all the weight that is left.
+            given[bare] += left[bare] * 0.5
+            left[bare] = 0
+            chance[bare] = given[bare]
+            given[hit] += left[hit] * level.own[at] * ((level.ones[at] + 0.5) / (level.zeros[at] + level.ones[at] + 1))
+            left[hit] *= 1 - level.own[at]
+            chance[hit] = given[hit] + left[hit] * level.rest[at]
+        out += np.log2(np.where(bit == 1, chance, 1 - chance))
+    return out
+
+
+_UP = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("zeros", pa.float64()), ("ones", pa.float64()), ("weighted", pa.float64())])
+_BITS = pa.schema([("key", pa.int64()), ("bits", pa.float64())])
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch], split: int) -> Iterator[list[np.ndarray]]:
+    """Columns (code, count, is it wanted) of some whole subtrees at a time; a partition holds whole subtrees."""
+    arrived = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    if not arrived:
+        return
+    columns = [np.concatenate(c) for c in zip(*arrived, strict=True)]
+    group = columns[0] & _mask(split) & ~255
+    order = np.argsort(group, kind="stable")
+    group, columns = group[order], [c[order] for c in columns]
+    begins = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, int)
+    ends, start = np.append(begins[1:], len(group)), 0
+    while start < len(group):
+        fit = ends[(ends > start) & (ends <= start + WEIGHED)]
+        end = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, start, "right")])
+        yield [c[start:end] for c in columns]
+        start = end
+
+
+class ContextTree:
+    """The frozen mixture of codes(key, n): context of `depth` bytes, then the byte, and how often it occurred; unique."""
+
+    def __init__(self, codes: DataFrame, depth: int, support: int):
+        self.codes, self.depth, self.support, self.split = codes, depth, support, min(SPLIT, depth)
+        self.top: list[Level] = []
+        if not self.split:
+            return
+        split = self.split
+
+        def rise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for code, n, _ in _subtrees(batches, split):
+                key, count = _summed([code & _mask(split - 1)], [n])
+                up, *sums = _levels(code, n, depth, split, support)[0].upwards(split - 1)
+                none = np.zeros(len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(key), np.int32)), pa.array(key), pa.array(count), *[pa.array(none)] * 3], schema=_UP)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(up), np.int32)), pa.array(up), pa.array(np.zeros(len(up), np.int64)), *map(pa.array, sums)], schema=_UP)
+
+        rows = self._dealt(codes.where("n > 0").select("key", "n", F.lit(False).alias("wanted"))).mapInArrow(rise, "kind int, key long, n long, zeros double, ones double, weighted double")
+        # At most 256 * 256 codes and as many nodes.
+        rows = rows.groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n", "zeros", "ones", "weighted")]).orderBy("kind", "key").toArrow()
+        kind, key, n, *sums = (rows.column(c).to_numpy() for c in ("kind", "key", "n", "zeros", "ones", "weighted"))
+        self.top = _levels(key[kind == 0], n[kind == 0], split - 1, 0, support, (key[kind == 1], *(x[kind == 1] for x in sums)))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows with the same subtree to the same partition."""
+        spark = rows.sparkSession
+        subtree = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * self.split) - 1))
+        return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), subtree)
+
+    def bits(self, wanted: DataFrame | None = None) -> DataFrame:
+        """wanted(key), unique, by default all codes -> key, bits: log2 probability of each byte after its context."""
+        rows = self.codes.select("key", "n", F.lit(wanted is None).alias("wanted"))
+        if wanted is not None:
+            rows = rows.unionByName(wanted.select("key", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted")))
+        top = rows.sparkSession.sparkContext.broadcast(self.top)
+        depth, split, support = self.depth, self.split, self.support
+
+        def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for code, n, asked in _subtrees(batches, split):
+                levels = [*top.value, *_levels(code[n > 0], n[n > 0], depth, split, support)]
+                code = code[asked]
+                for i in range(0, len(code), WEIGHED):
+                    some = np.sort(code[i : i + WEIGHED])
+                    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(_log2(some, levels))], schema=_BITS)
+
+        return self._dealt(rows).mapInArrow(fall, "key long, bits double")
 
     def log2(self, code: np.ndarray) -> np.ndarray:
-        """log2 probability of each byte after its context; code as made by _codes at full depth."""
-        out = np.empty(len(code))
-        rows, now = np.arange(len(code)), code
-        for d in range(self.depth, -1, -1):
-            now = now & np.uint64((1 << 8 * (d + 1)) - 1)
-            at = self.seen[d].find(now)
-            hit = at >= 0
-            out[rows[hit]] = self.bits[d][at[hit]]
-            rows, now = rows[~hit], now[~hit]
-            if not len(rows):
-                break
-            unseen = self.contexts[d].find(now >> np.uint64(8)) >= 0 if d else np.ones(len(rows), bool)
-            if unseen.any():
-                codes, back = np.unique(now[unseen], return_inverse=True)
-                out[rows[unseen]] = self._slow(codes, d)[back]
-                rows, now = rows[~unseen], now[~unseen]
-        return out
+        """bits() for some codes that the driver holds."""
+        key, back = np.unique(signed(code), return_inverse=True)
+        found = self.bits(self.codes.sparkSession.createDataFrame([(int(k),) for k in key], "key long")).orderBy("key").toArrow()
+        return found.column("bits").to_numpy()[back]
+
+
+def _batches(rows: DataFrame) -> DataFrame:
+    """rows(doc_id, text, held_out), dealt into numbered batches."""
+    return written(bounded_batches(rows).mapInArrow(_batched, _BATCHED_SQL))
+
+
+def _grams(batched: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(batch, key, n) of each batch, and (key, n) of all together."""
+    grams = written(batched.mapInArrow(lambda b: _gram_counts(b, depth), "batch long, key long, n long"))
+    return grams, written(grams.groupBy("key").agg(F.sum("n").alias("n")))
 
 
 def learn_tree(train: DataFrame, depth: int = DEPTH, support: int = SUPPORT) -> ContextTree:
-    """train(text) -> the tree; at most 2**support contexts of each depth come to the driver, with their bytes."""
-    grams = train.mapInArrow(lambda b: _gram_counts(b, depth), "key long, n long")
-    grams = written(grams.groupBy("key").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    counts = []
-    for d in range(depth + 1):
-        code = F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1))
-        level = grams.groupBy(code.alias("key")).agg(F.sum("n").alias("n"))
-        if d:
-            context = F.shiftrightunsigned("key", 8).alias("context")
-            kept = level.groupBy(context).agg(F.sum("n").alias("held")).where(F.col("held") * (1 << support) >= total).select("context")
-            level = level.withColumn("context", context).join(kept, "context", "left_semi").select("key", "n")
-        rows = level.toArrow()
-        key, n = (rows.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-        order = np.argsort(key)
-        counts.append((key[order].view(np.uint64), n[order]))
-    return ContextTree(counts)
+    """train(text) -> the tree."""
+    rows = train.select(F.lit(None).cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(False).alias("held_out"))
+    return ContextTree(_grams(_batches(rows), depth)[1], depth, support)
 
 
 # --- scores -----------------------------------------------------------------------------------------------------
@@ -263,27 +352,31 @@ def learn_tree(train: DataFrame, depth: int = DEPTH, support: int = SUPPORT) ->
 _SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    tree, words, gain = model.value
-    row = TaskContext.get().partitionId() << 33
-    for batch in batches:
+_SCORED_SQL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>"
+
+
+def _score(texts: pa.Table, found: pa.Table, depth: int, model) -> pa.Table:
+    """Scores of the texts of one batch, given the bits of all its codes."""
+    words, gain = model.value
+    codes, bits = Table(found.column("key").to_numpy().view(np.uint64)), found.column("bits").to_numpy()
+    out = []
+    for batch in texts.combine_chunks().to_batches():
         for a, b, data, offsets in slices(batch):
-            part = batch.slice(a, b - a)
-            code, sizes = _codes(data, offsets, tree.depth)
-            begins = np.cumsum(sizes) - sizes
-            score = np.add.reduceat(tree.log2(code), begins) * _LOG10_2
+            part, n = batch.slice(a, b - a), b - a
+            code, sizes = _codes(data, offsets, depth)
+            score = np.add.reduceat(bits[codes.find(code)], np.cumsum(sizes) - sizes) * _LOG10_2
             data = lowered(data)
             starts, ends, first = words_of(data, offsets)
-            found = word_hashes(data, starts, ends)
-            at = words.find(found)
-            text = np.repeat(np.arange(b - a), np.diff(first))
+            hashes = word_hashes(data, starts, ends)
+            at = words.find(hashes)
+            text = np.repeat(np.arange(n), np.diff(first))
             common = at >= 0
-            known, base = np.bincount(text[common], minlength=b - a), np.bincount(text[common], gain[at[common]], b - a)
-            rare = signed(found[~common])
+            known, base = np.bincount(text[common], minlength=n), np.bincount(text[common], gain[at[common]], n)
+            rare = signed(hashes[~common])
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(np.flatnonzero(~common), first), pa.int32()), pa.array(rare))
-            n = b - a
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), part.column(0), part.column(2), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score), lists], schema=_SCORED)
-            row += n
+            columns = [*(part.column(part.schema.get_field_index(c)) for c in ("row", "doc_id", "held_out")), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(score), lists]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=_SCORED))
+    return pa.Table.from_batches(out, _SCORED)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -297,15 +390,26 @@ def lm_scores(docs: DataFrame, training: Column | None = None, depth: int = DEPT
     """
     rest = held_out(F.col("doc_id")) if training is None else ~training
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), rest.alias("held_out"))
-    train = rows.where(~F.col("held_out")).select("text")
+    batched = _batches(rows)
+    train = batched.where(~F.col("held_out")).select("text")
     words = written(train.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, distinct, ends = words.agg(F.sum("n"), F.count(F.lit(1)), F.sum(F.when(F.col("key") == _END_TOKEN, F.col("n")))).first()
     total, ends = total or 0, ends or 0
     often = words.where((F.col("n") * (1 << common) >= total) & (F.col("key") != _END_TOKEN)).toArrow()
     key, n = (often.column(c).to_numpy().astype(np.int64) for c in ("key", "n"))
-    tree = learn_tree(train, depth, support)
-    model = docs.sparkSession.sparkContext.broadcast((tree, Table(key.view(np.uint64)), np.log10(n + 1.0)))
-    scored = written(rows.mapInArrow(lambda b: _score(b, model), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<bigint>"))
+    model = docs.sparkSession.sparkContext.broadcast((Table(key.view(np.uint64)), np.log10(n + 1.0)))
+    grams, codes = _grams(batched, depth)
+    bits = written(ContextTree(codes, depth, support).bits())
+    discard(codes)
+    done = []
+    for part in range(PARTS):
+        texts, some = (x.where(F.pmod(F.xxhash64("batch"), F.lit(PARTS)) == part) for x in (batched, grams.select("batch", "key")))
+        found = some.join(bits, "key").groupBy("batch")
+        done.append(written(texts.groupBy("batch").cogroup(found).applyInArrow(lambda texts, values: _score(texts, values, depth, model), _SCORED_SQL)))
+        del texts, some, found
+    for frame in (grams, bits, batched):
+        discard(frame)
+    scored = together(done)
 
     rare = scored.select("row", F.explode("rare").alias("key"))
     found = rare.join(words, "key").groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("gain"))

@@ -1,6 +1,8 @@
 """Operators against brute force on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables."""
 
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -228,6 +230,61 @@ def test_context_tree_is_a_distribution(make):
     assert np.allclose(np.exp2(tree.log2(codes)).reshape(-1, 256).sum(1), 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("support", [1, 2, 5])
+def test_context_tree_keeps_what_occurs_often_enough(make, support):
+    """Against the recursion over a tree held in dicts; most contexts are far below any share of the bytes."""
+    depth, rows = 3, corpus(3, 14)
+    count = {}
+    for _, t in rows:
+        line = bytes([255] * depth) + (t or "").translate(LOW).encode() + b"\xff"
+        for i in range(depth, len(line)):
+            for d in range(depth + 1):
+                at = count.setdefault(line[i - d : i], {})
+                at[line[i]] = at.get(line[i], 0) + 1
+    kept = {c for c, seen in count.items() if not c or sum(seen.values()) >= support}
+    below = {c: [bytes([b]) + c for b in range(256) if bytes([b]) + c in kept] for c in kept}
+
+    def split(c, node, k):
+        zeros = sum(n for b, n in count[c].items() if (1 << k | b >> 8 - k) == node and not b >> 7 - k & 1)
+        return zeros, sum(n for b, n in count[c].items() if (1 << k | b >> 8 - k) == node and b >> 7 - k & 1)
+
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+
+    @functools.cache
+    def weigh(c, node, k):
+        """(log likelihood with all below, own weight, chance of a one in the leaf of the rest)"""
+        zeros, ones = split(c, node, k)
+        if len(c) == depth:
+            return kt(zeros, ones), 1.0, 0.5
+        inner = [(x, split(x, node, k)) for x in below[c]]
+        left = zeros - sum(z for _, (z, _) in inner), ones - sum(o for _, (_, o) in inner)
+        under = kt(*left) + sum(weigh(x, node, k)[0] for x, n in inner if sum(n))
+        both = float(np.logaddexp(kt(zeros, ones), under)) - math.log(2)
+        return both, math.exp(kt(zeros, ones) - math.log(2) - both), (left[1] + 0.5) / (sum(left) + 1)
+
+    def chance(c, node, k):
+        given, left = 0.0, 1.0
+        for d in range(depth + 1):
+            here = c[depth - d :]
+            if here not in kept:
+                break
+            zeros, ones = split(here, node, k)
+            if not zeros + ones:
+                return given + left / 2
+            _, own, rest = weigh(here, node, k)
+            given, left = given + left * own * (ones + 0.5) / (zeros + ones + 1), left * (1 - own)
+        return given + left * rest
+
+    r = random.Random(2)
+    asked = [(c, b) for c in r.sample([c for c in count if len(c) == depth], 40) for b in (*count[c], 97)] + [(b"qqq", 97), (b"\xfd w", 120), (b"\xfd\xfe\xfd", 254)]
+    code = np.array([int.from_bytes(c, "big") << 8 | b for c, b in asked], np.uint64)
+    want = []
+    for c, b in asked:
+        ones = [chance(c, 1 << k | b >> 8 - k, k) for k in range(8)]
+        want.append(sum(math.log2(p if b >> 7 - k & 1 else 1 - p) for k, p in enumerate(ones)))
+    assert np.allclose(lm_scoring.learn_tree(make(rows).select("text"), depth, support).log2(code), want, atol=1e-6)
+
+
 def test_lm_scores(make):
     rows = corpus(8, 80)
     got = lm_scoring.lm_scores(make(rows)).collect()
