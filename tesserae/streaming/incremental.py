@@ -6,11 +6,12 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.tables import failed, passed, route
 
 
-def arriving(spark: SparkSession, folder: str, schema: str, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
+def arriving(spark: SparkSession, folder: str, schema: str | StructType, glob: str = "*.parquet", files_per_trigger: int = 1000) -> DataFrame:
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
     )
@@ -21,11 +22,25 @@ def run_incremental(
 ) -> None:
     """Process what has arrived, then stop; a later call goes on from the checkpoint.
 
-    State is one entry per key within the lateness. The file sink commits each batch once, so a row lands
-    in exactly one of the two tables however often executors or the driver restart.
+    Of rows with the same key the first to arrive is kept, at any distance in time: each batch is held against the
+    keys of all earlier ones, which lie as a table in the checkpoint folder with the rows they came with. A row is
+    never too late, so event_time and lateness drop nothing. A batch that runs again overwrites what it left, and
+    the two tables are written from that folder only after it is complete, each batch once, so a row lands in
+    exactly one of them however often executors or the driver restart.
     """
-    unique = source.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark(list(key))
-    routed = route(unique, checks)
+    spark, schema, new = source.sparkSession, source.schema, f"{checkpoint}/new"
+    names = list(key)
+
+    def add(batch: DataFrame, number: int) -> None:
+        fresh = batch.dropDuplicates(names)
+        if number:
+            earlier = batch.sparkSession.read.schema(schema).parquet(*[f"{new}/{i}" for i in range(number)]).select(*[F.col(f"`{k}`").alias(f"_seen{i}") for i, k in enumerate(names)])
+            same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_seen{i}")) for i, k in enumerate(names)]
+            fresh = fresh.join(earlier, same, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{new}/{number}")
+
+    source.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/arrived").trigger(availableNow=True).start().awaitTermination()
+    routed = route(arriving(spark, f"{new}/*", schema), checks)
     queries = [
         part.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}")
         .outputMode("append").trigger(availableNow=True).start()

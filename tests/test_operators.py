@@ -184,6 +184,22 @@ def test_incremental_run_goes_on_where_it_stopped(spark):
     assert run() == ([1, 3], [2, 4])
 
 
+def test_incremental_run_keeps_late_rows_and_knows_old_keys(spark):
+    root = tempfile.mkdtemp(prefix="spark-")
+
+    def run(name, rows):
+        day = F.timestamp_seconds(F.col("day") * 86400 + 1_700_000_000)
+        spark.createDataFrame(rows, "k int, day int, v int").select("k", day.alias("ts"), "v").coalesce(1).write.parquet(os.path.join(root, "in", name))
+        source = I.arriving(spark, f"{root}/in/*", "k int, ts timestamp, v int")
+        I.run_incremental(source, ["k"], "ts", "1 day", [("negative", F.col("v") < 0, "negative")], f"{root}/ok", f"{root}/bad", f"{root}/cp")
+        return [sorted((r.k or 0, r.v) for r in spark.read.parquet(f"{root}/{t}").collect()) for t in ("ok", "bad")]
+
+    assert run("a", [(1, 0, 1), (2, 100, 1), (None, 100, 7)]) == [[(0, 7), (1, 1), (2, 1)], []]
+    # Rows long before the latest, then keys that come back long after.
+    assert run("b", [(3, 5, 1), (4, 6, -1), (5, 300, 1)]) == [[(0, 7), (1, 1), (2, 1), (3, 1), (5, 1)], [(4, -1)]]
+    assert run("c", [(1, 400, 9), (4, 400, 9), (None, 400, 9), (6, 400, 2)]) == [[(0, 7), (1, 1), (2, 1), (3, 1), (5, 1), (6, 2)], [(4, -1)]]
+
+
 def test_tables_by_suffix(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     df = spark.createDataFrame([(1, 'a "quoted", text'), (2, None)], "k int, t string")
