@@ -75,7 +75,8 @@ def grouped_folds(df: DataFrame, group: str, folds: int, seed: int, label: str |
 
     Groups with at least 1/HEAVY_SHARE of the rows, so at most HEAVY_SHARE of them, are placed greedily.
     The many light groups fill what the folds have left, in hash order: their fold follows from a few cut
-    points of the hash.
+    points of the hash. With `label` there are cuts for each class, for the groups that hold a larger share of
+    that class than of any other, so that every fold gets its share of every class.
     """
     classes = [None] if label is None else [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
     counts = df.groupBy(group).agg(
@@ -88,23 +89,38 @@ def grouped_folds(df: DataFrame, group: str, folds: int, seed: int, label: str |
     is_heavy = F.col("_n") * HEAVY_SHARE >= total
     heavy = sorted(counts.where(is_heavy).collect(), key=lambda r: (-r["_n"], str(r[group])))
     placed = _greedy([[r[f"_c{i}"] for i in range(len(classes))] for r in heavy], k) if heavy else []
-    load = [0] * k
+    load = [[0] * k for _ in classes]
     for r, f in zip(heavy, placed):
-        load[f] += r["_n"]
-    light_rows = total - sum(load)
+        for c in range(len(classes)):
+            load[c][f] += r[f"_c{c}"]
     h = _draw(group, seed)
-    light_fold = F.lit(0)
-    if light_rows:
-        room = [max(total / k - x, 0.0) for x in load]
-        edges = list(itertools.accumulate(x / sum(room) for x in room))[:-1]
-        line = R.value_ranks(counts.where(~is_heavy).select(h.alias("h"), "_n"), [], "h", {"w": F.sum("_n")})
-        cuts = line.agg(*[F.min(F.when(F.col("before_w") >= F.col("total_w") * e, F.col("h"))).alias(f"e{i}") for i, e in enumerate(edges)]).first()
-        light_fold = sum(((h >= F.lit(c)).cast("int") for c in cuts if c is not None), F.lit(0))
-    if not heavy:
-        return df.withColumn("fold", light_fold)
-    schema = f"{df.select(group).schema.simpleString()[7:-1]}, _hf int"
-    table = df.sparkSession.createDataFrame([(r[group], f) for r, f in zip(heavy, placed)], schema)
-    return df.join(F.broadcast(table), group, "left").withColumn("fold", F.coalesce("_hf", light_fold)).drop("_hf")
+    sums = counts.agg(*[F.sum(f"_c{c}") for c in range(len(classes))]).first()
+    # The class of which a group holds the largest share; the first of several.
+    shares = F.array(*[F.col(f"_c{c}") / float(sums[c] or 1) for c in range(len(classes))])
+    light = counts.where(~is_heavy).select(group, h.alias("h"), "_n", (F.array_position(shares, F.array_max(shares)) - 1).cast("int").alias("_s"))
+    edges = []
+    for c in range(len(classes)):
+        room = [max((sums[c] or 0) / k - x, 0.0) for x in load[c]]
+        room = room if sum(room) else [1.0] * k
+        edges.append(list(itertools.accumulate(x / sum(room) for x in room))[:-1])
+    line = R.value_ranks(light.select("_s", "h", "_n"), ["_s"], "h", {"w": F.sum("_n")})
+    edge = [F.element_at(F.array(*[F.lit(float(x)) for x in at]), F.col("_s") + 1) for at in zip(*edges)]
+    cuts = {r["_s"]: list(r)[1:] for r in line.groupBy("_s").agg(*[F.min(F.when(F.col("before_w") >= F.col("total_w") * e, F.col("h"))).alias(f"e{i}") for i, e in enumerate(edge)]).collect()}
+    count_up = lambda at: sum(((h >= F.lit(c)).cast("int") for c in at if c is not None), F.lit(0))
+    heavy_schema = f"{df.select(group).schema.simpleString()[7:-1]}, _hf int"
+    table = df.sparkSession.createDataFrame([(r[group], f) for r, f in zip(heavy, placed)], heavy_schema)
+    if label is None:
+        light_fold = count_up(cuts.get(0, []))
+        return df.join(F.broadcast(table), group, "left").withColumn("fold", F.coalesce("_hf", light_fold)).drop("_hf") if heavy else df.withColumn("fold", light_fold)
+    # Which cuts hold for a group is joined back, to the rows of light groups only, so no key is hot.
+    folds_of = F.lit(0)
+    for s, at in cuts.items():
+        folds_of = F.when(F.col("_s") == s, count_up(at)).otherwise(folds_of)
+    own = light.select(F.col(group).alias("_g"), folds_of.alias("fold"))
+    key = F.col("_hg").eqNullSafe(F.col(group))
+    renamed = F.broadcast(table.withColumnRenamed(group, "_hg"))
+    rest = df.join(renamed, key, "left_anti").join(own, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return rest.unionByName(df.join(renamed, key).withColumn("fold", F.col("_hf")).drop("_hg", "_hf")) if heavy else rest
 
 
 def feature_frame(

@@ -106,6 +106,17 @@ def test_folds_and_split_keep_groups_whole(spark):
     assert s.where("split = 'test'").select("g").distinct().count() == -(-n // 5)
 
 
+def test_light_groups_are_stratified(spark):
+    # 3000 light groups, class 2 in 40 of them and never their largest, class 1 in a tenth.
+    rows = [(f"g{g}", 2 if g < 40 and i == 0 else int(g % 10 == 3)) for g in range(3000) for i in range(3)]
+    df = spark.createDataFrame(rows, "g string, y int")
+    f = L.grouped_folds(df, "g", 4, 7, "y")
+    assert f.count() == len(rows) and f.groupBy("g").agg(F.count_distinct("fold").alias("k")).where("k > 1").count() == 0
+    for y in range(3):
+        sizes = [r[1] for r in f.where(F.col("y") == y).groupBy("fold").count().collect()]
+        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 0.02 * sum(sizes) + 3
+
+
 def test_join_contracts(spark):
     left = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, v string")
     with pytest.raises(J.JoinError):
