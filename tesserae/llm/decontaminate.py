@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.spread import spread_join
 from .util import free_name, lowered, mix, order_id, signed, slices, word_hashes, words_of, written
 
-#: Selected positions are 1. All masks are as long.
-MASKS = ("11101001011", "11010010111")
-SPAN = len(MASKS[0])
+#: Selected positions are 1. Whatever a fifth of 11 or more words is substituted, one of these masks hits what is left.
+MASKS = ("11101101", "110010111", "1010110011", "11001000111")
+#: Words of the longest mask.
+SPAN = max(map(len, MASKS))
 SHORTEST = 5
 IDENTITY = 0.8
 MIN_WORDS = 13
@@ -60,7 +61,8 @@ _ROW_SQL = "id long, hash long, pos long, span int, n_words long, around binary"
 
 
 def _rows(batches: Iterator[pa.RecordBatch], masks: list[str], bitmap: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Seeds with the words around them; with a bitmap only those that pass it. whole: short masks fit whole texts only."""
+    """Seeds with the words around them; with a bitmap only those that pass it. whole: masks without gaps fit whole texts only, others not those
+    shorter than SPAN."""
     for batch in batches:
         ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
         for a, b, data, offsets in slices(batch):
@@ -76,8 +78,8 @@ def _rows(batches: Iterator[pa.RecordBatch], masks: list[str], bitmap: np.ndarra
                 if bitmap is not None:
                     slot = seed >> np.uint64(64 - BITS)
                     keep = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                if whole and len(mask) < SPAN:
-                    keep &= count[text] == len(mask)
+                if whole:
+                    keep &= count[text] >= SPAN if "0" in mask else count[text] == len(mask)
                 text, pos, seed = text[keep], pos[keep], seed[keep]
                 for i in range(0, len(seed), 20_000):
                     t, p, s = text[i : i + 20_000], pos[i : i + 20_000], seed[i : i + 20_000]
@@ -133,8 +135,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, identity: float = IDENTITY,
     masks = [*MASKS, *("1" * n for n in lengths[1:])]
     seeds = written(items.mapInArrow(lambda b: _rows(b, masks, None, True), _ROW_SQL))
     # Masks for short items are laid over the documents only if there are such items.
-    used = {r[0] for r in seeds.select("span").distinct().collect()}
-    active = [m for m in masks if len(m) in used]
+    used = {r[0] for r in seeds.where(F.col("n_words") < SPAN).select("n_words").distinct().collect()}
+    active = [m for m in masks if "0" in m or len(m) in used]
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
     rows = docs.select(order_id(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hits = rows.mapInArrow(lambda b: _rows(b, active, bitmap.value, False), _ROW_SQL)

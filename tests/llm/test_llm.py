@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -162,6 +163,25 @@ def test_decontaminate(spark, make):
     assert decontaminate.decontaminate(make(rows), bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("length", [11, 12, 13, 14, 15, 16, 19, 20, 24, 25, 29])
+def test_masks_hit_every_pattern_of_substitutions(length):
+    """All ways of substituting a fifth of the words; a longer stretch falls into parts of 15 and 20 words, one of which keeps the share."""
+    gone = np.array([sum(1 << i for i in c) for c in itertools.combinations(range(length), length // 5)])
+    hit = np.zeros(len(gone), bool)
+    for mask in decontaminate.MASKS:
+        for at in range(length - len(mask) + 1):
+            hit |= gone & int(mask, 2) << at == 0
+    assert hit.all()
+
+
+def test_decontaminate_finds_short_items_with_substitutions(spark, make):
+    item = [f"b{i}" for i in range(13)]
+    pairs = list(itertools.combinations(range(13), 2))
+    rows = [(i, " ".join(["n1", "n2", *(f"z{j}" if j in c else w for j, w in enumerate(item)), "n3"])) for i, c in enumerate(pairs)]
+    bench = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    assert decontaminate.decontaminate(make(rows), bench).where("contaminated").count() == len(pairs)
+
+
 def test_packing(make):
     rows = corpus(6)
     path = public_tokenizers.path("word_bpe_49k.json")
