@@ -31,7 +31,7 @@ SIDE = 1 << 10
 CELLS = SIDE * SIDE
 #: A tile with this many pairs in one chunk is counted densely.
 CROWDED = 1 << 18
-#: Pairs that a task holds before it counts them.
+#: Values of eight bytes that a task holds before it counts them.
 CHUNK = 4_000_000
 #: Bits of the map of symbols that reach the minimum.
 BITS = 1 << 26
@@ -154,21 +154,25 @@ def pair_symbol(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(mix(left) + right * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _tiles(left: np.ndarray, right: np.ndarray, left_id: np.ndarray, right_id: np.ndarray, part: int, loose: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the given cells: (tile, cells, counts) for symbols with ids, hashed coordinates in `loose` buckets for others."""
-    rows: list[tuple] = []
+def _codes(left: np.ndarray, right: np.ndarray, left_id: np.ndarray, right_id: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs as tile * CELLS + cell where both symbols have ids, and the symbols of the others."""
     known = (left_id >= 0) & (right_id >= 0)
     i, j = left_id[known], right_id[known]
-    tile = (i // SIDE) * (HEAD // SIDE) + j // SIDE
-    cell = (i % SIDE) * SIDE + j % SIDE
-    crowd = np.bincount(tile) if len(tile) else np.zeros(0, np.int64)
+    code = ((i // SIDE) * (HEAD // SIDE) + j // SIDE) * CELLS + (i % SIDE) * SIDE + j % SIDE
+    return code, left[~known], right[~known]
+
+
+def _tiles(codes: np.ndarray, left: np.ndarray, right: np.ndarray, part: int, loose: int) -> Iterator[pa.RecordBatch]:
+    """Counts of the given cells: (tile, cells, counts) for codes, hashed coordinates in `loose` buckets for the pairs without ids."""
+    rows: list[tuple] = []
+    crowd = np.bincount(codes // CELLS) if len(codes) else np.zeros(0, np.int64)
     for t in np.flatnonzero(crowd >= CROWDED):
-        here = tile == t
-        dense = np.bincount(cell[here], minlength=CELLS)
+        here = codes // CELLS == t
+        dense = np.bincount(codes[here] % CELLS, minlength=CELLS)
         cells = np.flatnonzero(dense)
         rows.append((int(t), cells.astype(np.uint32).tobytes(), b"", dense[cells].astype(np.uint32).tobytes()))
-        tile, cell = tile[~here], cell[~here]
-    codes = np.sort(tile * CELLS + cell)
+        codes = codes[~here]
+    codes = np.sort(codes)
     new = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
     counts = np.diff(np.append(new, len(codes))).astype(np.uint32)
     codes = codes[new]
@@ -177,8 +181,8 @@ def _tiles(left: np.ndarray, right: np.ndarray, left_id: np.ndarray, right_id: n
     cells = (codes % CELLS).astype(np.uint32)
     for a, b in zip(cuts, np.append(cuts[1:], len(at))):
         rows.append((int(at[a]), cells[a:b].tobytes(), b"", counts[a:b].tobytes()))
-    if not known.all():
-        x, y, n = _coordinates(left[~known], right[~known], np.ones(int((~known).sum()), np.int64))
+    if len(left):
+        x, y, n = _coordinates(left, right, np.ones(len(left), np.int64))
         bucket = (mix(x ^ mix(y)) % np.uint64(loose)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         x, y, n, bucket = x[order], y[order], n[order], bucket[order]
@@ -214,21 +218,23 @@ def _cells(rows: DataFrame, words, pairs, loose: int) -> DataFrame:
                 if ranked is None:
                     ids = np.full(len(s), -1, np.int64)
                     ids[frequent] = vocabulary.id(s[frequent])
-                    cells = (s[both], s[both + 1], ids[both], ids[both + 1])
+                    cells = _codes(s[both], s[both + 1], ids[both], ids[both + 1])
                 else:
                     symbol = pair_symbol(s[both], s[both + 1])
                     keep = ranked.maybe(symbol)
                     both, symbol = both[keep], symbol[keep]
                     go = np.flatnonzero(both[1:] == both[:-1] + 1) if len(both) else both
                     third = s[both[go] + 2]
-                    cells = (symbol[go], third, ranked.id(symbol[go]), vocabulary.id(third))
+                    cells = _codes(symbol[go], third, ranked.id(symbol[go]), vocabulary.id(third))
                 held.append(cells)
-                size += len(cells[0])
+                size += len(cells[0]) + 2 * len(cells[1])
                 if size > CHUNK:
-                    yield from _tiles(*(np.concatenate([h[c] for h in held]) for c in range(4)), part, loose)
-                    held, size = [], 0
+                    held, full = [], [np.concatenate([h[c] for h in held]) for c in range(3)]
+                    yield from _tiles(*full, part, loose)
+                    size, full = 0, None
+                    pa.default_memory_pool().release_unused()
         if size:
-            yield from _tiles(*(np.concatenate([h[c] for h in held]) for c in range(4)), part, loose)
+            yield from _tiles(*(np.concatenate([h[c] for h in held]) for c in range(3)), part, loose)
 
     return rows.mapInArrow(run, _TILES)
 

@@ -138,7 +138,7 @@ def test_crowded_tiles_are_counted_as_sparse_ones():
     i, j = r.integers(0, 30, 600_000), np.minimum(r.integers(0, 3000, 600_000), r.integers(0, 3000, 600_000))
     s = r.integers(0, 2**63, 3000, dtype=np.uint64)
     total = collections.Counter()
-    for batch in collocations._tiles(s[i], s[j], i, j, 0, 4):
+    for batch in collocations._tiles(*collocations._codes(s[i], s[j], i, j), 0, 4):
         for row in batch.to_pylist():
             a, b = divmod(row["tile"], collocations.HEAD // collocations.SIDE)
             for cell, n in zip(np.frombuffer(row["left"], np.uint32).tolist(), np.frombuffer(row["n"], np.uint32).tolist()):
