@@ -30,9 +30,9 @@ HEAD = 1 << 18
 SIDE = 1 << 10
 CELLS = SIDE * SIDE
 #: A tile with this many pairs in one chunk is counted densely.
-CROWDED = 1 << 18
+CROWDED = 1 << 17
 #: Values of eight bytes that a task holds before it counts them.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Bits of the map of symbols that reach the minimum.
 BITS = 1 << 26
 #: Partial tiles added up by one task in one step.
