@@ -2,13 +2,14 @@
 
 The text view sees which tokens a text holds (runs of letters and runs of symbols, hashed) and how varied they
 are; the metadata view sees language, source and recorded size, never the text. Both start from labelled rows.
-In each round either view labels those pool documents of which it is confident and hands them to the other
-view's training set. A held-out fold of the labelled rows calibrates both views (Platt scaling) and weighs them
+In each round either view labels those unlabelled documents of which it is confident and hands them to the other
+view's training set. All unlabelled documents take part: executors add up the gradients of their rows, the driver
+only moves the weights. A held-out fold of the labelled rows calibrates both views (Platt scaling) and weighs them
 against each other; the combined probability scores all documents.
 
 A document is good if it is labelled of good quality and not toxic; several labels of a document count as their
-worst. Fitting uses at most FIT_ROWS labelled and POOL_ROWS unlabelled documents, those with the smallest hash
-of doc_id, whole texts each; scoring covers every document. Null texts are empty, null metadata is a value of
+worst. Of labelled documents at most FIT_ROWS are fitted on, those with the smallest hash of doc_id, whole texts
+each; unlabelled ones without any limit; scoring covers every document. Null texts are empty, null metadata is a value of
 its own, labels without doc_id or quality are left out, a null toxic counts as 0. Without labelled documents of
 both kinds there is nothing to learn from: all documents score the share of good ones (1 without labels) and
 are kept. Repeated rows repeat; an empty table gives an empty result; further columns are not read.
@@ -22,15 +23,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .util import bounded_batches, lowered, mix, slices, word_hashes, words_of, written
+from .util import arrow, bounded_batches, discard, lowered, mix, slices, word_hashes, words_of, written
 
-FIT_ROWS, POOL_ROWS = 12_000, 6_000
+#: Labelled documents that are fitted on: the bound on the labelled sample.
+FIT_ROWS = 12_000
 ROUNDS = 2
+#: Passes over all confident documents in each round.
+STEPS = 6
 #: Probability from which a view's word is taken as a label.
 CONFIDENT = 0.97
 THRESHOLD = 0.5
 #: Hashed tokens, then the two measures of variety; hashed metadata values.
 TOKENS, META = 1 << 18, 1 << 12
+#: Numbers of a gradient in one row, and partial gradients that one task adds up.
+BLOCK, FAN_IN = 1 << 13, 64
 _LETTER = np.array([chr(b).isalpha() or b >= 128 for b in range(256)])
 _SYMBOL = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
 
@@ -61,32 +67,46 @@ def _meta_buckets(lang: list, source: list, size: list) -> np.ndarray:
 
 
 class View:
-    """Logistic regression on sparse binary features, and dense ones, fitted by Adam over all rows at once."""
+    """Logistic regression on sparse binary features and dense ones; theta holds their weights and the offset."""
 
     def __init__(self, dimensions: int, dense: int = 0):
-        self.weights, self.dense, self.bias = np.zeros(dimensions, np.float32), np.zeros(dense, np.float32), 0.0
+        self.dimensions, self.theta = dimensions, np.zeros(dimensions + dense + 1)
 
     def margin(self, row: np.ndarray, column: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """row must be sorted; there are as many rows as dense has."""
-        return np.bincount(row, self.weights[column], len(dense)) + dense @ self.dense + self.bias
+        return np.bincount(row, self.theta[: self.dimensions][column], len(dense)) + dense @ self.theta[self.dimensions : -1] + self.theta[-1]
 
-    def fit(self, row, column, dense, label, steps: int = 60, rate: float = 0.05, ridge: float = 2e-5) -> View:
-        n = len(label)
+    def slope(self, row, column, dense, label) -> np.ndarray:
+        """The gradient of the summed loss."""
+        error = _sigmoid(self.margin(row, column, dense)) - label
+        return np.concatenate([np.bincount(column, error[row], self.dimensions), error @ dense, [error.sum()]])
+
+    def fit(self, row, column, dense, label, steps: int = 60) -> View:
         held = np.unique(column)
-        at = np.searchsorted(held, column)
-        theta = np.zeros(len(held) + dense.shape[1] + 1)
-        m, v = np.zeros_like(theta), np.zeros_like(theta)
-        for step in range(1, steps + 1):
-            z = np.bincount(row, theta[: len(held)][at], n) + dense @ theta[len(held) : -1] + theta[-1]
-            error = (1 / (1 + np.exp(-z)) - label) / n
-            slope = np.concatenate([np.bincount(at, error[row], len(held)) + ridge * theta[: len(held)], error @ dense, [error.sum()]])
-            m += 0.1 * (slope - m)
-            v += 0.01 * (slope**2 - v)
-            theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        self.weights[held], self.dense, self.bias = theta[: len(held)], theta[len(held) : -1], float(theta[-1])
+        small = View(len(held), dense.shape[1])
+        at, move = np.searchsorted(held, column), Adam(small)
+        for _ in range(steps):
+            move(small.slope(row, at, dense, label) / len(label))
+        self.theta[held], self.theta[self.dimensions :] = small.theta[: len(held)], small.theta[len(held) :]
         return self
 
 
+class Adam:
+    """Steps along mean gradients with a ridge penalty on the sparse weights."""
+
+    def __init__(self, view: View, rate: float = 0.05, ridge: float = 2e-5):
+        self.view, self.rate, self.ridge, self.step = view, rate, ridge, 0
+        self.m, self.v = np.zeros_like(view.theta), np.zeros_like(view.theta)
+
+    def __call__(self, slope: np.ndarray) -> None:
+        self.step += 1
+        n = self.view.dimensions
+        slope[:n] += self.ridge * self.view.theta[:n]
+        self.m += 0.1 * (slope - self.m)
+        self.v += 0.01 * (slope**2 - self.v)
+        self.view.theta -= self.rate * (self.m / (1 - 0.9**self.step)) / (np.sqrt(self.v / (1 - 0.99**self.step)) + 1e-8)
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
@@ -102,18 +122,15 @@ def _platt(margins: np.ndarray, label: np.ndarray) -> np.ndarray:
 
 
 class Features:
-    """Both views of some documents; take() picks documents."""
+    """Both views of some documents."""
 
     def __init__(self, row, column, dense, meta):
         self.row, self.column, self.dense, self.meta = row, column, dense, meta
 
-    def take(self, picked: np.ndarray) -> Features:
-        new = np.full(len(self.dense), -1)
-        new[picked] = np.arange(len(picked))
-        keep = new[self.row] >= 0
-        row, column = new[self.row[keep]], self.column[keep]
-        order = np.argsort(row, kind="stable")
-        return Features(row[order], column[order], self.dense[picked], self.meta[picked])
+    def where(self, keep: np.ndarray) -> Features:
+        new = np.cumsum(keep) - 1
+        held = keep[self.row]
+        return Features(new[self.row[held]], self.column[held], self.dense[keep], self.meta[keep])
 
     def view(self, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if name == "text":
@@ -121,27 +138,11 @@ class Features:
         return np.repeat(np.arange(len(self.meta)), 3), self.meta.ravel(), np.zeros((len(self.meta), 0), np.float32)
 
 
-def _new(name: str) -> View:
-    return View(TOKENS, 2) if name == "text" else View(META)
+NAMES = ("text", "meta")
 
 
-def co_train(features: Features, label: np.ndarray, held: np.ndarray, rounds: int, confident: float) -> tuple[dict, dict, np.ndarray]:
-    """label is NaN for pool documents, held marks the calibration fold -> views, their calibrations, the combination."""
-    train, pool, calibration = (np.flatnonzero(x) for x in (~np.isnan(label) & ~held, np.isnan(label), ~np.isnan(label) & held))
-    names = ("text", "meta")
-    parts = {"train": features.take(train), "pool": features.take(pool), "calibration": features.take(calibration)}
-    views = {v: _new(v).fit(*parts["train"].view(v), label[train]) for v in names}
-    for _ in range(rounds):
-        chance = {v: _sigmoid(views[v].margin(*parts["pool"].view(v))) for v in names}
-        fitted = {}
-        for teacher, pupil in (names, names[::-1]):
-            sure = np.flatnonzero((chance[teacher] >= confident) | (chance[teacher] <= 1 - confident))
-            rows = features.take(np.concatenate([train, pool[sure]]))
-            fitted[pupil] = _new(pupil).fit(*rows.view(pupil), np.concatenate([label[train], chance[teacher][sure] >= 0.5]))
-        views = fitted
-    margins = np.column_stack([views[v].margin(*parts["calibration"].view(v)) for v in names])
-    alone = {v: _platt(margins[:, [i]], label[calibration]) for i, v in enumerate(names)}
-    return views, alone, _platt(margins, label[calibration])
+def _new(name: str) -> View:
+    return View(TOKENS, 2) if name == "text" else View(META)
 
 
 def _drawn(ids: DataFrame, most: int) -> DataFrame:
@@ -149,7 +150,10 @@ def _drawn(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-_SAMPLE = pa.schema([("doc_id", pa.int64()), ("label", pa.float64()), ("held", pa.bool_()), ("buckets", pa.binary()), ("dense", pa.binary()), ("meta", pa.binary())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("buckets", pa.binary()), ("dense", pa.binary()), ("meta", pa.binary())])
+_FEATURES_SQL = "doc_id long, buckets binary, dense binary, meta binary"
+_BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("values", pa.binary())])
+_BLOCKS_SQL = "block int, part int, values binary"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("text_score", pa.float64()), ("meta_score", pa.float64()), ("score", pa.float64())])
 _READ = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -162,7 +166,113 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cuts = np.searchsorted(row, np.arange(b - a + 1))
             meta = _meta_buckets(part["lang"], part["source"], part["n_chars"])
             held = [column[i:j].astype("<i4").tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip([part["doc_id"], part["label"], part["held"], held, [d.astype("<f4").tobytes() for d in dense], [m.astype("<i4").tobytes() for m in meta]], _SAMPLE, strict=True)], schema=_SAMPLE)
+            yield arrow(_FEATURES, part["doc_id"], held, [d.astype("<f4").tobytes() for d in dense], [m.astype("<i4").tobytes() for m in meta])
+
+
+def _numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of packed numbers, and how many each row has."""
+    values = column.to_pylist()
+    numbers = np.frombuffer(b"".join(values), kind)
+    return numbers, np.array([len(v) // numbers.itemsize for v in values], np.int64)
+
+
+def _read(batch: pa.RecordBatch) -> tuple[Features, np.ndarray, np.ndarray]:
+    """Features, label (NaN: none) and calibration mark of stored rows."""
+    at = {n: batch.column(n) for n in batch.schema.names}
+    column, count = _numbers(at["buckets"], "<i4")
+    features = Features(np.repeat(np.arange(len(count), dtype=np.int32), count), column, _numbers(at["dense"], "<f4")[0].reshape(-1, 2), _numbers(at["meta"], "<i4")[0].reshape(-1, 3))
+    return features, at["label"].to_numpy(zero_copy_only=False).astype(float), at["held"].to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _first_views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both views fitted on the labelled sample, which is bounded and comes to one task."""
+    parts = [_read(b) for b in batches if b.num_rows]
+    if not parts:
+        return
+    at = np.cumsum([0] + [len(label) for _, label, _ in parts])
+    features = Features(
+        np.concatenate([f.row + np.int32(k) for (f, _, _), k in zip(parts, at)]), np.concatenate([f.column for f, _, _ in parts]),
+        np.concatenate([f.dense for f, _, _ in parts]), np.concatenate([f.meta for f, _, _ in parts]),
+    )
+    label = np.concatenate([x for _, x, _ in parts])
+    del parts
+    thetas = [_new(v).fit(*features.view(v), label).theta for v in NAMES]
+    yield arrow(_BLOCKS, list(range(2)), [0, 0], [t.tobytes() for t in thetas])
+
+
+def _round_slopes(teachers: dict[str, View], pupils: dict[str, View], confident: float):
+    """Per task: summed gradients of both pupils over labelled rows and those of which the other view is sure, with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(sum(len(pupils[v].theta) + 1 for v in NAMES))
+        for batch in batches:
+            features, label, held = _read(batch)
+            slopes = []
+            for pupil, teacher in (NAMES, NAMES[::-1]):
+                chance = _sigmoid(teachers[teacher].margin(*features.view(teacher)))
+                pool = np.isnan(label)
+                use = np.where(pool, (chance >= confident) | (chance <= 1 - confident), ~held)
+                said = np.where(pool, chance >= 0.5, label)
+                slopes += [pupils[pupil].slope(*features.where(use).view(pupil), said[use]), [use.sum()]]
+            total += np.concatenate(slopes)
+        yield from _blocks(total, TaskContext.get().partitionId())
+
+    return run
+
+
+def _blocks(total: np.ndarray, part: int) -> Iterator[pa.RecordBatch]:
+    cuts = range(0, len(total), BLOCK)
+    yield arrow(_BLOCKS, [c // BLOCK for c in cuts], [part] * len(cuts), [total[c : c + BLOCK].tobytes() for c in cuts])
+
+
+def _add_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (block, part); one sum is held at a time."""
+    now, total = None, None
+    for batch in batches:
+        for block, part, values in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            if now != (block, part):
+                if now is not None:
+                    yield arrow(_BLOCKS, [now[0]], [now[1]], [total.tobytes()])
+                now, total = (block, part), np.zeros(len(values) // 8)
+            total += np.frombuffer(values)
+    if now is not None:
+        yield arrow(_BLOCKS, [now[0]], [now[1]], [total.tobytes()])
+
+
+def _summed(partial: DataFrame, parts: int) -> np.ndarray:
+    """One gradient from those of all tasks, added up in steps of FAN_IN; a gradient's length comes to the driver."""
+    while True:
+        parts = -(-parts // FAN_IN)
+        partial = partial.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).repartition("block", "part").sortWithinPartitions("block", "part")
+        partial = partial.mapInArrow(_add_blocks, _BLOCKS_SQL)
+        if parts <= 1:
+            break
+    return np.concatenate([np.frombuffer(v) for v in partial.orderBy("block").select("values").toArrow().column(0).to_pylist()])
+
+
+def co_train(stored: DataFrame, views: dict[str, View], rounds: int, confident: float, steps: int = STEPS) -> tuple[dict[str, View], list[dict[str, int]]]:
+    """Views after some rounds of exchange over all stored rows, and how many rows each was fitted on by round."""
+    context, parts, used = stored.sparkSession.sparkContext, max(stored.rdd.getNumPartitions(), 1), []
+    for _ in range(rounds):
+        pupils = {v: _new(v) for v in NAMES}
+        for v in NAMES:
+            pupils[v].theta = views[v].theta.copy()
+        moves = {v: Adam(pupils[v]) for v in NAMES}
+        for _ in range(steps):
+            shared = context.broadcast((views, pupils))
+            total = _summed(stored.mapInArrow(lambda b, s=shared: _round_slopes(*s.value, confident)(b), _BLOCKS_SQL), parts)
+            at, counts = 0, {}
+            for v in NAMES:
+                size = len(pupils[v].theta)
+                counts[v] = int(total[at + size])
+                moves[v](total[at : at + size] / max(counts[v], 1))
+                at += size + 1
+            shared.unpersist()
+        used.append(counts)
+        views = pupils
+    return views, used
 
 
 def _needed(docs: DataFrame) -> list:
@@ -170,31 +280,43 @@ def _needed(docs: DataFrame) -> list:
     return [c.alias(n) for c, n in zip([*text, F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long")], _READ, strict=True)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, confident: float = CONFIDENT):
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, confident: float = CONFIDENT):
     """The views, their calibrations and their combination; a number, the share of good documents, if nothing can be learnt."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).cast("double").alias("label"))
     needed = bounded_batches(docs).select(*_needed(docs))
     ids = needed.select("doc_id").where("doc_id is not null").distinct()
-    pool = _drawn(ids.join(known, "doc_id", "left_anti"), pool_rows).withColumn("label", F.lit(None).cast("double"))
-    chosen = written(_drawn(ids.join(known, "doc_id"), fit_rows).unionByName(pool))
+    chosen = written(_drawn(ids.join(known, "doc_id"), fit_rows))
     held = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0
-    # One row of each document: of rows that share a doc_id the one with the smallest text.
-    sample = needed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    sample = sample.select("doc_id", "r.*", "label", held.alias("held"))
-    # At most fit_rows + pool_rows documents come to the driver, as bucket numbers.
-    sample = sample.mapInArrow(_featured, "doc_id long, label double, held boolean, buckets binary, dense binary, meta binary").orderBy("doc_id").toArrow().to_pydict()
-    column = [np.frombuffer(c, "<i4") for c in sample["buckets"]]
-    features = Features(
-        np.repeat(np.arange(len(column)), [len(c) for c in column]), np.concatenate([np.zeros(0, np.int32), *column]).astype(np.int64),
-        np.array([np.frombuffer(c, "<f4") for c in sample["dense"]], np.float32).reshape(-1, 2), np.array([np.frombuffer(c, "<i4") for c in sample["meta"]], np.int64).reshape(-1, 3),
-    )
-    label = np.array([np.nan if x is None else x for x in sample["label"]], float)
-    fold = np.array(sample["held"], bool)
-    known = ~np.isnan(label)
-    if any(len(set(label[known & x])) < 2 for x in (fold, ~fold)):
-        return float(label[known].mean()) if known.any() else 1.0
-    return co_train(features, label, fold, rounds, confident)
+    kinds = {(r.held, r.label): r["count"] for r in chosen.groupBy(held.alias("held"), "label").count().collect()}
+    if any((fold, label) not in kinds for fold in (True, False) for label in (0.0, 1.0)):
+        total = sum(kinds.values())
+        return sum(n for (_, label), n in kinds.items() if label) / total if total else 1.0
+    # One row of each labelled document: of rows that share a doc_id the one with the smallest text.
+    sample = needed.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")).select("doc_id", "r.*")
+    sample = written(sample.mapInArrow(_featured, _FEATURES_SQL).join(F.broadcast(chosen), "doc_id").withColumn("held", held))
+    first = sample.where("not held").repartition(1).sortWithinPartitions("doc_id").mapInArrow(_first_views, _BLOCKS_SQL).orderBy("block").toArrow().column(2).to_pylist()
+    views = {v: _new(v) for v in NAMES}
+    for v, theta in zip(NAMES, first):
+        views[v].theta = np.frombuffer(theta).copy()
+    if rounds:
+        pool = needed.mapInArrow(_featured, _FEATURES_SQL).join(known.select("doc_id"), "doc_id", "left_anti")
+        pool = written(pool.select("*", F.lit(None).cast("double").alias("label"), F.lit(False).alias("held")))
+        views, _ = co_train(pool.unionByName(sample.where("not held").select(pool.columns)), views, rounds, confident)
+        discard(pool)
+    shared = docs.sparkSession.sparkContext.broadcast(views)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(n, pa.float64()) for n in ("text", "meta", "label")])
+        for batch in batches:
+            features, label, _ = _read(batch)
+            yield arrow(schema, *(shared.value[v].margin(*features.view(v)) for v in NAMES), label)
+
+    # The calibration fold of the bounded sample: three numbers a document.
+    fold = sample.where("held").orderBy("doc_id").mapInArrow(margins, "text double, meta double, label double").toArrow()
+    x, label = np.column_stack([fold.column(v).to_numpy() for v in NAMES]), fold.column("label").to_numpy()
+    alone = {v: _platt(x[:, [i]], label) for i, v in enumerate(NAMES)}
+    return views, alone, _platt(x, label)
 
 
 def _probabilities(batch: pa.RecordBatch, model) -> Iterator[tuple[int, int, list[np.ndarray]]]:

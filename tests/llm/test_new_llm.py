@@ -227,3 +227,30 @@ def test_given_pages_keep_their_articles(spark):
     for page in pages.collect():
         article = re.search(r"<article>(.*)</article>", page.html, re.S)[1]
         assert got[page.page_id] == " ".join(html.unescape(re.sub("<[^>]+>", " ", article)).split())
+
+
+def test_co_training_uses_every_unlabelled_document(spark, monkeypatch):
+    from tesserae.llm import quality_classifier
+
+    r = random.Random(8)
+    good, bad = ["plain", "honest", "words", "river"], ["$$$", "###", "win", "cash"]
+    rows = [(i, " ".join(r.choices(good if i % 2 else bad, k=12)) + f" t{r.randrange(50)}", "en", "web", 40) for i in range(8000)]
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    seen, plain = [], quality_classifier.co_train
+    monkeypatch.setattr(quality_classifier, "co_train", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = quality_classifier.quality_scores(docs, marks).collect()
+    assert len(got) == 8000 and all(g.keep == bool(g.doc_id % 2) for g in got)
+    # The text view is sure of nearly all 7,600 unlabelled documents and teaches them to the other view.
+    assert min(counts["meta"] for counts in seen[0][1]) > 7000
+
+
+def test_gradients_of_many_tasks_are_added_in_steps(spark, monkeypatch):
+    import numpy as np
+
+    from tesserae.llm import quality_classifier as qc
+
+    monkeypatch.setattr(qc, "FAN_IN", 3)
+    rows = [(b, p, np.full(4, float(p + 10 * b)).tobytes()) for b in range(2) for p in range(20)]
+    total = qc._summed(spark.createDataFrame(rows, "block int, part int, values binary").repartition(5), 20)
+    assert total.tolist() == [190.0] * 4 + [390.0] * 4
