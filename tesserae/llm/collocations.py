@@ -48,7 +48,7 @@ _APART = _GAP | _BREAK
 _WORDS = pa.schema([("s", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64())])
 _CELLS = pa.schema([("tile", pa.int64()), ("part", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("n", pa.binary())])
 _TILES = "tile long, part long, left binary, right binary, n binary"
-_PAIRS = pa.schema([("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
+_PAIRS = pa.schema([("p", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 
 
 def _tokens(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]]:
@@ -322,7 +322,7 @@ def _packed(now: _Sum, part: int) -> pa.RecordBatch:
 
 
 def _frequent(tiles: DataFrame, left_names, right_names, least: int) -> DataFrame:
-    """(left, right, n) of all cells that reach the minimum, by symbols."""
+    """(p, left, right, n) of all cells that reach the minimum, by symbols; p is the symbol of the two together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts, rights = left_names.value.by_rank, right_names.value.by_rank
@@ -337,16 +337,10 @@ def _frequent(tiles: DataFrame, left_names, right_names, least: int) -> DataFram
                 right = rights[j * SIDE + left % SIDE]
                 left = lefts[i * SIDE + left // SIDE]
             for k in range(0, len(n), 50_000):
-                yield arrow(_PAIRS, signed(left[k : k + 50_000]), signed(right[k : k + 50_000]), n[k : k + 50_000])
+                x, y = left[k : k + 50_000], right[k : k + 50_000]
+                yield arrow(_PAIRS, signed(pair_symbol(x, y)), signed(x), signed(y), n[k : k + 50_000])
 
-    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "left long, right long, n long")
-
-
-def _symbols_of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("p", pa.int64()), *_PAIRS])
-    for batch in batches:
-        left, right, n = (batch.column(c).to_numpy() for c in range(3))
-        yield arrow(schema, signed(pair_symbol(left.view(np.uint64), right.view(np.uint64))), left, right, n)
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "p long, left long, right long, n long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 10, text: Column | str = "text", lang: Column | str = "lang", head: int = HEAD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -365,9 +359,9 @@ def phrase_counts(docs: DataFrame, least: int = 10, text: Column | str = "text",
     parts = max(rows.rdd.getNumPartitions(), 1)
     loose = 16 * parts
     vocabulary = spark.sparkContext.broadcast(Symbols(words.where(F.col("n") >= least), "s", "n", head))
-    pairs = written(_frequent(_added(_cells(rows, vocabulary, None, loose), parts), vocabulary, vocabulary, least).mapInArrow(_symbols_of_pairs, "p long, left long, right long, n long"))
+    pairs = written(_frequent(_added(_cells(rows, vocabulary, None, loose), parts), vocabulary, vocabulary, least))
     ranked = spark.sparkContext.broadcast(Symbols(pairs, "p", "n", head))
-    triples = written(_frequent(_added(_cells(rows, vocabulary, ranked, loose), parts), ranked, vocabulary, least))
+    triples = written(_frequent(_added(_cells(rows, vocabulary, ranked, loose), parts), ranked, vocabulary, least).drop("p"))
     return words, pairs, triples
 
 

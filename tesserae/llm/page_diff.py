@@ -9,8 +9,8 @@ share COPY of their text or more, which are copies of one page. Lines that the m
 show another advert.
 
 Null html is an empty page with an empty text; a null url, or one without ``://``, has the empty host and path; such
-pages are neighbours of each other. Equal urls go by page_id, further repeats are neighbours; a page that repeats the
-one before it takes over what that page lost against its own predecessor. Unclosed tags, comments and scripts run to
+pages are neighbours of each other. Equal urls go by page_id; pages that have the same lines as the one before them
+take over what that one lost, and repeated rows lose the same. Unclosed tags, comments and scripts run to
 the end of what encloses them. Further columns are ignored; an empty table gives no rows. White space is what Unicode
 calls so, the no-break space included.
 """
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .util import arrow, bounded_batches, written
@@ -222,45 +223,55 @@ def common(x: list, y: list) -> list[tuple[int, int]]:
 
 
 class Page:
-    """A page in the sorted stream: its row, its lines, and which of them a neighbour shares."""
+    """A page in the sorted stream: hashes, sizes and kinds of its lines, and which of them a neighbour shares."""
 
-    def __init__(self, row: dict, page_lines: list[str], kinds: list[int], shared: list[bool] | None = None):
-        self.row, self.lines, self.kinds = row, page_lines, kinds
-        self.shared = shared if shared is not None else [False] * len(page_lines)
-
-    def text(self) -> str:
-        return " ".join(t for t, k, s in zip(self.lines, self.kinds, self.shared) if k == 2 or (k == 1 and not s))
+    def __init__(self, row: dict):
+        self.key, self.host = (row["k0"], row["k1"]), row["host"]
+        self.lines, self.sizes, self.kinds = row["lines"], row["sizes"], row["kinds"]
+        self.shared = row.get("shared") or [False] * len(self.lines)
 
 
 def compare(before: Page, after: Page) -> None:
     """Mark the lines that two neighbours share."""
-    if before.row["host"] != after.row["host"]:
+    if before.host != after.host:
         return
     if before.lines == after.lines:
         after.shared = list(before.shared)
         return
     pairs = common(before.lines, after.lines)
-    size = sum(len(before.lines[i]) for i, _ in pairs)
-    if size >= COPY * min(sum(map(len, before.lines)), sum(map(len, after.lines))):
+    size = sum(before.sizes[i] for i, _ in pairs)
+    if size >= COPY * min(sum(before.sizes), sum(after.sizes)):
         return
     for i, j in pairs:
         before.shared[i] = after.shared[j] = True
 
 
-_SQL = "page_id long, url string, text string, part int, last boolean, host string, lines array<string>, kinds array<int>, shared array<boolean>"
-_OUT = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("part", pa.int32()), ("last", pa.bool_()), ("host", pa.string()),
-    ("lines", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("shared", pa.list_(pa.bool_())),
-])
+_KEY = [("k0", pa.int64()), ("k1", pa.int64())]
+_LINES = [("host", pa.string()), ("lines", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("kinds", pa.list_(pa.int32()))]
+_SIGNED = pa.schema([*_KEY, *_LINES, ("path", pa.string()), ("page_id", pa.int64())])
+_SIGNED_SQL = "k0 long, k1 long, host string, lines array<long>, sizes array<int>, kinds array<int>, path string, page_id long"
+_DONE = pa.schema([*_KEY, ("lost", pa.list_(pa.int32())), ("part", pa.int32()), ("last", pa.bool_()), *_LINES, ("shared", pa.list_(pa.bool_()))])
+_DONE_SQL = "k0 long, k1 long, lost array<int>, part int, last boolean, host string, lines array<long>, sizes array<int>, kinds array<int>, shared array<boolean>"
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [lines(page or "") for page in batch.column("html").to_pylist()]
+        hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _ in x] for x in found]
+        sizes, kinds = ([[len(t) for t, _ in x] for x in found], [[k for _, k in x] for x in found])
+        yield arrow(_SIGNED, batch.column("k0"), batch.column("k1"), batch.column("host"), hashes, sizes, kinds, batch.column("path"), batch.column("page_id"))
 
 
 def _finished(pages: list[Page]) -> pa.RecordBatch:
-    none = [None] * len(pages)
-    return arrow(_OUT, [p.row["page_id"] for p in pages], [p.row["url"] for p in pages], [p.text() for p in pages], *[none] * 6)
+    """What pages lose of their undeclared lines; a page that loses nothing needs no row."""
+    lost = [(p, [i for i, (k, s) in enumerate(zip(p.kinds, p.shared)) if s and k == 1]) for p in pages]
+    lost = [x for x in lost if x[1]]
+    none = [None] * len(lost)
+    return arrow(_DONE, [p.key[0] for p, _ in lost], [p.key[1] for p, _ in lost], [x for _, x in lost], *[none] * 7)
 
 
 def _waiting(page: Page, part: int, last: bool) -> pa.RecordBatch:
-    return arrow(_OUT, [page.row["page_id"]], [page.row["url"]], [None], [part], [last], [page.row["host"]], [page.lines], [page.kinds], [page.shared])
+    return arrow(_DONE, [page.key[0]], [page.key[1]], [None], [part], [last], [page.host], [page.lines], [page.sizes], [page.kinds], [page.shared])
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +282,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done: list[Page] = []
         for row in batch.to_pylist():
-            found = lines(row.pop("html") or "")
-            page = Page(row, [t for t, _ in found], [k for _, k in found])
+            page = Page(row)
             if before is not None:
                 compare(before, page)
                 if first:
@@ -292,7 +302,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before, before_part = None, -1
     for batch in batches:
         for row in batch.to_pylist():
-            page = Page(row, row["lines"], row["kinds"], row["shared"])
+            page = Page(row)
             if before is not None:
                 if before_part != row["part"]:
                     compare(before, page)
@@ -302,6 +312,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _finished([before])
 
 
+_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for page, lost in zip(batch.column("html").to_pylist(), batch.column("lost").to_pylist()):
+            gone = set(lost or ())
+            out.append(" ".join(t for i, (t, k) in enumerate(lines(page or "")) if k and i not in gone))
+        yield arrow(_TEXTS, batch.column("page_id"), batch.column("url"), out)
+
+
 def host_and_path() -> tuple:
     """Host (A-Z lower-cased) and path of the column url; both empty without ``://``."""
     rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
@@ -312,14 +334,20 @@ def host_and_path() -> tuple:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text (blocks joined by one space) and n_chars (code points) of every page.
 
-    One range sort by host and path brings neighbours together, so a host of any size is shared by many tasks; only
-    the two outer pages of each task meet in a second step.
+    Only hashes of lines are sorted: one range sort by host and path brings neighbours together, so a host of any
+    size is shared by many tasks; the two outer pages of each task meet in a second step. What undeclared lines a page
+    loses is joined back to it; where most pages declare their content, that is a small side.
     """
     host, path = host_and_path()
-    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"))
-    order = ["host", "path", F.col("page_id"), F.xxhash64("url", "html")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("path")
-    found = written(ordered.mapInArrow(_in_order, _SQL))
-    outer = found.where("part is not null").repartition(1).sortWithinPartitions("part", "last").mapInArrow(_across, _SQL)
-    texts = found.where("part is null").select("page_id", "url", "text").unionByName(outer.select("page_id", "url", "text"))
+    rows = bounded_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = rows.withColumns({"k0": F.xxhash64("page_id", "url", "html"), "k1": F.xxhash64(F.lit(1), "html", "url", "page_id")})
+    marked = written(rows.select("k0", "k1", host.alias("host"), path.alias("path"), "page_id", "html").mapInArrow(_signatures, _SIGNED_SQL))
+    order = ["host", "path", "page_id", "k0", "k1"]
+    ordered = marked.repartitionByRange(*order).sortWithinPartitions(*order).drop("path", "page_id")
+    found = written(ordered.mapInArrow(_in_order, _DONE_SQL))
+    outer = found.where("part is not null").repartition(1).sortWithinPartitions("part", "last").mapInArrow(_across, _DONE_SQL)
+    lost = found.where("part is null").unionByName(outer).groupBy("k0", "k1")
+    # Repeated rows have one key; what any of them lost, all lose.
+    lost = lost.agg(F.array_distinct(F.flatten(F.collect_set("lost"))).alias("lost"))
+    texts = rows.join(lost, ["k0", "k1"], "left").select("page_id", "url", "html", "lost").mapInArrow(_texts, "page_id long, url string, text string")
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
