@@ -28,6 +28,17 @@ def require_unique(df: DataFrame, key: Sequence[str], context: str) -> None:
         raise JoinError(f"{context} has duplicate keys, e.g. {[r.asDict() for r in sample]}")
 
 
+def one_row_per_key(df: DataFrame, key: Sequence[str], context: str) -> DataFrame:
+    """The rows of df; a key that comes twice is an error when the rows are read.
+
+    The count rides on the key's own shuffle, which a following join on that key uses too, so the check costs no
+    extra job and no extra exchange. Null keys are keys here, as they are where tables are merged.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    message = F.concat(F.lit(f"{context} has duplicate keys, e.g. "), F.to_json(F.struct(*key)))
+    return df.withColumn("_n", n).where(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))).drop("_n")
+
+
 def blank_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with the number of null or blank values per column."""
     return df.agg(*[F.count_if(K.is_blank(c)).alias(c) for c in columns])
@@ -51,11 +62,14 @@ def attach_targets(
 ) -> DataFrame:
     """Every manifest row for every model, with the model's metrics where the key matches and a `matched` flag.
 
-    `facts` must hold one row per (key, model); see `first_per_key` and `require_unique`.
+    Both sides are checked as they are joined: one manifest row per key, one fact per (key, model). Facts with a null
+    key or model match nothing and are not checked; see `first_per_key` for tables with repeats.
     """
     fact_key = fact_key or key
-    grid = manifest.withColumn(model, F.explode(model_names(facts, model)))
-    right = facts.select(F.col(fact_key).alias(key), model, *metrics, F.lit(True).alias("matched"))
+    grid = one_row_per_key(manifest.where(F.col(key).isNotNull()), [key], "manifest").unionByName(manifest.where(F.col(key).isNull()))
+    grid = grid.withColumn(model, F.explode(model_names(facts, model)))
+    right = facts.where(F.col(fact_key).isNotNull() & F.col(model).isNotNull()).select(F.col(fact_key).alias(key), model, *metrics, F.lit(True).alias("matched"))
+    right = one_row_per_key(right, [key, model], "evaluation table")
     return grid.join(right, [key, model], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
@@ -111,7 +125,11 @@ def discover_join_key(facts: DataFrame, manifest: DataFrame, manifest_key: str,
 
 
 def merge_coalesced(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", keep_both: Sequence[str] = ()) -> DataFrame:
-    """Join two tables; overlapping columns take the left value first. Columns in `keep_both` also keep the right one."""
+    """Join two tables one to one; overlapping columns take the left value first. Columns in `keep_both` also keep the right one.
+
+    A key that comes twice on either side is an error when the result is read.
+    """
+    left, right = one_row_per_key(left, on, "left table"), one_row_per_key(right, on, "right table")
     overlap = [c for c in left.columns if c in right.columns and c not in on]
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in overlap})
     joined = left.join(renamed, list(on), how)
@@ -172,11 +190,15 @@ def matched_rows(df: DataFrame, key: str, model: str, n_models: int | Column, un
 def fill_missing(
     table: DataFrame, source: DataFrame, on: Sequence[str], columns: Sequence[str] | None = None, add_new: bool = True
 ) -> DataFrame:
-    """Left join that fills existing columns only where they are null and appends the new ones."""
+    """Left join that fills existing columns only where they are null and appends the new ones.
+
+    The source holds one row per key, or reading the result is an error; its rows with a null key match nothing.
+    """
     columns = columns or [c for c in source.columns if c not in on]
     overlap = [c for c in columns if c in table.columns]
     new = [c for c in columns if c not in table.columns] if add_new else []
-    right = source.select(*on, *[F.col(c).alias(f"_s_{c}") for c in overlap], *new)
+    known = source.dropna(subset=list(on))
+    right = one_row_per_key(known.select(*on, *[F.col(c).alias(f"_s_{c}") for c in overlap], *new), on, "source table")
     joined = table.join(right, list(on), "left")
     return joined.select(
         *[F.coalesce(F.col(c), F.col(f"_s_{c}")).alias(c) if c in overlap else F.col(c) for c in table.columns], *new

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import random
 from collections.abc import Mapping, Sequence
@@ -10,7 +11,6 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -19,7 +19,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import ranks as R
 from .dedupe import first_per_key
+from .impute import Imputer
 from .joins import JoinError, require_unique
+from .metrics import ranking_scores
+from ..session import materialise
 
 HEAVY_SHARE = 1000
 
@@ -49,78 +52,79 @@ def shared_groups(df: DataFrame, group: str) -> int:
     return sides.where(F.col("a") != F.col("b")).limit(1).count()
 
 
-def _greedy(sizes: Sequence[Sequence[float]], k: int) -> list[int]:
-    """Fold per item, largest first, each to the fold that stays most even over all classes."""
-    n_classes = len(sizes[0])
-    load = [[0.0] * n_classes for _ in range(k)]
-    totals = [max(sum(s[c] for s in sizes), 1.0) for c in range(n_classes)]
-    out = []
-    for s in sizes:
-        def cost(f: int) -> tuple:
-            spread = 0.0
-            for c in range(n_classes):
-                after = [(load[g][c] + (s[c] if g == f else 0.0)) / totals[c] for g in range(k)]
-                mean = sum(after) / k
-                spread += sum((a - mean) ** 2 for a in after)
-            return (round(spread, 12), sum(load[f]), f)
-
-        best = min(range(k), key=cost)
-        load[best] = [a + b for a, b in zip(load[best], s)]
+def _greedy(items: Sequence[Mapping], totals: Mapping, k: int) -> tuple[list[int], dict]:
+    """(fold per item, rows of each class in each fold): largest first, each to the fold that stays most even over all classes.
+
+    Items are maps of class to rows. Adding x rows of a class to a fold raises its sum of squares by 2 * load * x and a
+    term that is the same for all folds, so only the item's own classes are looked at.
+    """
+    load: dict = {}
+    filled, out = [0] * k, []
+    for item in items:
+        cost = [round(sum(load[c][f] * x / totals[c] ** 2 for c, x in item.items() if c in load), 12) for f in range(k)]
+        best = min(range(k), key=lambda f: (cost[f], filled[f], f))
+        for c, x in item.items():
+            load.setdefault(c, [0] * k)[best] += x
+        filled[best] += sum(item.values())
         out.append(best)
-    return out
+    return out, load
 
 
 def grouped_folds(df: DataFrame, group: str, folds: int, seed: int, label: str | None = None) -> DataFrame:
-    """`fold` by whole groups, balanced by rows (and by class with `label`).
+    """`fold` by whole groups, balanced by rows (and by class with `label`), for any number of groups and classes.
 
     Groups with at least 1/HEAVY_SHARE of the rows, so at most HEAVY_SHARE of them, are placed greedily.
-    The many light groups fill what the folds have left, in hash order: their fold follows from a few cut
-    points of the hash. With `label` there are cuts for each class, for the groups that hold a larger share of
-    that class than of any other, so that every fold gets its share of every class.
+    The many light groups fill what the folds have left, in hash order. With `label` each class has its own line of
+    hashes, of the groups that hold a larger share of that class than of any other, so that every fold gets its share
+    of every class. Classes are rows of a table throughout: there is no column, expression or driver-side list of them.
     """
-    classes = [None] if label is None else [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    counts = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("_n"), *[(F.count(F.lit(1)) if c is None else F.count_if(F.col(label) == c)).alias(f"_c{i}") for i, c in enumerate(classes)]
-    )
+    h = _draw(group, seed)
+    if label is None:
+        mixed = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.lit("all"))
+    else:
+        mixed = df.groupBy(group, F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    mixed = materialise(mixed)
+    sums = mixed.groupBy("_c").agg(F.sum("_n").alias("_total"))
+    counts = mixed.groupBy(group).agg(F.sum("_n").alias("_n"))
     total, n_groups = (int(x or 0) for x in counts.agg(F.sum("_n"), F.count(F.lit(1))).first())
     k = min(folds, n_groups)
     if k < 2:
         raise ValueError("need at least two groups")
     is_heavy = F.col("_n") * HEAVY_SHARE >= total
-    heavy = sorted(counts.where(is_heavy).collect(), key=lambda r: (-r["_n"], str(r[group])))
-    placed = _greedy([[r[f"_c{i}"] for i in range(len(classes))] for r in heavy], k) if heavy else []
-    load = [[0] * k for _ in classes]
-    for r, f in zip(heavy, placed):
-        for c in range(len(classes)):
-            load[c][f] += r[f"_c{c}"]
-    h = _draw(group, seed)
-    sums = counts.agg(*[F.sum(f"_c{c}") for c in range(len(classes))]).first()
-    # The class of which a group holds the largest share; the first of several.
-    shares = F.array(*[F.col(f"_c{c}") / float(sums[c] or 1) for c in range(len(classes))])
-    light = counts.where(~is_heavy).select(group, h.alias("h"), "_n", (F.array_position(shares, F.array_max(shares)) - 1).cast("int").alias("_s"))
-    edges = []
-    for c in range(len(classes)):
-        room = [max((sums[c] or 0) / k - x, 0.0) for x in load[c]]
+    heavy_keys = counts.where(is_heavy).select(F.col(group).alias("_hg"), F.col("_n").alias("_size"))
+    mine = F.col(group).eqNullSafe(F.col("_hg"))
+    # At most HEAVY_SHARE groups, with the classes that they hold.
+    heavy_rows = mixed.join(F.broadcast(heavy_keys), mine).join(sums, "_c").groupBy("_hg", "_size").agg(F.collect_list(F.struct("_c", "_n", "_total")).alias("mix")).collect()
+    heavy_rows.sort(key=lambda r: (-r["_size"], str(r["_hg"])))
+    totals = {m["_c"]: m["_total"] for r in heavy_rows for m in r["mix"]}
+    placed, load = _greedy([{m["_c"]: m["_n"] for m in r["mix"]} for r in heavy_rows], totals, k)
+    spark = df.sparkSession
+    table = F.broadcast(spark.createDataFrame([(r["_hg"], f) for r, f in zip(heavy_rows, placed)], f"{heavy_keys.select('_hg').schema.simpleString()[7:-1]}, _hf int"))
+
+    def edges(filled: Sequence[float], rows: float) -> list[float]:
+        room = [max(rows / k - x, 0.0) for x in filled]
         room = room if sum(room) else [1.0] * k
-        edges.append(list(itertools.accumulate(x / sum(room) for x in room))[:-1])
-    line = R.value_ranks(light.select("_s", "h", "_n"), ["_s"], "h", {"w": F.sum("_n")})
-    edge = [F.element_at(F.array(*[F.lit(float(x)) for x in at]), F.col("_s") + 1) for at in zip(*edges)]
-    cuts = {r["_s"]: list(r)[1:] for r in line.groupBy("_s").agg(*[F.min(F.when(F.col("before_w") >= F.col("total_w") * e, F.col("h"))).alias(f"e{i}") for i, e in enumerate(edge)]).collect()}
-    count_up = lambda at: sum(((h >= F.lit(c)).cast("int") for c in at if c is not None), F.lit(0))
-    heavy_schema = f"{df.select(group).schema.simpleString()[7:-1]}, _hf int"
-    table = df.sparkSession.createDataFrame([(r[group], f) for r, f in zip(heavy, placed)], heavy_schema)
+        return list(itertools.accumulate(x / sum(room) for x in room))[:-1]
+
+    # The class of which a group holds the largest share; of several the first by name.
+    light = mixed.join(F.broadcast(heavy_keys), mine, "left_anti")
+    even = F.array(*[F.lit((f + 1) / k) for f in range(k - 1)])
     if label is None:
-        light_fold = count_up(cuts.get(0, []))
-        return df.join(F.broadcast(table), group, "left").withColumn("fold", F.coalesce("_hf", light_fold)).drop("_hf") if heavy else df.withColumn("fold", light_fold)
-    # Which cuts hold for a group is joined back, to the rows of light groups only, so no key is hot.
-    folds_of = F.lit(0)
-    for s, at in cuts.items():
-        folds_of = F.when(F.col("_s") == s, count_up(at)).otherwise(folds_of)
-    own = light.select(F.col(group).alias("_g"), folds_of.alias("fold"))
-    key = F.col("_hg").eqNullSafe(F.col(group))
-    renamed = F.broadcast(table.withColumnRenamed(group, "_hg"))
-    rest = df.join(renamed, key, "left_anti").join(own, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
-    return rest.unionByName(df.join(renamed, key).withColumn("fold", F.col("_hf")).drop("_hg", "_hf")) if heavy else rest
+        line = R.value_ranks(light.select(h.alias("h"), "_n"), [], "h", {"w": F.sum("_n")})
+        at = edges(load.get("all", [0] * k), total)
+        cuts = line.agg(*[F.min(F.when(F.col("before_w") >= F.col("total_w") * F.lit(float(e)), F.col("h"))).alias(f"e{i}") for i, e in enumerate(at)]).first()
+        light_fold = sum(((h >= F.lit(c)).cast("int") for c in cuts if c is not None), F.lit(0))
+        return df.join(table, mine, "left").withColumn("fold", F.coalesce("_hf", light_fold)).drop("_hg", "_hf") if heavy_rows else df.withColumn("fold", light_fold)
+    owned = light.join(sums, "_c").groupBy(group).agg(F.min(F.struct((-F.col("_n") / F.col("_total")).alias("s"), "_c")).alias("best"), F.sum("_n").alias("_n"))
+    owned = materialise(owned.select(group, h.alias("h"), "_n", F.col("best._c").alias("_c")))
+    line = R.value_ranks(owned.select("_c", "h", "_n"), ["_c"], "h", {"w": F.sum("_n")})
+    # Only classes of heavy groups have cuts of their own.
+    own_edges = spark.createDataFrame([(c, edges(x, totals[c])) for c, x in load.items()], "_c string, _e array<double>")
+    line = line.join(F.broadcast(own_edges), "_c", "left").select("_c", "h", F.size(F.filter(F.coalesce("_e", even), lambda e: F.col("before_w") >= F.col("total_w") * e)).alias("fold"))
+    own = owned.join(line, ["_c", "h"]).select(F.col(group).alias("_g"), "fold")
+    # Joined back to the rows of light groups only, so no key is hot.
+    rest = df.join(table, mine, "left_anti").join(own, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    return rest.unionByName(df.join(table, mine).withColumn("fold", F.col("_hf")).drop("_hg", "_hf")) if heavy_rows else rest
 
 
 def feature_frame(
@@ -138,28 +142,15 @@ def feature_frame(
     return out.withColumn("embedding_vector", array_to_vector(F.transform(embedding, lambda v: v.cast("double")))).drop(embedding) if embedding else out
 
 
-def preprocessing(
-    train: DataFrame, numeric: Sequence[str] = (), categorical: Sequence[str] = (), embedding: bool = False, pca: int | None = None
-) -> list:
-    """Pipeline stages: interpolated median imputation, centred scaling, one-hot categories, optional PCA.
+def preprocessing(numeric: Sequence[str] = (), categorical: Sequence[str] = (), embedding: bool = False, pca: int | None = None) -> list:
+    """Pipeline stages: interpolated median and mode imputation, centred scaling, one-hot categories, optional PCA.
 
-    A category not seen in training gets the indexer's last slot, which the encoder drops: all zeros.
-    Medians and modes are read from the train side here; scaling, categories and PCA are fitted on whatever
-    the pipeline is fitted on.
+    Every stage is fitted on what the pipeline is fitted on, imputation included, so a fold's held-out rows have
+    no part in it. A category not seen in training gets the indexer's last slot, which the encoder drops: all zeros.
     """
-    from pyspark.ml.feature import SQLTransformer
-
-    parts, stages, fills = [], [], []
-    if numeric:
-        long = train.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot([], list(numeric), "c", "v")
-        med = {r["c"]: r["m"] for r in R.exact_quantiles(long, ["c"], "v", {"m": 0.5}).collect()}
-        fills += [f"coalesce(nanvl(cast(`{c}` as double), null), {med.get(c, 0.0)!r}D) as `{c}_num`" for c in numeric]
-    if categorical:
-        modes = train.agg(*[F.mode(F.col(c).cast("string"), True).alias(c) for c in categorical]).first()
-        quoted = {c: (modes[c] or "missing").replace("\\", "\\\\").replace("'", "\\'") for c in categorical}
-        fills += [f"coalesce(cast(`{c}` as string), '{quoted[c]}') as `{c}_cat`" for c in categorical]
-    if fills:
-        stages.append(SQLTransformer(statement=f"select *, {', '.join(fills)} from __THIS__"))
+    parts, stages = [], []
+    if numeric or categorical:
+        stages.append(Imputer(numeric=numeric, categorical=categorical))
     if numeric:
         stages += [VectorAssembler(inputCols=[f"{c}_num" for c in numeric], outputCol="numeric_raw"), StandardScaler(inputCol="numeric_raw", outputCol="numeric_vector", withMean=True)]
         parts.append("numeric_vector")
@@ -234,40 +225,93 @@ def sample_params(space: Mapping[str, Sequence], n: int, seed: int) -> list[dict
     return every[:n]
 
 
-def search(
-    train: DataFrame, stages: Sequence, families: Mapping[str, Sequence[Estimator]], metric: str, parallelism: int = 4, seed: int = 42
-) -> tuple[str, Estimator, DataFrame]:
-    """Grouped cross-validation of every candidate of every family: (best family, best estimator, trials table).
+LOWER_IS_BETTER = ("mae", "rmse")
+SCORES = ("mae", "rmse", "r2", "accuracy", "balanced_accuracy", "macro_f1", "roc_auc", "average_precision")
+
+
+def grouped_scores(predictions: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
+    """`score` of each group of rows with `target`, `prediction` and, for ranking metrics, `score` (of class 1).
+
+    Rows without a target are left out. Macro F1 is the mean over all classes that occur as target or prediction,
+    balanced accuracy the mean recall of those that occur as target; ROC AUC and average precision are null for
+    groups with one class.
+    """
+    if metric not in SCORES:
+        raise ValueError(f"metric must be one of {SCORES}")
+    rows = predictions.where(R.present(predictions, "target"))
+    if metric in ("roc_auc", "average_precision"):
+        return ranking_scores(rows, "target", "score", by).select(*by, F.col(metric).alias("score"))
+    error, target = F.col("target") - F.col("prediction"), F.col("target")
+    if metric in ("mae", "rmse", "r2"):
+        squares = F.var_pop(target) * F.count(target)
+        score = {"mae": F.avg(F.abs(error)), "rmse": F.sqrt(F.avg(error * error)), "r2": F.when(squares > 0, 1 - F.sum(error * error) / squares)}[metric]
+        return rows.groupBy(*by).agg(score.alias("score"))
+    if metric == "accuracy":
+        return rows.groupBy(*by).agg(F.avg((target == F.col("prediction")).cast("double")).alias("score"))
+    pairs = rows.groupBy(*by, "target", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(target == F.col("prediction"), F.col("n")).otherwise(0)
+    sides = F.array(F.struct(target.alias("c"), F.col("n").alias("held"), F.lit(0).cast("long").alias("said"), hit.alias("hit")), F.struct(F.col("prediction").alias("c"), F.lit(0).cast("long").alias("held"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit")))
+    classes = pairs.select(*by, F.explode(sides).alias("s")).select(*by, "s.*").where("c is not null").groupBy(*by, "c").agg(*[F.sum(x).alias(x) for x in ("held", "said", "hit")])
+    one = 2 * F.col("hit") / (F.col("held") + F.col("said")) if metric == "macro_f1" else F.when(F.col("held") > 0, F.col("hit") / F.col("held"))
+    return classes.groupBy(*by).agg(F.avg(one).alias("score"))
+
+
+def _out_of_fold(fitted, rows: DataFrame) -> DataFrame:
+    """target, prediction and the score of class 1 where the family has one (probability, else margin)."""
+    out = fitted.transform(rows)
+    named = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
+    score = F.get(vector_to_array(named), F.lit(1)) if named else F.col("prediction")
+    return out.select(F.col("target").cast("double").alias("target"), F.col("prediction").cast("double").alias("prediction"), score.cast("double").alias("score"))
+
+
+def out_of_fold(train: DataFrame, stages: Sequence, families: Mapping[str, Sequence[Estimator]], parallelism: int = 4) -> DataFrame:
+    """Out-of-fold predictions of every candidate, stacked: family, trial, fold, target, prediction, score; written.
 
     `train` carries `target` and `fold`. Preprocessing is fitted once inside each fold and shared by its candidates.
     """
-    smaller = metric in ("mae", "rmse")
-    evaluator = (
-        RegressionEvaluator(labelCol="target", metricName=metric)
-        if metric in ("mae", "rmse", "r2")
-        else MulticlassClassificationEvaluator(labelCol="target", metricName=metric)
-    )
     n_folds = train.agg(F.max("fold")).first()[0] + 1
     trials = [(family, i, e) for family, estimators in families.items() for i, e in enumerate(estimators)]
-    scores: dict[tuple[str, int], list[float]] = {(f, i): [] for f, i, _ in trials}
+    stacked = []
     for fold in range(n_folds):
         prepared = Pipeline(stages=list(stages)).fit(train.where(F.col("fold") != fold))
         ready = prepared.transform(train).persist()
         inside, outside = ready.where(F.col("fold") != fold), ready.where(F.col("fold") == fold)
 
-        def run(trial):
-            return evaluator.evaluate(trial[2].fit(inside).transform(outside))
+        def run(trial: tuple) -> DataFrame:
+            family, i, estimator = trial
+            return _out_of_fold(estimator.fit(inside), outside).withColumns({"family": F.lit(family), "trial": F.lit(i), "fold": F.lit(fold)})
 
         try:
             with ThreadPool(parallelism) as pool:
-                for (f, i, _), value in zip(trials, pool.map(inheritable_thread_target(train.sparkSession)(run), trials)):
-                    scores[f, i].append(float(value))
+                parts = pool.map(inheritable_thread_target(train.sparkSession)(run), trials)
+            stacked.append(materialise(functools.reduce(DataFrame.unionByName, parts)))
         finally:
             ready.unpersist()
-    mean = {k: sum(v) / len(v) for k, v in scores.items()}
-    rows = [(f, i, mean[f, i], (sum((x - mean[f, i]) ** 2 for x in scores[f, i]) / n_folds) ** 0.5) for f, i, _ in trials]
-    family, _, estimator = (min if smaller else max)(trials, key=lambda t: mean[t[0], t[1]])
-    return family, estimator, train.sparkSession.createDataFrame(rows, "family string, trial int, score double, score_std double")
+    return functools.reduce(DataFrame.unionByName, stacked)
+
+
+def trial_table(predictions: DataFrame, metric: str) -> DataFrame:
+    """Mean score over folds and its spread for every candidate, all from one grouped aggregation."""
+    scores = grouped_scores(predictions, ["family", "trial", "fold"], metric)
+    return scores.groupBy("family", "trial").agg(F.avg("score").alias("score"), F.stddev_pop("score").alias("score_std"))
+
+
+def best_trial(trials: DataFrame, metric: str, by: Sequence[str] = ()) -> DataFrame:
+    """The best candidate, or the best of each group; ties go to the smaller trial. One without a score never wins."""
+    sign = 1 if metric in LOWER_IS_BETTER else -1
+    ok = trials.where(R.present(trials, "score"))
+    return ok.groupBy(*by).agg(F.min(F.struct((F.col("score") * sign).alias("o"), "trial", "family", "score", "score_std")).alias("b")).select(*by, *[F.col(f"b.{c}").alias(c) for c in ("family", "trial", "score", "score_std") if c not in by])
+
+
+def search(train: DataFrame, stages: Sequence, families: Mapping[str, Sequence[Estimator]], metric: str, parallelism: int = 4) -> tuple[str, Estimator, DataFrame]:
+    """Grouped cross-validation of every candidate of every family: (best family, best estimator, trials table)."""
+    if metric not in SCORES:
+        raise ValueError(f"metric must be one of {SCORES}")
+    trials = materialise(trial_table(out_of_fold(train, stages, families, parallelism), metric))
+    best = best_trial(trials, metric).first()
+    if best is None or best["family"] is None:
+        raise ValueError(f"no candidate has a {metric}")
+    return best["family"], families[best["family"]][best["trial"]], trials
 
 
 def fit(train: DataFrame, stages: Sequence, estimator: Estimator) -> PipelineModel:
@@ -349,6 +393,7 @@ def learning_curve(train: DataFrame, group: str, stages: Sequence, estimator: Es
             for fold in range(n_folds):
                 part = data.where((F.col("fold") != fold) & (F.col("_share") <= f))
                 if part.limit(1).count() == 0:
+                    rows.append((float(f), fold, None, None))
                     continue
                 model = fit(part, stages, estimator)
                 rows.append((float(f), fold, float(evaluator.evaluate(model.transform(part))), float(evaluator.evaluate(model.transform(data.where(F.col("fold") == fold))))))
@@ -375,7 +420,8 @@ def validation_report(df: DataFrame, key: Sequence[str], required: Sequence[str]
 def compare_runs(runs: DataFrame, by: Sequence[str], score: str, higher_is_better: bool = True) -> DataFrame:
     """Best trial per run group with its spread over trials."""
     sign = -1 if higher_is_better else 1
-    # A null key is passed over, so a trial without a score never wins.
+    # NaN is no score. A null key is passed over, so a trial without a score never wins.
+    runs = runs.withColumn(score, F.when(R.present(runs, score), F.col(score)))
     rank = F.when(F.col(score).isNotNull(), F.struct(F.col(score) * sign, F.col("trial")))
     return runs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trials"), F.min_by("trial", rank).alias("best_trial"),

@@ -206,8 +206,14 @@ def quality_trend(df: DataFrame, quality: str, score: str, bins: int = 20) -> Da
     return centre.join(binned.groupBy("bin").agg(F.avg("p").alias("mean_score")), "bin")
 
 
+def _numbers(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN is missing."""
+    return df.withColumns({c: F.when(R.present(df, c), F.col(c)) for c in columns})
+
+
 def prediction_summary(df: DataFrame, target: str, prediction: str, score: str, label: str, split: str) -> DataFrame:
     """Key/value rows: rows, rows per split, correlation, score mean and population std, label counts."""
+    df = _numbers(df, target, prediction, score)
     one = df.agg(
         F.count(F.lit(1)).cast("double").alias("n_rows"),
         correlation(F.col(target).cast("double"), F.col(prediction).cast("double")).alias("target_prediction_corr"),
@@ -223,6 +229,7 @@ def prediction_summary(df: DataFrame, target: str, prediction: str, score: str,
 
 def inference_summary(df: DataFrame, score: str, label: str, artifact: str) -> DataFrame:
     """One row: score spread, label counts, and the artifact when it is the same everywhere."""
+    df = _numbers(df, score)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg(score).alias("score_mean"), F.stddev_pop(score).alias("score_std"),
         F.min(score).alias("score_min"), F.max(score).alias("score_max"),

@@ -118,7 +118,8 @@ def consensus_pivot(facts: DataFrame, key: str, model: str, models: Sequence[str
 
 
 def patch_targets(facts: DataFrame, key: str, model: str, target: str, how: str = "median") -> DataFrame:
-    """Patch-level target across models. A patch has one row per model, so its group is a model list."""
+    """Patch-level target across models. A patch has one row per model, so its group is a model list. NaN is missing."""
+    facts = facts.withColumn(target, F.when(R.present(facts, target), F.col(target)))
     agg = {"median": F.median, "mean": F.avg}[how](F.col(target))
     return facts.groupBy(key).agg(
         agg.alias("target"),
@@ -146,16 +147,16 @@ def coverage_filter(targets: DataFrame, facts: DataFrame, model: str, complete:
 def spearman(df: DataFrame, features: Sequence[str], metrics: Sequence[str], together: bool = True) -> DataFrame:
     """Spearman rho of every feature and metric, average ranks, null when either side is constant.
 
-    Nulls are dropped per feature over the feature and all metrics (`together`), or per pair. All pairs run
+    Nulls and NaN are dropped per feature over the feature and all metrics (`together`), or per pair. All pairs run
     in one plan: pairs are collapsed to distinct (x, y) counts, ranked per pair, and correlated by weight.
     """
     items = []
     for f in features:
         present = F.lit(True)
         for m in metrics:
-            present = present & F.col(m).isNotNull()
+            present = present & R.present(df, m)
         for m in metrics:
-            ok = F.col(f).isNotNull() & (present if together else F.col(m).isNotNull())
+            ok = R.present(df, f) & (present if together else R.present(df, m))
             items.append(
                 F.when(ok, F.struct(F.lit(f).alias("feature"), F.lit(m).alias("metric"), F.col(f).cast("double").alias("x"), F.col(m).cast("double").alias("y")))
             )
@@ -192,11 +193,12 @@ def _weighted_ranks(lines: DataFrame, by: Sequence[str], v: str) -> DataFrame:
 
 
 def bucket_report(df: DataFrame, features: Sequence[str], metrics: Sequence[str], q: int = 4) -> DataFrame:
-    """Per feature, equal-frequency bucket and metric: median, mean, count. Nulls dropped per feature."""
+    """Per feature, equal-frequency bucket and metric: median, mean, count. Nulls and NaN dropped per feature."""
     present = F.lit(True)
     for m in metrics:
-        present = present & F.col(m).isNotNull()
-    long = _melt(df.where(present), metrics, features, "feature", "x").where(F.col("x").isNotNull())
+        present = present & R.present(df, m)
+    long = _melt(df.where(present), metrics, features, "feature", "x")
+    long = long.where(R.present(long, "x"))
     edges = R.quantile_edges(long, ["feature"], "x", q).drop("n")
     # One row per feature name: as small as the argument list.
     bucketed = long.join(F.broadcast(edges), "feature").select("feature", R.bucket_of("x", "edges", q).alias("bucket"), *metrics)
@@ -215,6 +217,7 @@ def grouped_stats(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> D
 
 def stratified_medians(facts: DataFrame, by: str, strata: str, metrics: Sequence[str], q: int = 4) -> tuple[DataFrame, DataFrame]:
     """(medians per group and stratum bucket, bucket bounds); edges come from the long rows as they are."""
+    facts = facts.where(R.present(facts, strata))
     bounds = R.global_edges(facts, strata, q)
     bucketed = facts.withColumn("bucket", R.bucket_by(strata, bounds)).where(F.col("bucket").isNotNull())
     med = grouped_quantiles(bucketed, [by, "bucket"], metrics, {"median": 0.5})

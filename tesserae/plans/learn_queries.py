@@ -70,14 +70,14 @@ def feature_frame(spark, sf):
 def preprocess(spark, sf):
     df = _vectors(spark, sf)
     train = df.where("vec_id % 5 > 0")
-    out = Pipeline(stages=L.preprocessing(train, ["size"], ["kind"])).fit(train).transform(df)
+    out = Pipeline(stages=L.preprocessing(["size"], ["kind"])).fit(train).transform(df)
     return rounded(out.select("vec_id", F.get(vector_to_array("numeric_vector"), F.lit(0)).alias("scaled"), F.size(vector_to_array("kind_hot")).alias("n_hot")))
 
 
 @query("m05_pca_step")
 def pca_step(spark, sf):
     df = L.feature_frame(_vectors(spark, sf), "vec_id", "target", "embedding", [])
-    out = Pipeline(stages=L.preprocessing(df, embedding=True, pca=8)).fit(df).transform(df)
+    out = Pipeline(stages=L.preprocessing(embedding=True, pca=8)).fit(df).transform(df)
     return out.select("vec_id", F.size(vector_to_array("features")).alias("n_features"))
 
 
@@ -90,14 +90,14 @@ def pca_step(spark, sf):
 )
 def least_squares(spark, sf):
     df = V.table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("target"))
-    model = L.fit(df, L.preprocessing(df, ["size"]), L.regressor("ridge", L.target_scale(df), 42, alpha=10.0))
+    model = L.fit(df, L.preprocessing(["size"]), L.regressor("ridge", L.target_scale(df), 42, alpha=10.0))
     return rounded(model.transform(df).select("p_partkey", "prediction"), 4)
 
 
 @query("m06_tree_regressors")
 def tree_regressors(spark, sf):
     df = L.feature_frame(_vectors(spark, sf), "vec_id", "target", "embedding", ["size"])
-    stages = L.preprocessing(df, ["size"], embedding=True, pca=4)
+    stages = L.preprocessing(["size"], embedding=True, pca=4)
     out = None
     for family in ("random_forest", "boosted"):
         p = L.predict_regression(L.fit(df, stages, L.regressor(family, L.target_scale(df), 42, trees=5, depth=4)), df, ["vec_id"]).withColumn("family", F.lit(family))
@@ -115,9 +115,9 @@ def _classes(spark, sf):
 def classifiers(spark, sf):
     df = _classes(spark, sf)
     train = df.where("split = 'train'")
-    stages, out = L.preprocessing(train, ["size"], embedding=True, pca=4), None
+    stages, out = L.preprocessing(["size"], embedding=True, pca=4), None
     for family in ("logistic", "linear_svm", "random_forest", "boosted"):
-        p = L.predict_classes(L.fit(train, stages, L.classifier(family, 400, 2, 42, trees=4, depth=3, iterations=10)), df.where("split = 'test'"), ["vec_id"])
+        p = L.predict_classes(L.fit(train, stages, L.classifier(family, train.count(), 2, 42, trees=4, depth=3, iterations=10)), df.where("split = 'test'"), ["vec_id"])
         p = p.select("vec_id", "target", "prediction").withColumn("family", F.lit(family))
         out = p if out is None else out.unionByName(p)
     return out
@@ -132,16 +132,57 @@ def family_search(spark, sf):
         "ridge": [L.regressor("ridge", scale, 42, **p) for p in L.sample_params({"alpha": [0.1, 1.0, 10.0]}, 2, 1)],
         "random_forest": [L.regressor("random_forest", scale, 42, **p) for p in L.sample_params({"trees": [4], "depth": [2, 4]}, 1, 1)],
     }
-    return L.search(data, L.preprocessing(data, ["size"], embedding=True), families, "mae")[2]
+    return L.search(data, L.preprocessing(["size"], embedding=True), families, "mae")[2]
+
+
+@query("m08_classifier_search")
+def classifier_search(spark, sf):
+    """Best trial of each family by two metrics, from one stack of out-of-fold predictions."""
+    df = L.grouped_folds(_vectors(spark, sf).withColumn("target", (F.col("target") > 0).cast("double")), "slide_id", 3, 42, "target")
+    data = L.balanced_weights(L.feature_frame(df, "vec_id", "target", "embedding", ["size", "kind"], ["slide_id"]), df)
+    n, out = data.count(), None
+    families = {
+        "logistic": [L.classifier("logistic", n, 2, 42, iterations=10, **p) for p in L.sample_params({"C": [0.1, 1.0]}, 2, 1)],
+        "random_forest": [L.classifier("random_forest", n, 2, 42, trees=4, depth=3)],
+    }
+    predictions = L.out_of_fold(data, L.preprocessing(["size"], ["kind"], embedding=True, pca=4), families)
+    for metric in ("macro_f1", "roc_auc"):
+        best = L.best_trial(L.trial_table(predictions, metric), metric, ["family"]).withColumn("metric", F.lit(metric))
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+@query(
+    "m08_trial_scores",
+    rounded_sql(
+        "with " + V.V_OK + """, p as (select model_name as trial, (pixel_dice > 0.5)::int as t, (instance_pq > 0.4)::int as y, instance_pq as s from v_ok where pixel_dice is not null and instance_pq is not null),
+ c as (select trial, k, count(*) filter (t = k) as held, count(*) filter (y = k) as said, count(*) filter (t = k and y = k) as hit from p, (values (0), (1)) v(k) group by all),
+ f as (select trial, avg(2 * hit / (held + said)) as macro_f1, avg(hit / held) filter (held > 0) as balanced_accuracy from c where held + said > 0 group by trial),
+ r as (select trial, t, rank() over (partition by trial order by s) + (count(*) over (partition by trial, s) - 1) / 2.0 as rk from p),
+ a as (select trial, case when count(*) filter (t = 1) > 0 and count(*) filter (t = 0) > 0 then (sum(rk) filter (t = 1) - count(*) filter (t = 1) * (count(*) filter (t = 1) + 1) / 2.0) / (count(*) filter (t = 1) * count(*) filter (t = 0)) end as roc_auc from r group by trial)
+--body
+select trial, macro_f1, balanced_accuracy, roc_auc from f join a using (trial)""",
+        "macro_f1 balanced_accuracy roc_auc",
+    ),
+)
+def trial_scores(spark, sf):
+    """Scores of given predictions, one row a trial."""
+    e = V.eval_ok(spark, sf).where("pixel_dice is not null and instance_pq is not null")
+    p = e.select(F.col("model_name").alias("trial"), (F.col("pixel_dice") > 0.5).cast("double").alias("target"), (F.col("instance_pq") > 0.4).cast("double").alias("prediction"), F.col("instance_pq").alias("score"))
+    out = None
+    for metric in ("macro_f1", "balanced_accuracy", "roc_auc"):
+        s = L.grouped_scores(p, ["trial"], metric).withColumnRenamed("score", metric)
+        out = s if out is None else out.join(s, "trial")
+    return rounded(out)
 
 
 @query("m09_fit_and_predict")
 def fit_and_predict(spark, sf):
     df = L.feature_frame(L.grouped_split(_vectors(spark, sf), "slide_id", 0.2, 42), "vec_id", "target", "embedding", ["size"])
     train = df.where("split = 'train'")
-    stages, est = L.preprocessing(train, ["size"], embedding=True), L.regressor("ridge", L.target_scale(train), 42)
+    stages, est = L.preprocessing(["size"], embedding=True), L.regressor("ridge", L.target_scale(train), 42)
     scored = L.predict_regression(L.fit(train, stages, est), df, ["vec_id", "split"])
-    refit = L.fit(df, L.preprocessing(df, ["size"], embedding=True), est)
+    refit = L.fit(df, L.preprocessing(["size"], embedding=True), est)
     return scored.join(refit.transform(df).select("vec_id", F.col("prediction").alias("refit_prediction")), "vec_id")
 
 
@@ -150,7 +191,7 @@ def score_saved(spark, sf):
     df = _classes(spark, sf)
     train = df.where("split = 'train'")
     path = f"{_scratch(spark)}/model"
-    L.fit(train, L.preprocessing(train, ["size"], embedding=True, pca=4), L.classifier("logistic", 400, 2, 42, iterations=10)).write().overwrite().save(path)
+    L.fit(train, L.preprocessing(["size"], embedding=True, pca=4), L.classifier("logistic", train.count(), 2, 42, iterations=10)).write().overwrite().save(path)
     fresh = _vectors(spark, sf).drop("target").withColumn("weight", F.lit(1.0))
     return L.score_saved(path, fresh, {"size": "double"}, ["vec_id"], "embedding", 64).select("vec_id", "predicted_failure_probability", "predicted_failure_label", "predicted_quality_label")
 
@@ -168,7 +209,7 @@ def three_class_stage(spark, sf):
     data = L.feature_frame(df, "vec_id", "target", "embedding", ["size"])
     data = L.balanced_weights(data, data.where("split = 'train'"))
     train = data.where("split = 'train'")
-    model = L.fit(train, L.preprocessing(train, ["size"], embedding=True, pca=4), L.classifier("logistic", 400, 3, 42, iterations=10))
+    model = L.fit(train, L.preprocessing(["size"], embedding=True, pca=4), L.classifier("logistic", train.count(), 3, 42, iterations=10))
     return M.confusion(L.predict_classes(model, data.where("split = 'test'"), ["vec_id"]), "target", "prediction", [0.0, 1.0, 2.0])
 
 
@@ -183,7 +224,7 @@ def failure_mode_stage(spark, sf):
     data = hard.select("patch_id", "model_name", "split", "foreground_fraction", (F.array_position(F.array(*[F.lit(m) for m in modes]), F.col("mode")) - 1).cast("double").alias("target"))
     data = L.balanced_weights(data, data.where("split = 'train'"))
     train = data.where("split = 'train'")
-    model = L.fit(train, L.preprocessing(train, ["foreground_fraction"], ["model_name"]), L.classifier("random_forest", 1000, len(modes), 42, trees=4, depth=4))
+    model = L.fit(train, L.preprocessing(["foreground_fraction"], ["model_name"]), L.classifier("random_forest", train.count(), len(modes), 42, trees=4, depth=4))
     p = L.predict_classes(model, data.where("split = 'test'"), ["patch_id"])
     return p.agg((F.count(F.lit(1)) > 0).alias("any_rows"), F.count_if(F.col("prediction").isNull()).alias("n_unlabelled"))
 
@@ -213,7 +254,7 @@ def nearest_to_centre(spark, sf):
 def learning_curve(spark, sf):
     df = L.grouped_folds(_vectors(spark, sf), "slide_id", 2, 42)
     data = L.feature_frame(df, "vec_id", "target", "embedding", ["size", "slide_id"])
-    return L.learning_curve(data, "slide_id", L.preprocessing(data, ["size"], embedding=True), L.regressor("ridge", L.target_scale(data), 42), RegressionEvaluator(labelCol="target", metricName="mae"), [0.5, 1.0], 42)
+    return L.learning_curve(data, "slide_id", L.preprocessing(["size"], embedding=True), L.regressor("ridge", L.target_scale(data), 42), RegressionEvaluator(labelCol="target", metricName="mae"), [0.2, 0.4, 0.6, 0.8, 1.0], 42)
 
 
 @query(
