@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; punctuation does not count. A mask
+Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased; punctuation does not count. In scripts
+without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese; also Korean) every character is a word. A mask
 selects some positions of a stretch of SPAN words and ignores the others, so two passages give the same seed
 although words at ignored positions were substituted. Seeds of the benchmark and of the documents are joined by
 hash. Around each hit the two texts are laid side by side and the overlap is extended both ways, as long as at
-least IDENTITY of its words agree; an overlap of MIN_WORDS words or more (or of the whole item, if that is
+least IDENTITY of its words agree. Overlaps on one diagonal (the same shift between document and item) that touch are
+joined, and the longest stretch of them with that share counts, so an overlap may be as long as the item. One of MIN_WORDS words or more (or of the whole item, if that is
 shorter) is contamination. An item shorter than SPAN words must occur unchanged; one of fewer than SHORTEST
 words says too little and is not searched for.
 
@@ -35,13 +37,39 @@ SPAN = max(map(len, MASKS))
 SHORTEST = 5
 IDENTITY = 0.8
 MIN_WORDS = 13
-#: Words laid side by side before and after a seed.
+#: Words laid side by side before and after one seed; a stretch that goes on holds further seeds.
 AROUND = 24
 BITS = 24
 _OTHER = np.array([not (chr(b).isalnum() or b >= 128) if b < 128 else False for b in range(256)])
 _FACTORS = np.random.default_rng(7).integers(0, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Places where a character of a script without spaces begins; all of them have three bytes."""
+    first = data[:-2] if len(data) > 2 else data[:0]
+    # UTF-8 of U+3000 to U+D7FF, Thai and Lao, Burmese, Khmer.
+    lead = (first >= 0xE3) & (first <= 0xED)
+    near = np.flatnonzero((first == 0xE0) | (first == 0xE1))
+    second = data[near + 1]
+    lead[near] = np.where(first[near] == 0xE0, (second >= 0xB8) & (second <= 0xBB), ((second >= 0x80) & (second <= 0x82)) | (second == 0x9E) | (second == 0x9F))
+    return np.flatnonzero(lead)
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As `words_of`, with characters of scripts without spaces apart."""
+    starts, ends, first = words_of(data, offsets, _OTHER)
+    at = _unspaced(data)
+    if not len(at):
+        return starts, ends, first
+    # A word goes on after such a character unless it ended there.
+    cuts = np.concatenate([at, at + 3])
+    word = np.searchsorted(starts, cuts, "right") - 1
+    cuts = cuts[(word >= 0) & (cuts < ends[word])]
+    all_starts = np.unique(np.concatenate([starts, cuts]))
+    all_ends = np.minimum(np.append(all_starts[1:], len(data)), ends[np.searchsorted(starts, all_starts, "right") - 1])
+    return all_starts, all_ends, np.searchsorted(all_starts, offsets, "left")
+
+
 def _seeds(words: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, word position, hash) of each stretch of a mask's length inside one text."""
     span = len(mask)
@@ -56,18 +84,18 @@ def _seeds(words: np.ndarray, first: np.ndarray, mask: str) -> tuple[np.ndarray,
     return text[inside], inside - first[text[inside]], mix(total[inside] + np.uint64(int(mask, 2)))
 
 
-_ROW = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("span", pa.int32()), ("n_words", pa.int64()), ("around", pa.binary())])
-_ROW_SQL = "id long, hash long, pos long, span int, n_words long, around binary"
+_ROW = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("hash", pa.int64()), ("pos", pa.int64()), ("span", pa.int32()), ("n_words", pa.int64()), ("around", pa.binary())])
+_ROW_SQL = "id long, row long, hash long, pos long, span int, n_words long, around binary"
 
 
 def _rows(batches: Iterator[pa.RecordBatch], masks: list[str], bitmap: np.ndarray | None, whole: bool) -> Iterator[pa.RecordBatch]:
     """Seeds with the words around them; with a bitmap only those that pass it. whole: masks without gaps fit whole texts only, others not those
     shorter than SPAN."""
     for batch in batches:
-        ids = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), np.int64)
+        ids, row = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("doc_id", "row"))
         for a, b, data, offsets in slices(batch):
             data = lowered(data)
-            starts, ends, first = words_of(data, offsets, _OTHER)
+            starts, ends, first = _words(data, offsets)
             words = word_hashes(data, starts, ends)
             # Zero stands for "no word here"; a margin on both sides keeps look-ups inside the array.
             short = np.concatenate([np.zeros(AROUND, np.uint32), (words >> np.uint64(32)).astype(np.uint32) | np.uint32(1), np.zeros(AROUND + SPAN, np.uint32)])
@@ -88,7 +116,7 @@ def _rows(batches: Iterator[pa.RecordBatch], masks: list[str], bitmap: np.ndarra
                     side = short[np.maximum((first[t] + p)[:, None] + offset + AROUND, 0)]
                     side[(at < 0) | (at >= count[t][:, None])] = 0
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[a + t]), pa.array(signed(s)), pa.array(p), pa.array(np.full(len(t), len(mask), np.int32)), pa.array(count[t]), pa.array([r.tobytes() for r in side], pa.binary())], schema=_ROW
+                        [pa.array(ids[a + t]), pa.array(row[a + t]), pa.array(signed(s)), pa.array(p), pa.array(np.full(len(t), len(mask), np.int32)), pa.array(count[t]), pa.array([r.tobytes() for r in side], pa.binary())], schema=_ROW
                     )
 
 
@@ -124,13 +152,54 @@ def _overlaps(mine: np.ndarray, item: np.ndarray, span: np.ndarray, identity: fl
     return before, behind, agree
 
 
+_WINDOW = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("item_id", pa.int64()), ("item_words", pa.int64()), ("shift", pa.int64()), ("first", pa.int64()), ("agree", pa.binary())])
+_WINDOW_SQL = "id long, row long, item_id long, item_words long, shift long, first long, agree binary"
 _FOUND = pa.schema([("id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int64()), ("agree", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
 
 
+def longest(agree: np.ndarray, identity: float) -> tuple[int, int]:
+    """First word and length of the longest stretch of which at least `identity` agree; the first of several."""
+    total = np.concatenate([[0.0], np.cumsum(agree - identity)])
+    low = np.minimum.accumulate(total)
+    # For each end, the earliest start whose running sum is not above: the running minimum never rises.
+    start = np.searchsorted(-low, -(total + 1e-9), "left")
+    length = np.arange(len(total)) - start
+    best = int(length.argmax())
+    return int(start[best]), int(length[best])
+
+
+def _joined(identity: float, min_words: int):
+    """Windows of one document, item and shift, joined where they touch, and the longest stretch of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            columns = ("id", "item_id", "item_words", "windows")
+            for doc, item, item_words, windows in zip(*(batch.column(c).to_pylist() for c in columns)):
+                at, end, parts = None, 0, []
+                for w in [*sorted(windows, key=lambda w: w["first"]), None]:
+                    if w is None or at is None or w["first"] > end:
+                        if at is not None:
+                            bits = np.zeros(end - at, np.uint8)
+                            for p in parts:
+                                bits[p["first"] - at : p["first"] - at + len(p["agree"])] |= np.frombuffer(p["agree"], np.uint8)
+                            start, words = longest(bits, identity)
+                            if words >= min(min_words, item_words):
+                                out.append((doc, item, words, int(bits[start : start + words].sum()), at + start, at + start + words - 1))
+                        if w is None:
+                            break
+                        at, end, parts = w["first"], 0, []
+                    parts.append(w)
+                    end = max(end, w["first"] + len(w["agree"]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], f.type) for c, f in enumerate(_FOUND)], schema=_FOUND)
+
+    return run
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, identity: float = IDENTITY, min_words: int = MIN_WORDS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> one row per document and item that overlap: id (doc_id, or the
     largest long for null), item_id, words and agree of the longest overlap, first_word and last_word of all."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("doc_id"), "text")
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("row"), "text")
     lengths = [SPAN, *range(SHORTEST, SPAN)]
     masks = [*MASKS, *("1" * n for n in lengths[1:])]
     seeds = written(items.mapInArrow(lambda b: _rows(b, masks, None, True), _ROW_SQL))
@@ -138,27 +207,32 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, identity: float = IDENTITY,
     used = {r[0] for r in seeds.where(F.col("n_words") < SPAN).select("n_words").distinct().collect()}
     active = [m for m in masks if "0" in m or len(m) in used]
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(seeds))
-    rows = docs.select(order_id(F.col("doc_id")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Rows that share a doc_id are told apart by their text while overlaps are joined.
+    rows = docs.select(order_id(F.col("doc_id")).alias("doc_id"), F.xxhash64("text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     hits = rows.mapInArrow(lambda b: _rows(b, active, bitmap.value, False), _ROW_SQL)
-    theirs = seeds.select("hash", "span", F.col("id").alias("item_id"), F.col("n_words").alias("item_words"), F.col("around").alias("item_around"))
+    theirs = seeds.select("hash", "span", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.col("n_words").alias("item_words"), F.col("around").alias("item_around"))
     pairs = spread_join(hits, theirs, ["hash", "span"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                ids, item_ids, pos, span, item_words = (part.column(n).to_numpy(zero_copy_only=False) for n in ("id", "item_id", "pos", "span", "item_words"))
-                mine, item = (np.frombuffer(b"".join(part.column(n).to_pylist()), np.uint32).reshape(len(ids), -1) for n in ("around", "item_around"))
+                pos, span, item_pos = (part.column(n).to_numpy() for n in ("pos", "span", "item_pos"))
+                mine, item = (np.frombuffer(b"".join(part.column(n).to_pylist()), np.uint32).reshape(len(pos), -1) for n in ("around", "item_around"))
                 before, behind, agree = _overlaps(mine, item, span.astype(np.int64), identity)
-                words = before + span + behind
-                ok = (agree >= identity * words - 1e-9) & (agree > 0) & (words >= np.minimum(min_words, item_words))
-                first = pos - before
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(c[ok], np.int64)) for c in (ids, item_ids, words, agree, first, first + words - 1)], schema=_FOUND)
-
-    columns = ["id", "item_id", "pos", "span", "item_words", "around", "item_around"]
-    found = pairs.select(*columns).mapInArrow(verify, "id long, item_id long, words long, agree long, first_word long, last_word long")
-    longest = F.max(F.struct("words", "agree")).alias("best")
-    return found.groupBy("id", "item_id").agg(longest, F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")).select("id", "item_id", "best.*", "first_word", "last_word")
+                ok = np.flatnonzero((agree >= identity * (before + span + behind) - 1e-9) & (agree > 0))
+                same = ((mine == item) & (mine != 0)).astype(np.uint8)
+                bits = [same[k, AROUND - before[k] : AROUND + span[k] + behind[k]].tobytes() for k in ok]
+                some = part.take(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([*(some.column(n) for n in ("id", "row", "item_id", "item_words")), pa.array(pos[ok] - item_pos[ok]), pa.array(pos[ok] - before[ok]), pa.array(bits, pa.binary())], schema=_WINDOW)
+
+    columns = ["id", "row", "item_id", "item_words", "item_pos", "pos", "span", "around", "item_around"]
+    windows = pairs.select(*columns).mapInArrow(verify, _WINDOW_SQL)
+    # A group holds the seeds of one copy of one item: as many as the item has words, whatever the corpus.
+    runs = windows.groupBy("id", "row", "item_id", "item_words", "shift").agg(F.collect_set(F.struct("first", "agree")).alias("windows"))
+    found = runs.select("id", "item_id", "item_words", "windows").mapInArrow(_joined(identity, min_words), "id long, item_id long, words long, agree long, first_word long, last_word long")
+    best = F.max(F.struct("words", "agree")).alias("best")
+    return found.groupBy("id", "item_id").agg(best, F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word")).select("id", "item_id", "best.*", "first_word", "last_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

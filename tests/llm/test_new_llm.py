@@ -254,3 +254,37 @@ def test_gradients_of_many_tasks_are_added_in_steps(spark, monkeypatch):
     rows = [(b, p, np.full(4, float(p + 10 * b)).tobytes()) for b in range(2) for p in range(20)]
     total = qc._summed(spark.createDataFrame(rows, "block int, part int, values binary").repartition(5), 20)
     assert total.tolist() == [190.0] * 4 + [390.0] * 4
+
+
+def test_overlaps_as_long_as_the_item(spark):
+    from tesserae.llm import decontaminate
+
+    r = random.Random(4)
+    noise = lambda n: [f"n{r.randrange(10**6)}" for _ in range(n)]
+    item = [f"b{i}" for i in range(200)]
+    changed = [f"z{i}" if i % 9 == 4 else w for i, w in enumerate(item)]
+    chinese = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(30))
+    rows = [(1, " ".join(noise(30) + item + noise(30))), (2, " ".join(noise(7) + changed + noise(7))), (3, " ".join(item[:70] + noise(40) + item[110:])), (4, "前文" + chinese + "。后文"), (5, "".join(reversed(chinese))), (6, None), (7, "")]
+    # Rows that share a doc_id are not laid over each other.
+    rows += [(8, " ".join(item[:30])), (8, " ".join(["x"] * 30 + item[30:60]))]
+    bench = spark.createDataFrame([(10, " ".join(item)), (11, chinese)], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.id, x.item_id): x for x in decontaminate.overlaps(docs, bench).collect()}
+    assert sorted(got) == [(1, 10), (2, 10), (3, 10), (4, 11), (8, 10)]
+    assert (got[1, 10].words, got[1, 10].agree, got[1, 10].first_word, got[1, 10].last_word) == (200, 200, 30, 229)
+    assert got[2, 10].words >= 200 and got[2, 10].agree == sum(a == b for a, b in zip(item, changed))
+    assert 90 <= got[3, 10].words <= 115 and got[4, 11].words >= 30 and got[8, 10].words < 50
+    assert [x.id for x in decontaminate.overlaps(docs, bench, min_words=150).collect() if x.item_id == 10] and {x.id for x in decontaminate.overlaps(docs, bench, min_words=150).collect() if x.item_id == 10} == {1, 2}
+
+
+def test_longest_stretch_against_brute_force():
+    import numpy as np
+
+    from tesserae.llm import decontaminate
+
+    r = random.Random(6)
+    for _ in range(400):
+        bits = np.array([r.random() < 0.75 for _ in range(r.randint(1, 25))], np.uint8)
+        want = max(((b - a, -a) for a in range(len(bits)) for b in range(a + 1, len(bits) + 1) if bits[a:b].sum() >= 0.8 * (b - a) - 1e-9), default=(0, 0))
+        start, words = decontaminate.longest(bits, 0.8)
+        assert words == want[0] and (not words or start == -want[1])
