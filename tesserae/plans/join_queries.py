@@ -390,6 +390,33 @@ def fetch_vectors(spark, sf):
     return got.select("request", "stage", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first_value"))
 
 
+def _written(spark, sf):
+    folder = f"{_scratch(spark)}/vectors"
+    return D.write_vector_parts(V.table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<float>")), ["vec_id"], 128, folder), folder
+
+
+_PLACED = "(select *, row_number() over (order by vec_id) - 1 as k, count(*) over () as n from embeddings)"
+
+
+@query("s14_fetch_written_vectors", "select vec_id as request, case when vec_id % 10 = 3 then 'missing_part' when vec_id % 10 = 4 then 'bad_offset' when vec_id % 10 = 5 then 'offset_out_of_range' end as stage, case when vec_id % 10 not in (3, 4, 5) then round(embedding[1]::float::double, 5) end as first_value, case when vec_id % 10 not in (3, 4, 5) then round(embedding[64]::float::double, 5) end as last_value from embeddings")
+def fetch_written_vectors(spark, sf):
+    book, folder = _written(spark, sf)
+    digit = F.col("vec_id") % 10
+    asked = book.select(
+        F.col("vec_id").alias("request"), F.when(digit == 3, F.lit(f"{folder}/part=999999")).otherwise(F.col("embedding_path")).alias("embedding_path"),
+        F.when(digit == 4, -1).when(digit == 5, 128).otherwise(F.col("embedding_row_offset")).alias("embedding_row_offset"),
+    )
+    value = lambda i: F.round(F.get("embedding", F.lit(i)).cast("double"), 5)
+    return D.fetch_written_vectors(asked, folder, 64).select("request", "stage", value(0).alias("first_value"), value(63).alias("last_value"))
+
+
+@query("s16_write_vector_parts", f"select vec_id, label, concat('part=', k // 128) as part, cast(k % 128 as int) as embedding_row_offset, cast(len(embedding) as int) as embedding_dim, 'parquet' as embedding_format, cast(least(128, n - 128 * (k // 128)) as bigint) as rows_in_file from {_PLACED}")
+def write_vector_parts(spark, sf):
+    book, folder = _written(spark, sf)
+    files = spark.read.parquet(folder).groupBy(F.concat(F.lit("part="), F.col("part").cast("string")).alias("part"), F.col("_metadata.file_path")).agg(F.count(F.lit(1)).alias("rows_in_file")).drop("file_path")
+    return book.withColumn("part", K.basename("embedding_path")).join(files, "part").select("vec_id", "label", "part", "embedding_row_offset", "embedding_dim", "embedding_format", "rows_in_file")
+
+
 @query("s15_widen_vectors", "select vec_id, label, " + ", ".join(f"embedding[{i + 1}] as emb_{i:04d}" for i in range(64)) + " from embeddings")
 def widen_vectors(spark, sf):
     return D.widen_vectors(V.table(spark, sf, "embeddings"), 64)

@@ -286,7 +286,7 @@ def _stream(spark, sf):
     ev.where("event_id % 3 = 0").write.parquet(f"{root}/in/second")
     source = I.arriving(spark, f"{root}/in/*", _EVENTS)
     checks = [("error_event", F.col("event_type") == "error", "error event"), ("small_value", F.col("value") < 5, "value below 5")]
-    I.run_incremental(source, ["event_id"], "ts", "30 days", checks, f"{root}/ok", f"{root}/failed", f"{root}/checkpoint")
+    I.run_incremental(source, ["event_id"], ["ts", "value"], checks, f"{root}/ok", f"{root}/failed", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/ok"), spark.read.parquet(f"{root}/failed")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from ..operators.manifests import dense_row_index
+from ..session import materialise
+
 CELLS_SCHEMA = """wsi_metadata struct<patch_size: int, base_mpp: double, target_patch_mpp: double, orig_n_tiles_rows: int, orig_n_tiles_cols: int>,
  type_map map<string, string>,
  cells array<struct<bbox: array<array<double>>, contour: array<array<double>>, patch_coordinates: array<int>, offset_global: array<double>>>"""
@@ -67,6 +71,13 @@ def fetch_vectors(requests: DataFrame, parts: DataFrame, dim: int, address: Sequ
     )
 
 
+_PART_SCHEMA = "embedding array<float>, part bigint"
+
+
+def _part_path(folder: str, part: Column) -> Column:
+    return F.concat(F.lit(folder.rstrip("/") + "/part="), part.cast("string"))
+
+
 def vector_column_names(dim: int, prefix: str = "emb_") -> list[str]:
     width = max(4, len(str(dim - 1)))
     return [f"{prefix}{i:0{width}d}" for i in range(dim)]
@@ -95,3 +106,52 @@ def part_rows(df: DataFrame, row_index: str, rows_per_part: int, folder: str, ve
             "embedding_format": F.lit("parquet"),
         }
     )
+
+
+def write_vector_parts(df: DataFrame, order: Sequence[str], rows_per_part: int, folder: str, first_part: int = 0, vector: str = "embedding") -> DataFrame:
+    """Write vectors as one file a part, rows in `order`; returns every row's address in place of its vector.
+
+    Rows are numbered without gaps over the whole frame, so offset k of a part is row k of its file. A part is one
+    task's work of a fixed size. A later call appends behind the others with first_part = next_part(...); a call
+    that is repeated replaces the parts it wrote before.
+    """
+    spark = df.sparkSession
+    placed = part_rows(dense_row_index(df, list(order), "_row"), "_row", rows_per_part, folder, vector)
+    placed = placed.withColumn("part", F.floor(F.col("_row") / rows_per_part) + first_part)
+    placed = materialise(placed.withColumn("embedding_path", _part_path(folder, F.col("part"))))
+    (
+        placed.select("part", F.col(vector).alias("embedding"), "_row").repartition("part").sortWithinPartitions("part", "_row").drop("_row")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 0).partitionBy("part").parquet(folder)
+    )
+    return placed.drop(vector, "_row", "part")
+
+
+def next_part(spark: SparkSession, folder: str) -> int:
+    """Number behind the highest part in the folder."""
+    last = spark.read.schema(_PART_SCHEMA).parquet(folder).agg(F.max("part")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def fetch_written_vectors(requests: DataFrame, folder: str, dim: int, address: Sequence[str] = ("embedding_path", "embedding_row_offset")) -> DataFrame:
+    """Vectors at (part path, row in its file), read from the parts that the requests name and no others.
+
+    The row's place comes from the scan itself. `stage` tells what is wrong with a request: no such part, an offset
+    that is null, negative or past the part's end, or a vector of another length. The numbers of the named parts
+    pass through the driver, which lists these files for the scan in any case.
+    """
+    spark, (path, offset) = requests.sparkSession, address
+    pattern = "^" + re.escape(folder.rstrip("/")) + r"/part=(\d+)$"
+    asked = requests.withColumn("_part", F.regexp_extract(F.col(path), pattern, 1).try_cast("bigint"))
+    named = [r[0] for r in asked.select("_part").where("_part is not null").distinct().collect()]
+    stored = spark.read.schema(_PART_SCHEMA).parquet(folder).where(F.col("part").isin(named))
+    sizes = stored.groupBy(F.col("part").alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    vectors = stored.select(F.col("part").alias("_part"), F.col("_metadata.row_index").alias("_row"), "embedding")
+    found = asked.join(sizes, "_part", "left").join(vectors.withColumnRenamed("_part", "_stored"), (F.col("_part") == F.col("_stored")) & (F.col(offset) == F.col("_row")), "left")
+    stage = (
+        F.when(F.col("_rows").isNull(), "missing_part")
+        .when(F.col(offset).isNull() | (F.col(offset) < 0), "bad_offset")
+        .when(F.col(offset) >= F.col("_rows"), "offset_out_of_range")
+        .when(F.col("embedding").isNull(), "missing_vector")
+        .when(F.size("embedding") != dim, "dimension_mismatch")
+    )
+    return found.select(*[F.col(f"`{c}`") for c in requests.columns], "embedding", stage.alias("stage"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.dedupe import first_per_key
 from ..sources.tables import failed, passed, route
 
 
@@ -17,30 +19,62 @@ def arriving(spark: SparkSession, folder: str, schema: str | StructType, glob: s
     )
 
 
+_KEY_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def _session_settings(spark: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_incremental(
-    source: DataFrame, key: Sequence[str], event_time: str, lateness: str, checks: Sequence[tuple[str, Column, str]], ok_path: str, failed_path: str, checkpoint: str
+    source: DataFrame, key: Sequence[str], order: Sequence[str | Column], checks: Sequence[tuple[str, Column, str]], ok_path: str, failed_path: str, checkpoint: str
 ) -> None:
     """Process what has arrived, then stop; a later call goes on from the checkpoint.
 
-    Of rows with the same key the first to arrive is kept, at any distance in time: each batch is held against the
-    keys of all earlier ones, which lie as a table in the checkpoint folder with the rows they came with. A row is
-    never too late, so event_time and lateness drop nothing. A batch that runs again overwrites what it left, and
-    the two tables are written from that folder only after it is complete, each batch once, so a row lands in
-    exactly one of them however often executors or the driver restart.
+    Of rows with the same key the one of the earliest batch is kept, inside a batch the first by `order`, at any
+    distance in time; null keys are equal to each other. Each batch is first reduced to one row a key, before its
+    shuffle, so that a frequent key is one row. A second stream then drops keys that it has seen: they lie in a
+    state store, which is asked for the batch's keys only, so a batch reads no earlier batch.
+
+    The second stream catches up before the next batch is written. It therefore never takes rows of two batches at
+    once, and it has finished any step that was cut short before files it reads can be written again. Repeated steps
+    overwrite what they left, and the two tables are written after that, so a row lands in exactly one of them
+    however often executors or the driver restart.
     """
-    spark, schema, new = source.sparkSession, source.schema, f"{checkpoint}/new"
-    names = list(key)
+    spark, schema, names = source.sparkSession, source.schema, list(key)
+    reduced, unseen = f"{checkpoint}/reduced", f"{checkpoint}/unseen"
+
+    def drop_seen() -> None:
+        with _session_settings(spark, _KEY_STATE):
+            fresh = arriving(spark, f"{reduced}/*", schema).dropDuplicates(names)
+            _each_batch(fresh, lambda batch, number: batch.write.mode("overwrite").parquet(f"{unseen}/{number}"), f"{checkpoint}/seen")
 
-    def add(batch: DataFrame, number: int) -> None:
-        fresh = batch.dropDuplicates(names)
+    def reduce_batch(batch: DataFrame, number: int) -> None:
         if number:
-            earlier = batch.sparkSession.read.schema(schema).parquet(*[f"{new}/{i}" for i in range(number)]).select(*[F.col(f"`{k}`").alias(f"_seen{i}") for i, k in enumerate(names)])
-            same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_seen{i}")) for i, k in enumerate(names)]
-            fresh = fresh.join(earlier, same, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{new}/{number}")
+            drop_seen()
+        first_per_key(batch, names, list(order)).write.mode("overwrite").parquet(f"{reduced}/{number}")
 
-    source.writeStream.foreachBatch(add).option("checkpointLocation", f"{checkpoint}/arrived").trigger(availableNow=True).start().awaitTermination()
-    routed = route(arriving(spark, f"{new}/*", schema), checks)
+    _each_batch(source, reduce_batch, f"{checkpoint}/arrived")
+    drop_seen()
+    routed = route(arriving(spark, f"{unseen}/*", schema), checks)
     queries = [
         part.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}")
         .outputMode("append").trigger(availableNow=True).start()
@@ -50,7 +84,7 @@ def run_incremental(
         q.awaitTermination()
 
 
-def apply_rows(df: DataFrame, function: Callable[[dict], object], columns: Sequence[str], output: str, stage: str = "row_function", batch: bool = False) -> DataFrame:
+def apply_rows(df: DataFrame, function: Callable[[dict], object], columns: Sequence[str], output: str, stage: str = "row_function") -> DataFrame:
     """`function` per row in parallel; an exception becomes `stage` and `error_message` on its row.
 
     For work no built-in expresses. `output` is the SQL type of the `value` column.

@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import shutil
 import tempfile
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import keys as K, scalars as X
 from tesserae.operators import dedupe as D, joins as J, learn as L, manifests as N, metrics as M, ranks as R, reports as P, spatial as B
-from tesserae.sources import tables as T
+from tesserae.sources import documents as O, tables as T
 from tesserae.streaming import incremental as I
 
 
@@ -185,7 +187,7 @@ def test_incremental_run_goes_on_where_it_stopped(spark):
 
     def run():
         source = I.arriving(spark, f"{root}/in/*", schema)
-        I.run_incremental(source, ["k"], "ts", "1 day", [("negative", F.col("v") < 0, "negative")], f"{root}/ok", f"{root}/bad", f"{root}/cp")
+        I.run_incremental(source, ["k"], ["ts", "v"], [("negative", F.col("v") < 0, "negative")], f"{root}/ok", f"{root}/bad", f"{root}/cp")
         return sorted(r.k for r in spark.read.parquet(f"{root}/ok").collect()), sorted(r.k for r in spark.read.parquet(f"{root}/bad").collect())
 
     put("a", [(1, 1), (2, -1), (1, 1)])
@@ -202,7 +204,7 @@ def test_incremental_run_keeps_late_rows_and_knows_old_keys(spark):
         day = F.timestamp_seconds(F.col("day") * 86400 + 1_700_000_000)
         spark.createDataFrame(rows, "k int, day int, v int").select("k", day.alias("ts"), "v").coalesce(1).write.parquet(os.path.join(root, "in", name))
         source = I.arriving(spark, f"{root}/in/*", "k int, ts timestamp, v int")
-        I.run_incremental(source, ["k"], "ts", "1 day", [("negative", F.col("v") < 0, "negative")], f"{root}/ok", f"{root}/bad", f"{root}/cp")
+        I.run_incremental(source, ["k"], ["ts", "v"], [("negative", F.col("v") < 0, "negative")], f"{root}/ok", f"{root}/bad", f"{root}/cp")
         return [sorted((r.k or 0, r.v) for r in spark.read.parquet(f"{root}/{t}").collect()) for t in ("ok", "bad")]
 
     assert run("a", [(1, 0, 1), (2, 100, 1), (None, 100, 7)]) == [[(0, 7), (1, 1), (2, 1)], []]
@@ -211,6 +213,76 @@ def test_incremental_run_keeps_late_rows_and_knows_old_keys(spark):
     assert run("c", [(1, 400, 9), (4, 400, 9), (None, 400, 9), (6, 400, 2)]) == [[(0, 7), (1, 1), (2, 1), (3, 1), (5, 1), (6, 2)], [(4, -1)]]
 
 
+def test_incremental_run_keeps_the_first_by_batch_and_order_after_a_crash(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="spark-")
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "k int, t int, v int").coalesce(1).write.parquet(os.path.join(root, "in", name))
+
+    def run():
+        source = I.arriving(spark, f"{root}/in/*", "k int, t int, v int", files_per_trigger=1)
+        I.run_incremental(source, ["k"], ["t", "v"], [("negative", F.col("v") < 0, "negative")], f"{root}/ok", f"{root}/bad", f"{root}/cp")
+
+    put("a", [(1, 5, 50), (1, 3, 30), (1, 3, 31), (2, 9, -9)] + [(7, i, i) for i in range(1, 500)])
+    put("b", [(1, 1, 10), (3, 2, 20), (3, 1, 10), (2, 0, 1), (7, 0, 0)])
+    put("c", [(3, 0, 1), (4, 0, 4)])
+    whole, calls = I.first_per_key, []
+
+    def breaks_on_third(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return whole(*args)
+
+    monkeypatch.setattr(I, "first_per_key", breaks_on_third)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    rows = lambda t: sorted((r.k, r.t, r.v) for r in spark.read.parquet(f"{root}/{t}").collect())
+    assert rows("ok") == [(1, 3, 30), (3, 1, 10), (4, 0, 4), (7, 1, 1)] and rows("bad") == [(2, 9, -9)]
+    # Keys are remembered by the state store: a later batch reads its own files only.
+    for part in ("0", "1"):
+        shutil.move(f"{root}/cp/reduced/{part}", f"{root}/away{part}")
+    put("d", [(1, 0, 1), (5, 0, 5)])
+    run()
+    assert rows("ok") == [(1, 3, 30), (3, 1, 10), (4, 0, 4), (5, 0, 5), (7, 1, 1)]
+
+
+def test_vector_parts_round_trip_by_address(spark):
+    folder = tempfile.mkdtemp(prefix="spark-") + "/parts"
+
+    def put(ids, first):
+        df = spark.createDataFrame([(i, "x", [float(i), i / 2]) for i in ids], "id long, note string, embedding array<float>")
+        return O.write_vector_parts(df.repartition(5), ["id"], 10, folder, first)
+
+    ids = random.Random(2).sample(range(1000), 37)
+    book = put(ids, 0)
+    assert book.columns == ["id", "note", "embedding_path", "embedding_row_offset", "embedding_dim", "embedding_format"]
+    assert O.next_part(spark, folder) == 4
+    more = put([5000, 5001], 4)
+    put([5000, 5001], 4)
+    assert len([f for f in os.listdir(folder + "/part=4") if f.endswith(".parquet")]) == 1
+    both = book.unionByName(more)
+    got = {r.id: (r.embedding, r.stage) for r in O.fetch_written_vectors(both, folder, 2).collect()}
+    assert got == {i: ([float(i), i / 2], None) for i in [*ids, 5000, 5001]}
+    at = [(r.id, r.embedding_row_offset) for r in book.where(f"embedding_path = '{folder}/part=1'").collect()]
+    assert sorted(at) == [(i, k) for k, i in enumerate(sorted(ids)[10:20])]
+
+    bad = [(1, f"{folder}/part=1", None), (2, f"{folder}/part=1", -1), (3, f"{folder}/part=3", 7), (4, f"{folder}/part=9", 0), (5, "elsewhere/part=1", 0), (6, None, 0), (7, f"{folder}/part=3", 6), (8, f"{folder}/part=3", 6)]
+    asked = spark.createDataFrame(bad, "id long, embedding_path string, embedding_row_offset int")
+    found = O.fetch_written_vectors(asked, folder, 2)
+    last = max(ids)
+    assert {r.id: (r.embedding, r.stage) for r in found.collect()} == {
+        1: (None, "bad_offset"), 2: (None, "bad_offset"), 3: (None, "offset_out_of_range"), 4: (None, "missing_part"), 5: (None, "missing_part"), 6: (None, "missing_part"),
+        7: ([float(last), last / 2], None), 8: ([float(last), last / 2], None),
+    }
+    assert {r.stage for r in O.fetch_written_vectors(asked.where("id > 6"), folder, 3).collect()} == {"dimension_mismatch"}
+    # Only the named parts are read.
+    scans = re.findall(r"PartitionFilters: \[(.*?)\]", found._jdf.queryExecution().executedPlan().toString())
+    assert scans and all(re.search(r"part#\d+L? (IN|INSET) ", f) for f in scans), scans
+    assert O.fetch_written_vectors(asked.limit(0), folder, 2).count() == 0
+
+
 def test_tables_by_suffix(spark):
     root = tempfile.mkdtemp(prefix="spark-")
     df = spark.createDataFrame([(1, 'a "quoted", text'), (2, None)], "k int, t string")
