@@ -319,6 +319,20 @@ def list_files(spark, sf):
     return T.list_files(spark, sf, "*.parquet", recursive=False, suffixes=[".PARQUET"], excluded=["bench", "conversations"]).select("stem")
 
 
+@query("s08_list_written_files", "select o_orderstatus, count(*) as n_rows, cast(1 as boolean) as filled from orders where o_orderstatus <> 'P' group by 1")
+def list_written_files(spark, sf):
+    """Rows of every listed file, by the file's name; the folder of one status lies outside the listing."""
+    root = f"{_scratch(spark)}/orders"
+    orders = V.table(spark, sf, "orders")
+    orders.where("o_orderstatus <> 'P'").write.partitionBy("o_orderstatus").parquet(f"{root}/kept")
+    orders.where("o_orderstatus = 'P'").write.parquet(f"{root}/other")
+    listed = T.list_files(spark, f"{root}/kept", "*.parquet", recursive=True, suffixes=[".PARQUET"]).select("path", "name", "length")
+    held = spark.read.parquet(f"{root}/kept").groupBy(F.col("_metadata.file_name").alias("name"), F.element_at(F.split("_metadata.file_path", "/"), -2).alias("_folder")).agg(F.count(F.lit(1)).alias("n"))
+    folder = F.element_at(F.split("path", "/"), -2)
+    rows = listed.withColumn("_folder", folder).join(held, ["name", "_folder"], "left")
+    return rows.groupBy(F.regexp_extract("_folder", "=(.*)", 1).alias("o_orderstatus")).agg(F.sum("n").alias("n_rows"), F.bool_and(F.col("length") > 0).alias("filled"))
+
+
 @query("s09_manifest_records", "select p_partkey, case when p_partkey % 3 = 0 then concat('a/', p_partkey, '.PNG') else concat('b/', p_partkey, '.tif') end as image_ref from part where p_partkey % 3 <> 1 or p_partkey % 2 = 0")
 def manifest_records(spark, sf):
     k = F.col("p_partkey").cast("string")
