@@ -189,30 +189,50 @@ def crop_to_extent(pixels: DataFrame, offsets: DataFrame, keys: Sequence[str]) -
     ).drop("pad_y0", "pad_x0", "height", "width")
 
 
-def _erode(fg: DataFrame, keys: list[str], axis: str, length: str, reach: int) -> DataFrame:
-    other = "col" if axis == "row" else "row"
-    spread = fg.select(*keys, other, length, F.explode(F.sequence(F.greatest(F.col(axis) - reach, F.lit(0)), F.least(F.col(axis) + reach, F.col(length) - 1))).alias(axis))
-    # Pixels outside the image do not count against a pixel.
-    inside = F.least(F.col(axis) + reach, F.col(length) - 1) - F.greatest(F.col(axis) - reach, F.lit(0)) + 1
-    return spread.groupBy(*keys, "row", "col", length).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == inside).select(*keys, "row", "col")
+def _covered(runs: DataFrame, keys: list[str], need: Column) -> DataFrame:
+    """Maximal runs of each image row covered by at least `need` of its runs: one sweep over their ends."""
+    ends = F.explode(F.array(F.struct(F.col("c0").alias("at"), F.lit(1).alias("d")), F.struct(F.col("c1").alias("at"), F.lit(-1).alias("d"))))
+    w = Window.partitionBy(*keys, "row").orderBy("at")
+    # Ends at one place are peers of the running sum, so each of them sees the depth behind all of them.
+    deep = runs.select(*keys, "row", "height", "width", ends.alias("e")).select(*keys, "row", "height", "width", "e.*").withColumn("_in", F.sum("d").over(w) >= need)
+    borders = deep.withColumn("_was", F.coalesce(F.lag("_in").over(w), F.lit(False))).where(F.col("_in") != F.col("_was"))
+    return borders.withColumn("c1", F.lead("at").over(w)).where("_in").select(*keys, "row", F.col("at").alias("c0"), "c1", "height", "width")
 
 
-def _dilate(fg: DataFrame, keys: list[str], axis: str, length: str, reach: int) -> DataFrame:
-    other = "col" if axis == "row" else "row"
-    return fg.select(
-        *keys, other, F.explode(F.sequence(F.greatest(F.col(axis) - reach, F.lit(0)), F.least(F.col(axis) + reach, F.col(length) - 1))).alias(axis)
-    ).select(*keys, "row", "col").distinct()
+def _erode(runs: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    # Pixels outside the image do not count against a pixel, so an end on the border stays.
+    c0, c1 = F.when(F.col("c0") > 0, F.col("c0") + reach).otherwise(F.lit(0)), F.when(F.col("c1") < F.col("width"), F.col("c1") - reach).otherwise(F.col("width"))
+    narrow = runs.withColumns({"c0": c0, "c1": c1}).where("c0 < c1")
+    lowest, highest = F.greatest(F.col("row") - reach, F.lit(0)), F.least(F.col("row") + reach, F.col("height") - 1)
+    return _covered(narrow.withColumn("row", F.explode(F.sequence(lowest, highest))), keys, highest - lowest + 1)
 
 
-def open_close(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], ksize: int = 5) -> DataFrame:
-    """Binary opening then closing with a square kernel, one axis at a time, over foreground pixels only."""
+def _dilate(runs: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    wide = runs.withColumns({"c0": F.greatest(F.col("c0") - reach, F.lit(0)), "c1": F.least(F.col("c1") + reach, F.col("width"))})
+    rows = F.sequence(F.greatest(F.col("row") - reach, F.lit(0)), F.least(F.col("row") + reach, F.col("height") - 1))
+    return _covered(wide.withColumn("row", F.explode(rows)), keys, F.lit(1))
+
+
+def open_close_runs(runs: DataFrame, sizes: DataFrame, keys: Sequence[str], ksize: int = 5) -> DataFrame:
+    """Binary opening then closing with a square kernel on the maximal runs (keys, row, c0, c1) of a mask.
+
+    Along a row a kernel moves the ends of runs; across rows each run is laid on the rows it reaches and the depth of
+    cover decides. The two dilations between the erosions are one of twice the reach. Nothing is unfolded to pixels
+    and the sizes are joined once.
+    """
     keys, reach = list(keys), ksize // 2
-    fg = mask.where(F.col("label") > 0).select(*keys, "row", "col")
-    dims = sizes.select(*keys, "height", "width")
-    for step in (_erode, _dilate, _dilate, _erode):
-        for axis, length in (("row", "height"), ("col", "width")):
-            fg = step(spread_join(fg, dims, keys), keys, axis, length, reach)
-    return fg.withColumn("label", F.lit(1))
+    found = spread_join(runs.select(*keys, "row", "c0", "c1"), sizes.select(*keys, F.col("height").cast("int"), F.col("width").cast("int")), keys)
+    opened = _erode(found, keys, reach)
+    return _erode(_dilate(opened, keys, 2 * reach), keys, reach).drop("height", "width")
+
+
+def open_close(mask: DataFrame, sizes: DataFrame, keys: Sequence[str], ksize: int = 5) -> DataFrame:
+    """`open_close_runs` for a pixel table (one row per pixel): foreground pixels of the result with label 1."""
+    from .masks import to_runs
+
+    on = mask.where(F.col("label") > 0).select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(1).alias("label"))
+    done = open_close_runs(to_runs(on, keys), sizes, keys, ksize)
+    return done.select(*keys, "row", F.explode(F.sequence(F.col("c0"), F.col("c1") - 1)).alias("col"), F.lit(1).alias("label"))
 
 
 def percentile_normalise(pixels: DataFrame, keys: Sequence[str], value: str, low: float = 0.01, high: float = 0.998) -> DataFrame:

@@ -7,12 +7,13 @@ derived from the image size.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import safe_divide
 from ..session import materialise
@@ -29,8 +30,6 @@ def foreground(mask: DataFrame) -> DataFrame:
 
 def to_runs(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Horizontal runs of equal foreground label."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, "row").orderBy("col")
     fg = foreground(mask).select(*keys, "row", "col", "label")
     start = (F.lag("col").over(w) + 1 != F.col("col")) | (F.lag("label").over(w) != F.col("label"))
@@ -116,6 +115,50 @@ def pixel_ratios() -> dict[str, Column]:
     }
 
 
+def best_assignment(links: Sequence[Sequence[tuple[int, float]]]) -> list[int]:
+    """Largest total weight of a one-to-one choice: the right node of each left node, -1 for none.
+
+    `links[i]` lists (right node, weight >= 0) of left node i. Shortest augmenting paths with prices over these lists,
+    so memory follows the number of links; a private link of weight 0 stands for leaving a node alone.
+    """
+    owner: dict[int, int] = {}
+    price: dict[int, float] = {}
+    gain, match = [0.0] * len(links), [0] * len(links)
+    lists = []
+    for i, own in enumerate(links):
+        top = max((w for _, w in own), default=0.0)
+        lists.append([(j, top - w) for j, w in own] + [(-1 - i, top)])
+    for start in range(len(lists)):
+        dist: dict[int, float] = {}
+        back: dict[int, int] = {}
+        done: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        i, base = start, 0.0
+        while True:
+            for j, cost in lists[i]:
+                d = base + cost - gain[i] - price.get(j, 0.0)
+                if j not in done and d < dist.get(j, math.inf):
+                    dist[j], back[j] = d, i
+                    heapq.heappush(heap, (d, j))
+            base, j = heapq.heappop(heap)
+            while j in done:
+                base, j = heapq.heappop(heap)
+            if j not in owner:
+                break
+            done[j] = base
+            i = owner[j]
+        gain[start] += base
+        for k, d in done.items():
+            gain[owner[k]] += base - d
+            price[k] = price.get(k, 0.0) - (base - d)
+        while True:
+            i = back[j]
+            match[i], owner[j], j = j, i, match[i]
+            if i == start:
+                break
+    return [j if j >= 0 else -1 for j in match]
+
+
 def _assigner(columns: Sequence[str]):
     """mapInPandas body over rows sorted by component: largest total IoU inside each component.
 
@@ -123,40 +166,6 @@ def _assigner(columns: Sequence[str]):
     """
     columns = list(columns)
 
-    def solve(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        flip = gain.shape[0] > gain.shape[1]
-        cost = -(gain.T if flip else gain)
-        n, m = cost.shape
-        # Shortest augmenting paths with dual prices; column 0 is the virtual start.
-        u, v = np.zeros(n + 1), np.zeros(m + 1)
-        owner = np.zeros(m + 1, dtype=int)
-        for i in range(1, n + 1):
-            owner[0], j0 = i, 0
-            dist, back = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int)
-            done = np.zeros(m + 1, dtype=bool)
-            while True:
-                done[j0] = True
-                i0 = owner[j0]
-                slack = cost[i0 - 1] - u[i0] - v[1:]
-                better = (~done[1:]) & (slack < dist[1:])
-                dist[1:][better] = slack[better]
-                back[1:][better] = j0
-                reach = np.where(done[1:], np.inf, dist[1:])
-                j1 = int(np.argmin(reach)) + 1
-                delta = reach[j1 - 1]
-                u[owner[done]] += delta
-                v[done] -= delta
-                dist[1:][~done[1:]] -= delta
-                j0 = j1
-                if owner[j0] == 0:
-                    break
-            while j0:
-                owner[j0] = owner[back[j0]]
-                j0 = back[j0]
-        cols = np.nonzero(owner[1:])[0]
-        rows = owner[1:][cols] - 1
-        return (cols, rows) if flip else (rows, cols)
-
     def picked(pdf: pd.DataFrame) -> pd.DataFrame:
         names = pdf["_c"].to_numpy()
         starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
@@ -164,12 +173,13 @@ def _assigner(columns: Sequence[str]):
         keep = []
         for lo, hi in zip(starts, np.r_[starts[1:], len(pdf)]):
             g, gi = np.unique(gt[lo:hi], return_inverse=True)
-            p, pi = np.unique(pr[lo:hi], return_inverse=True)
-            gain, line = np.zeros((len(g), len(p))), np.full((len(g), len(p)), -1)
-            gain[gi, pi], line[gi, pi] = iou[lo:hi], np.arange(lo, hi)
-            chosen = line[solve(gain)]
-            keep.append(chosen[chosen >= 0])
-        return pdf.iloc[np.concatenate(keep)][columns]
+            pi = np.unique(pr[lo:hi], return_inverse=True)[1]
+            line = {(a, b): at for a, b, at in zip(gi.tolist(), pi.tolist(), range(lo, hi))}
+            links: list[list[tuple[int, float]]] = [[] for _ in g]
+            for (a, b), at in sorted(line.items()):
+                links[a].append((b, float(iou[at])))
+            keep += [line[a, b] for a, b in enumerate(best_assignment(links)) if b >= 0]
+        return pdf.iloc[keep][columns]
 
     def run(batches):
         rest = None
@@ -189,40 +199,38 @@ def _assigner(columns: Sequence[str]):
 def match_instances(iou: DataFrame, keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
     """One-to-one pairs maximising total IoU over all pairs, then only those at or above the threshold.
 
-    Pairs above SURE_IOU are settled by a filter. What is left splits into connected components of the
-    overlap graph; components with one object on a side need no solver, the others are solved one by one.
+    A pair is in every best assignment when it exceeds SURE_IOU, or the sum of the best other pair of either of its
+    objects, which is all that taking it can cost. Such pairs are settled by windows over the objects' own pairs.
+    Pairs whose objects are both still free split into connected components, solved one by one.
     """
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     keys = list(keys)
     cols = [*keys, "gt_label", "pred_label", "iou"]
-    # Read five times below: written once to the shared folder rather than recomputed.
-    iou = materialise(iou.select(*cols))
-    sure = iou.where(F.col("iou") > SURE_IOU)
-    rest = (
-        iou.where(F.col("iou") <= SURE_IOU)
-        .join(sure.select(*keys, "gt_label"), [*keys, "gt_label"], "left_anti")
-        .join(sure.select(*keys, "pred_label"), [*keys, "pred_label"], "left_anti")
-    )
+    value = F.col("iou")
+
+    def other(label: str) -> Column:
+        order = Window.partitionBy(*keys, label).orderBy(F.desc("iou"), "gt_label", "pred_label")
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        best = F.when(F.row_number().over(order) > 1, F.first("iou").over(whole)).otherwise(F.nth_value("iou", 2).over(whole))
+        return F.coalesce(best, F.lit(0.0))
+
+    ranked = iou.select(*cols).where(value > 0).withColumn("_g", other("gt_label")).withColumn("_p", other("pred_label"))
+    settled = ranked.withColumn("_sure", (value > SURE_IOU) | (value > F.col("_g") + F.col("_p")))
+    for name, label in (("_tp", "pred_label"), ("_tg", "gt_label")):
+        settled = settled.withColumn(name, F.max("_sure").over(Window.partitionBy(*keys, label)))
+    # Read by the settled and the open pairs: written once to the shared folder rather than recomputed.
+    marked = materialise(settled.select(*cols, "_sure", (F.col("_tg") | F.col("_tp")).alias("_taken")))
+    sure = marked.where("_sure").select(*cols)
     gt_node = F.struct(*keys, F.lit(0).alias("side"), F.col("gt_label").cast("bigint").alias("label"))
     pred_node = F.struct(*keys, F.lit(1).alias("side"), F.col("pred_label").cast("bigint").alias("label"))
-    linked = materialise(rest.select(*cols, gt_node.alias("u"), pred_node.alias("v")))
+    linked = marked.where(~F.col("_taken")).select(*cols, gt_node.alias("u"), pred_node.alias("v"))
     comps = connected_components(linked.select("u"), linked.select("u", "v"))
-    grouped = linked.join(comps, "u").select(*cols, "component")
-    size = grouped.groupBy("component").agg(
-        F.count_distinct("gt_label").alias("_g"), F.count_distinct("pred_label").alias("_p")
-    )
-    sized = grouped.join(size, "component")
-    # With one object on a side the best single pair is the answer.
-    star = (F.col("_g") == 1) | (F.col("_p") == 1)
-    best = F.struct(-F.col("iou"), F.col("gt_label"), F.col("pred_label"))
-    single = sized.where(star).groupBy("component").agg(F.min_by(F.struct(*cols), best).alias("_s")).select("_s.*")
     types = dict(iou.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in cols)
-    tangled = sized.where(~star).select(*cols, F.to_json("component").alias("_c"))
+    tangled = linked.join(comps, "u").select(*cols, F.to_json("component").alias("_c"))
     solved = tangled.repartition("_c").sortWithinPartitions("_c").mapInPandas(_assigner(cols), schema)
-    pairs = sure.select(*cols).unionByName(single.select(*cols)).unionByName(solved)
-    return pairs.where(F.col("iou") >= threshold)
+    return sure.unionByName(solved).where(value >= threshold)
 
 
 def unmatched(sizes: DataFrame, pairs: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
@@ -326,8 +334,6 @@ def label_components(mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     edges = touch.select(node(F.col("row"), F.col("a0")).alias("u"), node(F.col("row") + 1, F.col("b0")).alias("v"))
     placed = runs.select("*", node(F.col("row"), F.col("c0")).alias("u"))
     comps = connected_components(placed.select("u"), edges)
-    from pyspark.sql import Window
-
     firsts = comps.select("component").distinct().select(*[F.col(f"component.{k}").alias(k) for k in keys], "component")
     numbered = firsts.withColumn("label", F.row_number().over(Window.partitionBy(*keys).orderBy("component")).cast("bigint"))
     labelled = placed.join(comps, "u").join(numbered.select("component", "label").withColumnRenamed("label", "_l"), "component")

@@ -24,6 +24,12 @@ def positive_step(df: DataFrame, value: str) -> DataFrame:
     return R.exact_quantiles(gaps, [], "gap", {"step": 0.5}).select("step")
 
 
+def grid_steps(tiles: DataFrame) -> tuple[float | None, float | None]:
+    """Both steps of a tile grid, read once: two numbers, null on an axis with fewer than two positions."""
+    row = tiles.sparkSession.range(1).select(positive_step(tiles, "tile_x").scalar().alias("x"), positive_step(tiles, "tile_y").scalar().alias("y")).first()
+    return row["x"], row["y"]
+
+
 def place_tiles(
     tiles: DataFrame,
     coord_mode: str = "xy",
@@ -43,7 +49,7 @@ def tile_boxes(tiles: DataFrame, mode: str = "auto", override: float | None = No
     if override is not None:
         w = h = F.lit(float(override))
     elif mode in ("step", "auto"):
-        sx, sy = positive_step(tiles, "tile_x").scalar(), positive_step(tiles, "tile_y").scalar()
+        sx, sy = (F.lit(step).cast("double") for step in grid_steps(tiles))
         w, h = (F.coalesce(sx, w), F.coalesce(sy, h)) if mode == "step" else (F.greatest(w, sx), F.greatest(h, sy))
     elif mode == "override":
         raise ValueError("mode 'override' needs an override span")
@@ -52,27 +58,61 @@ def tile_boxes(tiles: DataFrame, mode: str = "auto", override: float | None = No
     return tiles.withColumns({"x0": F.col("tile_x"), "y0": F.col("tile_y"), "x1": F.col("tile_x") + w, "y1": F.col("tile_y") + h})
 
 
-def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float, salts: int = 16) -> DataFrame:
-    """Pairs of tile (x0, y0, x1, y1) and box (xmin, ymin, xmax, ymax) that overlap, all four sides strict.
-
-    Both sides are laid on square cells and meet by equality. A pair is reported only from the cell that
-    holds the lower corner of its intersection, so nothing has to be made distinct afterwards. Boxes of a
-    crowded cell are spread over `salts` keys; the few tiles of a cell are repeated for them.
-    """
+#: Boxes that one cell may hold before its rows are dealt to several keys, and the share of all rows from which
+#: a cell is looked at for it: fewer than CROWD_SHARE cells can hold more, so their list may be broadcast.
+PER_KEY, CROWD_SHARE = 100_000, 10_000
 
-    def cells(df: DataFrame, a: Sequence[str]) -> DataFrame:
-        def span(lo: str, hi: str) -> Column:
-            return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
-        return df.withColumn("_cx", F.explode(span(a[0], a[2]))).withColumn("_cy", F.explode(span(a[1], a[3])))
+def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float, salts: int | None = None) -> DataFrame:
+    """Pairs of tile (x0, y0, x1, y1) and box (xmin, ymin, xmax, ymax) that overlap, all four sides strict.
 
-    t = cells(tiles, ("x0", "y0", "x1", "y1")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    b = cells(boxes, ("xmin", "ymin", "xmax", "ymax"))
-    b = b.withColumn("_salt", F.pmod(F.xxhash64(*boxes.columns), F.lit(salts)).cast("int"))
-    joined = t.join(b, [*on, "_cx", "_cy", "_salt"])
+    Grids of doubling cells, `cell` the finest. A rectangle lies on the level whose cells are as large as it is, where
+    it touches four cells at most, and on the coarser levels that the other side uses; a pair meets on the coarser of
+    its two levels only, and is reported from the cell that holds the lower corner of its intersection, so nothing has
+    to be made distinct afterwards. Rows of crowded cells are dealt to as many keys as their count asks for and the
+    tiles of the cell are repeated; `salts` sets a fixed number instead. Rectangles with a missing or non-finite
+    coordinate meet nothing.
+    """
+    keys = [*on, "_level", "_cx", "_cy"]
+    inf = F.lit(float("inf"))
+
+    def placed(df: DataFrame, a: Sequence[str], own: str) -> DataFrame:
+        x0, y0, x1, y1 = (F.col(c).cast("double") for c in a)
+        finite = F.lit(True)
+        for c in (x0, y0, x1, y1):
+            finite = finite & (F.abs(c) < inf)
+        size = F.greatest(F.abs(x1 - x0), F.abs(y1 - y0))
+        return df.where(finite).withColumn(own, F.greatest(F.ceil(F.log2(size / cell)), F.lit(0)).cast("int"))
+
+    def cells(df: DataFrame, a: Sequence[str], own: str, used: Column) -> DataFrame:
+        levels = F.array_union(F.array(own), F.coalesce(used, F.array().cast("array<int>")))
+        width = cell * F.pow(F.lit(2.0), F.col("_level"))
+
+        def span(p: str, q: str) -> Column:
+            return F.sequence(F.floor(F.least(p, q) / width), F.floor(F.greatest(p, q) / width))
+
+        laid = df.withColumn("_level", levels).withColumn("_level", F.explode("_level")).where(F.col("_level") >= F.col(own))
+        return laid.withColumn("_cx", F.explode(span(a[0], a[2]))).withColumn("_cy", F.explode(span(a[1], a[3])))
+
+    t_at, b_at = ("x0", "y0", "x1", "y1"), ("xmin", "ymin", "xmax", "ymax")
+    t, b = placed(tiles, t_at, "_ot"), placed(boxes, b_at, "_ob")
+    # A set of levels is a few dozen numbers at most: each level doubles the size.
+    t_levels, b_levels = t.agg(F.collect_set("_ot")).scalar(), b.agg(F.collect_set("_ob")).scalar()
+    t, b = cells(t, t_at, "_ot", b_levels), cells(b, b_at, "_ob", t_levels)
+    if salts is None:
+        held = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        crowded = held.where((F.col("_n") > PER_KEY) & (F.col("_n") * CROWD_SHARE > held.agg(F.sum("_n")).scalar()))
+        crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col("_n") / PER_KEY).cast("int").alias("_keys")))
+        t, b = (df.join(crowded, keys, "left").withColumn("_keys", F.coalesce("_keys", F.lit(1))) for df in (t, b))
+    else:
+        t, b = (df.withColumn("_keys", F.lit(salts)) for df in (t, b))
+    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_keys") - 1))).drop("_keys")
+    b = b.withColumn("_salt", F.pmod(F.xxhash64(*boxes.columns), F.col("_keys")).cast("int")).drop("_keys")
+    joined = t.join(b, [*keys, "_salt"]).where(F.col("_level") == F.greatest("_ot", "_ob"))
     overlap = (F.col("xmax") > F.col("x0")) & (F.col("xmin") < F.col("x1")) & (F.col("ymax") > F.col("y0")) & (F.col("ymin") < F.col("y1"))
-    home = (F.floor(F.greatest("x0", "xmin") / cell) == F.col("_cx")) & (F.floor(F.greatest("y0", "ymin") / cell) == F.col("_cy"))
-    return joined.where(overlap & home).drop("_cx", "_cy", "_salt")
+    width = cell * F.pow(F.lit(2.0), F.col("_level"))
+    home = (F.floor(F.greatest("x0", "xmin") / width) == F.col("_cx")) & (F.floor(F.greatest("y0", "ymin") / width) == F.col("_cy"))
+    return joined.where(overlap & home).drop("_level", "_cx", "_cy", "_salt", "_ot", "_ob")
 
 
 def mapping_coverage(pairs: DataFrame, boxes: DataFrame, tiles: DataFrame, mode: str, tile: str, box: str) -> DataFrame:
@@ -188,42 +228,87 @@ def candidates(spans: Sequence[float], shift_min: int, shift_max: int, shift_ste
     )
 
 
-def edge_scores(patches: DataFrame, points: DataFrame, gradient: DataFrame, patch: str, cand: Column, stride: int = 1) -> DataFrame:
+def edge_scores(patches: DataFrame, points: DataFrame, gradient: DataFrame, patch: str, cand: Column, stride: int = 1, side: int = 16) -> DataFrame:
     """Edge score and kept contours per (patch, candidate).
 
     `patches(patch, x0, y0, width, height)`; `points(patch, [span,] contour, ordinal, n_points, x, y)` are the
-    contour points of the cells that meet the patch (at that span); `gradient(patch, row, col, gradient)`. Points are moved per candidate,
-    every `stride`-th point is looked up, contours with no point near the image are not kept. A candidate
-    without any looked-up point scores minus infinity.
+    contour points of the cells that meet the patch (at that span); `gradient(patch, row, col, gradient)` has one row
+    per pixel; `cand` is an array of constants (see `candidates`). Points are moved per candidate, every `stride`-th
+    point is looked up, contours with no point near the image are not kept. A candidate without any looked-up point
+    scores minus infinity.
+
+    Gradients travel as arrays of `side` x `side` pixels. A point meets the blocks that its candidates of a span can
+    reach, and candidates are unfolded behind that join, so what is shuffled depends on the reach of the shifts and
+    not on the number of candidates.
     """
+    # One line per span of the caller's own constants.
+    moves = patches.sparkSession.range(1).select(F.explode(cand).alias("k")).select("k.*").groupBy("span").agg(
+        F.min("shift_x").alias("sx0"), F.max("shift_x").alias("sx1"), F.min("shift_y").alias("sy0"), F.max("shift_y").alias("sy1")
+    )
+    reach = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in moves.orderBy("span").collect()])
     dims = patches.select(patch, "x0", "y0", "width", "height")
     ready = points.where(F.col("n_points") >= 2)
-    if "span" in points.columns:
+    own = "span" in points.columns
+    if own:
         ready = ready.withColumnRenamed("span", "_span")
-    # Candidates are unfolded after the join: the points shuffle once, not once per candidate.
-    tried = spread_join(ready, dims, [patch]).withColumn("k", F.explode(cand)).select("*", "k.*").drop("k")
-    if "span" in points.columns:
-        tried = tried.where(F.col("_span") == F.col("span"))
-    moved = tried.withColumns(
-        {
-            "px": (F.col("x") - F.col("x0")) * (F.col("width") / F.col("span")) + F.col("shift_x"),
-            "py": (F.col("y") - F.col("y0")) * (F.col("height") / F.col("span")) + F.col("shift_y"),
-        }
+    laid = spread_join(ready, dims, [patch]).withColumn("r", F.explode(reach)).select("*", "r.*")
+    if own:
+        laid = laid.where(F.col("_span") == F.col("span"))
+    fx = (F.col("x") - F.col("x0")) * (F.col("width") / F.col("span"))
+    fy = (F.col("y") - F.col("y0")) * (F.col("height") / F.col("span"))
+    laid = laid.select(patch, "contour", "ordinal", "span", "width", "height", "sx0", "sx1", "sy0", "sy1", fx.alias("fx"), fy.alias("fy")).where(
+        (F.col("fx") + F.col("sx1") >= -1) & (F.col("fx") + F.col("sx0") <= F.col("width"))
+        & (F.col("fy") + F.col("sy1") >= -1) & (F.col("fy") + F.col("sy0") <= F.col("height"))
+    )
+    px, py = F.col("fx") + F.col("k.shift_x"), F.col("fy") + F.col("k.shift_y")
+    near = (px >= -1) & (px <= F.col("width")) & (py >= -1) & (py <= F.col("height"))
+
+    def blocks(f: str, lo: str, hi: str, size: str) -> Column:
+        first, last = F.greatest(F.rint(F.col(f) + F.col(lo)), F.lit(-1.0)), F.least(F.rint(F.col(f) + F.col(hi)), F.col(size).cast("double"))
+        return F.explode(F.sequence(F.floor(first / side), F.floor(last / side)))
+
+    packed = (
+        gradient.where(F.col("row").isNotNull() & F.col("col").isNotNull())
+        .groupBy(patch, F.floor(F.col("row") / side).alias("_br"), F.floor(F.col("col") / side).alias("_bc"))
+        .agg(F.sort_array(F.collect_list(F.struct((F.pmod("row", F.lit(side)) * side + F.pmod("col", F.lit(side))).cast("int").alias("at"), "gradient"))).alias("_g"))
+        .select(patch, "_br", "_bc", F.col("_g.at").alias("_at"), F.col("_g.gradient").alias("_value"))
     )
-    near = (F.col("px") >= -1) & (F.col("px") <= F.col("width")) & (F.col("py") >= -1) & (F.col("py") <= F.col("height"))
-    # A looked-up point lies inside the image, so it is near; only `kept` needs the wider band.
-    looked = F.when(F.col("ordinal") % stride == 0, F.struct(F.rint("py").cast("int").alias("row"), F.rint("px").cast("int").alias("col")))
-    at = moved.withColumns({"near": near, "_p": looked})
-    hit = at.select(patch, "candidate", "contour", "near", F.col("_p.row").alias("row"), F.col("_p.col").alias("col")).join(
-        gradient.select(patch, "row", "col", "gradient"), [patch, "row", "col"], "left"
+    meets = laid.where(F.col("ordinal") % stride == 0).select(patch, "span", "width", "height", "fx", "fy", "sy0", "sy1", blocks("fx", "sx0", "sx1", "width").alias("_bc"))
+    meets = meets.select(patch, "span", "width", "height", "fx", "fy", "_bc", blocks("fy", "sy0", "sy1", "height").alias("_br"))
+    row, col = F.rint(py).cast("int"), F.rint(px).cast("int")
+    index = (F.pmod(row, F.lit(side)) * side + F.pmod(col, F.lit(side))).cast("int")
+    # A full block holds pixel i at place i; in the others the place is searched.
+    value = F.when(F.get("_at", index) == index, F.get("_value", index)).otherwise(F.get("_value", F.array_position("_at", index).cast("int") - 1))
+    sums = (
+        meets.join(packed, [patch, "_br", "_bc"])
+        .withColumn("k", F.explode(cand))
+        .where((F.col("k.span") == F.col("span")) & near & (F.floor(row / side) == F.col("_br")) & (F.floor(col / side) == F.col("_bc")))
+        .select(patch, F.col("k.candidate").alias("candidate"), value.alias("_v"))
+        .groupBy(patch, "candidate").agg(F.sum("_v").alias("_s"), F.count("_v").alias("_n"))
     )
-    scored = hit.groupBy(patch, "candidate").agg(
-        F.avg(F.when(F.col("near"), F.col("gradient"))).alias("_s"), F.count_distinct(F.when(F.col("near"), F.col("contour"))).alias("kept")
+    # A point that no shift of its span takes out of the image keeps its contour for all of them: one row, no candidate.
+    always = (
+        (F.col("fx") + F.col("sx0") >= -1) & (F.col("fx") + F.col("sx1") <= F.col("width"))
+        & (F.col("fy") + F.col("sy0") >= -1) & (F.col("fy") + F.col("sy1") <= F.col("height"))
+    )
+    marks = (
+        laid.where(F.col("contour").isNotNull()).withColumn("_always", always)
+        .withColumn("k", F.explode(F.when(F.col("_always"), F.slice(cand, 1, 1)).otherwise(cand)))
+        .where(F.col("_always") | ((F.col("k.span") == F.col("span")) & near))
+        .groupBy(patch, "span", "contour")
+        .agg(F.bool_or("_always").alias("_all"), F.collect_set(F.when(~F.col("_always"), F.col("k.candidate"))).alias("_some"))
+        .withColumn("candidate", F.explode(F.when(F.col("_all"), F.array(F.lit(None).cast("int"))).otherwise(F.col("_some"))))
+        .groupBy(patch, "span", "candidate").agg(F.count(F.lit(1)).alias("kept"))
     )
+    of_span = F.transform(F.filter(cand, lambda k: k["span"] == F.col("span")), lambda k: k["candidate"])
+    kept = marks.select(patch, "kept", F.explode(F.when(F.col("candidate").isNull(), of_span).otherwise(F.array("candidate"))).alias("candidate"))
     every = ready.select(patch).distinct().withColumn("k", F.explode(cand)).select(patch, "k.*")
-    return every.join(scored, [patch, "candidate"], "left").select(
-        patch, "candidate", "span", "shift_x", "shift_y", F.coalesce("_s", F.lit(float("-inf"))).alias("score"), F.coalesce("kept", F.lit(0)).alias("kept")
+    lines = every.unionByName(sums, allowMissingColumns=True).unionByName(kept, allowMissingColumns=True)
+    total = lines.groupBy(patch, "candidate").agg(
+        *[F.max(c).alias(c) for c in ("span", "shift_x", "shift_y")], F.sum("_s").alias("_s"), F.sum("_n").alias("_n"), F.sum("kept").alias("kept")
     )
+    score = F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).otherwise(F.lit(float("-inf")))
+    return total.select(patch, "candidate", "span", "shift_x", "shift_y", score.alias("score"), F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
 def best_candidates(scores: DataFrame, patch: str) -> DataFrame:
