@@ -93,15 +93,27 @@ def pixel_confusion(images: DataFrame, truth: DataFrame, pred: DataFrame, image:
         F.count("_t").alias("pixel_tp"), F.count(F.lit(1)).alias("_pred")
     )
     gt = t.groupBy(image).agg(F.count(F.lit(1)).alias("_gt"))
-    j = images.join(hits, [image, model], "left").join(gt, image, "left").na.fill(0, ["pixel_tp", "_pred", "_gt"])
+    return _confusion(images.join(hits, [image, model], "left").join(gt, image, "left"), image, model)
+
+
+def confusion_of_overlaps(images: DataFrame, overlap: DataFrame, gt_sizes: DataFrame, pred_sizes: DataFrame, image: str, model: str) -> DataFrame:
+    """`pixel_confusion` from the overlap table and the instance sizes: no second join of pixels."""
+    tp = overlap.groupBy(image, model).agg(F.sum("intersection").alias("pixel_tp"))
+    said = pred_sizes.groupBy(image, model).agg(F.sum("area").alias("_pred"))
+    held = gt_sizes.groupBy(image).agg(F.sum("area").alias("_gt"))
+    return _confusion(images.join(tp, [image, model], "left").join(said, [image, model], "left").join(held, image, "left"), image, model)
+
+
+def _confusion(counted: DataFrame, image: str, model: str) -> DataFrame:
+    j = counted.na.fill(0, ["pixel_tp", "_pred", "_gt"])
     tp, fp, fn = F.col("pixel_tp"), F.col("_pred") - F.col("pixel_tp"), F.col("_gt") - F.col("pixel_tp")
-    counted = j.select(
+    counts = j.select(
         image, model, "pixel_tp",
         (F.col("height").cast("bigint") * F.col("width") - tp - fp - fn).alias("pixel_tn"),
         fp.alias("pixel_fp"),
         fn.alias("pixel_fn"),
     )
-    return counted.withColumns(pixel_ratios())
+    return counts.withColumns(pixel_ratios())
 
 
 def pixel_ratios() -> dict[str, Column]:
@@ -263,9 +275,10 @@ def instance_metrics(images: DataFrame, gt_sizes: DataFrame, pred_sizes: DataFra
 def evaluate(images: DataFrame, truth: DataFrame, pred: DataFrame, image: str = "image_id", model: str = "model_name", threshold: float = 0.5) -> DataFrame:
     """Pixel and instance metrics of every (image, model) in one plan."""
     gt_sizes, pred_sizes = instance_sizes(truth, [image]), instance_sizes(pred, [image, model])
-    iou = iou_table(pixel_overlap(truth, pred, image, model), gt_sizes, pred_sizes, image, model)
-    pairs = match_instances(iou, [image, model], threshold)
-    return pixel_confusion(images, truth, pred, image, model).join(
+    # Pixels meet once: the table of overlaps is written and read by both halves.
+    overlap = materialise(pixel_overlap(truth, pred, image, model))
+    pairs = match_instances(iou_table(overlap, gt_sizes, pred_sizes, image, model), [image, model], threshold)
+    return confusion_of_overlaps(images, overlap, gt_sizes, pred_sizes, image, model).join(
         instance_metrics(images, gt_sizes, pred_sizes, pairs, image, model), [image, model]
     )
 

@@ -24,10 +24,15 @@ def positive_step(df: DataFrame, value: str) -> DataFrame:
     return R.exact_quantiles(gaps, [], "gap", {"step": 0.5}).select("step")
 
 
-def grid_steps(tiles: DataFrame) -> tuple[float | None, float | None]:
-    """Both steps of a tile grid, read once: two numbers, null on an axis with fewer than two positions."""
-    row = tiles.sparkSession.range(1).select(positive_step(tiles, "tile_x").scalar().alias("x"), positive_step(tiles, "tile_y").scalar().alias("y")).first()
-    return row["x"], row["y"]
+def grid_steps(tiles: DataFrame) -> DataFrame:
+    """One row `x`, `y`: the positive step of each axis of a tile grid, both from one pass; null where an axis has fewer than two positions."""
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"tile_{a}").cast("double").alias("v")) for a in ("x", "y")])
+    # Ranks read their input in several branches, so what goes in and out of them is written once.
+    ranks = materialise(R.value_ranks(tiles.select(F.explode(axes).alias("k")).select("k.*").distinct(), ["axis"], "v").select("axis", "v", "before"))
+    nxt = ranks.select("axis", (F.col("before") - 1).alias("before"), F.col("v").alias("nv"))
+    gaps = ranks.join(nxt, ["axis", "before"]).select("axis", (F.col("nv") - F.col("v")).alias("gap")).where(F.col("gap") > 0)
+    steps = R.exact_quantiles(materialise(gaps), ["axis"], "gap", {"step": 0.5})
+    return steps.agg(*[F.max(F.when(F.col("axis") == a, F.col("step"))).alias(a) for a in ("x", "y")])
 
 
 def place_tiles(
@@ -49,7 +54,8 @@ def tile_boxes(tiles: DataFrame, mode: str = "auto", override: float | None = No
     if override is not None:
         w = h = F.lit(float(override))
     elif mode in ("step", "auto"):
-        sx, sy = (F.lit(step).cast("double") for step in grid_steps(tiles))
+        # Two numbers, read once: as subqueries they would be copied into every use of a tile's far corner.
+        sx, sy = (F.lit(step).cast("double") for step in grid_steps(tiles).first())
         w, h = (F.coalesce(sx, w), F.coalesce(sy, h)) if mode == "step" else (F.greatest(w, sx), F.greatest(h, sy))
     elif mode == "override":
         raise ValueError("mode 'override' needs an override span")
@@ -135,17 +141,19 @@ def global_box(boxes: DataFrame) -> DataFrame:
 def alignment(boxes: DataFrame, tiles: DataFrame, w_img: float, h_img: float) -> DataFrame:
     """Scale and offset taking tile coordinates to box coordinates, for both axis orders and both spans."""
     b = global_box(boxes)
+    steps = grid_steps(tiles).first()
     parts = []
     for mode in ("xy", "swap_xy"):
         t = place_tiles(tiles, mode)
+        step_x, step_y = (F.lit(v).cast("double") for v in (steps if mode == "xy" else reversed(steps)))
         ends = t.agg(
             F.min("tile_x").alias("tx0"), F.min("tile_y").alias("ty0"), F.max("tile_x").alias("tx1"), F.max("tile_y").alias("ty1")
         )
         row = ends.select(
             F.lit(mode).alias("coord_mode"),
             *ends.columns,
-            F.coalesce(positive_step(t, "tile_x").scalar(), F.lit(w_img)).alias("step_x"),
-            F.coalesce(positive_step(t, "tile_y").scalar(), F.lit(h_img)).alias("step_y"),
+            F.coalesce(step_x, F.lit(w_img)).alias("step_x"),
+            F.coalesce(step_y, F.lit(h_img)).alias("step_y"),
             *[b.select(c).scalar().alias(f"b_{c}") for c in ("xmin", "ymin", "xmax", "ymax")],
         )
         parts.append(row)

@@ -389,6 +389,47 @@ def flatten_artifacts(spark, sf):
     return D.flatten(df)
 
 
+def _slides(spark, sf):
+    """Customers as cells of slide files: one JSON document a file, of at most 500 customers of a nation."""
+    path = f"{_scratch(spark)}/slides"
+    x = F.col("c_acctbal").cast("double")
+    box = F.when(F.col("c_custkey") % 5 > 0, F.array(F.array(x / 2, x), F.array(x / 2 + 7, x + 5)))
+    cell = F.struct("c_custkey", box.alias("bbox"), F.array(F.array(x, x), F.array(x + 1, x)).alias("contour"))
+    slide = F.struct(F.col("c_nationkey").alias("patch_size"), F.col("part").alias("orig_n_tiles_rows")).alias("wsi_metadata")
+    docs = V.table(spark, sf, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500).cast("int").alias("part")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    docs = docs.select(F.concat_ws("_", "c_nationkey", "part").alias("slide"), F.to_json(F.struct(slide, "cells"), {"pretty": "true"}).alias("value"))
+    docs.write.partitionBy("slide").text(path)
+    return path
+
+
+_SLIDES = """with c as (select c_nationkey, cast(c_custkey // 500 as int) as part, c_custkey, c_acctbal::double as x, row_number() over (partition by c_nationkey, c_custkey // 500 order by c_custkey) - 1 as cell_ordinal from customer)"""
+
+
+@query("s12_whole_files", rounded_sql(_SLIDES + "\n--body\nselect c_nationkey, part, cast(cell_ordinal as int) as cell_ordinal, x as xmin, x / 2 as ymin, x + 5 as xmax, x / 2 + 7 as ymax, cast(o as int) as ordinal, x + o as px from c, (values (0), (1)) v(o) where c_custkey % 5 > 0", "xmin ymin xmax ymax px"))
+def whole_files(spark, sf):
+    docs = D.read_cells(spark, _slides(spark, sf)).select("cells", F.col("wsi_metadata.patch_size").alias("c_nationkey"), F.col("wsi_metadata.orig_n_tiles_rows").alias("part"))
+    cells = D.cell_rows(docs, ["c_nationkey", "part"])
+    points = D.contour_points(cells, ["c_nationkey", "part", "cell_ordinal", "xmin", "ymin", "xmax", "ymax"])
+    return rounded(points.select("c_nationkey", "part", "cell_ordinal", "xmin", "ymin", "xmax", "ymax", "ordinal", F.col("x").alias("px")))
+
+
+@query("s12_variant_rows", rounded_sql(_SLIDES + "\n--body\nselect c_nationkey, part, cast(cell_ordinal as int) as ordinal, c_custkey as cell, case when c_custkey % 5 > 0 then x end as xmin, x + 1 as px from c", "xmin px"))
+def variant_rows(spark, sf):
+    docs = D.read_variants(spark, _slides(spark, sf))
+    docs = docs.withColumns({"c_nationkey": F.try_variant_get("value", "$.wsi_metadata.patch_size", "int"), "part": F.try_variant_get("value", "$.wsi_metadata.orig_n_tiles_rows", "int")})
+    fields = {"cell": "$.c_custkey bigint", "xmin": "$.bbox[0][1] double", "px": "$.contour[1][0] double"}
+    return rounded(D.variant_rows(docs, "$.cells", fields, ["c_nationkey", "part"]))
+
+
+@query("s13_flatten_variants", "select event_id, case when event_type <> 'error' then user_id end as \"run.user\", case when event_type = 'error' then 'failed' end as \"run.state.text\", case when event_type = 'error' then concat('[', event_id, ',1]') end as \"run.state.codes\" from events")
+def flatten_variants(spark, sf):
+    e = V.table(spark, sf, "events")
+    bad = F.col("event_type") == "error"
+    state = F.when(bad, F.struct(F.lit("failed").alias("text"), F.array(F.col("event_id").cast("bigint"), F.lit(1).cast("bigint")).alias("codes")))
+    text = F.to_json(F.struct(F.struct(F.when(~bad, F.col("user_id")).alias("user"), state.alias("state")).alias("run")))
+    return D.flatten_variants(e.select("event_id", F.try_parse_json(text).alias("value")), ["event_id"])
+
+
 def _parts(spark, sf):
     e = V.table(spark, sf, "embeddings").withColumn("input_row_index", F.col("vec_id"))
     return D.part_rows(e, "input_row_index", 64, "emb")

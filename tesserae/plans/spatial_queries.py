@@ -32,8 +32,7 @@ def cells_per_tile(spark, sf):
 
 @query("a42_positive_step", "with " + V.V_TILE + _STEP + " select (select s from sx) as step_x, (select s from sy) as step_y")
 def positive_step(spark, sf):
-    t = V.plane_tiles(spark, sf)
-    return P.positive_step(t, "tile_x").select(F.col("step").alias("step_x"), P.positive_step(t, "tile_y").scalar().alias("step_y"))
+    return P.grid_steps(V.plane_tiles(spark, sf)).select(F.col("x").alias("step_x"), F.col("y").alias("step_y"))
 
 
 _A29 = "with " + V.V_BOX + ", " + V.V_TILE + """, t as (select 'image' as mode, tile_id, tile_x as x0, tile_y as y0, tile_x + w_img as x1, tile_y + h_img as y1 from v_tile union all select 'fixed', tile_id, tile_x, tile_y, tile_x + 1000, tile_y + 1000 from v_tile),

@@ -23,17 +23,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, app: str = "tes
     )
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the session.
 
-    A machine-local folder is used only when nothing is configured and the master is local.
+    A machine-local folder is used only when nothing is configured and the master is local: one for an application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="spark-")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ..operators.manifests import dense_row_index
 from ..session import materialise
@@ -50,7 +50,7 @@ def flatten(df: DataFrame) -> DataFrame:
             ref = F.col(".".join(f"`{p}`" for p in here))
             if isinstance(f.dataType, StructType):
                 out += walk(f.dataType, here)
-            elif isinstance(f.dataType, (ArrayType, MapType)):
+            elif isinstance(f.dataType, (ArrayType, MapType, VariantType)):
                 out.append(F.to_json(ref).alias(".".join(here)))
             else:
                 out.append(ref.alias(".".join(here)))
@@ -59,6 +59,44 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema, ()))
 
 
+def read_variants(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Whole JSON files of unknown form: (document, value variant); value is null where a file is no JSON; empty files are passed over."""
+    text = spark.read.text(path, wholetext=True)
+    return text.select(F.col("_metadata.file_path").alias("document"), F.try_parse_json("value").alias("value"))
+
+
+def variant_rows(documents: DataFrame, path: str, fields: Mapping[str, str], keep: Sequence[str] = ("document",)) -> DataFrame:
+    """One row per element of the array at `path` (say $.cells) with its ordinal and the named fields.
+
+    `fields` maps a column to 'path type' inside the element (say "$.bbox[0][1] double"). A field that is missing or
+    does not fit its type is null; a document without that array gives no rows, a null element gives null fields.
+    """
+    items = documents.select(*keep, F.posexplode(F.try_variant_get("value", path, "array<variant>")).alias("ordinal", "_item"))
+    return items.select(*keep, "ordinal", *[F.try_variant_get("_item", *spec.rsplit(" ", 1)).alias(name) for name, spec in fields.items()])
+
+
+_SCHEMA_PART = re.compile(r"`(?:[^`]|``)*`|\bOBJECT<|\bVOID\b")
+
+
+def variant_schema(documents: DataFrame, value: str = "value") -> str:
+    """The merged schema of all documents, found in one aggregation; keys without a common type stay variant."""
+    found = documents.agg(F.schema_of_variant_agg(value)).first()[0]
+    return _SCHEMA_PART.sub(lambda m: {"OBJECT<": "STRUCT<", "VOID": "STRING"}.get(m[0], m[0]), found)
+
+
+def flatten_variants(documents: DataFrame, keep: Sequence[str] = ("document",), value: str = "value", schema: str | None = None) -> DataFrame:
+    """Objects with keys unknown beforehand as dotted columns behind `keep`; arrays and mixed types become JSON text.
+
+    A document that lacks a key, or is null, has null there. Without a given schema the documents are read once more
+    for it; if no document is an object there is nothing to flatten and only `keep` is left.
+    """
+    schema = schema or variant_schema(documents, value)
+    if not schema.startswith("STRUCT<"):
+        return documents.select(*keep)
+    typed = flatten(documents.select(F.struct(*keep).alias("k"), F.try_variant_get(value, "$", schema).alias("v")))
+    return typed.select(*[F.col(f"`k.{c}`").alias(c) for c in keep], *[F.col("`" + c.replace("`", "``") + "`").alias(c[2:]) for c in typed.columns if c.startswith("v.")])
+
+
 def fetch_vectors(requests: DataFrame, parts: DataFrame, dim: int, address: Sequence[str] = ("embedding_path", "embedding_row_offset")) -> DataFrame:
     """Vectors by address: an equi-join, so each part is scanned once. `stage` names what is wrong with a row."""
     have = parts.select(*address, "embedding")
