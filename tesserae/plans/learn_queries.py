@@ -8,10 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..operators import learn as L, manifests as N, metrics as M
+from ..operators import learn as L, manifests as N, metrics as M, stages as S
 from ..streaming import incremental as I
 from . import views as V
 from .join_queries import _scratch
+from .key_queries import _DEF, _MODE, _X09
 from .registry import query, rounded, rounded_sql
 
 
@@ -215,8 +216,6 @@ def three_class_stage(spark, sf):
 
 @query("m11_failure_mode_stage", "select count(*) > 0 as any_rows, cast(0 as bigint) as n_unlabelled from lineitem")
 def failure_mode_stage(spark, sf):
-    from .key_queries import _DEF, _MODE
-
     d = V.eval_ok(spark, sf).withColumns({k: 1 - F.col(v) for k, v in _DEF.items()}).join(V.manifest(spark, sf).select("patch_id", "slide_id", "foreground_fraction"), "patch_id")
     d = L.grouped_split(d.withColumn("mode", X.failure_mode(_MODE, 0.1)), "slide_id", 0.2, 42).withColumn("train", F.col("split") == "train")
     hard = N.hard_rows(d, "d_sq", "mode", "train", 0.4, 60).where("retained")
@@ -229,6 +228,53 @@ def failure_mode_stage(spark, sf):
     return p.agg((F.count(F.lit(1)) > 0).alias("any_rows"), F.count_if(F.col("prediction").isNull()).alias("n_unlabelled"))
 
 
+def _quality(spark, sf):
+    """One row per (patch, model) with a split by patch."""
+    d = V.eval_ok(spark, sf).join(V.manifest(spark, sf).select("patch_id", "foreground_fraction", "mean_area"), "patch_id")
+    return d.withColumns({"row_id": F.concat_ws("/", "patch_id", "model_name"), "split": F.when(F.col("patch_id") % 5 > 0, "train").otherwise("test")})
+
+
+_FEATURES = {"numeric": ["foreground_fraction", "mean_area"], "categorical": ["model_name"]}
+
+
+def _judged(stage):
+    """Rows per split and class, and how many of them the stage's model gave one of its classes."""
+    p = stage.predictions(["row_id", "split"])
+    name = F.get(F.array(*[F.lit(c) for c in stage.classes]), F.col("target").cast("int"))
+    fine = F.col("prediction").isin([float(i) for i in range(len(stage.classes))])
+    return p.groupBy("split", name.alias("label")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(fine).alias("n_judged"))
+
+
+@query(
+    "m11_ordinal_stage",
+    "with " + V.V_OK + """, q as (select quantile_cont(pixel_dice, 1.0 / 3) as a, quantile_cont(pixel_dice, 2.0 / 3) as b from v_ok where patch_id % 5 > 0)
+ select case when patch_id % 5 > 0 then 'train' else 'test' end as split, case when pixel_dice <= a then 'hard' when pixel_dice <= b then 'medium' else 'easy' end as label, count(*) as n_rows, count(*) as n_judged from v_ok, q group by 1, 2""",
+)
+def ordinal_stage(spark, sf):
+    make = lambda n, k: L.classifier("logistic", n, k, 42, iterations=10)
+    return _judged(S.ordinal_stage(_quality(spark, sf), "row_id", "pixel_dice", make, **_FEATURES))
+
+
+@query("m11_continuous_stage", "with " + V.V_OK + " select case when patch_id % 5 > 0 then 'train' else 'test' end as split, count(*) as n_rows, count(*) as n_judged, case when patch_id % 5 > 0 then true end as unbiased from v_ok group by all")
+def continuous_stage(spark, sf):
+    """A least-squares fit with an intercept leaves train residuals of mean zero."""
+    stage = S.continuous_stage(_quality(spark, sf), "row_id", "pixel_dice", lambda scale: L.regressor("ridge", scale, 42), **_FEATURES)
+    r = stage.predictions(["row_id", "split"]).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count("prediction").alias("n_judged"), F.avg("residual").alias("_r"))
+    return r.withColumn("unbiased", F.when(F.col("split") == "train", F.abs("_r") < 1e-6)).drop("_r")
+
+
+@query(
+    "m11_mode_stage",
+    "with " + _X09 + """, h as (select *, patch_id % 5 > 0 as train from f where d_sq <= (select quantile_cont(d_sq, 0.4) from f where patch_id % 5 > 0)),
+ k as (select mode from h where train and mode is not null group by 1 having count(*) >= 5)
+ select case when train then 'train' else 'test' end as split, mode as label, count(*) as n_rows, count(*) as n_judged from h where mode in (select mode from k) group by 1, 2""",
+)
+def mode_stage(spark, sf):
+    d = _quality(spark, sf).withColumns({k: 1 - F.col(v) for k, v in _DEF.items()}).withColumn("mode", X.failure_mode(_MODE, 0.1))
+    make = lambda n, k: L.classifier("random_forest", n, k, 42, trees=4, depth=4)
+    return _judged(S.mode_stage(d, "row_id", "d_sq", "mode", sorted(_MODE.values()), 0.4, 5, make, **_FEATURES))
+
+
 @query("m12_projection")
 def projection(spark, sf):
     return L.project(V.table(spark, sf, "embeddings"), "embedding", ["vec_id", "label"])
