@@ -316,7 +316,7 @@ def load_model_facts(spark, sf):
 
 @query("s08_list_files", "select * from (values ('customer'), ('documents'), ('embeddings'), ('events'), ('labels'), ('lineitem'), ('nation'), ('orders'), ('pages'), ('part'), ('region'), ('supplier')) t(stem)")
 def list_files(spark, sf):
-    return T.list_files(spark, sf, "*.parquet", recursive=False, suffixes=[".PARQUET"], excluded=["bench", "conversations"]).select("stem")
+    return T.list_tables(spark, sf, suffixes=[".PARQUET"], excluded=["bench", "conversations"]).select("stem")
 
 
 @query("s08_list_written_files", "select o_orderstatus, count(*) as n_rows, cast(1 as boolean) as filled from orders where o_orderstatus <> 'P' group by 1")

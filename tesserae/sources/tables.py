@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -57,6 +58,27 @@ def list_files(
     """path, length, name, stem, suffix of the files below a folder; contents are never read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
     df = reader.load(folder if isinstance(folder, str) else list(folder)).select(F.regexp_replace("path", "^file:(//)?", "").alias("path"), "length")
+    return _named(df, suffixes, excluded)
+
+
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def list_tables(spark: SparkSession, folder: str, suffixes: Sequence[str] = (".parquet",), excluded: Sequence[str] = ()) -> DataFrame:
+    """path, length, name, stem, suffix of the tables in a folder; one stored as a folder of part files is one row, as one file is.
+
+    Part files may lie in partition folders and count with their lengths; contents are never read.
+    """
+    root = re.sub("/+", "/", re.sub(_SCHEME, "", folder)).rstrip("/")
+    below = ("^" if root.startswith("/") or not root else "^.*?/") + re.escape(root) + "/"
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = reader.load(folder).select(F.regexp_replace("path", _SCHEME, "").alias("path"), "length")
+    # The table is the first step below the folder.
+    files = found.select(F.regexp_extract("path", f"({below}[^/]+)", 1).alias("path"), "length")
+    return _named(files.groupBy("path").agg(F.sum("length").alias("length")), suffixes, excluded)
+
+
+def _named(df: DataFrame, suffixes: Sequence[str], excluded: Sequence[str]) -> DataFrame:
     df = df.withColumns({"name": K.basename("path"), "stem": K.stem("path"), "suffix": F.lower(F.regexp_extract("path", r"\.[^./]+$", 0))})
     if suffixes:
         df = df.where(F.col("suffix").isin(*[s.lower() for s in suffixes]))

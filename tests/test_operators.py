@@ -322,3 +322,12 @@ def test_nan_is_no_value(spark):
     facts = spark.createDataFrame([("a", x) for x in (1.0, 2.0, 3.0, float("nan"), None)], "m string, v double")
     row = P.metric_summary(facts, "m", ["v"]).first()
     assert (row.v_mean, row.v_std, row.v_median) == (2.0, 1.0, 2.0)
+
+
+def test_tables_of_files_and_of_folders(spark, tmp_path):
+    (tmp_path / "f.parquet" / "sub").mkdir(parents=True)
+    for name, n in {"one.parquet": 3, "f.parquet/part-0000.parquet": 4, "f.parquet/sub/part-0001.parquet": 5, "f.parquet/_SUCCESS": 1, "bench.parquet": 6, "two.PARQUET": 7, "other.csv": 8}.items():
+        (tmp_path / name).write_bytes(b"x" * n)
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {tuple(r) for r in T.list_tables(spark, folder, [".Parquet"], ["BENCH"]).select("stem", "path", "length").collect()}
+        assert got == {("one", f"{tmp_path}/one.parquet", 3), ("f", f"{tmp_path}/f.parquet", 9), ("two", f"{tmp_path}/two.PARQUET", 7)}
