@@ -317,13 +317,16 @@ def otsu_thresholds(pixels: DataFrame, slide: str, value: str, bins: int = 256)
     # At most `bins` rows per slide from here on.
     w = Window.partitionBy(slide).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(slide)
-    m = F.col("n") * F.col("centre")
+    m = F.col("n") * F.col("bin")
     split = hist.select(
-        slide, "bin", "centre",
+        slide, "bin", "centre", width.alias("_width"),
         F.sum("n").over(w).alias("w1"), F.sum(m).over(w).alias("m1"), F.sum("n").over(whole).alias("wt"), F.sum(m).over(whole).alias("mt"),
     ).withColumn("w2", F.col("wt") - F.col("w1")).where(F.col("w2") > 0)
-    gap = F.col("m1") / F.col("w1") - (F.col("mt") - F.col("m1")) / F.col("w2")
-    scored = split.withColumn("between", F.round(F.col("w1") * F.col("w2") * gap * gap, 9))
+    # Centres lie evenly, so classes are as far apart as their mean bins times the width. Bins add up without rounding:
+    # splits that are equally good stay equal, where sums of centres differ in their last digits by order of addition.
+    w1, w2 = F.col("w1").cast("double"), F.col("w2").cast("double")
+    apart = F.col("m1") * w2 - (F.col("mt") - F.col("m1")) * w1
+    scored = split.withColumn("between", F.round(apart * apart / (w1 * w2) * F.col("_width") * F.col("_width"), 9))
     best = scored.groupBy(slide).agg(F.min_by("centre", F.struct(-F.col("between"), F.col("bin"))).alias("_t"))
     return ends.join(best, slide, "left").select(slide, F.coalesce("_t", "_lo").alias("threshold"))
 

@@ -239,3 +239,10 @@ def test_counts_add_up(spark):
     for r in M.evaluate(images, truth, pred).collect():
         assert r.instance_tp + r.instance_fn == gs[r[ID]]
         assert r.pixel_tp + r.pixel_tn + r.pixel_fp + r.pixel_fn == 64
+
+
+def test_otsu_takes_the_first_of_equal_splits(spark):
+    # Counts and bins are symmetric, so the splits behind the first and behind the third bin are equally good.
+    rows = [(1, (1 + v) / 3) for v, n in ((0, 3), (60, 5), (83, 5), (143, 3)) for _ in range(n)]
+    got = G.otsu_thresholds(spark.createDataFrame(rows, "image_id int, v double"), ID, "v").first()["threshold"]
+    assert got == pytest.approx(1 / 3 + 0.5 * (143 / 3) / 256)
