@@ -214,7 +214,8 @@ def balanced_weights(df: DataFrame, train: DataFrame, label: str = "target") ->
     total = counts.agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))
     n, k = total.first()
     weights = counts.select(F.col(label).alias("_label"), (F.lit(float(n or 0)) / (F.lit(k) * F.col("_n"))).alias("_weight"))
-    joined = df.join(weights, df[label].eqNullSafe(F.col("_label")), "left")
+    # One line a class. Dealt by class, all rows of a class would be one task's.
+    joined = df.join(F.broadcast(weights), df[label].eqNullSafe(F.col("_label")), "left")
     return joined.withColumn("weight", F.coalesce("_weight", F.lit(1.0))).drop("_label", "_weight")
 
 
