@@ -93,12 +93,14 @@ def train_median(train: DataFrame, column: str) -> Column:
     return R.exact_quantiles(train, [], column, {"m": 0.5}).select("m").scalar()
 
 
-def hard_rows(df: DataFrame, metric: str, label: str, train: str, quantile: float, min_count: int) -> DataFrame:
-    """Rows at or below the train quantile; `retained` marks labels with enough train rows among them."""
-    cut = R.exact_quantiles(df.where(F.col(train)), [], metric, {"q": quantile}).first()["q"]
+def hard_rows(df: DataFrame, metric: str, label: str, train: str, quantile: float, min_count: int, cut: float | None = None) -> DataFrame:
+    """Rows at or below the train quantile (`cut`, where it is known already); `retained` marks labels with enough train rows among them."""
+    if cut is None:
+        cut = R.exact_quantiles(df.where(F.col(train)), [], metric, {"q": quantile}).first()["q"]
     hard = df.where(F.col(metric) <= F.lit(cut))
     common = hard.where(F.col(train) & F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_count)
-    return hard.join(common.select(label, F.lit(True).alias("_common")), label, "left").withColumn("retained", F.coalesce("_common", F.lit(False))).drop("_common")
+    # One line a label. Dealt by label, all rows of a label would be one task's.
+    return hard.join(F.broadcast(common.select(label, F.lit(True).alias("_common"))), label, "left").withColumn("retained", F.coalesce("_common", F.lit(False))).drop("_common")
 
 
 def first_rows(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:

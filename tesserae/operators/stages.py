@@ -3,6 +3,8 @@
 `df` holds a `split` of 'train' and 'test' (see `learn.grouped_split`), one row per key. `make(n_rows, n_classes)` or
 `make(scale)` gives the estimator for what the train side turned out to hold, so penalties follow the data. A train side
 without rows is an error, as is one that holds a single class.
+
+A fit reads its rows many times, so the columns that a stage needs are written once before it looks at them.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalars import ordinal_label
 from . import learn as L, ranks as R
+from ..session import materialise
 from .joins import JoinError
 from .manifests import hard_rows
 
@@ -34,6 +37,12 @@ class Stage(NamedTuple):
         return L.predict_regression(self.model, self.data, keep)
 
 
+def _needed(df: DataFrame, key: str, *columns: str | None) -> DataFrame:
+    """The rows that have `columns[0]`, written, with the named columns only."""
+    kept = [c for c in dict.fromkeys([key, "split", "fold", *columns]) if c in df.columns]
+    return materialise(df.where(R.present(df, columns[0])).select(*kept))
+
+
 def _quantiles(df: DataFrame, target: str, probs: Sequence[float]) -> list[float]:
     row = R.exact_quantiles(df.where(TRAIN), [], target, {f"q{i}": p for i, p in enumerate(probs)}).first()
     if row is None or row["q0"] is None:
@@ -46,7 +55,7 @@ def continuous_stage(
     embedding: str | None = None, pca: int | None = None, forbidden: Sequence[str] = (),
 ) -> Stage:
     """A regression of `target`; rows without a target (null or NaN) take no part."""
-    known = df.where(R.present(df, target)).withColumn("target", F.col(target).cast("double"))
+    known = _needed(df, key, target, *numeric, *categorical, embedding).withColumn("target", F.col(target).cast("double"))
     data = L.feature_frame(known, key, "target", embedding, [*numeric, *categorical], [target, *forbidden])
     train = data.where(TRAIN)
     scale = L.target_scale(train)
@@ -69,7 +78,7 @@ def _classes(
     index = (F.array_position(F.array(*[F.lit(n) for n in held]), F.col("_label")) - 1).cast("double")
     coded = named.where(F.col("_label").isin(held)).withColumn("target", index)
     data = L.feature_frame(coded, key, "target", embedding, [*numeric, *categorical], forbidden)
-    data = L.balanced_weights(data, data.where(TRAIN))
+    data = materialise(L.balanced_weights(data, data.where(TRAIN)))
     train = data.where(TRAIN)
     model = L.fit(train, L.preprocessing(numeric, categorical, bool(embedding), pca), make(train.count(), len(held)))
     return Stage(model, data, held, cuts)
@@ -80,7 +89,7 @@ def ordinal_stage(
     categorical: Sequence[str] = (), embedding: str | None = None, pca: int | None = None, forbidden: Sequence[str] = (),
 ) -> Stage:
     """Equal shares of the train targets, right-closed, as ordered classes; test rows are cut by the same thresholds."""
-    known = df.where(R.present(df, target))
+    known = _needed(df, key, target, *numeric, *categorical, embedding)
     cuts = _quantiles(known, target, [i / len(names) for i in range(1, len(names))])
     return _classes(known, key, ordinal_label(target, cuts, names), names, cuts, make, numeric, categorical, embedding, pca, [target, *forbidden])
 
@@ -90,7 +99,7 @@ def mode_stage(
     numeric: Sequence[str] = (), categorical: Sequence[str] = (), embedding: str | None = None, pca: int | None = None, forbidden: Sequence[str] = (),
 ) -> Stage:
     """The failure mode of hard rows: those at or below the train quantile of `metric`, of modes with enough hard train rows."""
-    known = df.where(R.present(df, metric))
+    known = _needed(df, key, metric, mode, *numeric, *categorical, embedding)
     cuts = _quantiles(known, metric, [quantile])
-    hard = hard_rows(known.withColumn("_train", F.expr(TRAIN)), metric, mode, "_train", quantile, min_count).where("retained")
+    hard = hard_rows(known.withColumn("_train", F.expr(TRAIN)), metric, mode, "_train", quantile, min_count, cuts[0]).where("retained")
     return _classes(hard, key, F.col(mode), modes, cuts, make, numeric, categorical, embedding, pca, [metric, mode, *forbidden])
