@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..operators import learn as L, manifests as N, metrics as M, stages as S
+from ..session import materialise
 from ..streaming import incremental as I
 from . import views as V
 from .join_queries import _scratch
@@ -217,11 +218,13 @@ def three_class_stage(spark, sf):
 @query("m11_failure_mode_stage", "select count(*) > 0 as any_rows, cast(0 as bigint) as n_unlabelled from lineitem")
 def failure_mode_stage(spark, sf):
     d = V.eval_ok(spark, sf).withColumns({k: 1 - F.col(v) for k, v in _DEF.items()}).join(V.manifest(spark, sf).select("patch_id", "slide_id", "foreground_fraction"), "patch_id")
-    d = L.grouped_split(d.withColumn("mode", X.failure_mode(_MODE, 0.1)), "slide_id", 0.2, 42).withColumn("train", F.col("split") == "train")
+    # Read for the split, the threshold and the model: written once.
+    d = materialise(d.select("patch_id", "model_name", "slide_id", "foreground_fraction", "d_sq", X.failure_mode(_MODE, 0.1).alias("mode")))
+    d = L.grouped_split(d, "slide_id", 0.2, 42).withColumn("train", F.col("split") == "train")
     hard = N.hard_rows(d, "d_sq", "mode", "train", 0.4, 60).where("retained")
     modes = sorted(_MODE.values())
     data = hard.select("patch_id", "model_name", "split", "foreground_fraction", (F.array_position(F.array(*[F.lit(m) for m in modes]), F.col("mode")) - 1).cast("double").alias("target"))
-    data = L.balanced_weights(data, data.where("split = 'train'"))
+    data = materialise(L.balanced_weights(data, data.where("split = 'train'")))
     train = data.where("split = 'train'")
     model = L.fit(train, L.preprocessing(["foreground_fraction"], ["model_name"]), L.classifier("random_forest", train.count(), len(modes), 42, trees=4, depth=4))
     p = L.predict_classes(model, data.where("split = 'test'"), ["patch_id"])

@@ -1,9 +1,12 @@
 """Stages: thresholds and classes of the train side, errors, predictions for all rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.operators import learn as L, stages as S
 from tesserae.operators.joins import JoinError
+from tesserae.operators.manifests import hard_rows
+from tesserae.plans import learn_queries
 
 NAN = float("nan")
 
@@ -47,3 +50,26 @@ def test_continuous_stage(rows):
     assert set(got) == {*range(90), 100, 101, 104} and max(abs(got[i]["residual"]) for i in range(90)) < 1
     with pytest.raises(JoinError):
         S.continuous_stage(rows.where("split = 'test'"), "id", "y", lambda scale: L.regressor("ridge", scale, 1), numeric=["x"])
+
+
+def test_a_fit_reads_written_rows(spark, rows):
+    s = S.ordinal_stage(rows, "id", "y", logistic, numeric=["x"])
+    m = S.mode_stage(rows, "id", "y", "mode", ["a", "b"], 0.5, 6, logistic, numeric=["x"])
+    c = S.continuous_stage(rows, "id", "y", lambda scale: L.regressor("ridge", scale, 1), numeric=["x"])
+    assert all(x.data.inputFiles() for x in (s, m, c))
+
+
+def test_failure_mode_query_fits_written_rows(spark, monkeypatch):
+    seen, fit = [], L.fit
+    monkeypatch.setattr(L, "fit", lambda train, *a: seen.append(train) or fit(train, *a))
+    learn_queries.failure_mode_stage(spark, "/root/testdata/sf0.001")
+    assert seen and not any("lineitem" in f for df in seen for f in df.inputFiles())
+
+
+def test_rows_are_not_dealt_by_class(spark, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (L.balanced_weights(rows, rows, "mode"), hard_rows(rows.withColumn("t", F.lit(True)), "y", "mode", "t", 0.5, 1, 9.0))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
