@@ -172,10 +172,11 @@ def _group(s: Column, pattern: str, i: int) -> Column:
 
 def tile_key(c: str | Column) -> Column:
     """struct(a, b) when the whole stem is a tile key, numbers in written order; nulls otherwise."""
-    s = F.lower(stem(c))
-    a = F.coalesce(*[_group(s, p, 1) for p in TILE_KEY_PATTERNS])
-    b = F.coalesce(*[_group(s, p, 2) for p in TILE_KEY_PATTERNS])
-    return F.struct(a.try_cast("bigint").alias("a"), b.try_cast("bigint").alias("b"))
+    # One search for all patterns. A stem holds no slash, so only a found key splits into three.
+    n = len(TILE_KEY_PATTERNS)
+    first, second = ("".join(f"${2 * i + j}" for i in range(n)) for j in (1, 2))
+    found = F.split(F.regexp_replace(F.lower(stem(c)), "|".join(TILE_KEY_PATTERNS), f"/{first}/{second}"), "/")
+    return F.struct(*[F.get(found, F.lit(i)).try_cast("bigint").alias(x) for i, x in ((1, "a"), (2, "b"))])
 
 
 def xy_in_name(c: str | Column) -> Column:

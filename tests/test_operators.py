@@ -331,3 +331,11 @@ def test_tables_of_files_and_of_folders(spark, tmp_path):
     for folder in (str(tmp_path), f"file://{tmp_path}/"):
         got = {tuple(r) for r in T.list_tables(spark, folder, [".Parquet"], ["BENCH"]).select("stem", "path", "length").collect()}
         assert got == {("one", f"{tmp_path}/one.parquet", 3), ("f", f"{tmp_path}/f.parquet", 9), ("two", f"{tmp_path}/two.PARQUET", 7)}
+
+
+def test_tile_key_is_one_search(spark):
+    names = ["1_2.png", "-1_-2", "12x-3y", "X5_y6.tif", "row3-col4.png", "c3_r4.x", "tile7.png", "123", "5,6", "1_2_3", "99999999999999999999_3.png", "", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string").select("i", K.tile_key("n").alias("k"))
+    none = (None, None)
+    assert [tuple(r["k"]) for r in df.orderBy("i").collect()] == [(1, 2), (-1, -2), (12, 3), (5, 6), (3, 4), (3, 4), none, none, none, none, (None, 3), none, none]
+    assert df.select("k.a", "k.b")._jdf.queryExecution().optimizedPlan().toString().count("regexp_") <= 8
