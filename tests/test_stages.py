@@ -69,7 +69,7 @@ def test_failure_mode_query_fits_written_rows(spark, monkeypatch):
 def test_rows_are_not_dealt_by_class(spark, rows):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (L.balanced_weights(rows, rows, "mode"), hard_rows(rows.withColumn("t", F.lit(True)), "y", "mode", "t", 0.5, 1, 9.0))]
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (L.balanced_weights(rows, rows, "mode"), hard_rows(rows.withColumn("t", F.lit(True)), "y", "mode", "t", 0.5, 1))]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in plans)
