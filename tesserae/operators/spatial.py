@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from ..session import materialise
 from . import ranks as R
@@ -67,6 +67,8 @@ def tile_boxes(tiles: DataFrame, mode: str = "auto", override: float | None = No
 #: Boxes that one cell may hold before its rows are dealt to several keys, and the share of all rows from which
 #: a cell is looked at for it: fewer than CROWD_SHARE cells can hold more, so their list may be broadcast.
 PER_KEY, CROWD_SHARE = 100_000, 10_000
+#: Rows of tiles in cells up to which they go to every task, so that boxes are not shuffled at all.
+BROADCAST_ROWS = 100_000
 
 
 def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float, salts: int | None = None) -> DataFrame:
@@ -75,9 +77,11 @@ def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float,
     Grids of doubling cells, `cell` the finest. A rectangle lies on the level whose cells are as large as it is, where
     it touches four cells at most, and on the coarser levels that the other side uses; a pair meets on the coarser of
     its two levels only, and is reported from the cell that holds the lower corner of its intersection, so nothing has
-    to be made distinct afterwards. Rows of crowded cells are dealt to as many keys as their count asks for and the
-    tiles of the cell are repeated; `salts` sets a fixed number instead. Rectangles with a missing or non-finite
-    coordinate meet nothing.
+    to be made distinct afterwards. Rectangles outside the other side's bounds are left out before they are laid on
+    cells. Up to BROADCAST_ROWS rows of tiles in cells are broadcast, counted and not estimated; with more both sides
+    are shuffled. Then rows of crowded cells are dealt to as many keys as their count asks for and the tiles of the
+    cell are repeated; `salts` asks for the shuffle with a fixed number instead. Rectangles with a missing or
+    non-finite coordinate meet nothing.
     """
     keys = [*on, "_level", "_cx", "_cy"]
     inf = F.lit(float("inf"))
@@ -90,8 +94,8 @@ def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float,
         size = F.greatest(F.abs(x1 - x0), F.abs(y1 - y0))
         return df.where(finite).withColumn(own, F.greatest(F.ceil(F.log2(size / cell)), F.lit(0)).cast("int"))
 
-    def cells(df: DataFrame, a: Sequence[str], own: str, used: Column) -> DataFrame:
-        levels = F.array_union(F.array(own), F.coalesce(used, F.array().cast("array<int>")))
+    def cells(df: DataFrame, a: Sequence[str], own: str, used: Sequence[int]) -> DataFrame:
+        levels = F.array_union(F.array(own), F.array(*map(F.lit, used)).cast("array<int>"))
         width = cell * F.pow(F.lit(2.0), F.col("_level"))
 
         def span(p: str, q: str) -> Column:
@@ -100,25 +104,43 @@ def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float,
         laid = df.withColumn("_level", levels).withColumn("_level", F.explode("_level")).where(F.col("_level") >= F.col(own))
         return laid.withColumn("_cx", F.explode(span(a[0], a[2]))).withColumn("_cy", F.explode(span(a[1], a[3])))
 
+    def bounds(df: DataFrame, a: Sequence[str], own: str) -> Row:
+        """Levels and outermost sides: a few dozen numbers at most, since each level doubles the size."""
+        low, high = [F.min(F.col(c).cast("double")).alias(c) for c in a[:2]], [F.max(F.col(c).cast("double")).alias(c) for c in a[2:]]
+        return df.agg(F.array_sort(F.collect_set(own)).alias("levels"), *low, *high).first()
+
+    def within(df: DataFrame, a: Sequence[str], other: Row, o: Sequence[str]) -> DataFrame:
+        out = df
+        for lo, hi, other_lo, other_hi in zip(a[:2], a[2:], o[:2], o[2:], strict=True):
+            out = out.where((F.col(lo) < F.lit(other[other_hi]).cast("double")) & (F.col(hi) > F.lit(other[other_lo]).cast("double")))
+        return out
+
     t_at, b_at = ("x0", "y0", "x1", "y1"), ("xmin", "ymin", "xmax", "ymax")
     t, b = placed(tiles, t_at, "_ot"), placed(boxes, b_at, "_ob")
-    # A set of levels is a few dozen numbers at most: each level doubles the size.
-    t_levels, b_levels = t.agg(F.collect_set("_ot")).scalar(), b.agg(F.collect_set("_ob")).scalar()
-    t, b = cells(t, t_at, "_ot", b_levels), cells(b, b_at, "_ob", t_levels)
-    if salts is None:
-        held = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        crowded = held.where((F.col("_n") > PER_KEY) & (F.col("_n") * CROWD_SHARE > held.agg(F.sum("_n")).scalar()))
-        crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col("_n") / PER_KEY).cast("int").alias("_keys")))
-        t, b = (df.join(crowded, keys, "left").withColumn("_keys", F.coalesce("_keys", F.lit(1))) for df in (t, b))
+    b_bounds = bounds(b, b_at, "_ob")
+    t = within(t, t_at, b_bounds, b_at)
+    t_bounds = bounds(t, t_at, "_ot")
+    b = within(b, b_at, t_bounds, t_at)
+    t, b = cells(t, t_at, "_ot", b_bounds["levels"]), cells(b, b_at, "_ob", t_bounds["levels"])
+    if salts is None and t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        joined = b.join(F.broadcast(t), keys)
     else:
-        t, b = (df.withColumn("_keys", F.lit(salts)) for df in (t, b))
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_keys") - 1))).drop("_keys")
-    b = b.withColumn("_salt", F.pmod(F.xxhash64(*boxes.columns), F.col("_keys")).cast("int")).drop("_keys")
-    joined = t.join(b, [*keys, "_salt"]).where(F.col("_level") == F.greatest("_ot", "_ob"))
+        if salts is None:
+            held = b.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+            crowded = held.where((F.col("_n") > PER_KEY) & (F.col("_n") * CROWD_SHARE > held.agg(F.sum("_n")).scalar()))
+            crowded = F.broadcast(crowded.select(*keys, F.ceil(F.col("_n") / PER_KEY).cast("int").alias("_keys")))
+            t, b = (df.join(crowded, keys, "left").withColumn("_keys", F.coalesce("_keys", F.lit(1))) for df in (t, b))
+        else:
+            t, b = (df.withColumn("_keys", F.lit(salts)) for df in (t, b))
+        t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_keys") - 1))).drop("_keys")
+        b = b.withColumn("_salt", F.pmod(F.xxhash64(*boxes.columns), F.col("_keys")).cast("int")).drop("_keys")
+        # Spark would judge tiles by their size before they are laid on cells, and broadcast a table of any size.
+        joined = t.hint("merge").join(b, [*keys, "_salt"]).drop("_salt")
+    joined = joined.where(F.col("_level") == F.greatest("_ot", "_ob"))
     overlap = (F.col("xmax") > F.col("x0")) & (F.col("xmin") < F.col("x1")) & (F.col("ymax") > F.col("y0")) & (F.col("ymin") < F.col("y1"))
     width = cell * F.pow(F.lit(2.0), F.col("_level"))
     home = (F.floor(F.greatest("x0", "xmin") / width) == F.col("_cx")) & (F.floor(F.greatest("y0", "ymin") / width) == F.col("_cy"))
-    return joined.where(overlap & home).drop("_level", "_cx", "_cy", "_salt", "_ot", "_ob")
+    return joined.where(overlap & home).select(*on, *[c for c in (*tiles.columns, *boxes.columns) if c not in on])
 
 
 def mapping_coverage(pairs: DataFrame, boxes: DataFrame, tiles: DataFrame, mode: str, tile: str, box: str) -> DataFrame:

@@ -39,6 +39,37 @@ def test_boxes_of_all_sizes(spark, monkeypatch, per_key):
     assert B.box_join(t.where("tile < 0"), b, [], 8.0).count() == B.box_join(t, b.where("box < 0"), [], 8.0).count() == 0
 
 
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_box_join_broadcasts_tiles_by_their_rows_in_cells(spark):
+    boxes = spark.range(300).selectExpr("id as box", "id * 10.0 as xmin", "0.0 as ymin", "id * 10.0 + 4 as xmax", "4.0 as ymax")
+    # 150,000 tiles, of which 30 lie where the boxes are: they go to every task, and no box is shuffled.
+    far = spark.range(150_000).selectExpr("id as tile", "id * 100.0 as x0", "0.0 as y0", "id * 100.0 + 100 as x1", "9.0 as y1")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = B.box_join(far, boxes, [], 100.0)
+        plan = _plan(pairs)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert sorted((r.tile, r.box) for r in pairs.collect()) == [(b // 10, b) for b in range(300)]
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan.split("Subquery")[0]
+    # 150,000 tiles where boxes are: none are broadcast, though Spark takes their table for small.
+    near = far.selectExpr("tile", "cast(tile % 300 as double) * 10 as x0", "y0", "cast(tile % 300 as double) * 10 + 4 as x1", "y1")
+    pairs = B.box_join(near, boxes, [], 100.0)
+    assert "SortMergeJoin" in _plan(pairs)
+    assert pairs.count() == pairs.where("tile % 300 = box").count() == 150_000
+
+
+@pytest.mark.parametrize("per_key", [100_000, 7])
+def test_boxes_of_all_sizes_shuffled(spark, monkeypatch, per_key):
+    monkeypatch.setattr(B, "BROADCAST_ROWS", 0)
+    test_boxes_of_all_sizes(spark, monkeypatch, per_key)
+
+
 @pytest.mark.parametrize("by_span", [False, True])
 def test_edge_scores_against_brute_force(spark, by_span):
     rng = random.Random(8)
