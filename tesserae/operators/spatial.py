@@ -144,11 +144,26 @@ def box_join(tiles: DataFrame, boxes: DataFrame, on: Sequence[str], cell: float,
 
 
 def mapping_coverage(pairs: DataFrame, boxes: DataFrame, tiles: DataFrame, mode: str, tile: str, box: str) -> DataFrame:
-    """Per mode: tiles with boxes, distinct boxes mapped, share of all boxes; best mode first."""
-    per_tile = pairs.groupBy(mode).agg(F.count_distinct(tile).alias("tiles_with_cells"), F.count_distinct(box).alias("cells_mapped"))
-    n_boxes = boxes.agg(F.count(F.lit(1))).scalar()
+    """Per mode: tiles with boxes, distinct boxes mapped, share of all boxes; best mode first.
+
+    A box is shuffled once for all modes that it meets, which are bits of a number, and so is a tile.
+    """
     modes = tiles.select(mode).distinct()
-    filled = modes.join(per_tile, mode, "left").na.fill(0, ["tiles_with_cells", "cells_mapped"])
+    # A list of names, not data.
+    names = modes.agg(F.array_sort(F.collect_set(mode))).scalar()
+    place = F.array_position(names, F.col(mode)) - 1
+    bits = pairs.select(F.col(tile).alias("_tile"), F.col(box).alias("_box"), F.floor(place / 63).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (place % 63).cast("int")).alias("_bits"))
+    sides = F.array(*[F.struct(*[(F.col(c) if c == side else F.lit(None)).alias(c) for c in ("_tile", "_box")]) for side in ("_tile", "_box")])
+    once = bits.select("_word", "_bits", F.explode(sides).alias("_s")).select("_word", "_bits", "_s.*").where("_tile is not null or _box is not null")
+    once = once.groupBy("_tile", "_box", "_word").agg(F.bit_or("_bits").alias("_bits"))
+    met = once.groupBy("_word", "_bits").agg(F.count("_tile").alias("_tiles"), F.count("_box").alias("_boxes"))
+    held = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("getbit", F.col("_bits"), i) == 1)
+    per_mode = (
+        met.withColumn("_i", F.explode(held)).select(F.get(names, (F.col("_word") * 63 + F.col("_i")).cast("int")).alias(mode), "_tiles", "_boxes")
+        .groupBy(mode).agg(F.sum("_tiles").alias("tiles_with_cells"), F.sum("_boxes").alias("cells_mapped"))
+    )
+    n_boxes = boxes.agg(F.count(F.lit(1))).scalar()
+    filled = modes.join(per_mode, mode, "left").na.fill(0, ["tiles_with_cells", "cells_mapped"])
     return filled.withColumn("coverage", F.col("cells_mapped") / F.greatest(n_boxes, F.lit(1))).orderBy(
         F.desc("cells_mapped"), F.desc("tiles_with_cells"), F.asc(mode)
     )

@@ -70,6 +70,18 @@ def test_boxes_of_all_sizes_shuffled(spark, monkeypatch, per_key):
     test_boxes_of_all_sizes(spark, monkeypatch, per_key)
 
 
+def test_mapping_coverage_shuffles_a_box_once(spark):
+    """70 modes, more than a number has bits; every box meets every mode with an odd number in two tiles."""
+    tiles = spark.range(140).selectExpr("id as tile", "concat('m', id % 70) as mode")
+    boxes = spark.range(1000).selectExpr("id as box").unionByName(spark.createDataFrame([(None,)], "box bigint"))
+    pairs = tiles.crossJoin(boxes).where("cast(substr(mode, 2) as int) % 2 = 1 and (mode <> 'm69' or box < 10)")
+    got = B.mapping_coverage(pairs.coalesce(1), boxes, tiles, "mode", "tile", "box")
+    rows = got.collect()
+    assert [(r.mode, r.tiles_with_cells, r.cells_mapped) for r in rows if r.cells_mapped < 1000] == [("m69", 2, 10)] + sorted((f"m{i}", 0, 0) for i in range(0, 70, 2))
+    assert len(rows) == 70 and all(r.tiles_with_cells == 2 and r.coverage == 1000 / 1001 for r in rows if r.cells_mapped == 1000)
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("by_span", [False, True])
 def test_edge_scores_against_brute_force(spark, by_span):
     rng = random.Random(8)
