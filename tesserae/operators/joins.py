@@ -94,25 +94,32 @@ def require_coverage(coverage: DataFrame, model: str, minimum: float) -> None:
 def score_join_keys(facts: DataFrame, manifest: DataFrame, manifest_key: str, candidates: Sequence[str]) -> DataFrame:
     """Every candidate column and spelling with the distinct keys it matches; the best one comes first.
 
-    One pass over the facts: all spellings are stacked, made distinct, and joined to the manifest keys.
+    A column's values are made distinct before they are spelled, so that no task holds the spellings of repeated
+    values. A key is one row for all columns and spellings that lead to it; these are bits of a number.
     """
     present = [c for c in candidates if c in facts.columns]
     if not present:
         raise JoinError("no supported join column is present")
-    entries, position = [], 0
-    for c in present:
-        for name, expr in K.join_key_variants(c).items():
-            entries.append(
-                F.struct(F.lit(position).alias("position"), F.lit(c).alias("join_column"), F.lit(name).alias("variant"), expr.alias("k"))
-            )
-            position += 1
-    stacked = facts.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-    distinct_keys = stacked.where(F.col("k") != "").distinct()
+    columns = F.array(*[F.struct(F.lit(i).alias("at"), K.text(c).alias("v")) for i, c in enumerate(present)])
+    values = facts.select(F.explode(columns).alias("e")).select("e.*").where(F.col("v") != "").distinct()
+    spelled = K.join_key_variants("v")
+    position = F.col("at") * len(spelled) + F.col("j")
+    # A number holds 63 bits; further spellings are in further words.
+    word, bit = F.floor(position / 63).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), position % 63)
+    keys = (
+        values.select("at", F.posexplode(F.array(*spelled.values())).alias("j", "k")).where(F.col("k") != "")
+        .select("k", word.alias("word"), bit.alias("bits")).groupBy("k", "word").agg(F.bit_or("bits").alias("bits"))
+    )
     known = manifest.select(K.text(manifest_key).alias("k")).distinct().withColumn("hit", F.lit(1))
+    counts = keys.join(known, "k", "left").groupBy("word", "bits").agg(F.count("hit").alias("n_matched"), F.count(F.lit(1)).alias("n_keys"))
+    named = F.array(*[
+        F.struct(F.lit(i * len(spelled) + j).alias("position"), F.lit(c).alias("join_column"), F.lit(name).alias("variant"))
+        for i, c in enumerate(present) for j, name in enumerate(spelled)
+    ])
+    of_bits = F.filter(named, lambda n: F.when(F.floor(n["position"] / 63) == F.col("word"), F.call_function("getbit", F.col("bits"), n["position"] % 63) == 1).otherwise(F.lit(False)))
     found = (
-        distinct_keys.join(known, "k", "left")
-        .groupBy("position", "join_column", "variant")
-        .agg(F.count("hit").alias("n_matched"), F.count(F.lit(1)).alias("n_keys"))
+        counts.select("n_matched", "n_keys", F.explode(of_bits).alias("n")).groupBy("n.position", "n.join_column", "n.variant")
+        .agg(F.sum("n_matched").alias("n_matched"), F.sum("n_keys").alias("n_keys"))
     )
     return found.orderBy(F.desc("n_matched"), F.desc("n_keys"), F.asc("position"))
 

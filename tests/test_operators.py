@@ -82,6 +82,25 @@ def test_regression_of_a_constant(spark):
     assert r.pearson is None and r.spearman is None and r.r2 is None and r.mae == 1.5
 
 
+def test_join_keys_are_spelled_once_per_value(spark):
+    """20 columns (80 spellings, more than a number has bits); 400 rows repeat 10 values, so few rows are spelled."""
+    names = [f"c{i}" for i in range(20)]
+    facts = spark.range(400).select(*[F.concat(F.lit(f"d{i}/"), F.when(F.col("id") % 10 > 0, (F.col("id") % 10).cast("string")), F.lit("_mask.png")).alias(c) for i, c in enumerate(names)])
+    scores = J.score_join_keys(facts.withColumn("c3", F.lit(" ")), spark.range(5).withColumnRenamed("id", "k"), "k", names)
+    rows = scores.collect()
+    want = [(4 * i + j, f"c{i}", v, 4 * (j == 3), 9) for i in range(20) if i != 3 for j, v in enumerate(("raw", "basename", "basename_stem", "basename_strip_role"))]
+    assert [tuple(r) for r in rows] == sorted(want, key=lambda r: (-r[3], -r[4], r[0]))
+    assert dict(scores.dtypes)["n_keys"] == "bigint" and dict(scores.dtypes)["position"] == "int"
+    nodes, spelt = [scores._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        n = nodes.pop()
+        name = n.nodeName()
+        nodes += [n.executedPlan()] if name == "AdaptiveSparkPlan" else [n.plan()] if name.endswith("QueryStage") else [n.children().apply(i) for i in range(n.children().size())]
+        if name == "Generate":
+            spelt.append(n.metrics().apply("numOutputRows").value())
+    assert sum(spelt) < 400 * 80 / 2
+
+
 def test_box_join_against_brute_force(spark):
     rng = random.Random(4)
     tiles = [(i, x, y, x + 10.0, y + 10.0) for i, (x, y) in enumerate((x * 8.0, y * 8.0) for x in range(6) for y in range(6))]
