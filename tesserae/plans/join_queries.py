@@ -396,9 +396,14 @@ def _slides(spark, sf):
     box = F.when(F.col("c_custkey") % 5 > 0, F.array(F.array(x / 2, x), F.array(x / 2 + 7, x + 5)))
     cell = F.struct("c_custkey", box.alias("bbox"), F.array(F.array(x, x), F.array(x + 1, x)).alias("contour"))
     slide = F.struct(F.col("c_nationkey").alias("patch_size"), F.col("part").alias("orig_n_tiles_rows")).alias("wsi_metadata")
-    docs = V.table(spark, sf, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 500).cast("int").alias("part")).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    docs = docs.select(F.concat_ws("_", "c_nationkey", "part").alias("slide"), F.to_json(F.struct(slide, "cells"), {"pretty": "true"}).alias("value"))
-    docs.write.partitionBy("slide").text(path)
+    # Tasks of this step are weighed by their files and not by bytes, so a given number of them is not drawn together.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cells = V.table(spark, sf, "customer").withColumn("part", F.floor(F.col("c_custkey") / 500).cast("int")).repartition(tasks, "c_nationkey", "part")
+    docs = cells.groupBy("c_nationkey", "part").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    docs = docs.select(F.to_json(F.struct(slide, "cells"), {"pretty": "true"}).alias("value"))
+    # One record a file in one folder: a folder for each file would be made, listed and moved one by one. Tasks move
+    # their files themselves; the folder is read only after the write, and a repeated task writes the same names.
+    docs.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return path
 
 

@@ -28,3 +28,18 @@ def test_documents_without_a_schema(spark, tmp_path):
     assert flat["c"]["meta.deep.er"] == 12345678901 and flat["c"]["cells"] is None and set(flat["d"].values()) == {"d", None}
     assert D.flatten_variants(read.where("document = 'd'")).columns == ["document"]
     assert D.flatten_variants(read.where("document = 'z'")).count() == 0
+
+
+def test_slide_files_lie_in_one_folder(spark, tmp_path):
+    """One document a file, but not a folder a file, which would be listed and moved one by one; no customers give no rows."""
+    from tesserae.plans import QUERIES, join_queries as Q
+
+    customers = spark.range(2000).selectExpr("id as c_custkey", "concat('c', id) as c_name", "cast(id % 3 as int) as c_nationkey", "cast(id as double) as c_acctbal", "'x' as c_mktsegment")
+    customers.write.parquet(f"{tmp_path}/some/customer.parquet")
+    customers.limit(0).write.parquet(f"{tmp_path}/none/customer.parquet")
+    files = spark.read.text(Q._slides(spark, f"{tmp_path}/some"), wholetext=True).select(F.regexp_extract("_metadata.file_path", "^(.*)/[^/]*$", 1).alias("folder"), F.get_json_object("value", "$.wsi_metadata").alias("slide"))
+    assert files.count() == files.distinct().count() == 3 * 4
+    assert files.select("folder").distinct().count() == 1
+    for name in ("s12_whole_files", "s12_variant_rows"):
+        assert QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+    assert QUERIES["s12_variant_rows"](spark, f"{tmp_path}/some").count() == 2000
