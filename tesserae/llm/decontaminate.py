@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.spread import spread_join
-from .util import free_name, lowered, mix, order_id, signed, slices, word_hashes, words_of, written
+from .util import free_name, lowered, mix, order_id, settled, signed, slices, word_hashes, words_of, written
 
 #: Selected positions are 1. Whatever a fifth of 11 or more words is substituted, one of these masks hits what is left.
 MASKS = ("11101101", "110010111", "1010110011", "11001000111")
@@ -246,5 +246,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def clean_rows(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
     key = free_name(docs)
-    bad = overlaps(docs, benchmark, **options).select(F.col("id").alias(key)).distinct()
+    bad = settled(docs.sparkSession, lambda: overlaps(docs, benchmark, **options).select(F.col("id").alias(key)).distinct())
     return docs.withColumn(key, order_id(F.col("doc_id"))).join(bad, key, "left_anti").drop(key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .util import ascii_lower, free_name, written
+from .util import ascii_lower, free_name, settled, written
 
 #: Bytes of distinct text that one table may hold when a bucket is settled, and while a task scans.
 TABLE_BYTES = 16_000_000
@@ -159,7 +159,8 @@ def exact_dedup(docs: DataFrame, table_bytes: int = TABLE_BYTES, fanout: int = F
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows repeated in doc_id and text one stays."""
     key = free_name(docs)
-    stay = exact_dedup(docs, **options).where("kept").select(F.sha2(F.concat_ws(":", "doc_id", "text_sha256"), 256).alias(key))
+    named = F.sha2(F.concat_ws(":", "doc_id", "text_sha256"), 256).alias(key)
+    stay = settled(docs.sparkSession, lambda: exact_dedup(docs, **options).where("kept").select(named))
     lowered = F.sha2(ascii_lower(F.col("text")), 256)
     keyed = docs.withColumn(key, F.sha2(F.concat_ws(":", F.col("doc_id").cast("long"), lowered), 256))
     return keyed.join(stay, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -11,7 +11,9 @@ line, so many that two linked sets must agree on at least one whole block that i
 Lists with the same first set are taken together, so that a set is compared, and sent, once for each first set and
 not once for each block it shares with it. For each first set its answers are computed: who of its lists links with
 it. Sets that link with the same set are in one class, whatever their own similarity, so for lists whose sets have
-thereby all met in one class nothing is left to do. In the others sets of different classes are compared. In long
+thereby all met in one class nothing is left to do. In the others sets of different classes are compared. Before a
+pair of sets is sent anywhere, sketches of about a tenth of their size bound from below in how many shingles the two
+differ; a pair that cannot link for that is left out, one that may is compared whole. In long
 lists the answers of a set follow from those of the first set: each set is reduced to its difference from it, two
 sets link if their differences cancel out but for a few shingles, and only sets that share one of the rarest shingles
 of these (small) differences are looked at. Lists longer than BLOCK, or with more than WEIGHT shingles, are worked on
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
-from .util import Rolling, ascii_lower, discard, distinct_texts, free_name, mix, order_id, signed, slices, stretches, together, word_hashes, words_of, written
+from .util import Rolling, ascii_lower, discard, distinct_texts, free_name, mix, order_id, settled, signed, slices, stretches, together, word_hashes, words_of, written
 
 WORDS, PERCENT = 5, 80
 #: Lists up to this length are compared pair by pair; longer ones by differences.
@@ -42,6 +44,8 @@ SHORT = 12
 BLOCK, WEIGHT = 4000, 1_000_000
 #: Texts and index lists are shuffled in so many parts, one after the other, so that shuffle files take less room.
 PARTS = 2
+#: Pairs with sketches that are shuffled at once, for each set: together about as large as the sets.
+SKETCHED = 8
 
 
 def size_class(percent: int, largest: int) -> np.ndarray:
@@ -155,6 +159,52 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), held], schema=_SET)
 
 
+_SKETCH = pa.schema([("uid", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+
+def sketch(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """One byte for each of 2**k <= n buckets of a set's n shingles: the sum, modulo 256, of a byte of their hashes.
+
+    A shingle that only one of two sets has changes one bucket at most, so sets differ in at least as many shingles as
+    in buckets. Sums of half as many buckets follow from these, by adding the second half to the first.
+    """
+    size = np.diff(first)
+    buckets = np.where(size > 0, 1 << np.frexp(np.maximum(size, 1))[1].astype(np.int64) - 1, 0)
+    base = np.append(0, np.cumsum(buckets))
+    text = np.repeat(np.arange(len(size)), size)
+    at = base[text] + (hashes & (buckets[text] - 1).astype(np.uint64)).astype(np.int64)
+    sums = np.bincount(at, ((hashes >> np.uint64(40)) & np.uint64(255)).astype(float), base[-1]).astype(np.int64).astype(np.uint8)
+    return [sums[i:j].tobytes() for i, j in zip(base[:-1], base[1:], strict=True)]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Shingles in which sets with these sketches differ at least."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if not len(x) or not len(y):
+        return 0
+    x, y = (z.reshape(-1, min(len(x), len(y))).sum(0, dtype=np.uint8) for z in (x, y))
+    return int(np.count_nonzero(x != y))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        held = batch.column(1).to_pylist()
+        first = np.append(0, np.cumsum([len(s) // 8 for s in held])).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(sketch(np.frombuffer(b"".join(held), np.uint64), first), pa.binary())], schema=_SKETCH)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches leave it open whether they link."""
+    for batch in batches:
+        u, v, n, x, m, y = (batch.column(i) for i in range(6))
+        ok = [
+            _linked(a, b, max(abs(a - b), least_difference(s, t)), percent)
+            for a, s, b, t in zip(n.to_pylist(), x.to_pylist(), m.to_pylist(), y.to_pylist(), strict=True)
+        ]
+        keep = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], names=["u", "v"])
+
+
 def _linked(n: int, m: int, differ: int, percent: int) -> bool:
     """Whether sets of n and m shingles that differ in `differ` of them link."""
     return 100 * (n + m - differ) >= percent * (n + m + differ)
@@ -174,12 +224,28 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["u", "v"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _candidates(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """pairs(u, v), written -> those that may link as far as sketches(uid, n, sketch) tell, written."""
+    left = sketches.select(F.col("uid").alias("u"), F.col("n").alias("a"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("uid").alias("v"), F.col("n").alias("b"), F.col("sketch").alias("y"))
+    parts = max(1, -(-pairs.count() // max(1, SKETCHED * sketches.count())))
+    done = []
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == part)
+        both = some.join(left, "u").join(right, "v").select("u", "v", "a", "x", "b", "y")
+        done.append(written(both.mapInArrow(lambda b: _alike(b, percent), "u long, v long")))
+        del both
+    return together(done)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """pairs(u, v), written -> those that link, written.
 
-    A pair takes both sets along. Pairs are worked on in parts, each about as large as all sets together, so that the
-    files of a shuffle stay in proportion to the sets however many pairs there are.
+    Pairs that the sketches rule out go first; a pair left takes both sets along. Pairs are worked on in parts, each
+    about as large as all sets together, so that the files of a shuffle stay in proportion to the sets however many
+    pairs there are.
     """
+    pairs = _candidates(pairs, sketches, percent)
     left = sets.select(F.col("uid").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("uid").alias("v"), F.col("shingles").alias("y"))
     parts = max(1, -(-pairs.count() // max(1, sets.count())))
@@ -188,6 +254,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         some = pairs.where(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == part)
         both = some.join(left, "u").join(right, "v").select("u", "v", "x", "y")
         done.append(written(both.mapInArrow(lambda b: _verify(b, percent), "u long, v long")))
+        del both
     return together(done)
 
 
@@ -268,9 +335,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         del some
     sets = together(held)
     discard(texts)
+    sketches = written(sets.mapInArrow(_sketches, "uid long, n long, sketch binary"))
 
     # Answers of the first sets.
-    links = _links(near, sets, percent)
+    links = _links(near, sets, sketches, percent)
     classes = connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component")
     classes = written(classes.join(names.select("uid", "n"), "uid"))
 
@@ -282,7 +350,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     brief = left.where(F.col("held") <= short).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("uid", "component"))).alias("all"))
     each = brief.select("head", F.posexplode("all").alias("i", "a"), "all").select("head", "a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
     pairs = each.where("a.component != b.component and a.uid != head").select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
-    more = _links(written(pairs), sets, percent)
+    more = _links(written(pairs), sets, sketches, percent)
 
     parts = F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("weight") / WEIGHT)).cast("int")
     part = F.pmod(F.xxhash64("uid"), parts).cast("int")
@@ -303,8 +371,6 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, that with the class's smallest doc_id, with all its columns; documents without
     shingles stay. Rows that share a doc_id stay or go together; of a class of nulls all stay."""
-    classes = jaccard_classes(docs, **options)
-    go = classes.where("component_id is not null and (doc_id is null or doc_id != component_id)")
-    key = free_name(docs)
-    go = go.select(order_id(F.col("doc_id")).alias(key)).distinct()
+    key, gone = free_name(docs), "component_id is not null and (doc_id is null or doc_id != component_id)"
+    go = settled(docs.sparkSession, lambda: jaccard_classes(docs, **options).where(gone).select(order_id(F.col("doc_id")).alias(key)).distinct())
     return docs.withColumn(key, order_id(F.col("doc_id"))).join(go, key, "left_anti").drop(key)

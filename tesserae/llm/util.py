@@ -6,7 +6,8 @@ import functools
 import gc
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,16 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+#: Paths written within `settled`, if there is one.
+_meanwhile: ContextVar[list[str] | None] = ContextVar("meanwhile", default=None)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder, read it back, and let go of the shuffle files behind it."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}.parquet"
+    if (paths := _meanwhile.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     del df  # the caller passes the only reference, so its shuffles are unused now
     release(spark)
@@ -61,10 +68,28 @@ def together(frames: list[DataFrame]) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a written frame that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for name in df.written_paths:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.written_paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """make(), written; whatever else was written on the way is deleted, so only the answer takes room later."""
+    token = _meanwhile.set(left := [])
+    try:
+        out = written(make())
+        left.remove(out.written_paths[0])
+    finally:
+        _meanwhile.reset(token)
+        _delete(spark, left)
+    if (outer := _meanwhile.get()) is not None:
+        outer.extend(out.written_paths)
+    return out
 
 
 def release(spark: SparkSession) -> None:
