@@ -11,9 +11,10 @@ line, so many that two linked sets must agree on at least one whole block that i
 Lists with the same first set are taken together, so that a set is compared, and sent, once for each first set and
 not once for each block it shares with it. For each first set its answers are computed: who of its lists links with
 it. Sets that link with the same set are in one class, whatever their own similarity, so for lists whose sets have
-thereby all met in one class nothing is left to do. In the others sets of different classes are compared. Before a
-pair of sets is sent anywhere, sketches of about a tenth of their size bound from below in how many shingles the two
-differ; a pair that cannot link for that is left out, one that may is compared whole. In long
+thereby all met in one class nothing is left to do. In the others sets of different classes are compared. Before any
+set is sent anywhere, sketches of about a tenth of their size bound from below in how many shingles two sets differ; a
+pair that cannot link for that is left out, and so is a set of a long list that can link with no other of it. Only
+texts that are left then, a small share of those on lists, get sets, and what may link is compared whole. In long
 lists the answers of a set follow from those of the first set: each set is reduced to its difference from it, two
 sets link if their differences cancel out but for a few shingles, and only sets that share one of the rarest shingles
 of these (small) differences are looked at. Lists longer than BLOCK, or with more than WEIGHT shingles, are worked on
@@ -42,8 +43,12 @@ WORDS, PERCENT = 5, 80
 SHORT = 12
 #: Sets of a list, and their shingles, that one task compares at once; twice as many for a pair of blocks.
 BLOCK, WEIGHT = 4000, 1_000_000
-#: Texts and index lists are shuffled in so many parts, one after the other, so that shuffle files take less room.
+#: Texts are shuffled in so many parts, one after the other, so that shuffle files take less room.
 PARTS = 2
+#: Index lists, which hold more than the texts, are made and shuffled in so many parts; no list is in two of them.
+LISTS = 4
+#: Bytes of sketches that are compared at once in a long list.
+SCREEN = 4_000_000
 #: Pairs with sketches that are shuffled at once, for each set: together about as large as the sets.
 SKETCHED = 8
 
@@ -94,17 +99,16 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return hashes[keep], np.searchsorted(text[keep], np.arange(len(count) + 1))
 
 
-_LISTED = pa.schema([("list", pa.int64()), ("uid", pa.int64()), ("n", pa.int64())])
+_LISTED = pa.schema([("list", pa.int64()), ("uid", pa.int64())])
 
 
-def _lists(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(list, uid) for each list that a text is on, and (null, uid, n) for the size of its set."""
+def _lists(batches: Iterator[pa.RecordBatch], words: int, percent: int, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(list, uid) for each list that a text is on, of every parts-th list."""
     for batch in batches:
         uid = batch.column(0).to_numpy()
         for a, _, data, offsets in slices(batch):
             hashes, first = shingle_sets(data, offsets, words)
             size = np.diff(first)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(size), pa.int64()), pa.array(uid[a : a + len(size)]), pa.array(size)], schema=_LISTED)
             bounds = size_class(percent, int(size.max(initial=1)) + 1)
             bounds = np.append(bounds, max(int(bounds[-1]) + 1, -(-100 * int(bounds[-1]) // percent)))
             counts, spare = blocks_of(bounds, percent)
@@ -128,7 +132,9 @@ def _lists(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Itera
                 keep = (held > 0) | (empty > spare[kind])[owner]
                 place = (np.arange(base[-1]) - base[owner]).astype(np.uint64)
                 tag = mix((place << np.uint64(32)) | kind[owner].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(content + tag)[keep])), pa.array(uid[a + some[owner[keep]]]), pa.nulls(int(keep.sum()), pa.int64())], schema=_LISTED)
+                lists = mix(content + tag)
+                keep &= lists % np.uint64(parts) == np.uint64(part)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(lists[keep])), pa.array(uid[a + some[owner[keep]]])], schema=_LISTED)
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +199,18 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first)), pa.array(sketch(np.frombuffer(b"".join(held), np.uint64), first), pa.binary())], schema=_SKETCH)
 
 
+_SIZED = pa.schema([("uid", pa.int64()), ("key", pa.string()), ("first", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+
+
+def _sized(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """(uid, key, first, text) -> the same with the size and the sketch of the text's set in place of the text."""
+    for batch in batches:
+        for a, b, data, offsets in slices(batch):
+            hashes, first = shingle_sets(data, offsets, words)
+            held = [c.slice(a, b - a) for c in batch.columns[:3]]
+            yield pa.RecordBatch.from_arrays([*held, pa.array(np.diff(first)), pa.array(sketch(hashes, first), pa.binary())], schema=_SIZED)
+
+
 def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches leave it open whether they link."""
     for batch in batches:
@@ -239,13 +257,16 @@ def _candidates(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFram
 
 
 def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """pairs(u, v), written -> those that link, written.
+    """pairs(u, v), written -> those that link, written; pairs that the sketches rule out take no sets along."""
+    return _verified(_candidates(pairs, sketches, percent), sets, percent)
 
-    Pairs that the sketches rule out go first; a pair left takes both sets along. Pairs are worked on in parts, each
-    about as large as all sets together, so that the files of a shuffle stay in proportion to the sets however many
-    pairs there are.
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs(u, v), written -> those that link, written; both sets are compared whole.
+
+    Pairs are worked on in parts, each about as large as all sets together, so that the files of a shuffle stay in
+    proportion to the sets however many pairs there are.
     """
-    pairs = _candidates(pairs, sketches, percent)
     left = sets.select(F.col("uid").alias("u"), F.col("shingles").alias("x"))
     right = sets.select(F.col("uid").alias("v"), F.col("shingles").alias("y"))
     parts = max(1, -(-pairs.count() // max(1, sets.count())))
@@ -258,6 +279,38 @@ def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int)
     return together(done)
 
 
+def may_link(sizes: np.ndarray, sketches: list[bytes], percent: int) -> np.ndarray:
+    """For each set whether the sketches leave it open that it links with another one; none of the sets is empty.
+
+    A set that has been found to link, perhaps, with an earlier one is not tried again itself, so many near copies
+    take little time.
+    """
+    buckets = np.array([len(s) for s in sketches])
+    groups = {int(k): np.flatnonzero(buckets == k) for k in np.unique(buckets)}
+    whole = {k: np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(-1, k) for k, at in groups.items()}
+    halved = {(k, to): whole[k].reshape(-1, k // to, to).sum(1, dtype=np.uint8) for k in groups for to in groups if to <= k}
+    found = np.zeros(len(sketches), bool)
+    for k, mine in groups.items():
+        step, at = max(1, SCREEN // (k * len(sketches))), 0
+        while at < len(mine):
+            place = at + np.flatnonzero(~found[mine[at:]])[:step]
+            if not len(place):
+                break
+            at, rows = int(place[-1]) + 1, mine[place]
+            for other, theirs in groups.items():
+                to = min(k, other)
+                differ = (halved[k, to][place][:, None, :] != halved[other, to][None, :, :]).sum(2, dtype=np.int32)
+                n, m = sizes[rows][:, None], sizes[theirs][None, :]
+                ok = _linked(n, m, np.maximum(differ, abs(n - m)), percent) & (rows[:, None] != theirs[None, :])
+                found[rows] |= ok.any(1)
+                found[theirs] |= ok.any(0)
+    return found
+
+
+def _screen(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    return rows.loc[may_link(rows["n"].to_numpy(), rows["sketch"].tolist(), percent), ["head", "p", "q", "uid"]]
+
+
 def difference_links(sets: list[frozenset], label: list[int], percent: int) -> list[tuple[int, int]]:
     """Links that connect classes of one long list, by differences from its first set; label: class of each set so far."""
     parent = {x: x for x in label}
@@ -316,18 +369,36 @@ def _compare(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, short: int = SHORT, block: int = BLOCK) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id that links lead to, its own included)."""
     members, texts = distinct_texts(docs, ascii_lower(F.col("text")), PARTS)
-    both = written(texts.select("uid", "text").mapInArrow(lambda b: _lists(b, words, percent), "list long, uid long, n long"))
-    names = written(texts.select("uid", "key", "first").join(both.where("n is not null").select("uid", "n"), "uid"))
+    sized = written(texts.select("uid", "key", "first", "text").mapInArrow(lambda b: _sized(b, words), "uid long, key string, first long, n long, sketch binary"))
+    names, sketches = sized.drop("sketch"), sized.select("uid", "n", "sketch")
     # One shuffle of the lists: a list arrives in order, so its first set is known without a second look.
     firsts = []
-    for part in range(PARTS):
-        listed = both.where("n is null").where(F.pmod("list", F.lit(PARTS)) == part).select("list", "uid")
+    for part in range(LISTS):
+        listed = texts.select("uid", "text").mapInArrow(lambda b, part=part: _lists(b, words, percent, part, LISTS), "list long, uid long")
         listed = listed.repartition("list").sortWithinPartitions("list", "uid")
         firsts.append(written(listed.mapInArrow(_firsts, "u long, v long").distinct()))
         del listed
     near = written(together(firsts).distinct())
-    discard(both)
-    wanted = near.select(F.col("u").alias("uid")).unionByName(near.select(F.col("v").alias("uid"))).distinct()
+    lists = near.select(F.col("v").alias("head"), F.col("u").alias("uid"))
+    lists = lists.unionByName(lists.select("head", F.col("head").alias("uid")).distinct()).join(names.select("uid", "n"), "uid")
+    held = lists.groupBy("head").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("weight"))
+    lists = written(lists.select("uid", "head").join(held.where("held > 2"), "head"))
+
+    # What may link as far as sketches tell: with the first set of a list, in a short list, in a long one.
+    heads = _candidates(near, sketches, percent)
+    brief = lists.where(F.col("held") <= short).groupBy("head").agg(F.array_sort(F.collect_list("uid")).alias("all"))
+    each = brief.select("head", F.posexplode("all").alias("i", "u"), "all").select("head", "u", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("v"))
+    among = _candidates(written(each.where("u != head").select("u", "v").distinct()), sketches, percent)
+    parts = F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("weight") / WEIGHT)).cast("int")
+    part = F.pmod(F.xxhash64("uid"), parts).cast("int")
+    long_ = lists.where(F.col("held") > short).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    long_ = long_.select("head", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "uid").join(sketches, "uid")
+    tiles = written(long_.groupBy("head", "p", "q").applyInPandas(lambda rows: _screen(rows, percent), "head long, p int, q int, uid long"))
+    del long_
+
+    # Only what may link gets sets.
+    pairs = heads.unionByName(among)
+    wanted = written(pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).unionByName(tiles.select("uid")).distinct())
     held = []
     for part in range(PARTS):
         some = texts.where(F.pmod("uid", F.lit(PARTS)) == part).join(wanted, "uid").select("uid", "text")
@@ -335,28 +406,20 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         del some
     sets = together(held)
     discard(texts)
-    sketches = written(sets.mapInArrow(_sketches, "uid long, n long, sketch binary"))
 
     # Answers of the first sets.
-    links = _links(near, sets, sketches, percent)
-    classes = connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component")
-    classes = written(classes.join(names.select("uid", "n"), "uid"))
-
-    # Lists in which several classes meet. In lists of two the only pair has been compared.
-    lists = near.select(F.col("v").alias("head"), F.col("u").alias("uid"))
-    lists = lists.unionByName(lists.select("head", F.col("head").alias("uid")).distinct()).join(classes, "uid")
-    open_ = lists.groupBy("head").agg(F.count(F.lit(1)).alias("held"), F.sum("n").alias("weight"), F.min("component").alias("a"), F.max("component").alias("b"))
-    left = written(lists.join(open_.where("held > 2 and a < b").drop("a", "b"), "head"))
-    brief = left.where(F.col("held") <= short).groupBy("head").agg(F.array_sort(F.collect_list(F.struct("uid", "component"))).alias("all"))
-    each = brief.select("head", F.posexplode("all").alias("i", "a"), "all").select("head", "a", F.explode(F.expr("slice(all, i + 2, size(all))")).alias("b"))
-    pairs = each.where("a.component != b.component and a.uid != head").select(F.col("a.uid").alias("u"), F.col("b.uid").alias("v")).distinct()
-    more = _links(written(pairs), sets, sketches, percent)
-
-    parts = F.greatest(F.ceil(F.col("held") / block), F.ceil(F.col("weight") / WEIGHT)).cast("int")
-    part = F.pmod(F.xxhash64("uid"), parts).cast("int")
-    long_ = left.where(F.col("held") > short).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    long_ = long_.select("head", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "uid", "component").join(sets, "uid")
-    found = long_.groupBy("head", "p", "q").applyInPandas(lambda rows: _compare(rows, percent), "u long, v long")
+    links = _verified(heads, sets, percent)
+    classes = written(connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component"))
+
+    # Sets of different classes.
+    apart = among
+    for end in ("u", "v"):
+        apart = apart.join(classes.select(F.col("uid").alias(end), F.col("component").alias(f"{end}_component")), end)
+    more = _verified(written(apart.where("u_component != v_component").select("u", "v")), sets, percent)
+    tiles = tiles.join(classes, "uid")
+    mixed = tiles.groupBy("head", "p", "q").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    tiles = tiles.join(mixed.drop("a", "b"), ["head", "p", "q"]).join(sets, "uid")
+    found = tiles.groupBy("head", "p", "q").applyInPandas(lambda rows: _compare(rows, percent), "u long, v long")
     links = written(links.unionByName(more).unionByName(found))
 
     classes = connected_components(wanted.select(F.col("uid").alias("u")), links).select(F.col("u").alias("uid"), "component")

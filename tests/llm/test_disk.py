@@ -81,3 +81,41 @@ def test_pairs_that_cannot_link_are_left_out_before_sets_travel(spark):
     linked = {tuple(p) for p in jaccard_join._links(pairs, sets, sketches, 80).collect()}
     want = {(i, j) for i in range(10) for j in range(i) if 100 * len(np.intersect1d(x := [*near, *far][i], y := [*near, *far][j])) >= 80 * len(np.union1d(x, y))}
     assert linked == want and want <= left and len(want) >= 3 and len(left) <= len(want) + 6
+
+
+def test_only_texts_that_may_link_get_sets(spark, make, folder, monkeypatch):
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    line = " ".join(word() for _ in range(25))
+    texts = [" ".join([*(word() for _ in range(60)), line]) for _ in range(80)]
+    texts += [f"{t} more" for t in texts[:4]]
+    made = []
+    monkeypatch.setattr(jaccard_join, "written", lambda df: made.append(util.written(df)) or made[-1])
+    counts, discard = {}, jaccard_join.discard
+    monkeypatch.setattr(jaccard_join, "discard", lambda df: counts.update(sets=sum(x.count() for x in made if x.columns == ["uid", "shingles"])) or discard(df))
+    got = {x.doc_id: x.component_id for x in jaccard_join.jaccard_classes(make(list(enumerate(texts)))).collect()}
+    assert got == {i: i - 80 if i >= 80 else i for i in range(84)}
+    # The line puts other texts on common lists, in which they are told apart by sketches; the lists themselves are never written.
+    assert 8 <= counts["sets"] <= 12
+    assert not any("list" in x.columns for x in made)
+
+
+@pytest.mark.parametrize("screen", [1, 4_000_000])
+def test_screening_of_a_list_keeps_every_set_that_links(monkeypatch, screen):
+    monkeypatch.setattr(jaccard_join, "SCREEN", screen)
+    r = np.random.default_rng(9)
+    kept = linked = total = 0
+    for trial in range(60):
+        percent, base = int(r.choice([60, 80, 90])), r.integers(0, 2**63, int(r.integers(1, 120)), dtype=np.uint64)
+        sets = []
+        for _ in range(int(r.integers(2, 25))):
+            own = r.random() < 0.6
+            x = np.concatenate([base[: int(r.integers(1, len(base) + 1))] if own else base[:1], r.integers(0, 2**63, int(r.integers(0, 20 if own else 150)), dtype=np.uint64)])
+            sets.append(np.unique(x))
+        first = np.append(0, np.cumsum([len(x) for x in sets]))
+        open_ = jaccard_join.may_link(np.diff(first), jaccard_join.sketch(np.concatenate(sets), first), percent)
+        for i, x in enumerate(sets):
+            links = any(100 * len(np.intersect1d(x, y)) >= percent * len(np.union1d(x, y)) for j, y in enumerate(sets) if j != i)
+            assert open_[i] or not links
+            kept, linked, total = kept + open_[i], linked + links, total + 1
+    assert 20 < linked <= kept < total / 2
