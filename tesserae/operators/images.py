@@ -306,8 +306,12 @@ def occupancy(tiles: DataFrame, tissue: DataFrame, slides: DataFrame, slide: str
     )
 
 
-def otsu_thresholds(pixels: DataFrame, slide: str, value: str, bins: int = 256) -> DataFrame:
-    """Otsu threshold per slide over an equal-width histogram; a constant slide gets its median (that constant)."""
+def otsu_thresholds(pixels: DataFrame, slide: str, value: str, bins: int = 256, whole_bins: bool = True) -> DataFrame:
+    """Otsu threshold per slide over an equal-width histogram; a constant slide gets its median (that constant).
+
+    Of equally good splits the first is taken. `whole_bins` adds up bin numbers, so such splits tie exactly; without it
+    the bins' centres are added up in their order, as in SQL over centres, and rounding may tell such splits apart.
+    """
     ends = pixels.groupBy(slide).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / bins
     binned = spread_join(pixels, ends, [slide]).where(F.col("_hi") > F.col("_lo")).withColumn(
@@ -315,18 +319,24 @@ def otsu_thresholds(pixels: DataFrame, slide: str, value: str, bins: int = 256)
     )
     hist = binned.groupBy(slide, "bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("n")).withColumn("centre", F.col("_lo") + (F.col("bin") + 0.5) * width)
     # At most `bins` rows per slide from here on.
-    w = Window.partitionBy(slide).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(slide)
-    m = F.col("n") * F.col("bin")
+    in_order = Window.partitionBy(slide).orderBy("bin")
+    w = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    # Ordered too: a sum of doubles depends on the order of its terms.
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    m = F.col("n") * F.col("bin" if whole_bins else "centre")
     split = hist.select(
         slide, "bin", "centre", width.alias("_width"),
         F.sum("n").over(w).alias("w1"), F.sum(m).over(w).alias("m1"), F.sum("n").over(whole).alias("wt"), F.sum(m).over(whole).alias("mt"),
     ).withColumn("w2", F.col("wt") - F.col("w1")).where(F.col("w2") > 0)
-    # Centres lie evenly, so classes are as far apart as their mean bins times the width. Bins add up without rounding:
-    # splits that are equally good stay equal, where sums of centres differ in their last digits by order of addition.
-    w1, w2 = F.col("w1").cast("double"), F.col("w2").cast("double")
-    apart = F.col("m1") * w2 - (F.col("mt") - F.col("m1")) * w1
-    scored = split.withColumn("between", F.round(apart * apart / (w1 * w2) * F.col("_width") * F.col("_width"), 9))
+    if whole_bins:
+        # Centres lie evenly, so classes are as far apart as their mean bins times the width.
+        w1, w2 = F.col("w1").cast("double"), F.col("w2").cast("double")
+        apart = F.col("m1") * w2 - (F.col("mt") - F.col("m1")) * w1
+        between = apart * apart / (w1 * w2) * F.col("_width") * F.col("_width")
+    else:
+        gap = F.col("m1") / F.col("w1") - (F.col("mt") - F.col("m1")) / F.col("w2")
+        between = F.col("w1") * F.col("w2") * gap * gap
+    scored = split.withColumn("between", F.round(between, 9))
     best = scored.groupBy(slide).agg(F.min_by("centre", F.struct(-F.col("between"), F.col("bin"))).alias("_t"))
     return ends.join(best, slide, "left").select(slide, F.coalesce("_t", "_lo").alias("threshold"))
 

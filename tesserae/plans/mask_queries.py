@@ -455,7 +455,7 @@ _OTSU = "with " + V.V_RGB + """, p as (select image_id, row, col, (r::double + g
 
 def _otsu(spark, sf):
     px = V.colour_pixels(spark, sf).withColumn("lum", G.luminance())
-    return px, G.otsu_thresholds(px, IMG, "lum")
+    return px, G.otsu_thresholds(px, IMG, "lum", whole_bins=False)
 
 
 @query("a49_otsu_threshold", rounded_sql(_OTSU + "\n--body\nselect * from th", "threshold"))
