@@ -44,7 +44,7 @@ def test_partitioning_does_not_show(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
-@pytest.mark.parametrize("name", ["a49_foreground"])
+@pytest.mark.parametrize("name", ["a49_foreground", "a49_otsu_threshold"])
 def test_otsu_of_equally_good_splits(spark, tmp_path, name):
     # Luminances lie in mirror image, so the first and the third split are equally good; the SQL's sums of centres take the third.
     shapes = [(20, 9, 13), (21, 9, 5), (22, 10, 17), (25, 11, 8), (28, 13, 11), (33, 15, 5)]
